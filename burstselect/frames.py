@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burstselect.functions.columns import exposure_flagged
+from burstselect.operators.faces import with_faces
 from burstselect.params import SelectionParams
 
 # Parameters of the registered queries: the event table has one event every few minutes.
@@ -28,20 +29,25 @@ def vector_hash(vector: Column) -> Column:
 
 def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames without a hash: everything but similarity grouping reads these."""
-    e = table(spark, sf_dir, "events")
+    return frames_from(table(spark, sf_dir, "events"))
+
+
+def frames_from(e: DataFrame) -> DataFrame:
+    """Frames from a table or a stream of events."""
     k = F.get_json_object("props", "$.k").cast("int")
     faces = k % 4
     out = e.select(
         F.concat(F.lit("DCIM/u"), F.col("user_id"), F.lit("/DSC_"), F.lpad(F.col("event_id").cast("string"), 8, "0"), F.lit(".JPG")).alias("rel"),
         F.when(k != 97, F.col("ts")).alias("when_ts"),
         (F.col("event_id") * 1000 + 1024).alias("size_bytes"),
-        F.unix_millis(F.col("ts").cast("timestamp")).cast("double").alias("mtime"),
+        (F.col("event_id").cast("double") + 0.25).alias("mtime"),
         faces.alias("face_count"),
         F.when(faces != 0, (F.col("event_id") * 37 % 101).cast("double") / 100.0).alias("eye_score"),
         F.col("value").alias("sharpness"),
         ((F.col("event_id") * 13 % 100).cast("double") / 400.0).alias("blown"),
         ((F.col("event_id") * 29 % 100).cast("double") / 300.0).alias("crushed"),
         F.col("event_id"),
+        F.col("user_id"),
         F.col("event_type"),
         k.alias("k"),
     )
@@ -81,3 +87,46 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(853).alias("frame_h"),
         F.when(F.col("k") % 10 != 3, (F.col("event_id") * 19 + F.col("face_no") * 41) % 100 / 100.0).alias("open_prob"),
     )
+
+
+def face_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames whose face measurements come from the detections."""
+    bare = event_frames(spark, sf_dir).drop("face_count", "eye_score")
+    return with_faces(bare, detections(spark, sf_dir), QUERY_PARAMS)
+
+
+def cache_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An append-only cache: three kinds of frames measured, one kind twice, one kind for an older file."""
+    f = event_frames(spark, sf_dir)
+    base = f.select("rel", "mtime", "size_bytes", "event_type", "sharpness", "eye_score")
+    first = base.where(F.col("event_type").isin("view", "click", "purchase")).withColumn("written_at", F.lit(1).cast("bigint"))
+    first = first.withColumn("mtime", F.when(F.col("event_type") == "purchase", F.col("mtime") - 1.0).otherwise(F.col("mtime")))
+    again = base.where(F.col("event_type") == "click").withColumn("sharpness", F.col("sharpness") + 1.0)
+    again = again.withColumn("written_at", F.lit(2).cast("bigint"))
+    other = base.where(F.col("event_type") == "view").withColumn("sharpness", F.lit(0.0)).withColumn("written_at", F.lit(3).cast("bigint"))
+    mine = first.unionByName(again).withColumn("tag", F.lit("300.0"))
+    return mine.unionByName(other.withColumn("tag", F.lit("sim"))).drop("event_type")
+
+
+def protocol_lines(events: DataFrame) -> DataFrame:
+    """Protocol lines (run, event_id, value) from a table or stream of events: progress, results, noise and errors."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    i = F.col("event_id").cast("string")
+    head = F.concat(F.lit('{"done": '), i, F.lit(', "total": 1000000, "current_frame_name": "DSC_'), i, F.lit('.JPG", "current_burst_label": ""'))
+    line = (
+        F.when(F.col("event_type") == "view", F.concat(head, F.lit(', "phase": "scoring"}')))
+        .when(F.col("event_type") == "click", F.concat(head, F.lit("}")))
+        .when((F.col("event_type") == "purchase") & (k < 90), F.lit('{"grouping": "time", "bursts": []}'))
+        .when(F.col("event_type") == "purchase", F.lit('{"grouping": "colour", "bursts": []}'))
+        .when((F.col("event_type") == "signup") & (k < 50), F.concat(F.lit('{"note": "'), i, F.lit('"}')))
+        .when(F.col("event_type") == "signup", F.concat(F.lit("worker "), i, F.lit(" started")))
+        .when(k < 50, F.lit('{"done": null, "total": 3}'))
+        .otherwise(F.lit('["done", "grouping"]'))
+    )
+    return events.select(F.col("user_id").alias("run"), "event_id", line.alias("value"))
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream source."""
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)

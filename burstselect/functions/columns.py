@@ -25,6 +25,12 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def hamming_words(a: Column, b: Column) -> Column:
+    """The same for hashes of more than 64 bits, held as arrays of words."""
+    bits = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(bits, F.lit(0), lambda acc, n: acc + n)
+
+
 def iso_time(when) -> Column:
     """ISO 8601 without zone, with six fraction digits only when there is a fraction; null stays null."""
     text = _c(when).cast("string")

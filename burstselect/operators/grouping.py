@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burstselect.functions.columns import hamming, seconds_between
+from burstselect.functions.columns import hamming, hamming_words, seconds_between
 from burstselect.params import SelectionParams
 from burstselect.plans.ordered import CHUNK, SPANS, chron, number_islands
 
@@ -24,9 +24,10 @@ def time_bursts(frames: DataFrame, params: SelectionParams = SelectionParams())
 
 def similarity_bursts(frames: DataFrame, params: SelectionParams = SelectionParams()) -> DataFrame:
     """A new burst starts when a frame differs too much from the one just before it, or comes too long after it."""
+    distance = hamming_words if params.phash_size > 8 else hamming
 
     def starts(p: Column, c: Column) -> Column:
-        unlike = hamming(p["phash"], c["phash"]) > F.lit(int(params.sim_max_distance))
+        unlike = distance(p["phash"], c["phash"]) > F.lit(int(params.sim_max_distance))
         late = seconds_between(p["when_ts"], c["when_ts"]) > F.lit(float(params.sim_time_ceiling))
         return F.coalesce(unlike, F.lit(True)) | F.coalesce(late, F.lit(False))
 

@@ -117,7 +117,7 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: s
         _into_chunks(src, full)
         .withColumn("_row", F.row_number().over(W.partitionBy(CHUNK).orderBy(*full)))
         .withColumn("_end", F.lead("_row").over(W.partitionBy(CHUNK).orderBy(*full)).isNull())
-        .withColumn("_at", F.row_number().over(W.partitionBy(CHUNK, *keys).orderBy(*order)))
+        .withColumn("_nth", F.row_number().over(W.partitionBy(CHUNK, *keys).orderBy(*order)))
     )
     rows = pin(rows)
 
@@ -127,7 +127,7 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: s
         .agg(
             F.min_by("_key", "_row").alias("_first"),
             F.max_by("_key", "_row").alias("_last"),
-            F.max_by("_at", "_row").alias("_tail"),
+            F.max_by("_nth", "_row").alias("_tail"),
         )
         # Chunks ending in the same group follow each other, so their tails add up to what the next chunk continues.
         .withColumn("_run", F.sum("_tail").over(W.partitionBy("_last").orderBy(CHUNK)))
@@ -137,8 +137,8 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: s
     carried = F.when(F.struct(*keys).eqNullSafe(F.col("_first")), F.col("_carry")).otherwise(0)
     return (
         rows.join(F.broadcast(edges), CHUNK)
-        .withColumn(name, (F.col("_at") - 1 + carried).cast("bigint"))
-        .drop(CHUNK, "_row", "_end", "_at", "_first", "_carry", "_all")
+        .withColumn(name, (F.col("_nth") - 1 + carried).cast("bigint"))
+        .drop(CHUNK, "_row", "_end", "_nth", "_first", "_carry", "_all")
     )
 
 
@@ -149,12 +149,11 @@ def rank_in_burst(df: DataFrame, extra: Sequence[str], order: Sequence[Column],
     second range sort of :func:`ranked`.
     """
     inside = W.partitionBy(CHUNK, "burst_id", *extra).orderBy(*order)
-    whole = df.where(~F.col(SPANS)).withColumn(name, (F.row_number().over(inside) - 1).cast("bigint"))
-    # The chunk and span columns of split bursts stay those of the original layout.
-    split = ranked(
-        df.where(SPANS).withColumnsRenamed({CHUNK: "_home", SPANS: "_split"}), ["burst_id", *extra], order, name
-    ).withColumnsRenamed({"_home": CHUNK, "_split": SPANS})
-    return whole.unionByName(split)
+    whole, split = parts(df)
+    whole = whole.withColumn(name, (F.row_number().over(inside) - 1).cast("bigint"))
+    # The chunk of a split burst's rows stays that of the original layout.
+    split = ranked(split.withColumnRenamed(CHUNK, "_home"), ["burst_id", *extra], order, name)
+    return whole.unionByName(split.withColumnRenamed("_home", CHUNK).withColumn(SPANS, F.lit(True)))
 
 
 def with_burst_stats(df: DataFrame, **aggregates: Column) -> DataFrame:
@@ -164,10 +163,28 @@ def with_burst_stats(df: DataFrame, **aggregates: Column) -> DataFrame:
     are aggregated with partial sums and come back through a broadcast of at most one row per chunk. Use aggregates
     with small buffers only (sum, count, max, min).
     """
+    whole, split = parts(df)
     inside = W.partitionBy(CHUNK, "burst_id")
-    split = df.where(SPANS).groupBy("burst_id").agg(*[c.alias(f"_split_{k}") for k, c in aggregates.items()])
-    out = df.select("*", *[c.over(inside).alias(f"_local_{k}") for k, c in aggregates.items()])
-    out = out.join(F.broadcast(split), "burst_id", "left")
-    for k in aggregates:
-        out = out.withColumn(k, F.when(F.col(SPANS), F.col(f"_split_{k}")).otherwise(F.col(f"_local_{k}")))
-    return out.drop(*[f"_split_{k}" for k in aggregates], *[f"_local_{k}" for k in aggregates])
+    whole = whole.select("*", *[c.over(inside).alias(k) for k, c in aggregates.items()])
+    stats = split.groupBy("burst_id").agg(*[c.alias(k) for k, c in aggregates.items()])
+    return whole.unionByName(split.join(F.broadcast(stats), "burst_id"))
+
+
+def parts(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A laid-out table as (bursts inside one chunk, bursts reaching over a chunk edge).
+
+    The span column becomes a constant in each part, so taking a part of the union of both drops the other from the plan.
+    """
+    whole, split = df.where(~F.col(SPANS)), df.where(F.col(SPANS))
+    return whole.withColumn(SPANS, F.lit(False)), split.withColumn(SPANS, F.lit(True))
+
+
+def join_burst_table(df: DataFrame, table: DataFrame) -> DataFrame:
+    """Join one-row-per-burst data to a laid-out table.
+
+    A burst inside one chunk has at most a chunk of rows, so a plain shuffle join is even. The rows of split bursts, at
+    most one burst per chunk edge, stay where they are and get their few table rows by broadcast.
+    """
+    whole, split = parts(df)
+    few = table.join(F.broadcast(split.select("burst_id").distinct()), "burst_id", "left_semi")
+    return whole.join(table, "burst_id").unionByName(split.join(F.broadcast(few), "burst_id"))
