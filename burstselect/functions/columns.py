@@ -163,7 +163,7 @@ def fixed(x, digits: int) -> Column:
         text = F.concat(
             sign, F.floor(units / ten).cast("string"), F.lit("."), F.lpad((units % ten).cast("string"), digits, "0")
         )
-    return F.when(a < 2.0**52 / scale, text).otherwise(F.format_string(f"%.{digits}f", x))
+    return F.when(a < 2.0**52 / scale, text).when(x.isNotNull(), F.format_string(f"%.{digits}f", x))
 
 
 def grouped_int(n) -> Column:

@@ -138,6 +138,7 @@ def export_outcomes(items: DataFrame, sources: DataFrame | None, existing: DataF
     """
     if sources is None:
         return items.withColumn("outcome", F.lit("skipped")).withColumn("exported_as", F.lit("")).withColumn("message", F.lit(""))
+    items = pin(items)
     there = items.join(sources.select("rel_path").distinct(), "rel_path", "left_semi")
     message = F.lit(None).cast("string")
     failed = there.where(F.lit(False)).select("rel_path", message.alias("message")) if failures is None else failures.select("rel_path", "message")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from burstselect.functions.columns import basename, burst_key, exposure_label, eyes_percent, frame_id, sharpness_display, timecode
 from burstselect.plans.ordered import chron, join_burst_table, laid_out, rank_in_burst, ranked
+from burstselect.session import pin
 
 FRAME_DOC = ["id", "filename", "sharpness", "eyes", "faces", "exposure", "mark", "reason", "size_bytes", "rel_path"]
 
@@ -84,6 +85,7 @@ def result_document(judged: DataFrame, method: str, page_size: int = 1000) -> Da
     A burst of more than ``page_size`` frames continues on further rows (``page`` 0, 1, ...), each with the same header,
     so no row and no task ever holds an unbounded burst and no frame is left out.
     """
+    judged = pin(laid_out(judged))
     frames = frame_documents(judged).withColumn("page", F.floor(F.col("position") / page_size))
     doc = F.struct("position", F.struct(*FRAME_DOC).alias("doc"))
     pages = frames.groupBy("burst_id", "page").agg(
@@ -115,9 +117,10 @@ def flatten_documents(documents: DataFrame) -> DataFrame:
 
 def progress_sequence(judged: DataFrame) -> DataFrame:
     """One progress row per frame, in burst order and best first: running ``done`` out of ``total``."""
-    total = judged.count()
-    labels = burst_labels(burst_table(judged)).select("burst_id", "label")
-    narrow = laid_out(judged).select("rel", "when_ts", "burst_id", "bin", "sharpness", "_chunk", "_spans")
+    narrow = laid_out(judged).select("rel", "when_ts", "burst_id", "bin", "sharpness", "face_count", "_chunk", "_spans")
+    narrow = pin(narrow)
+    total = narrow.count()
+    labels = burst_labels(burst_table(narrow)).select("burst_id", "label")
     rows = join_burst_table(narrow, labels)
     order = [F.col("burst_id").asc(), *best_first()]
     return ranked(rows, [], order, "_at").select(

@@ -20,6 +20,7 @@ from burstselect.functions.columns import (
     slug,
 )
 from burstselect.plans.ordered import chron, laid_out, rank_in_burst, ranked
+from burstselect.session import pin
 
 
 def mark_filter(judged: DataFrame, mark: str = "all") -> DataFrame:
@@ -134,35 +135,19 @@ def contact_sheet(judged: DataFrame, page_size: int = 1000) -> DataFrame:
 def _ring(df: DataFrame, group: Sequence[str], at: str, value: str) -> DataFrame:
     """Add the previous and next ``value`` in a group, wrapping around.
 
-    Positions inside a group are dense and unique, so the neighbours are found by joins on (group, position), which
-    spread evenly whatever the size of a group.
+    Positions inside a group are dense and unique, so a neighbour is found by an equi-join on (group, position), which
+    spreads evenly whatever the size of a group. Only the first and the last row of a group look up its other end.
     """
-    group = list(group)
-    if group:
-        n = df.groupBy(*group).agg(F.count("*").alias("_n"))
-        last = df.join(n, (df[at] == n["_n"] - 1) & _same(df, n, group), "left_semi")
-        ends = last.select(*group, F.col(value).alias("_last"))
-        first = df.where(F.col(at) == 0).select(*group, F.col(value).alias("_first"))
-    before = df.select(*group, (F.col(at) + 1).alias(at), F.col(value).alias(f"prev_{value}"))
-    after = df.select(*group, (F.col(at) - 1).alias(at), F.col(value).alias(f"next_{value}"))
-    out = df.join(before, [*group, at], "left").join(after, [*group, at], "left")
-    if not group:
-        total = df.count()
-        lo, hi = (F.lit(df.where(F.col(at) == p).select(value).first()[0]) if total else F.lit(None) for p in (0, total - 1))
-        return out.withColumn(f"prev_{value}", F.coalesce(f"prev_{value}", hi)).withColumn(f"next_{value}", F.coalesce(f"next_{value}", lo))
-    # Only the first and the last frame of a group lack a neighbour; they alone look up the other end.
-    heads = out.where(F.col(f"prev_{value}").isNull()).join(ends, group).withColumn(f"prev_{value}", F.col("_last")).drop("_last")
-    rest = out.where(F.col(f"prev_{value}").isNotNull())
-    out = rest.unionByName(heads)
-    tails = out.where(F.col(f"next_{value}").isNull()).join(first, group).withColumn(f"next_{value}", F.col("_first")).drop("_first")
-    return out.where(F.col(f"next_{value}").isNotNull()).unionByName(tails)
-
-
-def _same(a: DataFrame, b: DataFrame, cols: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for c in cols:
-        cond = cond & (a[c] == b[c])
-    return cond
+    keys = list(group) or ["_all"]
+    df = pin(df if group else df.withColumn("_all", F.lit(0)))
+    ends = df.groupBy(*keys).agg(F.min_by(value, at).alias("_first"), F.max_by(value, at).alias("_last"), F.max(at).alias("_end"))
+    # The row before the first is the last, and the row after the last is the first.
+    wrap_back = ends.select(*keys, F.lit(0).cast("bigint").alias(at), F.col("_last").alias(f"prev_{value}"))
+    wrap_on = ends.select(*keys, F.col("_end").alias(at), F.col("_first").alias(f"next_{value}"))
+    before = df.select(*keys, (F.col(at) + 1).alias(at), F.col(value).alias(f"prev_{value}"))
+    after = df.where(F.col(at) > 0).select(*keys, (F.col(at) - 1).alias(at), F.col(value).alias(f"next_{value}"))
+    out = df.join(before.unionByName(wrap_back), [*keys, at]).join(after.unionByName(wrap_on), [*keys, at])
+    return out.drop("_all")
 
 
 def frame_step(documents: DataFrame, mark: str = "all") -> DataFrame:

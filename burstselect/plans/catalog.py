@@ -26,7 +26,7 @@ from burstselect.functions import pixels
 from burstselect.operators import cache, diff, export, faces, grouping, region, results, review, verdicts
 from burstselect.params import SelectionParams
 from burstselect.plans.ordered import chron, ranked
-from burstselect.session import scratch_path
+from burstselect.session import pin, scratch_path
 from burstselect.sources import manifest, photos, progress
 from burstselect.streaming import live
 
@@ -589,7 +589,7 @@ def burst_step(spark, sf):
 
 @query
 def keeper_lookup(spark, sf):
-    judged = judged_by_time(spark, sf)
+    judged = pin(judged_by_time(spark, sf))
     found = review.keeper_lookup(results.burst_table(judged), results.frame_documents(judged))
     return found.select("burst_id", "filename", "mark", "sharpness")
 

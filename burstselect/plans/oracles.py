@@ -102,7 +102,7 @@ _FACES = """,
 dt as (select rel, face_no, (event_id * 7 + face_no * 31) % 800 as x, (event_id * 11 + face_no * 13) % 500 as y,
     (event_id * 3 + face_no * 17) % 300 + 20 as w, (event_id * 5 + face_no * 17) % 300 + 20 as h,
     coalesce(case when k % 10 <> 3 then ((event_id * 19 + face_no * 41) % 100) / 100::double end, 1::double) as open_prob
-  from (select *, unnest(range(1, face_count + 1)) as face_no from fr where face_count > 0)),
+  from (select *, unnest(range(1, face_count + 1))::int as face_no from fr where face_count > 0)),
 dr as (select *, w * h / (1280 * 853)::double as area, max(w * h / (1280 * 853)::double) over (partition by rel) as big,
     row_number() over (partition by rel order by w * h desc, face_no) as face_rank from dt),
 fg as (select rel, face_no, face_rank::int as face_rank, area, open_prob, x / 1280::double as fx, y / 853::double as fy, w / 1280::double as fw, h / 853::double as fh
@@ -542,7 +542,7 @@ oracle(
     "progress_stream",
     _ROUTED,
     """select user_id as run, max(event_id) as done, 1000000::bigint as total, 'DSC_' || max(event_id) || '.JPG' as current_frame_name,
-  arg_max(case when event_type = 'view' then 'scoring' end, event_id, 1)[1] as phase, count(*) as events
+  nullif(arg_max(case when event_type = 'view' then 'scoring' else '' end, event_id), '') as phase, count(*) as events
 from ro where kind = 'progress' group by user_id""",
 )
 _LIVE = _FRAMES + """,

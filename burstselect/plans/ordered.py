@@ -3,8 +3,8 @@
 A window with no partition key sends the whole table to one task, and a window keyed by burst sends a hot burst to
 one task. Both are avoided the same way: sort the rows into range *chunks* on a unique key (so no chunk can be hot),
 do the window inside each chunk, and correct each chunk by what the chunks before it held. The correction table has
-one row per chunk, that is ``spark.sql.shuffle.partitions`` rows, whatever the size of the data, so it is safe to
-order it in one task and to broadcast it.
+one row per chunk, that is at most ``spark.sql.shuffle.partitions`` rows whatever the size of the data, so it is safe
+to order it in one task and to broadcast it.
 
 The chunk number is assigned while the rows are written to the checkpoint folder; every later step reads it from
 there, so a recomputed range partitioning can never disagree with the correction table.
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from burstselect.session import pin, shuffle_width
+from burstselect.session import pin
 
 CHUNK = "_chunk"
 SPANS = "_spans"
@@ -30,8 +30,8 @@ def chron() -> list[Column]:
 
 
 def _into_chunks(df: DataFrame, order: Sequence[Column]) -> DataFrame:
-    width = shuffle_width(df.sparkSession)
-    return df.repartitionByRange(width, *order).withColumn(CHUNK, F.spark_partition_id())
+    # No explicit number: at most spark.sql.shuffle.partitions chunks, fewer where adaptive execution merges small ones.
+    return df.repartitionByRange(*order).withColumn(CHUNK, F.spark_partition_id())
 
 
 def _edge_rows(rows: DataFrame, keys: Sequence[str]) -> GroupedData:

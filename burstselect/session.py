@@ -50,10 +50,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder, so that later plans read the very same rows."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` as a table in the shared checkpoint folder and read it back.
 
-
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    Later plans then see the very same rows, lose the lineage behind them and read only the columns they use. The
+    folder is scratch space: nothing in it is needed once the job is over.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "pinned")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
