@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from burstselect.functions.columns import box_decode
 
@@ -32,7 +33,10 @@ def cache_latest(cache: DataFrame) -> DataFrame:
 
 def cache_load(spark: SparkSession, path: str, tag: str) -> DataFrame:
     """Current rows of one tag; the tag is a partition, so other tags are not read."""
-    return cache_latest(spark.read.parquet(path).where(F.col("tag") == tag)).drop("tag")
+    # Partition values are read as text: a gap such as "2.0" must not turn into a number.
+    found = spark.read.parquet(path).schema
+    text = StructType([StructField("tag", StringType()) if f.name == "tag" else f for f in found])
+    return cache_latest(spark.read.schema(text).parquet(path).where(F.col("tag") == tag)).drop("tag")
 
 
 def parse_cache_rows(raw: DataFrame, tag: str) -> DataFrame:
@@ -44,7 +48,8 @@ def parse_cache_rows(raw: DataFrame, tag: str) -> DataFrame:
     number = lambda c: F.coalesce(text(c).try_cast("double"), F.lit(0.0))
     whole = lambda c: F.coalesce(text(c).try_cast("bigint"), F.lit(0))
     unsigned = F.coalesce(text("phash").try_cast("decimal(20,0)"), F.lit(0))
-    signed = F.when(unsigned >= 2**63, unsigned - F.lit(2**64).cast("decimal(20,0)")).otherwise(unsigned).cast("bigint")
+    wrap = lambda bits: F.lit(str(2**bits)).cast("decimal(20,0)")
+    signed = F.when(unsigned >= wrap(63), unsigned - wrap(64)).otherwise(unsigned).cast("bigint")
     return (
         raw.where(F.col("gap") == tag)
         .select(

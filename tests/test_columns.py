@@ -1,0 +1,117 @@
+from __future__ import annotations
+
+import random
+from datetime import datetime, timedelta
+
+from pyspark.sql import functions as F
+
+from burstselect import params as P
+from burstselect.functions import columns as c
+
+
+def one(spark, rows, schema, *cols):
+    return [tuple(r) for r in spark.createDataFrame(rows, schema).select(*cols).collect()]
+
+
+def test_fixed_equals_printf(spark):
+    rng = random.Random(1)
+    values = [0.0, 0.0625, 0.125, 2.5, 3.5, 1.005, 1.015, 0.00005, 0.99995, 123456.7895, -0.0625, -1.2345, 1e-9, 9.9999999]
+    values += [rng.uniform(0, 1000) for _ in range(300)] + [rng.randint(0, 10**6) / 10**5 for _ in range(300)]
+    for digits in (0, 1, 3, 4, 5):
+        got = one(spark, [(v,) for v in values], "v double", c.fixed("v", digits))
+        want = [f"{v:.{digits}f}" for v in values]
+        # A negative value that rounds to zero loses its sign.
+        assert [g[0] for g in got] == [w.lstrip("-") if float(w) == 0 else w for w in want]
+    assert one(spark, [(None,)], "v double", c.fixed("v", 4)) == [(None,)]
+
+
+def test_capture_time(spark):
+    rows = [
+        ("2026:06:19 12:57:21", "31"), (" 2026:06:19 12:57:21 ", None), ("0000:00:00 00:00:00", "5"), ("nonsense", None),
+        (None, "1"), ("2026:06:19 12:57:21", "x1"), ("2026:06:19 12:57:21", ""), ("2026:06:19 12:57:60", "1"),
+        ("2026:02:30 12:00:00", "1"), ("2026:06:19 12:57:21", "9999999"),
+    ]
+    got = one(spark, rows, "d string, s string", c.capture_time(F.col("d"), F.col("s")).alias("t"))
+    t = datetime(2026, 6, 19, 12, 57, 21)
+    want = [
+        (t + timedelta(seconds=0.31), True), (t, False), (None, False), (None, False), (None, False), (t, False), (t, False),
+        (None, False), (None, False), (t + timedelta(seconds=float("0.9999999")), True),
+    ]
+    assert [tuple(g[0]) for g in got] == want
+
+
+def test_iso_and_timecode(spark):
+    times = [datetime(2026, 6, 19, 12, 57, 21, 310000), datetime(2026, 6, 19, 0, 0, 0), datetime(2026, 1, 1, 1, 2, 3, 4), None]
+    got = one(spark, [(t,) for t in times], "t timestamp_ntz", c.iso_time("t"), c.timecode("t"))
+    assert got == [(t.isoformat(), t.strftime("%H:%M:%S")) if t else (None, "--:--:--") for t in times]
+
+
+def test_gap_seconds_ignore_the_session_zone(spark):
+    a, b = datetime(2026, 3, 29, 1, 59, 59), datetime(2026, 3, 29, 3, 0, 0, 500)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+        got = one(spark, [(a, b)], "a timestamp_ntz, b timestamp_ntz", c.seconds_between(F.col("a"), F.col("b")))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == [((b - a).total_seconds(),)]
+
+
+def test_display_numbers(spark):
+    rows = [(0.0, 0.0), (50.0, 100.0), (100.0, 100.0), (49.5 / 99, 1.0), (50.5 / 99, 1.0), (5.0, -1.0), (200.0, 100.0)]
+    got = [g[0] for g in one(spark, rows, "r double, p double", c.sharpness_display("r", F.col("p")))]
+    assert got == [0, 50, 99, 50, 50, 0, 99]
+    assert one(spark, [(0.625,), (None,), (0.125,)], "e double", c.eyes_percent("e")) == [(62,), (None,), (12,)]
+
+
+def test_slug(spark):
+    texts = ["Much softer than burst peak", "", None, "--", "Eyes closed; exposure flag and more words here", "ÄÖ x"]
+    got = [g[0] for g in one(spark, [(t,) for t in texts], "t string", c.slug("t"))]
+    assert got == ["much-softer-than-burst-peak", "x", "x", "x", "eyes-closed-exposure-flag-and-", "x"]
+
+
+def test_boxes(spark):
+    texts = ["0.1;0.2;0.3;0.4", "", "1;2;3", "1;2;3;x", "1;2;3;4;5", None]
+    got = [g[0] for g in one(spark, [(t,) for t in texts], "t string", c.box_decode("t"))]
+    assert tuple(got[0]) == (0.1, 0.2, 0.3, 0.4) and got[1:] == [None] * 5
+    b = c.box(F.lit(0.123456), F.lit(0.2), F.lit(1.0), F.lit(0.0))
+    assert one(spark, [(1,)], "i int", c.box_encode(b)) == [("0.12346;0.20000;1.00000;0.00000",)]
+    boxes = [(0.25, 0.25, 0.5, 0.5), (-0.5, 0.0, 0.6, 2.0), (0.9, 0.9, 0.0, 0.1)]
+    got = one(spark, boxes, "x double, y double, w double, h double", c.crop_box(F.lit(100), F.lit(200), c.box("x", "y", "w", "h")))
+    assert [tuple(g[0]) for g in got] == [(50, 25, 150, 75), (0, 0, 19, 100), (0, 0, 200, 100)]
+
+
+def test_sizes_and_clock(spark):
+    rows = [(0,), (-5,), (1073741824,), (1610612736,), (5 * 1048576,), (1,)]
+    assert [g[0] for g in one(spark, rows, "b bigint", c.human_size("b"))] == ["0 GB", "0 GB", "1.0 GB", "1.5 GB", "5 MB", "0 MB"]
+    assert [g[0] for g in one(spark, [(59.5,), (0.4,), (-3.0,), (3600.0,)], "s double", c.clock("s"))] == ["1:00", "0:00", "0:00", "60:00"]
+    assert one(spark, [(1234567,)], "n bigint", c.grouped_int("n")) == [("1,234,567",)]
+
+
+def test_progress(spark):
+    rows = [(0, 0, 5.0), (0, 10, 5.0), (5, 10, 20.0), (10, 10, 9.0), (12, 10, 9.0)]
+    got = one(spark, rows, "d bigint, t bigint, e double", c.progress_metrics("d", "t", "e"))
+    assert [tuple(g[0]) for g in got] == [(0.0, 0, 0.0), (0.0, 0, 0.0), (0.5, 50, 20.0), (1.0, 100, 0.0), (1.0, 100, 0.0)]
+
+
+def test_thresholds_agree_with_the_params(spark):
+    rows = [(x / 2,) for x in range(0, 202)]
+    got = one(spark, rows, "v double", c.sim_distance("v"), c.blown_value(F.col("v") / 100))
+    assert got == [(P.sim_distance(v), P.blown_value(v / 100)) for (v,) in rows]
+    assert P.SelectionParams.interactive().sim_max_distance == 18 and P.SelectionParams.interactive().blown_value == 240
+
+
+def test_csv_escape(spark):
+    rows = [("plain",), ("a,b",), ('say "x"',), ("two\nlines",), ("",)]
+    assert [g[0] for g in one(spark, rows, "t string", c.csv_escape("t"))] == ["plain", '"a,b"', '"say ""x"""', '"two\nlines"', ""]
+
+
+def test_hamming(spark):
+    assert one(spark, [(0, -1), (5, 4), (-1, -1)], "a bigint, b bigint", c.hamming(F.col("a"), F.col("b"))) == [(64,), (1,), (0,)]
+
+
+def test_measure_tag_follows_measuring_parameters():
+    p = P.SelectionParams()
+    assert p.measure_tag() != p.with_(gap_seconds=3.0).measure_tag() and p.measure_tag() == p.with_(keep_per_burst=3).measure_tag()
+    s = p.with_(group_method="similarity")
+    assert s.measure_tag() == s.with_(gap_seconds=9.0).measure_tag() and s.grouping_tag() == "sim" and p.grouping_tag() == "2.0"
