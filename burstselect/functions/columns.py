@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 
 from burstselect.params import CENTER_BOX, LUMA_MAX, PHASH_BITS
 
+# Texts and limits of the display vocabulary.
+UNDATED = "--:--:--"
+EXPOSURE_SUFFIX = "; exposure flag"
+MARK_LABELS = {"keeper": "Best", "maybe": "Maybe", "rejected": "Rejected"}
+EXPOSURE_WARNINGS = {"blown": "Highlights clipped", "crushed": "Shadows crushed"}
+BANDS = {"green": 70, "amber": 48, "red": 0}
+SLUG_LENGTH = 30
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -39,7 +47,7 @@ def iso_time(when) -> Column:
 
 
 def timecode(when) -> Column:
-    return F.coalesce(F.substring(_c(when).cast("string"), 12, 8), F.lit("--:--:--"))
+    return F.coalesce(F.substring(_c(when).cast("string"), 12, 8), F.lit(UNDATED))
 
 
 def capture_time(dto, subsec) -> Column:
@@ -101,17 +109,21 @@ def eye_gate_fails(eye, open_gate: float) -> Column:
 
 
 def annotate(reason: Column, flagged: Column) -> Column:
-    return F.when(flagged, F.concat(reason, F.lit("; exposure flag"))).otherwise(reason)
+    return F.when(flagged, F.concat(reason, F.lit(EXPOSURE_SUFFIX))).otherwise(reason)
 
 
 def slug(text) -> Column:
     dashed = F.regexp_replace(F.lower(F.coalesce(_c(text), F.lit(""))), "[^a-z0-9]+", "-")
-    cut = F.substring(F.regexp_replace(dashed, "^-+|-+$", ""), 1, 30)
+    cut = F.substring(F.regexp_replace(dashed, "^-+|-+$", ""), 1, SLUG_LENGTH)
     return F.coalesce(F.nullif(cut, F.lit("")), F.lit("x"))
 
 
+def _lookup(key: Column, values: dict[str, str]) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), key)
+
+
 def mark_label(mark) -> Column:
-    return F.when(_c(mark) == "keeper", "Best").when(_c(mark) == "maybe", "Maybe").otherwise("Rejected")
+    return _lookup(_c(mark), MARK_LABELS)
 
 
 def eyes_text(eyes) -> Column:
@@ -120,7 +132,7 @@ def eyes_text(eyes) -> Column:
 
 def exposure_warning(exposure) -> Column:
     """Warning text of a flagged exposure; null when it is fine."""
-    return F.when(_c(exposure) == "blown", "Highlights clipped").when(_c(exposure) == "crushed", "Shadows crushed")
+    return _lookup(_c(exposure), EXPOSURE_WARNINGS)
 
 
 def sharpness_text(sharpness) -> Column:
@@ -128,7 +140,7 @@ def sharpness_text(sharpness) -> Column:
 
 
 def sharpness_band(sharpness) -> Column:
-    return F.when(_c(sharpness) >= 70, "green").when(_c(sharpness) >= 48, "amber").otherwise("red")
+    return F.when(_c(sharpness) >= BANDS["green"], "green").when(_c(sharpness) >= BANDS["amber"], "amber").otherwise("red")
 
 
 def sharpness_fill(sharpness) -> Column:

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 
 def manifest_diff(current: DataFrame, golden: DataFrame, fields: Sequence[str] = ("bin", "face_count", "burst_id")) -> DataFrame:
-    """Every (filename, field) that differs; a file on one side only is listed once, under ``filename``."""
-    text = lambda df, side: df.select("filename", F.struct(*[F.col(f).cast("string").alias(f) for f in fields]).alias(side))
-    both = text(golden, "gold").join(text(current, "cur"), "filename", "full_outer")
+    """Every (filename, field) that differs; a file on one side only is listed once, under ``filename``.
+
+    Where a manifest has a file name more than once its last row counts, so the join is one to one.
+    """
+    both = _last_rows(golden, fields, "gold").join(_last_rows(current, fields, "cur"), "filename", "full_outer")
     presence = F.struct(
         F.lit("filename").alias("field"),
         F.when(F.col("gold").isNotNull(), F.col("filename")).alias("expected"),
@@ -21,3 +23,10 @@ def manifest_diff(current: DataFrame, golden: DataFrame, fields: Sequence[str] =
     one_sided = F.col("gold").isNull() | F.col("cur").isNull()
     rows = both.select("filename", F.explode(F.when(one_sided, F.array(presence)).otherwise(F.array(*cells))).alias("d"))
     return rows.where(~F.col("d.expected").eqNullSafe(F.col("d.actual"))).select("filename", "d.*")
+
+
+def _last_rows(manifest: DataFrame, fields: Sequence[str], side: str) -> DataFrame:
+    """The last row per file name in manifest order, its fields as text."""
+    row = F.struct(*[F.col(f).cast("string").alias(f) for f in fields])
+    place = F.struct("burst_id", F.col("when_iso") == "", "when_iso", "rel")
+    return manifest.groupBy("filename").agg(F.max_by(row, place).alias(side))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burstselect.functions.columns import basename, burst_key, exposure_label, eyes_percent, frame_id, sharpness_display, timecode
-from burstselect.plans.ordered import chron, join_burst_table, laid_out, rank_in_burst, ranked
+from burstselect.plans.ordered import SPANS, chron, join_burst_table, laid_out, rank_in_burst, ranked
 from burstselect.session import pin
 
 FRAME_DOC = ["id", "filename", "sharpness", "eyes", "faces", "exposure", "mark", "reason", "size_bytes", "rel_path"]
@@ -88,11 +88,11 @@ def result_document(judged: DataFrame, method: str, page_size: int = 1000) -> Da
     judged = pin(laid_out(judged))
     frames = frame_documents(judged).withColumn("page", F.floor(F.col("position") / page_size))
     doc = F.struct("position", F.struct(*FRAME_DOC).alias("doc"))
-    pages = frames.groupBy("burst_id", "page").agg(
+    pages = frames.groupBy("burst_id", "page", SPANS).agg(
         F.transform(F.array_sort(F.collect_list(doc)), lambda x: x["doc"]).alias("frames")
     )
     header = burst_labels(burst_table(judged)).select("burst_id", "label", "time", F.col("faces").alias("_faces"), "keeper_id")
-    return pages.join(header, "burst_id").select(
+    return join_burst_table(pages, header).select(
         F.lit(method).alias("grouping"),
         burst_key(F.lit(method), F.col("burst_id")).alias("id"),
         "label",

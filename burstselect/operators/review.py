@@ -19,7 +19,7 @@ from burstselect.functions.columns import (
     sharpness_text,
     slug,
 )
-from burstselect.plans.ordered import chron, laid_out, rank_in_burst, ranked
+from burstselect.plans.ordered import SPANS, chron, join_burst_table, laid_out, rank_in_burst, ranked
 from burstselect.session import pin
 
 
@@ -112,20 +112,15 @@ def contact_cards(judged: DataFrame) -> DataFrame:
 
 def contact_sheet(judged: DataFrame, page_size: int = 1000) -> DataFrame:
     """Per burst its size, first time in display order and ordered cards; large bursts continue on further pages."""
-    cards = contact_cards(judged).withColumn("page", F.floor(F.col("place") / page_size))
+    cards = pin(contact_cards(judged)).withColumn("page", F.floor(F.col("place") / page_size))
     card = F.struct("place", "filename", "bin", "reason", "rank_in_burst", "sharpness", "eye_score", "face_count", "exposure_flag")
-    pages = cards.groupBy("burst_id", "page").agg(
-        F.array_sort(F.collect_list(card)).alias("cards"),
-        F.min_by("when_ts", F.when(F.col("when_ts").isNotNull(), F.col("place"))).alias("_when"),
-    )
+    pages = cards.groupBy("burst_id", "page", SPANS).agg(F.array_sort(F.collect_list(card)).alias("cards"))
     heads = cards.groupBy("burst_id").agg(
         F.count("*").alias("frames"),
         F.min_by("when_ts", F.when(F.col("when_ts").isNotNull(), F.col("place"))).alias("_first"),
     )
-    return (
-        pages.drop("_when")
-        .join(heads, "burst_id")
-        .select("burst_id", "page", "frames", F.coalesce(iso_time("_first"), F.lit("")).alias("when_iso"), "cards")
+    return join_burst_table(pages, heads).select(
+        "burst_id", "page", "frames", F.coalesce(iso_time("_first"), F.lit("")).alias("when_iso"), "cards"
     )
 
 

@@ -9,6 +9,17 @@ from pyspark.sql import functions as F
 from burstselect.functions.columns import annotate, eye_gate_fails
 from burstselect.params import SelectionParams
 from burstselect.plans.ordered import chron, laid_out, rank_in_burst, with_burst_stats
+# The bins, and the reasons that go with them.
+KEEPER, MAYBE, REJECTED = "keeper", "maybe", "rejected"
+SINGLE_BLINK = "single, eyes closed"
+SINGLE_UNSURE = "single, sharpness uncertain"
+SINGLE_GOOD = "single, passed checks"
+BLINK = "eyes closed"
+BEST_GROUP = "best eyes + sharpness"
+BEST = "sharpest in burst"
+SOFT = "much softer than burst peak"
+RUNNER_UP = "burst runner-up"
+
 
 def is_group_from_counts(with_faces: Column, one_face: Column, two_faces: Column) -> Column:
     """Whether the median face count of the frames with faces is at least 2, from plain counts.
@@ -53,20 +64,20 @@ def verdicts(grouped: DataFrame, params: SelectionParams = SelectionParams()) ->
     blink = (F.col("face_count") == 1) & eye_gate_fails("eye_score", params.open_gate)
     unsure = F.col("sharpness") < params.single_sharpness_floor
     soft = (F.col("peak") > 0) & (F.col("sharpness") < F.col("peak") * params.reject_sharpness_ratio)
-    best = F.when(F.col("is_group"), "best eyes + sharpness").otherwise("sharpest in burst")
+    best = F.when(F.col("is_group"), BEST_GROUP).otherwise(BEST)
     verdict = (
-        F.when(single & blink, _verdict("rejected", "single, eyes closed"))
-        .when(single & unsure, _verdict("maybe", "single, sharpness uncertain"))
-        .when(single, _verdict("keeper", "single, passed checks"))
-        .when(gated, _verdict("rejected", "eyes closed"))
-        .when(keeper, F.struct(F.lit("keeper").alias("bin"), best.alias("reason")))
-        .when(soft, _verdict("rejected", "much softer than burst peak"))
-        .otherwise(_verdict("maybe", "burst runner-up"))
+        F.when(single & blink, _verdict(REJECTED, SINGLE_BLINK))
+        .when(single & unsure, _verdict(MAYBE, SINGLE_UNSURE))
+        .when(single, _verdict(KEEPER, SINGLE_GOOD))
+        .when(gated, _verdict(REJECTED, BLINK))
+        .when(keeper, F.struct(F.lit(KEEPER).alias("bin"), best.alias("reason")))
+        .when(soft, _verdict(REJECTED, SOFT))
+        .otherwise(_verdict(MAYBE, RUNNER_UP))
     )
     return (
         df.withColumn("_v", verdict)
         .withColumn("bin", F.col("_v.bin"))
-        .withColumn("reason", annotate(F.col("_v.reason"), F.col("exposure_flag") & (F.col("_v.bin") != "rejected")))
+        .withColumn("reason", annotate(F.col("_v.reason"), F.col("exposure_flag") & (F.col("_v.bin") != REJECTED)))
         .withColumn("rank_in_burst", F.when(gated, F.lit(-1)).otherwise(F.col("_rank")).cast("int"))
         .drop("_v", "_rank")
     )

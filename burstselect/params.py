@@ -20,6 +20,8 @@ def _half_away(x: float) -> int:
 
 @dataclass(frozen=True)
 class SelectionParams:
+    """Thresholds of a selection run. The defaults are fixed values."""
+
     group_method: str = "time"
     gap_seconds: float = 2.0
     sim_max_distance: int = 10

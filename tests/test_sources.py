@@ -55,9 +55,10 @@ def test_manifest_parse_is_forgiving(spark):
 
 
 def test_manifest_diff_lists_everything(spark):
-    schema = "filename string, bin string, face_count int, burst_id bigint"
-    gold = spark.createDataFrame([("a", "keeper", 1, 0), ("b", "maybe", 0, 0), ("gone", "maybe", 0, 1)], schema)
-    cur = spark.createDataFrame([("a", "maybe", 1, 2), ("b", "maybe", 0, 0), ("new", "maybe", 0, 1)], schema)
+    schema = "filename string, bin string, face_count int, burst_id bigint, rel string, when_iso string"
+    rows = lambda *r: spark.createDataFrame([(*x, x[0], "") for x in r], schema)
+    gold = rows(("a", "keeper", 1, 0), ("b", "maybe", 0, 0), ("gone", "maybe", 0, 1))
+    cur = rows(("a", "keeper", 1, 0), ("a", "maybe", 1, 2), ("b", "maybe", 0, 0), ("new", "maybe", 0, 1))
     got = {tuple(r) for r in manifest_diff(cur, gold).collect()}
     assert got == {("a", "bin", "keeper", "maybe"), ("a", "burst_id", "0", "2"), ("gone", "filename", "gone", None), ("new", "filename", None, "new")}
 
