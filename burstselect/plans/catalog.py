@@ -44,24 +44,30 @@ def query(fn: Query) -> Query:
 # ---- shared inputs ---------------------------------------------------------------------------------------------
 
 
-def by_time(spark, sf) -> DataFrame:
-    return grouping.time_bursts(event_frames(spark, sf), QUERY_PARAMS)
+# Grouping writes its rows to the shared folder, so every query hands it only the columns it will use.
+VERDICT_COLUMNS = ("rel", "when_ts", "face_count", "eye_score", "sharpness", "exposure_flag")
+MANIFEST_COLUMNS = (*VERDICT_COLUMNS, "blown", "crushed")
+DOCUMENT_COLUMNS = (*MANIFEST_COLUMNS, "size_bytes")
 
 
-def by_similarity(spark, sf) -> DataFrame:
-    return grouping.similarity_bursts(hashed_frames(spark, sf), QUERY_PARAMS)
+def by_time(spark, sf, *columns) -> DataFrame:
+    return grouping.time_bursts(event_frames(spark, sf).select("rel", "when_ts", *columns), QUERY_PARAMS)
 
 
-def judged_by_time(spark, sf) -> DataFrame:
-    return verdicts.verdicts(by_time(spark, sf), QUERY_PARAMS)
+def by_similarity(spark, sf, *columns) -> DataFrame:
+    return grouping.similarity_bursts(hashed_frames(spark, sf).select("rel", "when_ts", "phash", *columns), QUERY_PARAMS)
 
 
-def judged_by_similarity(spark, sf) -> DataFrame:
-    return verdicts.verdicts(by_similarity(spark, sf), SIM_PARAMS)
+def judged_by_time(spark, sf, columns=VERDICT_COLUMNS) -> DataFrame:
+    return verdicts.verdicts(by_time(spark, sf, *columns[2:]), QUERY_PARAMS)
+
+
+def judged_by_similarity(spark, sf, columns=VERDICT_COLUMNS) -> DataFrame:
+    return verdicts.verdicts(by_similarity(spark, sf, *columns[2:]), SIM_PARAMS)
 
 
 def documents(spark, sf) -> DataFrame:
-    return results.frame_documents(judged_by_time(spark, sf))
+    return results.frame_documents(judged_by_time(spark, sf, DOCUMENT_COLUMNS))
 
 
 def favourites(spark, sf) -> DataFrame:
@@ -102,12 +108,12 @@ def burst_rank(spark, sf):
 
 @query
 def burst_peak(spark, sf):
-    return verdicts.burst_peak(by_time(spark, sf))
+    return verdicts.burst_peak(by_time(spark, sf, "sharpness"))
 
 
 @query
 def group_shots(spark, sf):
-    return verdicts.group_shots(by_time(spark, sf))
+    return verdicts.group_shots(by_time(spark, sf, "face_count"))
 
 
 @query
@@ -123,7 +129,7 @@ def bin_counts(spark, sf):
 
 @query
 def top_keepers(spark, sf):
-    return verdicts.top_keepers(by_time(spark, sf), 2, QUERY_PARAMS).select("rel", "burst_id", "sharpness")
+    return verdicts.top_keepers(by_time(spark, sf, *VERDICT_COLUMNS[2:]), 2, QUERY_PARAMS).select("rel", "burst_id", "sharpness")
 
 
 @query
@@ -307,13 +313,13 @@ def eye_open_fraction(spark, sf):
 
 @query
 def locked_region(spark, sf):
-    grouped = grouping.time_bursts(face_frames(spark, sf), QUERY_PARAMS)
+    grouped = grouping.time_bursts(face_frames(spark, sf).select("rel", "when_ts", "primary_box"), QUERY_PARAMS)
     return _flat_box(region.locked_region(grouped), "region")
 
 
 @query
 def subject_region_time(spark, sf):
-    grouped = grouping.time_bursts(face_frames(spark, sf), QUERY_PARAMS)
+    grouped = grouping.time_bursts(face_frames(spark, sf).select("rel", "when_ts", "primary_box"), QUERY_PARAMS)
     return _flat_box(region.subject_region(grouped, QUERY_PARAMS).select("rel", "region"), "region")
 
 
@@ -377,14 +383,14 @@ def _rgb_grid(spark, sf) -> DataFrame:
 
 @query
 def manifest_cells(spark, sf):
-    return manifest.manifest_cells(judged_by_time(spark, sf))
+    return manifest.manifest_cells(judged_by_time(spark, sf, MANIFEST_COLUMNS))
 
 
 @query
 def manifest_read(spark, sf):
     """Cells written as CSV into the shared folder and read back as typed rows."""
     path = scratch_path(spark, "manifest")
-    manifest.write_manifest(judged_by_time(spark, sf), path)
+    manifest.write_manifest(judged_by_time(spark, sf, MANIFEST_COLUMNS), path)
     return manifest.read_manifest(spark, path)
 
 
@@ -416,8 +422,9 @@ def manifest_parse(spark, sf):
 @query
 def manifest_diff(spark, sf):
     """Time manifest against similarity manifest; frames of two event kinds are each on one side only."""
-    a = manifest.manifest_rows(judged_by_time(spark, sf).where(F.col("event_type") != "signup"))
-    b = manifest.manifest_rows(judged_by_similarity(spark, sf).where(F.col("event_type") != "error"))
+    columns = (*MANIFEST_COLUMNS, "event_type")
+    a = manifest.manifest_rows(judged_by_time(spark, sf, columns).where(F.col("event_type") != "signup"))
+    b = manifest.manifest_rows(judged_by_similarity(spark, sf, columns).where(F.col("event_type") != "error"))
     d = diff.manifest_diff(a, b)
     return d.withColumns({n: F.coalesce(n, F.lit("")) for n in ("expected", "actual")})
 
@@ -472,7 +479,7 @@ def cache_stats(spark, sf):
 @query
 def sharpness_work(spark, sf):
     """Uncached frames with the region of their burst, the boxes of cached frames included."""
-    grouped = grouping.time_bursts(face_frames(spark, sf), QUERY_PARAMS)
+    grouped = grouping.time_bursts(face_frames(spark, sf).select("rel", "when_ts", "primary_box"), QUERY_PARAMS)
     fresh = cache.needs_measure(event_frames(spark, sf), _time_cache(spark, sf)).select("rel", F.lit(False).alias("cached"))
     regioned = region.with_locked_region(grouped).join(fresh, "rel", "left").withColumn("cached", F.coalesce("cached", F.lit(True)))
     return _flat_box(cache.sharpness_work(regioned), "region")
@@ -489,7 +496,7 @@ def frame_documents(spark, sf):
 @query
 def result_document(spark, sf):
     """Nested documents, flattened again for the comparison."""
-    return results.flatten_documents(results.result_document(judged_by_similarity(spark, sf), "similarity"))
+    return results.flatten_documents(results.result_document(judged_by_similarity(spark, sf, DOCUMENT_COLUMNS), "similarity"))
 
 
 @query
@@ -506,7 +513,7 @@ def burst_labels(spark, sf):
 
 @query
 def burst_has_faces(spark, sf):
-    return by_time(spark, sf).groupBy("burst_id").agg(F.bool_or(F.col("face_count") > 0).alias("faces"))
+    return by_time(spark, sf, "face_count").groupBy("burst_id").agg(F.bool_or(F.col("face_count") > 0).alias("faces"))
 
 
 @query
@@ -560,7 +567,7 @@ def staging_counts(spark, sf):
 
 
 def _colliding_manifest(spark, sf) -> DataFrame:
-    rows = manifest.manifest_rows(judged_by_time(spark, sf))
+    rows = manifest.manifest_rows(judged_by_time(spark, sf, MANIFEST_COLUMNS))
     return rows.withColumn("filename", F.concat(F.lit("IMG_"), F.substring("filename", 12, 1), F.lit(".JPG")))
 
 
@@ -589,7 +596,7 @@ def burst_step(spark, sf):
 
 @query
 def keeper_lookup(spark, sf):
-    judged = pin(judged_by_time(spark, sf))
+    judged = pin(judged_by_time(spark, sf, DOCUMENT_COLUMNS))
     found = review.keeper_lookup(results.burst_table(judged), results.frame_documents(judged))
     return found.select("burst_id", "filename", "mark", "sharpness")
 

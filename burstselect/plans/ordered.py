@@ -16,6 +16,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from burstselect.session import pin
@@ -23,6 +24,9 @@ from burstselect.session import pin
 CHUNK = "_chunk"
 SPANS = "_spans"
 
+# Rows of one burst that one task may sort. Larger bursts are range-sorted over many tasks.
+HOT_ROWS = 1_000_000
+
 
 def chron() -> list[Column]:
     """Capture order: dated rows first, by time, then by path. Paths are unique, so this is a total order."""
@@ -34,6 +38,11 @@ def _into_chunks(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     return df.repartitionByRange(*order).withColumn(CHUNK, F.spark_partition_id())
 
 
+def _place(in_order: WindowSpec) -> dict[str, Column]:
+    """The row's number in its chunk, and whether it is the last."""
+    return dict(_row=F.row_number().over(in_order), _end=F.lead(F.lit(True)).over(in_order).isNull())
+
+
 def _edge_rows(rows: DataFrame, keys: Sequence[str]) -> GroupedData:
     """First and last row of every chunk, grouped by chunk."""
     ends = rows.where((F.col("_row") == 1) | F.col("_end"))
@@ -56,11 +65,9 @@ def number_islands(
     so_far = in_order.rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = (
         _into_chunks(df, order)
-        .withColumn("_row", F.row_number().over(in_order))
-        .withColumn("_prev", F.lag(F.struct(*keys)).over(in_order))
+        .withColumns(dict(_place(in_order), _prev=F.lag(F.struct(*keys)).over(in_order)))
         .withColumn("_brk", F.when(F.col("_prev").isNull(), 0).otherwise(is_break(F.col("_prev"), F.struct(*keys)).cast("int")))
         .withColumn("_isle", F.sum("_brk").over(so_far))
-        .withColumn("_end", F.lead("_row").over(in_order).isNull())
         .drop("_prev", "_brk")
     )
     rows = pin(rows)
@@ -115,8 +122,7 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: s
     full = [*[F.col(k).asc() for k in keys], *order]
     rows = (
         _into_chunks(src, full)
-        .withColumn("_row", F.row_number().over(W.partitionBy(CHUNK).orderBy(*full)))
-        .withColumn("_end", F.lead("_row").over(W.partitionBy(CHUNK).orderBy(*full)).isNull())
+        .withColumns(_place(W.partitionBy(CHUNK).orderBy(*full)))
         .withColumn("_nth", F.row_number().over(W.partitionBy(CHUNK, *keys).orderBy(*order)))
     )
     rows = pin(rows)
@@ -145,15 +151,30 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: s
 def rank_in_burst(df: DataFrame, extra: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
     """0-based position within (burst, *extra) of a laid-out table.
 
-    A burst inside one chunk is ranked there. Only bursts that reach over a chunk edge, hot ones among them, take the
-    second range sort of :func:`ranked`.
+    A burst inside one chunk is ranked there, a split one of limited size by itself. Only hot bursts take the second
+    range sort of :func:`ranked`.
     """
-    inside = W.partitionBy(CHUNK, "burst_id", *extra).orderBy(*order)
+    position = lambda *by: (F.row_number().over(W.partitionBy(*by, "burst_id", *extra).orderBy(*order)) - 1).cast("bigint")
     whole, split = parts(df)
-    whole = whole.withColumn(name, (F.row_number().over(inside) - 1).cast("bigint"))
-    # The chunk of a split burst's rows stays that of the original layout.
-    split = ranked(split.withColumnRenamed(CHUNK, "_home"), ["burst_id", *extra], order, name)
-    return whole.unionByName(split.withColumnRenamed("_home", CHUNK).withColumn(SPANS, F.lit(True)))
+    cool, hot = by_heat(split)
+    out = whole.withColumn(name, position(CHUNK)).unionByName(cool.withColumn(name, position()))
+    if hot is not None:
+        # The chunk of these rows stays that of the original layout.
+        far = ranked(hot.withColumnRenamed(CHUNK, "_home"), ["burst_id", *extra], order, name)
+        out = out.unionByName(far.withColumnRenamed("_home", CHUNK).withColumn(SPANS, F.lit(True)))
+    return out
+
+
+def by_heat(split: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Split bursts as (those of at most HOT_ROWS rows, the larger ones or None).
+
+    The sizes come from one small aggregation; at most one burst per chunk edge can be listed.
+    """
+    sizes = split.groupBy("burst_id").agg(F.count("*").alias("n"))
+    ids = [r.burst_id for r in sizes.where(F.col("n") > HOT_ROWS).collect()]
+    if not ids:
+        return split, None
+    return split.where(~F.col("burst_id").isin(ids)), split.where(F.col("burst_id").isin(ids))
 
 
 def with_burst_stats(df: DataFrame, **aggregates: Column) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from burstselect.operators.grouping import similarity_bursts, time_bursts
 from burstselect.operators.verdicts import verdicts
 from burstselect.params import SelectionParams
+from burstselect.plans import ordered
 from burstselect.plans.ordered import SPANS, chron, lay_out, ranked
 
 
@@ -59,7 +60,8 @@ def test_similarity_bursts_equal_a_walk(frames, seed):
 
 
 @pytest.mark.parametrize("partitions", [1, 3, 16])
-def test_result_does_not_depend_on_the_number_of_chunks(spark, frames, partitions):
+def test_result_does_not_depend_on_the_number_of_chunks(spark, frames, monkeypatch, partitions):
+    monkeypatch.setattr(ordered, "HOT_ROWS", 3)
     rows = random_frames(5, step=30.0)
     pick = ("rel", "burst_id", "bin", "reason", "rank_in_burst")
     want = sorted(map(tuple, verdicts(time_bursts(frames(rows))).select(*pick).collect()))
@@ -85,7 +87,9 @@ def test_ranked_equals_row_number(spark):
     assert sorted(x.r for x in everything.collect()) == list(range(400))
 
 
-def test_hot_burst_is_split_over_chunks(frames):
+@pytest.mark.parametrize("limit", [10, 10**6])
+def test_hot_burst_is_split_over_chunks(frames, monkeypatch, limit):
+    monkeypatch.setattr(ordered, "HOT_ROWS", limit)
     rows = [frame(f"{i:04d}.jpg", i * 0.01, sharp=i % 37 + 1) for i in range(300)] + [frame("z.jpg", 900.0, sharp=5)]
     grouped = time_bursts(frames(rows))
     assert grouped.where(SPANS).select("_chunk").distinct().count() == 4
@@ -107,8 +111,9 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_no_single_task_over_frames(frames):
+def test_no_single_task_over_frames(frames, monkeypatch):
     """Only tables of one row per chunk may be gathered in one partition."""
+    monkeypatch.setattr(ordered, "HOT_ROWS", 3)
     plan = plan_of(verdicts(time_bursts(frames(random_frames(9)))))
     lines = plan.split("\n")
     for i, line in enumerate(lines):

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 
+import pytest
 from conftest import T0, frame
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from burstselect.functions.columns import box
 from burstselect.operators import cache, faces, grouping, region, verdicts
 from burstselect.operators.diff import manifest_diff
 from burstselect.params import SelectionParams
+from burstselect.plans import ordered
 from burstselect.sources import manifest, photos, progress
 
 
@@ -106,8 +108,10 @@ def test_partly_cached_burst(spark, frames):
     assert cache.sharpness_work(region.with_locked_region(grouping.time_bursts(src)), recompute_bursts=True).count() == 3
 
 
-def test_locked_region_of_a_hot_burst(spark, frames):
+@pytest.mark.parametrize("limit", [10, 10**6])
+def test_locked_region_of_a_hot_burst(spark, frames, monkeypatch, limit):
     """The median of a burst over several chunks equals the plain one."""
+    monkeypatch.setattr(ordered, "HOT_ROWS", limit)
     rows = [frame(f"{i:03d}.jpg", i * 0.01) for i in range(200)]
     src = frames(rows).withColumn("n", F.substring("rel", 1, 3).cast("int"))
     src = src.withColumn("primary_box", F.when(F.col("n") % 3 != 0, box((F.col("n") * 7 % 101) / 200.0, F.col("n") / 500.0, F.lit(0.2), F.lit(0.1))))
