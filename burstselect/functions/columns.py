@@ -28,6 +28,13 @@ def seconds_between(earlier: Column, later: Column) -> Column:
     return (later - earlier).cast("interval second").cast("decimal(20,6)").cast("double")
 
 
+def as_instant(when) -> Column:
+    """A naive time as a timestamp, read as UTC whatever the session's zone (which may skip or repeat an hour)."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    seconds = (_c(when) - epoch).cast("interval second").cast("decimal(20,6)")
+    return F.timestamp_micros((seconds * 1000000).cast("bigint"))
+
+
 def hamming(a: Column, b: Column) -> Column:
     """Number of differing bits of two hashes held in signed 64-bit integers."""
     return F.bit_count(a.bitwiseXOR(b))

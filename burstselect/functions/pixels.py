@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -167,6 +167,39 @@ def measure_sharpness(images: DataFrame, key: str = "rel") -> DataFrame:
     return images.select(*cols, *part).mapInPandas(run, f"{key} {key_type}, sharpness double")
 
 
+def measure_files(
+    frames: DataFrame, load: Callable[[str], np.ndarray | None], params: SelectionParams = SelectionParams()
+) -> DataFrame:
+    """Every pixel measurement of each file of (rel, path[, region]) in one pass.
+
+    Only paths and regions travel between tasks; the task that measures a photo opens it, and no pixel is ever shuffled.
+    ``load`` turns a path every executor can open into the upright full-size gray image, or None if it cannot be read.
+    """
+    big = params.phash_size > 8
+    regioned = "region" in frames.columns
+    part = [F.col(f"region.{a}").alias(f"r{a}") for a in "xywh"] if regioned else []
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for row in pdf.itertuples(index=False):
+                img = load(row.path)
+                if img is None:
+                    words = [0] * (1 + (params.phash_size**2 - 1) // 64)
+                    rows.append((row.rel, False, False, 0.0, 0.0, words if big else 0, 0.0))
+                    continue
+                flag, blown, crushed = exposure_fractions(img, params)
+                words = hash_words(dhash_bits(img, params.phash_size))
+                box = (row.rx, row.ry, row.rw, row.rh) if regioned and not pd.isna(row.rx) else None
+                rows.append((row.rel, True, bool(flag), blown, crushed, words if big else words[0], laplacian_variance(img, box)))
+            names = ["rel", "decode_ok", "exposure_flag", "blown", "crushed", "phash", "sharpness"]
+            yield pd.DataFrame(rows, columns=names)
+
+    hash_type = "array<bigint>" if big else "bigint"
+    schema = f"rel string, decode_ok boolean, exposure_flag boolean, blown double, crushed double, phash {hash_type}, sharpness double"
+    return frames.select("rel", "path", *part).mapInPandas(run, schema)
+
+
 def tone_histogram(images: DataFrame, key: str = "rel", sample: int = 160) -> DataFrame:
     """Rows (key, channel, bin, n) of each image of (key, height, width, rgb); empty bins are left out."""
     key_type = images.schema[key].dataType.simpleString()

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from burstselect.functions.columns import as_instant
 from burstselect.operators.cache import cache_append, cache_load, needs_measure
 from burstselect.params import SelectionParams
 from burstselect.session import scratch_path
@@ -73,13 +74,13 @@ def live_time_bursts(frames: DataFrame, params: SelectionParams, source: str, de
     spark = frames.sparkSession
     # Merge the sessions of a task before the shuffle, so a busy source sends bursts and not frames.
     spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
-    dated = frames.where(F.col("when_ts").isNotNull()).withColumn("event_time", F.col("when_ts").cast("timestamp"))
+    dated = frames.where(F.col("when_ts").isNotNull()).withColumn("event_time", as_instant("when_ts"))
     return _sessions(dated.withWatermark("event_time", delay), params, source)
 
 
 def batch_time_bursts(frames: DataFrame, params: SelectionParams, source: str) -> DataFrame:
     """The same bursts from a finished table."""
-    dated = frames.where(F.col("when_ts").isNotNull()).withColumn("event_time", F.col("when_ts").cast("timestamp"))
+    dated = frames.where(F.col("when_ts").isNotNull()).withColumn("event_time", as_instant("when_ts"))
     return _sessions(dated, params, source)
 
 
