@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burstselect.frames import (
@@ -74,6 +74,11 @@ def favourites(spark, sf) -> DataFrame:
     return event_frames(spark, sf).where(F.col("event_type") == "purchase").select(c.frame_id("rel").alias("id"))
 
 
+def _or_minus_one(n: Column) -> Column:
+    """A whole number for the comparison, -1 for none."""
+    return F.coalesce(n, F.lit(-1))
+
+
 def _flat_box(df: DataFrame, name: str, digits: int = 9) -> DataFrame:
     return df.select("*", *[F.round(F.col(f"{name}.{a}"), digits).alias(f"box_{a}") for a in "xywh"]).drop(name)
 
@@ -169,7 +174,7 @@ def exposure_label(spark, sf):
 
 @query
 def eyes_percent(spark, sf):
-    return event_frames(spark, sf).select("rel", c.eyes_percent("eye_score").alias("eyes"))
+    return event_frames(spark, sf).select("rel", _or_minus_one(c.eyes_percent("eye_score")).alias("eyes"))
 
 
 @query
@@ -490,13 +495,15 @@ def sharpness_work(spark, sf):
 
 @query
 def frame_documents(spark, sf):
-    return documents(spark, sf).select("burst_id", "position", *results.FRAME_DOC)
+    docs = documents(spark, sf).withColumn("eyes", _or_minus_one(F.col("eyes")))
+    return docs.select("burst_id", "position", *results.FRAME_DOC)
 
 
 @query
 def result_document(spark, sf):
     """Nested documents, flattened again for the comparison."""
-    return results.flatten_documents(results.result_document(judged_by_similarity(spark, sf, DOCUMENT_COLUMNS), "similarity"))
+    docs = results.result_document(judged_by_similarity(spark, sf, DOCUMENT_COLUMNS), "similarity")
+    return results.flatten_documents(docs).withColumn("eyes", _or_minus_one(F.col("eyes")))
 
 
 @query
@@ -674,7 +681,7 @@ def source_stats(spark, sf):
 @query
 def route_events(spark, sf):
     routed = progress.route_events(protocol_lines(table(spark, sf, "events")))
-    return routed.select("event_id", "kind", F.when(F.col("kind") == "progress", F.col("progress.done")).alias("done"))
+    return routed.select("event_id", "kind", _or_minus_one(F.when(F.col("kind") == "progress", F.col("progress.done"))).alias("done"))
 
 
 # ---- streaming -------------------------------------------------------------------------------------------------
@@ -685,7 +692,8 @@ def progress_stream(spark, sf):
     out = scratch_path(spark, "progress")
     state = live.progress_state(protocol_lines(event_stream(spark, sf)))
     live.run_available(state, "complete", live.replace_at(out))
-    return live.read_batches(spark, out, newest_only=True).select("run", "done", "total", "current_frame_name", "phase", "events")
+    state = live.read_batches(spark, out, newest_only=True).withColumn("phase", F.coalesce("phase", F.lit("")))
+    return state.select("run", "done", "total", "current_frame_name", "phase", "events")
 
 
 LIVE_PARAMS = QUERY_PARAMS.with_(gap_seconds=6 * 3600.0)

@@ -80,7 +80,7 @@ _BEST = f"bin <> 'keeper', sharpness desc, {_CHRON}"
 _DOCS = f""",
 d as (select burst_id, row_number() over (partition by burst_id order by {_BEST}) - 1 as position, {_ID} as id, {_FILE} as filename,
     case when pk <= 0 then 0 else greatest(0, least(99, round_even(99.0::double * sharpness / pk, 0)::int)) end as sharpness,
-    round_even(eye_score * 100, 0)::int as eyes, face_count as faces, {_EXPOSURE} as exposure, bin as mark, reason, size_bytes,
+    coalesce(round_even(eye_score * 100, 0)::int, -1) as eyes, face_count as faces, {_EXPOSURE} as exposure, bin as mark, reason, size_bytes,
     rel as rel_path
   from (select v.*, (select max(sharpness) from v) as pk from v))"""
 
@@ -179,7 +179,7 @@ oracle(
 )
 oracle("result_peak", _FRAMES, "select max(sharpness) as peak from fr")
 oracle("exposure_label", _FRAMES, f"select rel, {_EXPOSURE} as exposure from fr")
-oracle("eyes_percent", _FRAMES, "select rel, round_even(eye_score * 100, 0)::int as eyes from fr")
+oracle("eyes_percent", _FRAMES, "select rel, coalesce(round_even(eye_score * 100, 0)::int, -1) as eyes from fr")
 oracle(
     "timecode",
     _FRAMES,
@@ -202,7 +202,7 @@ oracle(
     "display_columns",
     _JT + _DOCS,
     """select id, case mark when 'keeper' then 'Best' when 'maybe' then 'Maybe' else 'Rejected' end as label,
-  lpad(sharpness::varchar, 2, '0') as sharpness_text, coalesce(eyes || '%', '—') as eyes_text,
+  lpad(sharpness::varchar, 2, '0') as sharpness_text, case when eyes < 0 then '—' else eyes || '%' end as eyes_text,
   case exposure when 'blown' then 'Highlights clipped' when 'crushed' then 'Shadows crushed' else '' end as warning,
   case when sharpness >= 70 then 'green' when sharpness >= 48 then 'amber' else 'red' end as band,
   sharpness / 100::double as fill from d""",
@@ -534,7 +534,7 @@ ev as (select *, cast(json_extract_string(props, '$.k') as int) as k from events
 ro as (select event_id, user_id, event_type, k, case when event_type in ('view', 'click') then 'progress'
     when event_type = 'purchase' then case when k < 90 then 'result' else 'error' end
     when event_type = 'signup' then 'skipped' when k < 50 then 'error' else 'skipped' end as kind from ev)"""
-oracle("route_events", _ROUTED, "select event_id, kind, case when kind = 'progress' then event_id end as done from ro")
+oracle("route_events", _ROUTED, "select event_id, kind, case when kind = 'progress' then event_id else -1 end as done from ro")
 
 # ---- streaming -------------------------------------------------------------------------------------------------
 
@@ -542,7 +542,7 @@ oracle(
     "progress_stream",
     _ROUTED,
     """select user_id as run, max(event_id) as done, 1000000::bigint as total, 'DSC_' || max(event_id) || '.JPG' as current_frame_name,
-  nullif(arg_max(case when event_type = 'view' then 'scoring' else '' end, event_id), '') as phase, count(*) as events
+  arg_max(case when event_type = 'view' then 'scoring' else '' end, event_id) as phase, count(*) as events
 from ro where kind = 'progress' group by user_id""",
 )
 _LIVE = _FRAMES + """,

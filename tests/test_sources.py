@@ -139,6 +139,21 @@ def test_faces(spark):
     assert {r.rel: r.face_count for r in faces.with_faces(frames_, d).collect()} == {"p": 2, "tiny": 0}
 
 
+def test_subject_modes(spark, frames):
+    b = spark.createDataFrame([("a.jpg", 0.1, 0.2, 0.3, 0.4)], "rel string, x double, y double, w double, h double")
+    src = frames([frame("a.jpg", 0), frame("b.jpg", 1)]).join(b.select("rel", box("x", "y", "w", "h").alias("primary_box")), "rel", "left")
+
+    def regions(df, **params):
+        out = region.subject_region(df, SelectionParams(**params)).collect()
+        return [r.region and tuple(r.region) for r in sorted(out, key=lambda r: r.rel)]
+
+    center, own = (0.25, 0.25, 0.5, 0.5), (0.1, 0.2, 0.3, 0.4)
+    assert regions(src, subject_mode="whole") == [None, None]
+    assert regions(src, subject_mode="center") == [center, center]
+    assert regions(src, group_method="similarity", subject_mode="face") == [own, center]
+    assert regions(grouping.time_bursts(src)) == [own, own]  # one region for the whole burst
+
+
 LINES = [
     '{"done": 0, "total": 5, "current_frame_name": "", "current_burst_label": "", "phase": "loading"}',
     '{"done": 3, "total": 5, "current_frame_name": "a.jpg", "current_burst_label": "x", "extra": 1}',
