@@ -63,12 +63,11 @@ def unique_names(items: DataFrame, existing: DataFrame) -> DataFrame:
     named = items.withColumns(dict(zip(["stem", "ext"], _name_parts(F.col("filename")))))
     named = pin(named.select("pos", "stem", "ext", _depth(F.col("stem")).alias("depth")))
     disk = existing.select(F.col("name").alias("filename")).distinct()
-    disk = pin(disk.select(*_name_parts(F.col("filename"))).withColumn("depth", _depth(F.col("stem"))))
+    disk = disk.select(*_name_parts(F.col("filename"))).withColumn("depth", _depth(F.col("stem")))
 
     # When each name is first blocked for others: from the start if on disk, else from its first item on.
     seen = named.groupBy("stem", "ext", "depth").agg(F.min("pos").alias("p"))
     blocked = disk.withColumn("p", F.lit(-1).cast("bigint")).unionByName(seen).groupBy("stem", "ext", "depth").agg(F.min("p").alias("p"))
-    blocked = pin(blocked)
 
     results, handed_out = None, None
     for depth in range((named.agg(F.max("depth")).first()[0] or 0) + 1):
@@ -81,7 +80,7 @@ def unique_names(items: DataFrame, existing: DataFrame) -> DataFrame:
         taken = taken.join(rows.select("stem", "ext").distinct(), ["stem", "ext"], "left_semi")
         # A marker row ahead of the items of a taken name makes all of them duplicates.
         lined_up = rows.unionByName(taken.withColumn("pos", F.lit(-1).cast("bigint")))
-        lined_up = pin(ranked(lined_up, ["stem", "ext"], [F.col("pos")], "m").where(F.col("pos") >= 0))
+        lined_up = ranked(lined_up, ["stem", "ext"], [F.col("pos")], "m").where(F.col("pos") >= 0)
         own = lined_up.where(F.col("m") == 0).select("pos", _assemble(F.col("stem")).alias("exported_as"))
         again = lined_up.where(F.col("m") > 0)
 
@@ -89,7 +88,7 @@ def unique_names(items: DataFrame, existing: DataFrame) -> DataFrame:
             F.regexp_extract("stem", _NUMBERED, 1).alias("stem"), "ext", F.regexp_extract("stem", _NUMBERED, 2).cast("bigint").alias("n"), "p"
         )
         children = children.join(again.select("stem", "ext").distinct(), ["stem", "ext"], "left_semi")
-        numbered = pin(_number_duplicates(again, pin(children)))
+        numbered = _number_duplicates(again, children)
         fresh = F.concat(F.col("stem"), F.lit("-"), F.col("n").cast("string"))
         named_again = numbered.select("pos", _assemble(fresh).alias("exported_as"))
         level = own.unionByName(named_again)
@@ -138,7 +137,6 @@ def export_outcomes(items: DataFrame, sources: DataFrame | None, existing: DataF
     """
     if sources is None:
         return items.withColumn("outcome", F.lit("skipped")).withColumn("exported_as", F.lit("")).withColumn("message", F.lit(""))
-    items = pin(items)
     there = items.join(sources.select("rel_path").distinct(), "rel_path", "left_semi")
     message = F.lit(None).cast("string")
     failed = there.where(F.lit(False)).select("rel_path", message.alias("message")) if failures is None else failures.select("rel_path", "message")
