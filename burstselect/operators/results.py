@@ -46,6 +46,7 @@ def burst_labels(bursts: DataFrame) -> DataFrame:
     There are at most 86,401 distinct times, so their counts are broadcast; many bursts may share one of them (all
     undated ones do), so the numbering goes through the chunked ranking.
     """
+    bursts = pin(bursts)
     shared = bursts.groupBy("time").agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select("time")
     alone = bursts.join(F.broadcast(shared), "time", "left_anti").withColumn("label", F.col("time"))
     together = ranked(bursts.join(F.broadcast(shared), "time", "left_semi"), ["time"], [F.col("burst_id")], "_no")

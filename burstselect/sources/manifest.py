@@ -84,15 +84,16 @@ def parse_manifest(cells: DataFrame) -> DataFrame:
     return raw.select(*[typed[f].alias(f) for f in MANIFEST_FIELDS])
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return parse_manifest(spark.read.schema(TEXT_SCHEMA).csv(path, header=True, quote='"', escape='"'))
+def read_manifest(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
+    """Typed rows of a manifest. ``line_breaks`` allows them inside cells, but then a file is read by one task."""
+    return parse_manifest(spark.read.schema(TEXT_SCHEMA).csv(path, header=True, quote='"', escape='"', multiLine=line_breaks))
 
 
 def judged_from_manifest(manifest: DataFrame) -> DataFrame:
     """A typed manifest as input for grouping, verdicts and review; an unreadable time is undated."""
     return manifest.withColumns(
         dict(
-            when_ts=F.try_to_timestamp(F.nullif(F.col("when_iso"), F.lit(""))).cast("timestamp_ntz"),
+            when_ts=F.nullif(F.col("when_iso"), F.lit("")).try_cast("timestamp_ntz"),
             blown=F.col("blown_frac"),
             crushed=F.col("crushed_frac"),
         )

@@ -50,6 +50,25 @@ def test_manifest_round_trip(spark, frames, tmp_path):
     assert manifest_diff(manifest.read_manifest(spark, path), manifest.manifest_rows(judged(frames))).isEmpty()
 
 
+def test_manifest_times_ignore_the_session_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    times = ["2026-03-29T02:30:00.250000", "2026-03-29T03:30:00", "", "soon"]
+    rows = spark.createDataFrame([(t, 0.0, 0.0) for t in times], "when_iso string, blown_frac double, crushed_frac double")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+        got = [r.t for r in manifest.judged_from_manifest(rows).select(F.col("when_ts").cast("string").alias("t")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == ["2026-03-29 02:30:00.25", "2026-03-29 03:30:00", None, None]
+
+
+def test_manifest_keeps_line_breaks(spark, frames, tmp_path):
+    path = str(tmp_path / "m")
+    odd = 'two\nlines, "x".jpg'
+    manifest.write_manifest(verdicts.verdicts(grouping.time_bursts(frames([frame(odd, 1, sharp=60)]))), path)
+    assert manifest.read_manifest(spark, path, line_breaks=True).first().rel == odd
+
+
 def test_manifest_parse_is_forgiving(spark):
     cells = spark.createDataFrame([("d/a.jpg", "", "x", " 3 ", "oops", "True", "keeper")], "rel string, filename string, burst_id string, rank_in_burst string, sharpness string, exposure_flag string, bin string")
     r = manifest.parse_manifest(cells).first()
