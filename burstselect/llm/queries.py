@@ -5,10 +5,11 @@ The operators have results of their own; the queries derive the columns that are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burstselect.llm.common import text_or_empty
+from burstselect.llm import ann, bpe, langid, packing, pii, toxicity
+from burstselect.llm.common import hash_split, text_or_empty
 from burstselect.llm.exact_dedup import exact_groups
 from burstselect.llm.simhash_dedup import near_groups
 
@@ -17,9 +18,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Where a public vocabulary lies; the operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def sha256(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return exact_groups(docs, carry={"text_sha256": F.sha2(text_or_empty().cast("binary"), 256)})
+    return exact_groups(table(spark, sf_dir, "documents"), carry={"text_sha256": sha256(text_or_empty())})
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,9 +43,53 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("word_bpe_49k.json")
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        sha256(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
+        sha256(F.col("decoded")).alias("decoded_sha256"),
+    )
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = hash_split("doc_id", 4) == 2
+    model = langid.sample(docs, "lang", "text", ~held_out)
+    return langid.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+
+
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), 20)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = hash_split("doc_id", 5) == 0
+    model = toxicity.fit(docs, labels, ~held_out)
+    scores = toxicity.scored(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return scores.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op10_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_private(table(spark, sf_dir, "documents"))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, sha256(listed("base")).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 QUERIES = {
+    "op1_packing": op1_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op5_bpe": op5_bpe,
+    "op6_language_id": op6_language_id,
+    "op8_nearest": op8_nearest,
+    "op9_toxicity": op9_toxicity,
+    "op10_private": op10_private,
 }
 
 ORACLES = {
@@ -37,4 +97,14 @@ ORACLES = {
         select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
                doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
         from documents window same as (partition by coalesce(text, ''))""",
+    "op8_nearest": """
+        with v as (
+          select vec_id, cast(embedding as double[]) as e from embeddings
+          where len(embedding) > 0 and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))
+                and list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+        pairs as (
+          select q.vec_id as query_id, c.vec_id as vec_id, list_inner_product(q.e, c.e) as score
+          from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 20 = 0)
+        select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+        from pairs qualify rank <= 20""",
 }
