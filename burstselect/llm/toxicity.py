@@ -89,8 +89,8 @@ def fit_weights(
         for term, other in swaps(set(words) & index.keys(), groups):
             change = np.zeros(len(vocabulary), np.float32)
             for sign, word in ((-1, term), (1, other)):
-                for x in with_stems({word} - {None}) & index.keys():
-                    change[index[x]] += sign
+                for part in with_stems({word} - {None}) & index.keys():
+                    change[index[part]] += sign
             changes.append(change)
     # Swaps repeat; the penalty needs only the sum of their outer products.
     c = np.array(changes, np.float32).reshape(-1, len(vocabulary))
