@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from burstselect.session import pin
 
-__all__ = ["arrow_map", "bytes_of", "clear_of", "hash_split", "pin", "slices", "text_or_empty", "without"]
+__all__ = ["arrow_map", "bit_counts", "bytes_of", "chained", "clear_of", "hash_split", "packed_key", "pin", "slices", "text_or_empty", "without"]
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -83,3 +85,46 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text: str
 def row_mark(text: str = "text") -> Column:
     """Tells rows apart that share an id; null and empty text are alike."""
     return F.xxhash64(text_or_empty(text), F.length(text_or_empty(text)))
+
+
+def bit_counts(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(groups, 64): how many of each group's 64-bit hashes have each bit; ``starts``: where the groups begin, none of them empty.
+
+    Eight bits of a hash are counted at once, one in each byte of a 64-bit sum, over at most 255 hashes.
+    """
+    ends = np.append(starts[1:], len(hashes))
+    parts = [np.arange(a, b, 255) for a, b in zip(starts, ends, strict=True)] if (ends - starts).max(initial=0) > 255 else None
+    cuts = np.concatenate(parts) if parts else starts
+    counts = np.empty((len(cuts), 64), np.int64)
+    lane = np.uint64(0x0101010101010101)
+    for j in range(8):
+        sums = np.add.reduceat((hashes >> np.uint64(j)) & lane, cuts)
+        counts[:, j::8] = sums.view(np.uint8).reshape(-1, 8)
+    if parts:
+        return np.add.reduceat(counts, np.cumsum([0, *(len(p) for p in parts[:-1])]), axis=0)
+    return counts
+
+
+#: Bits of a packed key that order the nodes under it.
+ORDER_BITS = 35
+
+
+def chained(placed: DataFrame, packed: str, node: str) -> DataFrame:
+    """Different pairs (a, b) of nodes that stand next to each other under a key.
+
+    ``packed`` is a positive long: the key, and in its lowest ORDER_BITS bits the order of nodes under the key, alike for like nodes. A
+    key's nodes are chained in 64 shares, and the shares' first ones are chained in turn, so that a key which very many nodes have
+    is spread over tasks and makes no more pairs than it has nodes.
+    """
+    key = F.shiftright(F.col("at"), ORDER_BITS).alias("key")
+    rows = placed.select(F.col(packed).alias("at"), F.col(node).alias("node"))
+    rows = rows.select(key, "at", "node", F.pmod(F.xxhash64("node"), F.lit(64)).alias("share"))
+    rows = rows.withColumn("before", F.lag("node").over(W.partitionBy("key", "share").orderBy("at", "node")))
+    heads = rows.where("before is null").withColumn("before", F.lag("node").over(W.partitionBy("key").orderBy("at", "node")))
+    pairs = rows.select("before", "node").unionByName(heads.select("before", "node")).where("before is not null and before <> node")
+    return pairs.select(F.least("before", "node").alias("a"), F.greatest("before", "node").alias("b")).distinct()
+
+
+def packed_key(slot: str, bits: str, width: int, order: str) -> Column:
+    """A key for `chained` from a slot and ``width`` bits, ordered by the highest bits of a fingerprint word."""
+    return F.expr(f"shiftleft(shiftleft(cast({slot} as bigint), {width}) | ({bits}), {ORDER_BITS}) | shiftrightunsigned({order}, {64 - ORDER_BITS})")

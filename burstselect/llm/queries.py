@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burstselect.llm import ann, bpe, langid, packing, pii, toxicity
+from burstselect.llm import ann, bpe, langid, line_dedup, packing, pii, toxicity
 from burstselect.llm.common import hash_split, text_or_empty
 from burstselect.llm.exact_dedup import exact_groups
 from burstselect.llm.simhash_dedup import near_groups
@@ -34,6 +34,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: how many lines it has, and which of them go (numbers from 0, comma-joined)."""
+    rows = line_dedup.duplicate_lines(table(spark, sf_dir, "documents"))
+    return rows.withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), carry={"text_sha256": sha256(text_or_empty())})
 
@@ -83,6 +89,7 @@ def op10_private(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_line_dedup": op2_line_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_bpe": op5_bpe,
