@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burstselect.llm import ann, bpe, langid, line_dedup, packing, pii, toxicity
+from burstselect.llm import ann, bpe, langid, line_dedup, packing, pii, suffix_dedup, toxicity
 from burstselect.llm.common import hash_split, text_or_empty
 from burstselect.llm.exact_dedup import exact_groups
 from burstselect.llm.simhash_dedup import near_groups
@@ -67,6 +67,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), digest_only=True)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
+
+
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), 20)
 
@@ -94,6 +99,7 @@ QUERIES = {
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_bpe": op5_bpe,
     "op6_language_id": op6_language_id,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_nearest": op8_nearest,
     "op9_toxicity": op9_toxicity,
     "op10_private": op10_private,
