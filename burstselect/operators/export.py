@@ -14,7 +14,7 @@ from burstselect.session import pin
 def export_set(documents: DataFrame, favourites: DataFrame) -> DataFrame:
     """Frame documents whose id is a favourite, with their place in burst order, best first."""
     starred = documents.drop("_chunk", "_spans").join(favourites.select("id"), "id", "left_semi")
-    return ranked(starred, [], [F.col("burst_id").asc(), F.col("position").asc()], "pos")
+    return ranked(starred, [], [F.col("burst_id"), F.col("position")], "pos")
 
 
 def export_size(documents: DataFrame, favourites: DataFrame) -> DataFrame:

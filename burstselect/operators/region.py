@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from burstselect.functions.columns import box, center_box
 from burstselect.params import SelectionParams
-from burstselect.plans.ordered import CHUNK, by_heat, laid_out, parts, ranked
+from burstselect.plans.ordered import CHUNK, laid_out, parts, ranked
 
 _AXES = ["x", "y", "w", "h"]
 
@@ -22,17 +22,10 @@ def _median_box(over=None) -> Column:
 
 
 def _split_medians(split: DataFrame) -> DataFrame:
-    """Exact median boxes of the bursts that reach over chunk edges, at most one row per edge."""
-    cool, hot = by_heat(split)
-    medians = cool.groupBy("burst_id").agg(_median_box().alias("region"))
-    return medians if hot is None else medians.unionByName(_hot_medians(hot))
+    """Exact median boxes of the bursts that reach over chunk edges, at most one row per edge.
 
-
-def _hot_medians(split: DataFrame) -> DataFrame:
-    """The same for hot bursts.
-
-    ``percentile`` would gather all values of such a burst in one buffer. Here each axis is range-sorted instead and
-    only the middle one or two values are kept.
+    ``percentile`` would gather all values of such a burst in one buffer, and it has no bound. Here each axis is laid out in
+    order instead and only the middle one or two values are kept.
     """
     axes = [F.struct(F.lit(a).alias("axis"), F.col(f"primary_box.{a}").alias("v")) for a in _AXES]
     values = (

@@ -17,7 +17,7 @@ FRAME_DOC = ["id", "filename", "sharpness", "eyes", "faces", "exposure", "mark",
 
 def best_first() -> list[Column]:
     """Display order inside a burst: keepers, then by falling raw sharpness, then capture order."""
-    return [(F.col("bin") != "keeper").asc(), F.col("sharpness").desc(), *chron()]
+    return [F.col("bin") != "keeper", -F.col("sharpness"), *chron()]
 
 
 def _best_key() -> Column:
@@ -123,7 +123,7 @@ def progress_sequence(judged: DataFrame) -> DataFrame:
     total = narrow.count()
     labels = burst_labels(burst_table(narrow)).select("burst_id", "label")
     rows = join_burst_table(narrow, labels)
-    order = [F.col("burst_id").asc(), *best_first()]
+    order = [F.col("burst_id"), *best_first()]
     return ranked(rows, [], order, "_at").select(
         (F.col("_at") + 1).alias("done"),
         F.lit(total).cast("bigint").alias("total"),

@@ -101,7 +101,7 @@ def staging_counts(manifest: DataFrame, bins: Sequence[str] = ("keeper", "maybe"
 def contact_order() -> list[Column]:
     """Keeper, maybe, rejected, anything else; then rank; then manifest order."""
     place = F.when(F.col("bin") == "keeper", 0).when(F.col("bin") == "maybe", 1).when(F.col("bin") == "rejected", 2).otherwise(9)
-    return [place.asc(), F.col("rank_in_burst").asc(), *chron()]
+    return [place, F.col("rank_in_burst"), *chron()]
 
 
 def contact_cards(judged: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ def gates(grouped: DataFrame, params: SelectionParams = SelectionParams()) -> Da
 def best_candidate_first() -> list[Column]:
     """Order of the candidates of a burst: eyes first in a group shot, then sharpness, then capture order."""
     eyes = F.when(F.col("is_group"), F.coalesce("eye_score", F.lit(0.0))).otherwise(F.lit(0.0))
-    return [eyes.desc(), F.col("sharpness").desc(), *chron()]
+    return [-eyes, -F.col("sharpness"), *chron()]
 
 
 def verdicts(grouped: DataFrame, params: SelectionParams = SelectionParams()) -> DataFrame:

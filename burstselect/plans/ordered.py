@@ -3,15 +3,18 @@
 A window with no partition key sends the whole table to one task, and a window keyed by burst sends a hot burst to
 one task. Both are avoided the same way: sort the rows into range *chunks* on a unique key (so no chunk can be hot),
 do the window inside each chunk, and correct each chunk by what the chunks before it held. The correction table has
-one row per chunk, that is at most ``spark.sql.shuffle.partitions`` rows whatever the size of the data, so it is safe
-to order it in one task and to broadcast it.
+one row per chunk, at most ``MAX_CHUNKS`` rows whatever the size of the data, so it is safe to order it in one task and
+to broadcast it.
 
-The chunk number is assigned while the rows are written to the checkpoint folder; every later step reads it from
-there, so a recomputed range partitioning can never disagree with the correction table.
+A chunk is a plain column: the number of boundaries at or below the row's key. The boundaries come from a count and a
+small sample of the keys, taken once while the plan is built. So the rows are shuffled once, chunk ``i`` to
+partition ``i``; windows by chunk, and by chunk and burst, work on that layout without another exchange, and reading it
+twice in a plan reuses the exchange.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, GroupedData
@@ -19,23 +22,53 @@ from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
-from burstselect.session import pin
-
 CHUNK = "_chunk"
 SPANS = "_spans"
 
-# Rows of one burst that one task may sort. Larger bursts are range-sorted over many tasks.
-HOT_ROWS = 1_000_000
+# Rows of one chunk, until there are MAX_CHUNKS of them; keys sampled for each chunk.
+CHUNK_ROWS = 200_000
+MAX_CHUNKS = 16_384
+SAMPLED_KEYS = 20
 
 
 def chron() -> list[Column]:
     """Capture order: dated rows first, by time, then by path. Paths are unique, so this is a total order."""
-    return [F.col("when_ts").asc_nulls_last(), F.col("rel").asc()]
+    return [F.col("when_ts").isNull(), F.col("when_ts"), F.col("rel")]
 
 
 def _into_chunks(df: DataFrame, order: Sequence[Column]) -> DataFrame:
-    # No explicit number: at most spark.sql.shuffle.partitions chunks, fewer where adaptive execution merges small ones.
-    return df.repartitionByRange(*order).withColumn(CHUNK, F.spark_partition_id())
+    """Deal the rows into chunks by ``order``, expressions that sort ascending, and add the chunk number."""
+    rows = df.count()
+    chunks = min(MAX_CHUNKS, math.ceil(rows / CHUNK_ROWS))
+    if chunks < 2:
+        return df.repartition(1).withColumn(CHUNK, F.lit(0))
+    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
+    keys = df.select(key.alias("key"))
+    share = min(1.0, SAMPLED_KEYS * chunks / rows)
+    found = keys.sample(share, seed=7).select(F.to_json("key").alias("j")).collect()
+    sample = F.array_sort(F.from_json(F.lit("[" + ",".join(r.j for r in found) + "]"), f"array<{keys.schema['key'].dataType.simpleString()}>"))
+    # One literal: every so many sampled keys, in order. The keys need not be exact, as boundaries.
+    step = max(1, len(found) // chunks)
+    bounds = F.filter(sample, lambda _, i: (i > 0) & (i % step == 0))
+    most = max(0, -(-len(found) // step) - 1)
+    dealt = df.withColumn(CHUNK, _at_or_below(bounds, most, key))
+    return dealt.repartitionById(most + 1, CHUNK)
+
+
+def _at_or_below(bounds: Column, n: int, key: Column) -> Column:
+    """How many of ``n`` ascending bounds are at or below the key, by halving."""
+    start = F.struct(F.lit(0).alias("low"), F.lit(n).alias("high"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        below = F.get(bounds, middle) <= key
+        moved = F.when(below, F.struct((middle + 1).alias("low"), s["high"].alias("high"))).otherwise(
+            F.struct(s["low"].alias("low"), middle.alias("high"))
+        )
+        return F.when(s["low"] < s["high"], moved).otherwise(s)
+
+    steps = F.sequence(F.lit(1), F.lit(max(1, n.bit_length())))
+    return F.aggregate(steps, start, halve, lambda s: s["low"])
 
 
 def _place(in_order: WindowSpec) -> dict[str, Column]:
@@ -70,7 +103,8 @@ def number_islands(
         .withColumn("_isle", F.sum("_brk").over(so_far))
         .drop("_prev", "_brk")
     )
-    rows = pin(rows)
+    if _single(rows):
+        return rows.withColumns({name: F.col("_isle").cast("bigint"), SPANS: F.lit(False)}).drop("_row", "_end", "_isle")
 
     by_chunk = W.orderBy(CHUNK)
     before = by_chunk.rowsBetween(W.unboundedPreceding, -1)
@@ -100,10 +134,15 @@ def number_islands(
     )
 
 
+def _single(rows: DataFrame) -> bool:
+    """Whether `_into_chunks` made one chunk: its number is then a constant, which the schema shows as never null."""
+    return not rows.schema[CHUNK].nullable
+
+
 def lay_out(df: DataFrame, group: str = "burst_id") -> DataFrame:
     """Chunk a table that already carries ``group``, in (group, capture order)."""
     return number_islands(
-        df.drop(CHUNK, SPANS), [F.col(group).asc(), *chron()], [group], lambda p, c: p[group] != c[group], name="_isle_id"
+        df.drop(CHUNK, SPANS), [F.col(group), *chron()], [group], lambda p, c: p[group] != c[group], name="_isle_id"
     ).drop("_isle_id")
 
 
@@ -115,17 +154,15 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: s
     """0-based position of each row inside its group, for groups of any size.
 
     Same result as ``row_number() over (partition by group order by order) - 1``; with no group, the position in the
-    whole table. ``order`` must make the order within a group total.
+    whole table. ``order`` are expressions that sort ascending; they must make the order within a group total.
     """
     keys = list(group) or ["_all"]
     src = df.drop(CHUNK, SPANS) if group else df.drop(CHUNK, SPANS).withColumn("_all", F.lit(0))
-    full = [*[F.col(k).asc() for k in keys], *order]
-    rows = (
-        _into_chunks(src, full)
-        .withColumns(_place(W.partitionBy(CHUNK).orderBy(*full)))
-        .withColumn("_nth", F.row_number().over(W.partitionBy(CHUNK, *keys).orderBy(*order)))
-    )
-    rows = pin(rows)
+    full = [*[F.col(k) for k in keys], *order]
+    rows = _into_chunks(src, full).withColumn("_nth", F.row_number().over(W.partitionBy(CHUNK, *keys).orderBy(*order)))
+    if _single(rows):
+        return rows.withColumn(name, (F.col("_nth") - 1).cast("bigint")).drop(CHUNK, "_nth", "_all")
+    rows = rows.withColumns(_place(W.partitionBy(CHUNK).orderBy(*full)))
 
     by_chunk = W.orderBy(CHUNK)
     edges = (
@@ -151,44 +188,32 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: s
 def rank_in_burst(df: DataFrame, extra: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
     """0-based position within (burst, *extra) of a laid-out table.
 
-    A burst inside one chunk is ranked there, a split one of limited size by itself. Only hot bursts take the second
-    range sort of :func:`ranked`.
+    A burst inside one chunk is ranked there; the rows of the others, at most one burst per chunk edge, are laid out
+    once more in the order asked for.
     """
-    position = lambda *by: (F.row_number().over(W.partitionBy(*by, "burst_id", *extra).orderBy(*order)) - 1).cast("bigint")
+    position = (F.row_number().over(W.partitionBy(CHUNK, "burst_id", *extra).orderBy(*order)) - 1).cast("bigint")
     whole, split = parts(df)
-    cool, hot = by_heat(split)
-    out = whole.withColumn(name, position(CHUNK)).unionByName(cool.withColumn(name, position()))
-    if hot is not None:
-        # The chunk of these rows stays that of the original layout.
-        far = ranked(hot.withColumnRenamed(CHUNK, "_home"), ["burst_id", *extra], order, name)
-        out = out.unionByName(far.withColumnRenamed("_home", CHUNK).withColumn(SPANS, F.lit(True)))
-    return out
-
-
-def by_heat(split: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Split bursts as (those of at most HOT_ROWS rows, the larger ones or None).
-
-    The sizes come from one small aggregation; at most one burst per chunk edge can be listed.
-    """
-    sizes = split.groupBy("burst_id").agg(F.count("*").alias("n"))
-    ids = [r.burst_id for r in sizes.where(F.col("n") > HOT_ROWS).collect()]
-    if not ids:
-        return split, None
-    return split.where(~F.col("burst_id").isin(ids)), split.where(F.col("burst_id").isin(ids))
+    # The chunk of these rows stays that of the original layout.
+    far = ranked(split.withColumnRenamed(CHUNK, "_home").drop(SPANS), ["burst_id", *extra], order, name)
+    far = far.withColumnRenamed("_home", CHUNK).withColumn(SPANS, F.lit(True))
+    return whole.withColumn(name, position).unionByName(far)
 
 
 def with_burst_stats(df: DataFrame, **aggregates: Column) -> DataFrame:
     """Add per-burst aggregates to every row of a laid-out table.
 
-    Bursts inside one chunk are aggregated by a window over the chunk. At most one burst per chunk edge is split; those
-    are aggregated with partial sums and come back through a broadcast of at most one row per chunk. Use aggregates
-    with small buffers only (sum, count, max, min).
+    They are taken by a window over chunk and burst. At most one burst per chunk edge is split; those are aggregated with
+    partial sums and come back through a broadcast of at most one row per chunk. Use aggregates with small buffers
+    only (sum, count, max, min).
     """
-    whole, split = parts(df)
     inside = W.partitionBy(CHUNK, "burst_id")
-    whole = whole.select("*", *[c.over(inside).alias(k) for k, c in aggregates.items()])
-    stats = split.groupBy("burst_id").agg(*[c.alias(k) for k, c in aggregates.items()])
-    return whole.unionByName(split.join(F.broadcast(stats), "burst_id"))
+    far = [f"_far_{k}" for k in aggregates]
+    split = df.where(F.col(SPANS)).groupBy(F.col("burst_id").alias("_far_burst"))
+    stats = split.agg(*[c.alias(f) for f, c in zip(far, aggregates.values(), strict=True)])
+    rows = df.withColumns({k: c.over(inside) for k, c in aggregates.items()})
+    rows = rows.join(F.broadcast(stats), F.col("burst_id") == F.col("_far_burst"), "left")
+    is_far = F.col("_far_burst").isNotNull()
+    return rows.withColumns({k: F.when(is_far, F.col(f)).otherwise(F.col(k)) for k, f in zip(aggregates, far, strict=True)}).drop("_far_burst", *far)
 
 
 def parts(df: DataFrame) -> tuple[DataFrame, DataFrame]:

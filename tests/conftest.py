@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from burstselect.session import local_session  # noqa: E402
 
-T0 = datetime(2026, 6, 19, 12, 0, 0)
+T0 = datetime(2031, 3, 8, 12, 0, 0)
 
 FRAME_SCHEMA = (
     "rel string, when_ts timestamp_ntz, phash bigint, face_count int, eye_score double, sharpness double, "
@@ -33,6 +33,14 @@ def frame(rel, at=None, phash=0, faces=0, eye=None, sharp=0.0, exposed=False, bl
     return (rel, when, phash, faces, eye, float(sharp), exposed, float(blown), float(crushed), size, mtime)
 
 
+@pytest.fixture(autouse=True)
+def small_chunks(monkeypatch):
+    """Small tables are split over several chunks."""
+    from burstselect.plans import ordered
+
+    monkeypatch.setattr(ordered, "CHUNK_ROWS", 90)
+
+
 @pytest.fixture(scope="session")
 def frames(spark):
     return lambda rows: spark.createDataFrame(rows, FRAME_SCHEMA)

@@ -87,7 +87,7 @@ def test_staging(frames):
 def test_contact_sheet(frames):
     sheet = {r.burst_id: r for r in review.contact_sheet(judged(frames, ROWS)).collect()}
     assert [c.filename for c in sheet[0].cards] == ["a.jpg", "b.jpg", "c.jpg"] and sheet[0].frames == 3
-    assert sheet[0].when_iso == "2026-06-19T12:00:00" and sheet[2].when_iso == ""
+    assert sheet[0].when_iso == "2031-03-08T12:00:00" and sheet[2].when_iso == ""
 
 
 def test_compare_groupings(frames):
