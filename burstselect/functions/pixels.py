@@ -89,11 +89,8 @@ def dhash_bits(gray: np.ndarray, size: int) -> np.ndarray:
 
 def hash_words(bits: np.ndarray) -> list[int]:
     """Bits as signed 64-bit words, first bit most significant, the first word short if need be."""
-    value = 0
-    for b in bits:
-        value = (value << 1) | int(b)
-    words = [(value >> shift) & (2**64 - 1) for shift in range(64 * ((len(bits) - 1) // 64), -1, -64)]
-    return [w - 2**64 if w >= 2**63 else w for w in words]
+    padded = np.concatenate([np.zeros(-len(bits) % 64, bool), bits])
+    return np.packbits(padded).view(">i8").tolist()
 
 
 def dhash(gray: np.ndarray, size: int = 8) -> int:

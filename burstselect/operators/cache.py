@@ -1,42 +1,98 @@
-"""The resumable measurement cache: an append-only Parquet table, partitioned by tag.
+"""The resumable measurement cache: an append-only Parquet table, partitioned by tag, part of the paths and run.
 
-A frame's key is (rel, mtime, size_bytes). Rows are only ever appended; the last one written for a key wins.
+A frame's key is (rel, mtime, size_bytes). Rows are only ever appended; the last run that wrote a key wins. Runs are numbered by
+the cache itself, so the numbers rise whoever appends; two runs that append at the same time may get the same number, and
+then the larger row wins, which is at least the same one every time.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from burstselect.functions.columns import box_decode
 
 KEY = ["rel", "mtime", "size_bytes"]
 MEASURES = ["face_count", "primary_box", "eye_score", "sharpness", "exposure_flag", "blown", "crushed", "phash"]
+PARTS = 64
 
 
 def _measures(df: DataFrame) -> list[str]:
     return [c for c in MEASURES if c in df.columns]
 
 
-def cache_append(measured: DataFrame, path: str, tag: str, written_at: int, resume: bool = True) -> None:
-    """Append the measurements of one run, marked with a rising ``written_at``; ``resume=False`` starts the cache anew."""
-    rows = measured.select(*KEY, *_measures(measured), F.lit(written_at).cast("bigint").alias("written_at"), F.lit(tag).alias("tag"))
-    rows.write.mode("append" if resume else "overwrite").partitionBy("tag").parquet(path)
+def cache_part(rel: str) -> Column:
+    """The part of the cache in which a path is kept."""
+    return F.pmod(F.xxhash64(rel), F.lit(PARTS)).cast("int")
+
+
+def cache_append(measured: DataFrame, path: str, tag: str, resume: bool = True) -> int:
+    """Append the measurements of one run and return its number; ``resume=False`` starts the cache anew."""
+    now = _table(measured.sparkSession, path) if resume else None
+    run = 1 + (now.agg(F.max("written_at")).first()[0] or 0) if now is not None else 1
+    rows = measured.select(*KEY, *_measures(measured), F.lit(tag).alias("tag"), cache_part("rel").alias("part"), F.lit(run).alias("written_at"))
+    # One file for each part, whatever the number of tasks that measured.
+    rows.repartition(PARTS, "part").write.mode("append" if resume else "overwrite").partitionBy("tag", "part", "written_at").parquet(path)
+    return run
+
+
+def _table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The cache as a table, or None where nothing was written yet."""
+    try:
+        found = spark.read.parquet(path).schema
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    # Partition values are read as text by name: a gap such as "2.0" must not turn into a number.
+    kinds = {"tag": StringType(), "part": IntegerType(), "written_at": LongType()}
+    return spark.read.schema(StructType([StructField(f.name, kinds.get(f.name, f.dataType)) for f in found])).parquet(path)
 
 
 def cache_latest(cache: DataFrame) -> DataFrame:
-    """The last written row per key and tag; one aggregation with partial maxima, so a key may repeat at will."""
-    last = F.max_by(F.struct(*_measures(cache)), F.col("written_at"))
+    """The last written row per key and tag; one aggregation with partial maxima, so a key may repeat at will.
+
+    Rows of one run with the same key are told apart by their values, so the result never depends on their order.
+    """
+    row = F.struct(*_measures(cache))
+    last = F.max_by(row, F.struct(F.col("written_at"), row))
     return cache.groupBy("tag", *KEY).agg(last.alias("_m")).select("tag", *KEY, "_m.*")
 
 
-def cache_load(spark: SparkSession, path: str, tag: str) -> DataFrame:
-    """Current rows of one tag; the tag is a partition, so other tags are not read."""
-    # Partition values are read as text: a gap such as "2.0" must not turn into a number.
-    found = spark.read.parquet(path).schema
-    text = StructType([StructField("tag", StringType()) if f.name == "tag" else f for f in found])
-    return cache_latest(spark.read.schema(text).parquet(path).where(F.col("tag") == tag)).drop("tag")
+def _part_of(spark: SparkSession, path: str, tag: str, parts: Sequence[int] | None) -> DataFrame | None:
+    table = _table(spark, path)
+    if table is None:
+        return None
+    mine = table.where(F.col("tag") == tag)
+    return mine if parts is None else mine.where(F.col("part").isin(list(parts)))
+
+
+def cache_load(spark: SparkSession, path: str, tag: str, parts: Sequence[int] | None = None) -> DataFrame:
+    """Current rows of one tag; tags and parts are partitions, so others are not read."""
+    found = _part_of(spark, path, tag, parts)
+    if found is None:
+        raise FileNotFoundError(path)
+    return cache_latest(found).drop("tag")
+
+
+def cache_keys(spark: SparkSession, path: str, tag: str, parts: Sequence[int] | None = None) -> DataFrame | None:
+    """The keys of one tag, perhaps more than once, or None without a cache: nothing but the key columns is read."""
+    found = _part_of(spark, path, tag, parts)
+    return None if found is None else found.select(*KEY)
+
+
+def cache_compact(spark: SparkSession, path: str, target: str) -> None:
+    """Write the current rows of all tags to a new cache, one file for each tag and part; its run is the last one of the old."""
+    table = _table(spark, path)
+    if table is None:
+        raise FileNotFoundError(path)
+    last = table.agg(F.max("written_at")).first()[0]
+    rows = cache_latest(table).withColumns({"part": cache_part("rel"), "written_at": F.lit(last)})
+    rows.repartition(PARTS, "tag", "part").write.mode("errorifexists").partitionBy("tag", "part", "written_at").parquet(target)
 
 
 def parse_cache_rows(raw: DataFrame, tag: str) -> DataFrame:

@@ -21,8 +21,8 @@ def export_size(documents: DataFrame, favourites: DataFrame) -> DataFrame:
     """Total bytes of the export set and the number of favourites."""
     starred = documents.join(favourites.select("id"), "id", "left_semi")
     total = starred.agg(F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"))
-    count = favourites.select("id").distinct().count()
-    return total.withColumn("favourites", F.lit(count).cast("bigint"))
+    count = favourites.agg(F.countDistinct("id").alias("n")).scalar()
+    return total.withColumn("favourites", count)
 
 
 # ---- unique names ----------------------------------------------------------------------------------------------
@@ -61,16 +61,22 @@ def unique_names(items: DataFrame, existing: DataFrame) -> DataFrame:
     name shared by any number of items is never gathered in one task.
     """
     named = items.withColumns(dict(zip(["stem", "ext"], _name_parts(F.col("filename")))))
-    named = pin(named.select("pos", "stem", "ext", _depth(F.col("stem")).alias("depth")))
+    named = named.select("pos", "stem", "ext", _depth(F.col("stem")).alias("depth"))
     disk = existing.select(F.col("name").alias("filename")).distinct()
     disk = disk.select(*_name_parts(F.col("filename"))).withColumn("depth", _depth(F.col("stem")))
+    # Nearly all names occur once, are free and don't look like handed-out ones: they need one aggregation, no order.
+    times = named.groupBy("stem", "ext").agg(F.count("*").alias("_n"), F.min("pos").alias("pos"), F.min("depth").alias("depth"))
+    free = times.where((F.col("_n") == 1) & (F.col("depth") == 0)).join(disk.select("stem", "ext"), ["stem", "ext"], "left_anti")
+    free = pin(free.select("pos", _assemble(F.col("stem")).alias("exported_as")))
+    named = pin(named.join(free.select("pos"), "pos", "left_anti"))
 
     # When each name is first blocked for others: from the start if on disk, else from its first item on.
     seen = named.groupBy("stem", "ext", "depth").agg(F.min("pos").alias("p"))
     blocked = disk.withColumn("p", F.lit(-1).cast("bigint")).unionByName(seen).groupBy("stem", "ext", "depth").agg(F.min("p").alias("p"))
 
-    results, handed_out = None, None
-    for depth in range((named.agg(F.max("depth")).first()[0] or 0) + 1):
+    results, handed_out = free, None
+    deepest = named.agg(F.max("depth")).first()[0]
+    for depth in range(0 if deepest is None else deepest + 1):
         rows = named.where(F.col("depth") == depth).drop("depth")
         taken = disk.where(F.col("depth") == depth).select("stem", "ext")
         if handed_out is not None:
@@ -92,7 +98,7 @@ def unique_names(items: DataFrame, existing: DataFrame) -> DataFrame:
         fresh = F.concat(F.col("stem"), F.lit("-"), F.col("n").cast("string"))
         named_again = numbered.select("pos", _assemble(fresh).alias("exported_as"))
         level = own.unionByName(named_again)
-        results = level if results is None else results.unionByName(level)
+        results = results.unionByName(level)
         handed_out = numbered.select(fresh.alias("stem"), "ext", F.col("pos").alias("claim"))
     return items.join(results, "pos")
 
@@ -138,16 +144,20 @@ def export_outcomes(items: DataFrame, sources: DataFrame | None, existing: DataF
     if sources is None:
         return items.withColumn("outcome", F.lit("skipped")).withColumn("exported_as", F.lit("")).withColumn("message", F.lit(""))
     there = items.join(sources.select("rel_path").distinct(), "rel_path", "left_semi")
-    message = F.lit(None).cast("string")
-    failed = there.where(F.lit(False)).select("rel_path", message.alias("message")) if failures is None else failures.select("rel_path", "message")
+    if failures is None:
+        failures = there.where(F.lit(False)).select("rel_path", F.lit(None).cast("string").alias("message"))
+    # One row for each path that has a source, however often it failed and with or without a message.
+    failed = failures.groupBy("rel_path").agg(F.max("message").alias("message")).withColumn("_failed", F.lit(True))
+    failed = failed.join(sources.select("rel_path").distinct(), "rel_path", "left_semi")
     copied = there.join(failed, "rel_path", "left_anti")
     names = unique_names(copied.select("pos", "filename"), existing).select("pos", "exported_as")
     return (
         items.join(names, "pos", "left")
         .join(failed, "rel_path", "left")
-        .withColumn("outcome", F.when(F.col("exported_as").isNotNull(), "copied").when(F.col("message").isNotNull(), "failed").otherwise("skipped"))
+        .withColumn("outcome", F.when(F.col("exported_as").isNotNull(), "copied").when(F.col("_failed"), "failed").otherwise("skipped"))
         .withColumn("exported_as", F.coalesce("exported_as", F.lit("")))
         .withColumn("message", F.coalesce("message", F.lit("")))
+        .drop("_failed")
     )
 
 

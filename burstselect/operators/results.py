@@ -25,14 +25,32 @@ def _best_key() -> Column:
     return F.struct(F.col("bin") != "keeper", -F.col("sharpness"), F.col("when_ts").isNull(), F.col("when_ts"), F.col("rel"))
 
 
+def _has_faces() -> Column:
+    return F.bool_or(F.col("face_count") > 0)
+
+
+def _first_when() -> Column:
+    return F.min("when_ts")
+
+
+def burst_has_faces(grouped: DataFrame) -> DataFrame:
+    """Per burst, whether any frame of it has a face."""
+    return grouped.groupBy("burst_id").agg(_has_faces().alias("faces"))
+
+
+def burst_time(grouped: DataFrame) -> DataFrame:
+    """Per burst, the time of its first dated frame as text."""
+    return grouped.groupBy("burst_id").agg(_first_when().alias("_w")).select("burst_id", timecode("_w").alias("time"))
+
+
 def burst_table(judged: DataFrame) -> DataFrame:
     """One row per burst: size, time, faces and the keeper (first keeper, else first frame in display order)."""
     return (
         judged.groupBy("burst_id")
         .agg(
             F.count("*").alias("n_frames"),
-            F.min("when_ts").alias("first_when"),
-            F.bool_or(F.col("face_count") > 0).alias("faces"),
+            _first_when().alias("first_when"),
+            _has_faces().alias("faces"),
             F.min_by("rel", _best_key()).alias("keeper_rel"),
         )
         .withColumn("time", timecode("first_when"))

@@ -162,9 +162,10 @@ def burst_step(documents: DataFrame, mark: str = "all") -> DataFrame:
 
 
 def keeper_lookup(bursts: DataFrame, documents: DataFrame) -> DataFrame:
-    """The frame document of each burst's keeper."""
-    frames = documents.drop("burst_id", "faces", "_chunk", "_spans")
-    return bursts.select("burst_id", "keeper_id").join(frames, F.col("keeper_id") == F.col("id"))
+    """The frame document of each burst's keeper, looked up inside the burst: ids are short hashes and may repeat elsewhere."""
+    frames = documents.drop("faces", "_chunk", "_spans")
+    wanted = bursts.select("burst_id", "keeper_rel", F.col("keeper_id").alias("id"))
+    return wanted.join(frames, ["burst_id", "id"]).where(F.col("rel_path") == F.col("keeper_rel")).drop("keeper_rel").withColumn("keeper_id", F.col("id"))
 
 
 def compare_groupings(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -358,9 +358,8 @@ def laplacian_variance_center(spark, sf):
 
 @query
 def dhash(spark, sf):
-    """Hash of the upper seven rows, 8 pixels wide: exactly the size-7 grid, so nothing is resampled."""
-    grid = gray_grid(spark, sf).withColumn("height", F.lit(7)).withColumn("gray", F.substring("gray", 1, 56))
-    return pixels.measure_pixels(grid, "vec_id", GRID_PARAMS).select("vec_id", "phash")
+    """Hash of the whole image: its eight rows are shrunk to seven, its eight columns give seven comparisons."""
+    return pixels.measure_pixels(gray_grid(spark, sf), "vec_id", GRID_PARAMS).select("vec_id", "phash")
 
 
 @query
@@ -426,10 +425,11 @@ def manifest_parse(spark, sf):
 
 @query
 def manifest_diff(spark, sf):
-    """Time manifest against similarity manifest; frames of two event kinds are each on one side only."""
+    """Time manifest against similarity manifest; frames of two event kinds have another path on one side each."""
     columns = (*MANIFEST_COLUMNS, "event_type")
-    a = manifest.manifest_rows(judged_by_time(spark, sf, columns).where(F.col("event_type") != "signup"))
-    b = manifest.manifest_rows(judged_by_similarity(spark, sf, columns).where(F.col("event_type") != "error"))
+    moved = lambda kind: F.when(F.col("event_type") == kind, F.concat(F.lit("moved/"), F.col("rel"))).otherwise(F.col("rel"))
+    a = manifest.manifest_rows(judged_by_time(spark, sf, columns).withColumn("rel", moved("signup")))
+    b = manifest.manifest_rows(judged_by_similarity(spark, sf, columns).withColumn("rel", moved("error")))
     d = diff.manifest_diff(a, b)
     return d.withColumns({n: F.coalesce(n, F.lit("")) for n in ("expected", "actual")})
 
@@ -453,7 +453,7 @@ def cache_load(spark, sf):
     rows = cache_rows(spark, sf)
     for batch in (1, 2, 3):
         part = rows.where(F.col("written_at") == batch)
-        cache.cache_append(part.drop("tag", "written_at"), path, "sim" if batch == 3 else "300.0", batch)
+        cache.cache_append(part.drop("tag", "written_at"), path, "sim" if batch == 3 else "300.0")
     return cache.cache_load(spark, path, "300.0")
 
 
@@ -520,12 +520,12 @@ def burst_labels(spark, sf):
 
 @query
 def burst_has_faces(spark, sf):
-    return by_time(spark, sf, "face_count").groupBy("burst_id").agg(F.bool_or(F.col("face_count") > 0).alias("faces"))
+    return results.burst_has_faces(by_time(spark, sf, "face_count"))
 
 
 @query
 def burst_time(spark, sf):
-    return by_time(spark, sf).groupBy("burst_id").agg(F.min("when_ts").alias("w")).select("burst_id", c.timecode("w").alias("time"))
+    return results.burst_time(by_time(spark, sf))
 
 
 @query
@@ -701,10 +701,11 @@ LIVE_PARAMS = QUERY_PARAMS.with_(gap_seconds=6 * 3600.0)
 
 @query
 def live_time_bursts(spark, sf):
+    """What the stream emitted and the finished table confirms, with the open tails from the table: every frame."""
     out = scratch_path(spark, "bursts")
     frames = frames_from(event_stream(spark, sf))
     live.run_available(live.live_time_bursts(frames, LIVE_PARAMS, "user_id", "1 hour"), "append", live.append_to(out))
-    return _burst_rows(live.read_batches(spark, out))
+    return _burst_rows(live.settled(event_frames(spark, sf), live.read_batches(spark, out), LIVE_PARAMS, "user_id"))
 
 
 @query
@@ -713,7 +714,7 @@ def batch_time_bursts(spark, sf):
 
 
 def _burst_rows(bursts: DataFrame) -> DataFrame:
-    iso = {n: c.iso_time(n) for n in ("first_when", "last_when")}
+    iso = {n: F.coalesce(c.iso_time(n), F.lit("")) for n in ("first_when", "last_when")}
     return bursts.withColumns(iso).select("user_id", "frames", "first_when", "last_when", "peak", "candidate")
 
 
@@ -722,7 +723,7 @@ def incremental_measure(spark, sf):
     """Frames measured as they arrive, on top of a cache that holds some of them."""
     path = scratch_path(spark, "live-cache")
     known = cache_rows(spark, sf).where((F.col("tag") == "300.0") & (F.col("written_at") == 1))
-    cache.cache_append(known.drop("tag", "written_at"), path, "300.0", -1)
+    cache.cache_append(known.drop("tag", "written_at"), path, "300.0")
     stream = frames_from(event_stream(spark, sf))
     live.incremental_measure(stream, path, "300.0", lambda f: f.withColumn("sharpness", F.col("sharpness") * 2).select("rel", "mtime", "size_bytes", "sharpness", "eye_score"))
     return cache.cache_load(spark, path, "300.0")

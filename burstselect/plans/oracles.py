@@ -315,11 +315,23 @@ oracle(
     _GRID + ",\ngc as (select * from gg where x between 2 and 5 and y between 2 and 5)",
     _LAPLACE.format("gc"),
 )
+# The eight rows shrunk to seven (gs): cubic weights, antialiased, in 22-bit fixed point.
+_SHRUNK = """,
+wk as (select o, k, abs((k - (o + 0.5::double) * 8 / 7 + 0.5::double) / (8 / 7::double)) as t
+  from (select unnest(range(0, 7)) as o) cross join (select unnest(range(0, 8)) as k)
+  where k >= greatest(0, trunc((o + 0.5::double) * 8 / 7 - 16 / 7::double + 0.5::double))
+    and k < least(8, trunc((o + 0.5::double) * 8 / 7 + 16 / 7::double + 0.5::double))),
+wc as (select o, k, case when t < 1 then (1.5::double * t - 2.5::double) * t * t + 1
+    when t < 2 then ((-0.5::double * t + 2.5::double) * t - 4) * t + 2 else 0 end as w from wk),
+wn as (select o, k, w / sum(w) over (partition by o) as w from wc),
+wf as (select o, k, trunc(w * 4194304 + case when w < 0 then -0.5::double else 0.5::double end)::bigint as f from wn),
+gs as (select vec_id, o as y, x, greatest(0, least(255, (sum(f * val) + 2097152)::bigint >> 22)) as val
+  from gg join wf on wf.k = gg.y group by vec_id, o, x)"""
 oracle(
     "dhash",
-    _GRID,
+    _GRID + _SHRUNK,
     """select vec_id, sum(case when b then 1::bigint << (48 - (y * 7 + x))::int else 0 end)::bigint as phash from (
-  select vec_id, y, x, lead(val) over (partition by vec_id, y order by x) > val as b from gg where y < 7) where x < 7 group by 1""",
+  select vec_id, y, x, lead(val) over (partition by vec_id, y order by x) > val as b from gs) where x < 7 group by 1""",
 )
 _TONES = """,
 ch as (select vec_id, i, val as r, 255 - val as g, val * 7 % 256 as b from gx),
@@ -364,13 +376,13 @@ oracle(
     "manifest_diff",
     _SIM_TIME
     + f""",
-c as (select {_FILE} as filename, bin, face_count, burst_id from vt where event_type <> 'signup'),
-o as (select {_FILE} as filename, bin, face_count, burst_id from vs where event_type <> 'error')""",
-    """select o.filename, 'bin' as field, o.bin as expected, c.bin as actual from c join o using (filename) where c.bin <> o.bin
-union all select o.filename, 'burst_id', o.burst_id::varchar, c.burst_id::varchar from c join o using (filename) where c.burst_id <> o.burst_id
-union all select o.filename, 'face_count', o.face_count::varchar, c.face_count::varchar from c join o using (filename) where c.face_count <> o.face_count
-union all select filename, 'filename', '', filename from c anti join o using (filename)
-union all select filename, 'filename', filename, '' from o anti join c using (filename)""",
+c as (select case event_type when 'signup' then 'moved/' || rel else rel end as rel, bin, face_count, burst_id from vt),
+o as (select case event_type when 'error' then 'moved/' || rel else rel end as rel, bin, face_count, burst_id from vs)""",
+    """select o.rel, 'bin' as field, o.bin as expected, c.bin as actual from c join o using (rel) where c.bin <> o.bin
+union all select o.rel, 'burst_id', o.burst_id::varchar, c.burst_id::varchar from c join o using (rel) where c.burst_id <> o.burst_id
+union all select o.rel, 'face_count', o.face_count::varchar, c.face_count::varchar from c join o using (rel) where c.face_count <> o.face_count
+union all select rel, 'rel', '', rel from c anti join o using (rel)
+union all select rel, 'rel', rel, '' from o anti join c using (rel)""",
 )
 
 # ---- cache -----------------------------------------------------------------------------------------------------
@@ -477,7 +489,7 @@ oracle(
 oracle(
     "keeper_lookup",
     _JT + _DOCS + _BURSTS,
-    "select bl.burst_id, filename, mark, sharpness from bl join d on d.id = bl.keeper_id",
+    "select bl.burst_id, filename, mark, sharpness from bl join d on d.burst_id = bl.burst_id and d.id = bl.keeper_id",
 )
 oracle(
     "compare_groupings",
@@ -550,14 +562,11 @@ ls as (select *, sum(b) over (partition by user_id order by when_ts, rel) as s f
   select *, case when epoch_us(when_ts) - epoch_us(lag(when_ts) over (partition by user_id order by when_ts, rel)) <= 21600000000 then 0 else 1 end as b
   from fr where when_ts is not null)),
 lb as (select user_id, count(*) as frames, min(when_ts) as f, max(when_ts) as l, max(sharpness) as peak,
-  arg_max(rel, struct_pack(a := sharpness, b := rel)) as candidate from ls group by user_id, s)"""
-_LIVE_COLS = f"user_id, frames, {_ISO.format('f')} as first_when, {_ISO.format('l')} as last_when, peak, candidate"
+  arg_max(rel, struct_pack(a := sharpness, b := rel)) as candidate from ls group by user_id, s
+  union all select user_id, 1, null, null, sharpness, rel from fr where when_ts is null)"""
+_LIVE_COLS = f"user_id, frames, coalesce({_ISO.format('f')}, '') as first_when, coalesce({_ISO.format('l')}, '') as last_when, peak, candidate"
 oracle("batch_time_bursts", _LIVE, f"select {_LIVE_COLS} from lb")
-oracle(
-    "live_time_bursts",
-    _LIVE,
-    f"select {_LIVE_COLS} from lb where l + interval 6 hour <= date_trunc('millisecond', (select max(when_ts) from fr) - interval 1 hour)",
-)
+oracle("live_time_bursts", _LIVE, f"select {_LIVE_COLS} from lb")
 oracle(
     "incremental_measure",
     _FRAMES + _CACHE,

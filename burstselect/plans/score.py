@@ -73,9 +73,9 @@ def score(
     return verdicts(measured if by_time else group_frames(measured, params), params)
 
 
-def remember(judged: DataFrame, path: str, params: SelectionParams, run: int, resume: bool = True) -> None:
-    """Append the measurements of a run to the cache, under the tag of its measuring parameters."""
-    cache_append(judged, path, params.measure_tag(), run, resume)
+def remember(judged: DataFrame, path: str, params: SelectionParams, resume: bool = True) -> int:
+    """Append the measurements of a run to the cache, under the tag of its measuring parameters; returns the run's number."""
+    return cache_append(judged, path, params.measure_tag(), resume)
 
 
 def known(photos: DataFrame, cache: DataFrame) -> DataFrame:

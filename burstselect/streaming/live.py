@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burstselect.functions.columns import as_instant
-from burstselect.operators.cache import cache_append, cache_load, needs_measure
+from burstselect.functions.columns import as_instant, seconds_between
+from burstselect.operators.cache import KEY, cache_append, cache_keys, cache_part, needs_measure
 from burstselect.params import SelectionParams
+from burstselect.plans.ordered import number_islands
 from burstselect.session import scratch_path
 from burstselect.sources.progress import progress_events
 
@@ -68,42 +70,66 @@ def live_time_bursts(frames: DataFrame, params: SelectionParams, source: str, de
     """Time bursts per source while frames arrive: a burst is emitted once the watermark has passed its end.
 
     Each burst carries its size, its time span and the sharpest frame so far, all as mergeable aggregates; the session
-    state of a source is one row per open burst. Undated frames have no place on the time axis and are left to the
-    batch, as are frames later than the watermark (see :func:`reconcile`).
+    state of a source is one row per open burst. An undated frame is a burst of its own and is emitted as it arrives. What
+    is still open, and frames later than the watermark, come from the finished table (see :func:`settled`). Set
+    ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` so that a busy source sends bursts, not frames.
     """
-    spark = frames.sparkSession
-    # Merge the sessions of a task before the shuffle, so a busy source sends bursts and not frames.
-    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     dated = frames.where(F.col("when_ts").isNotNull()).withColumn("event_time", as_instant("when_ts"))
-    return _sessions(dated.withWatermark("event_time", delay), params, source)
+    gap = f"{int(round(params.gap_seconds * 1_000_000))} microseconds"
+    windowed = dated.withWatermark("event_time", delay).groupBy(F.col(source), F.session_window("event_time", gap).alias("w"))
+    return windowed.agg(*_burst_columns()).drop("w").unionByName(_undated(frames, source))
 
 
 def batch_time_bursts(frames: DataFrame, params: SelectionParams, source: str) -> DataFrame:
-    """The same bursts from a finished table."""
-    dated = frames.where(F.col("when_ts").isNotNull()).withColumn("event_time", as_instant("when_ts"))
-    return _sessions(dated, params, source)
+    """The same bursts from a finished table, undated frames included; a busy source is spread over chunks of it."""
+    dated = frames.where(F.col("when_ts").isNotNull())
 
+    def starts(p: Column, c: Column) -> Column:
+        late = seconds_between(p["when_ts"], c["when_ts"]) > F.lit(float(params.gap_seconds))
+        return ~p[source].eqNullSafe(c[source]) | late
+
+    islands = number_islands(dated, [F.col(source), F.col("when_ts"), F.col("rel")], [source, "when_ts"], starts, name="_island")
+    bursts = islands.groupBy("_island", source).agg(*_burst_columns()).drop("_island")
+    return bursts.unionByName(_undated(frames, source))
+
+
+def _burst_columns() -> list[Column]:
+    return [
+        F.count("*").alias("frames"),
+        F.min("when_ts").alias("first_when"),
+        F.max("when_ts").alias("last_when"),
+        F.max("sharpness").alias("peak"),
+        F.max_by("rel", F.struct("sharpness", F.col("rel"))).alias("candidate"),
+    ]
 
-def _sessions(dated: DataFrame, params: SelectionParams, source: str) -> DataFrame:
-    gap = f"{int(round(params.gap_seconds * 1_000_000))} microseconds"
-    sharpest = F.max_by("rel", F.struct("sharpness", F.col("rel")))
-    return (
-        dated.groupBy(F.col(source), F.session_window("event_time", gap).alias("w"))
-        .agg(
-            F.count("*").alias("frames"),
-            F.min("when_ts").alias("first_when"),
-            F.max("when_ts").alias("last_when"),
-            F.max("sharpness").alias("peak"),
-            sharpest.alias("candidate"),
-        )
-        .drop("w")
-    )
+
+def _undated(frames: DataFrame, source: str) -> DataFrame:
+    """Every undated frame as a burst of its own."""
+    alone = frames.where(F.col("when_ts").isNull())
+    return alone.select(
+        source, F.lit(1).cast("bigint").alias("frames"), F.col("when_ts").alias("first_when"), F.col("when_ts").alias("last_when"),
+        F.col("sharpness").alias("peak"), F.col("rel").alias("candidate"),
+    )
+
+
+def _same(a: DataFrame, b: DataFrame, source: str) -> Column:
+    cells = [a[c].eqNullSafe(b[c]) for c in (source, "first_when", "last_when", "frames", "candidate")]
+    return reduce(lambda x, y: x & y, cells)
 
 
 def reconcile(frames: DataFrame, emitted: DataFrame, params: SelectionParams, source: str) -> DataFrame:
     """Bursts of the finished table that the stream did not emit as they are: open tails, and bursts late frames changed."""
-    key = [source, "first_when", "last_when", "frames"]
-    return batch_time_bursts(frames, params, source).join(emitted.select(*key), key, "left_anti")
+    known = emitted.alias("emitted")
+    done = batch_time_bursts(frames, params, source).alias("done")
+    return done.join(known, _same(done, known, source), "left_anti")
+
+
+def settled(frames: DataFrame, emitted: DataFrame, params: SelectionParams, source: str) -> DataFrame:
+    """All bursts once the table is finished: the emitted ones it confirms, and the ones to reconcile."""
+    known = emitted.dropDuplicates([source, "first_when", "last_when", "frames", "candidate"]).alias("emitted")
+    done = batch_time_bursts(frames, params, source).alias("done")
+    confirmed = known.join(done, _same(known, done, source), "left_semi")
+    return confirmed.unionByName(reconcile(frames, emitted, params, source))
 
 
 # ---- incremental measurement -----------------------------------------------------------------------------------
@@ -114,19 +140,14 @@ def incremental_measure(
 ) -> None:
     """Measure the frames of each micro-batch that the cache does not hold yet, and append them.
 
-    A batch that is repeated after a failure finds its frames in the cache; the last row of a key wins in any case.
+    Only keys are read, from the parts of the cache that the batch touches. A batch that is repeated after a failure finds
+    its frames in the cache; the last run of a key wins in any case, whatever checkpoint the stream started from.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates(["rel", "mtime", "size_bytes"])
-        if _exists(spark, cache_path):
-            fresh = needs_measure(fresh, cache_load(spark, cache_path, tag))
-        cache_append(measure(fresh), cache_path, tag, written_at=batch_id)
+        fresh = batch.dropDuplicates(KEY)
+        touched = [r.part for r in fresh.select(cache_part("rel").alias("part")).distinct().collect()]
+        known = cache_keys(batch.sparkSession, cache_path, tag, touched)
+        cache_append(measure(fresh if known is None else needs_measure(fresh, known)), cache_path, tag)
 
     run_available(frames, "append", write, checkpoint)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

@@ -102,3 +102,24 @@ def test_size_counts_favourites(spark):
     docs = spark.createDataFrame([("p1", 10), ("p2", 20), ("p3", 40)], "id string, size_bytes bigint")
     stars = spark.createDataFrame([("p1",), ("p3",), ("gone",)], "id string")
     assert tuple(export.export_size(docs, stars).first()) == (50, 3)
+
+
+def test_repeated_and_sourceless_failures(spark, items):
+    """A path that failed twice is one row; without a source it is skipped; a failure needs no message."""
+    sources = spark.createDataFrame([(r[1],) for r in ITEMS if r[0] != 2], "rel_path string")
+    gone = next(r[1] for r in ITEMS if r[0] == 2)
+    failed = [(gone, "x"), (gone, "y"), (ITEMS[0][1], None), (ITEMS[1][1], "a"), (ITEMS[1][1], "b")]
+    got = export.export_outcomes(items, sources, spark.createDataFrame([], "name string"), spark.createDataFrame(failed, "rel_path string, message string"))
+    rows = sorted((r.pos, r.outcome, r.message) for r in got.collect())
+    assert len(rows) == len(ITEMS)
+    assert rows[:3] == [(0, "failed", ""), (1, "failed", "b"), (2, "skipped", "")]
+
+
+def test_distinct_names_need_no_order(spark):
+    names = spark.createDataFrame([(i, f"DSC_{i}.JPG") for i in range(300)], "pos bigint, filename string")
+    spark.sparkContext.setJobGroup("names", "names")
+    out = export.unique_names(names, spark.createDataFrame([("other.jpg",)], "name string"))
+    assert out.where("filename <> exported_as").isEmpty() and out.count() == 300
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("names"))
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert jobs < 25

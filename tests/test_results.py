@@ -95,3 +95,12 @@ def test_compare_groupings(frames):
     b = verdicts.verdicts(frames(ROWS).withColumn("burst_id", F.lit(0).cast("bigint")))
     assert tuple(review.compare_summary(review.compare_groupings(a, a)).first()) == (3, 3, 0)
     assert review.compare_summary(review.compare_groupings(a, b)).first().right_best == 1
+
+
+def test_equal_ids_in_two_bursts(spark, frames):
+    """Ids are short hashes: the keeper is looked up inside its burst."""
+    j = judged(frames, [frame("a", 0, sharp=60), frame("b", 100, sharp=70)])
+    bursts, docs = results.burst_table(j), results.frame_documents(j)
+    same = lambda df, c: df.withColumn(c, F.lit("p000000000000"))
+    found = review.keeper_lookup(same(bursts, "keeper_id"), same(docs, "id")).collect()
+    assert sorted((r.burst_id, r.filename) for r in found) == [(0, "a"), (1, "b")]

@@ -62,7 +62,7 @@ def test_second_run_opens_nothing(spark, shoot, tmp_path):
     photos, faces = shoot
     params = SelectionParams()
     first = score(photos, faces, loader(), params)
-    remember(first, str(tmp_path / "cache"), params, 1)
+    assert remember(first, str(tmp_path / "cache"), params) == 1
     stored = caches.cache_load(spark, str(tmp_path / "cache"), params.measure_tag())
     assert known(photos, stored).count() == 4
 

@@ -79,16 +79,28 @@ def test_manifest_diff_lists_everything(spark):
     rows = lambda *r: spark.createDataFrame([(*x, x[0], "") for x in r], schema)
     gold = rows(("a", "keeper", 1, 0), ("b", "maybe", 0, 0), ("gone", "maybe", 0, 1))
     cur = rows(("a", "keeper", 1, 0), ("a", "maybe", 1, 2), ("b", "maybe", 0, 0), ("new", "maybe", 0, 1))
-    got = {tuple(r) for r in manifest_diff(cur, gold).collect()}
-    assert got == {("a", "bin", "keeper", "maybe"), ("a", "burst_id", "0", "2"), ("gone", "filename", "gone", None), ("new", "filename", None, "new")}
+    got = {tuple(r) for r in manifest_diff(cur, gold, key="filename").collect()}
+    assert got == {
+        ("a", "bin", "keeper", "maybe"), ("a", "burst_id", "0", "2"), ("a", "copies", "1", "2"),
+        ("gone", "filename", "gone", None), ("new", "filename", None, "new"),
+    }
+
+
+def test_manifest_diff_tells_folders_apart(spark):
+    schema = "filename string, bin string, face_count int, burst_id bigint, rel string, when_iso string"
+    table = lambda *r: spark.createDataFrame([("DSC_1.JPG", b, 1, 0, p, "") for p, b in r], schema)
+    gold = table(("one/DSC_1.JPG", "keeper"), ("two/DSC_1.JPG", "maybe"), ("old/DSC_1.JPG", "maybe"))
+    cur = table(("one/DSC_1.JPG", "rejected"), ("two/DSC_1.JPG", "maybe"), ("new/DSC_1.JPG", "maybe"))
+    assert {tuple(r) for r in manifest_diff(cur, gold).collect()} == {
+        ("one/DSC_1.JPG", "bin", "keeper", "rejected"), ("old/DSC_1.JPG", "rel", "old/DSC_1.JPG", None), ("new/DSC_1.JPG", "rel", None, "new/DSC_1.JPG"),
+    }
 
 
 def test_cache_tags_and_latest(spark, frames, tmp_path):
     path = str(tmp_path / "cache")
     one = lambda s: frames([frame("a.jpg", 0, sharp=s, size=10, mtime=1.0)])
-    cache.cache_append(one(5), path, "2.0", 1)
-    cache.cache_append(one(9), path, "sim", 2)
-    cache.cache_append(one(6), path, "2.0", 3)
+    runs = [cache.cache_append(one(5), path, "2.0"), cache.cache_append(one(9), path, "sim"), cache.cache_append(one(6), path, "2.0")]
+    assert runs == [1, 2, 3]
     assert [r.sharpness for r in cache.cache_load(spark, path, "2.0").collect()] == [6.0]
     assert [r.sharpness for r in cache.cache_load(spark, path, "sim").collect()] == [9.0]
     scan = frames([frame("a.jpg", 7, size=10, mtime=1.0), frame("a2.jpg", 8, size=10, mtime=1.0)])
@@ -96,8 +108,16 @@ def test_cache_tags_and_latest(spark, frames, tmp_path):
     got = {r.rel: (r.cached, r.sharpness, r.when_ts) for r in filled.collect()}
     assert got["a.jpg"][:2] == (True, 6.0) and got["a.jpg"][2] > T0 and got["a2.jpg"][:2] == (False, None)
     assert tuple(cache.cache_stats(filled).first()) == (1, 1)
-    cache.cache_append(one(1), path, "2.0", 4, resume=False)
+    small = str(tmp_path / "small")
+    cache.cache_compact(spark, path, small)
+    assert [r.sharpness for r in cache.cache_load(spark, small, "2.0").collect()] == [6.0]
+    assert spark.read.parquet(small).count() == 2 and cache.cache_append(one(8), small, "2.0") == 4
+    assert cache.cache_keys(spark, str(tmp_path / "none"), "2.0") is None
+    assert cache.cache_append(one(1), path, "2.0", resume=False) == 1
     assert cache.cache_load(spark, path, "sim").isEmpty()
+    twice = one(3).unionByName(one(4))
+    cache.cache_append(twice, path, "2.0")
+    assert [r.sharpness for r in cache.cache_load(spark, path, "2.0").collect()] == [4.0]
 
 
 def test_cache_rows_from_text(spark):

@@ -37,10 +37,36 @@ def test_live_bursts_equal_the_batch_once_closed(spark, tmp_path):
     out = str(tmp_path / "out")
     live.run_available(live.live_time_bursts(frames, PARAMS, "source", "1 minute"), "append", live.append_to(out))
     emitted = live.read_batches(spark, out)
-    assert sorted((r.frames, r.candidate, r.peak) for r in emitted.collect()) == [(2, "b", 9.0), (2, "d", 2.0)]
+    # The undated frame is a burst of its own and comes out at once.
+    assert sorted((r.frames, r.candidate, r.peak) for r in emitted.collect()) == [(1, "n", 0.0), (2, "b", 9.0), (2, "d", 2.0)]
     table = spark.createDataFrame(first + second, FRAME_SCHEMA).withColumn("source", F.lit("cam"))
     # What is left for the batch: the burst that is still open.
     assert [r.candidate for r in live.reconcile(table, emitted, PARAMS, "source").collect()] == ["e"]
+    all_of = lambda df: sorted((r.candidate, r.frames) for r in df.collect())
+    assert all_of(live.settled(table, emitted, PARAMS, "source")) == all_of(live.batch_time_bursts(table, PARAMS, "source"))
+    # A late frame joins two emitted bursts: both are withdrawn.
+    late = table.unionByName(spark.createDataFrame([frame("x", 96, sharp=70), frame("y", 1, sharp=1)], FRAME_SCHEMA).withColumn("source", F.lit("cam")))
+    done = live.settled(late, emitted, PARAMS, "source")
+    assert all_of(done) == [("b", 3), ("e", 1), ("n", 1), ("x", 3)]
+
+
+def test_batch_bursts_of_a_busy_source(spark, frames):
+    """One source holds most frames; its bursts are cut by gaps, whatever the chunks, and sources don't mix."""
+    rows = [frame(f"{i:04d}", i * 4.0 + (i // 50) * 100, sharp=i % 9) for i in range(400)] + [frame("u", None), frame("v", None)]
+    table = frames(rows).withColumn("source", F.when(F.col("rel") >= "0350", F.lit(None).cast("string")).otherwise("cam"))
+    got = live.batch_time_bursts(table, PARAMS, "source").collect()
+    assert sorted(r.frames for r in got) == [1, 1] + [50] * 8
+    assert sum(r.source is None for r in got) == 3
+
+
+def test_a_new_checkpoint_does_not_wind_back_the_cache(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    for i, sharp in enumerate((7, 0)):  # two streams over the same file with another time stamp of it, each from batch 0 on
+        rows = [[frame("a", 0, sharp=sharp, mtime=1.0 + i), frame("b", 0, sharp=sharp, mtime=1.0)]]
+        live.incremental_measure(stream(spark, tmp_path / f"in{i}", rows), path, "t", lambda f: f)
+    cache.cache_append(spark.createDataFrame([frame("b", 0, sharp=3, mtime=1.0)], FRAME_SCHEMA), path, "t")
+    got = {(r.rel, r.mtime): r.sharpness for r in cache.cache_load(spark, path, "t").collect()}
+    assert got == {("a", 1.0): 7.0, ("a", 2.0): 0.0, ("b", 1.0): 3.0}
 
 
 def test_incremental_measure_skips_what_is_known(spark, tmp_path):
