@@ -10,11 +10,12 @@ of BPE tokens is the right one if every adjacent pair of it is.
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from burstselect.llm.common import clear_of, pin, slices, text_or_empty
 
 PART_CHARS = 1 << 16
 MARGIN = 16
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 WORD_CHARS = 64
 
 
@@ -43,78 +44,117 @@ def tokenizer(path: str):
     return t
 
 
-class Words:
-    """Encodes texts through a memory of words. ``lead`` is what stands before every word but the first of a text."""
+def _byte_letters() -> dict[str, int]:
+    """The letter by which byte-level vocabularies write each byte: itself where it can be printed, else the next one from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
-    def __init__(self, path: str, lead: str):
-        self.tokenizer, self.lead = tokenizer(path), lead
-        self.known: dict[str, bytes] = {}
 
-    def split(self, text: str) -> list[str]:
-        raise NotImplementedError
+END_OF_WORD = "</w>"
+#: Stands for the end of a word; the byte is in no UTF-8 text.
+_END = b"\xff"
+
+
+@lru_cache(maxsize=4)
+def ranked_bytes(path: str):
+    """The vocabulary of a file for tiktoken, which merges the adjacent pair with the smallest id, as the file's merges do.
+
+    That holds if every token is what its own bytes become under the merges, which the tests check for the public files.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    letters = _byte_letters()
+    special = {t["content"]: t["id"] for t in file["added_tokens"]}
+    ranks = {}
+    for token, i in file["model"]["vocab"].items():
+        if token not in special:
+            ends = token.endswith(END_OF_WORD) and file["model"].get("end_of_word_suffix") == END_OF_WORD
+            stem = token[: -len(END_OF_WORD)] if ends else token
+            ranks[bytes(letters[c] for c in stem) + _END * ends] = i
+    return tiktoken.Encoding(path, pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+
+# Fixed value: how byte-level vocabularies cut a text before merging.
+BYTE_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+class WholeTexts:
+    """Encodes texts under a byte-level vocabulary without a normaliser."""
+
+    def __init__(self, path: str):
+        self.encoding, self.tokenizer = ranked_bytes(path), tokenizer(path)
+        self.special = list(self.encoding.special_tokens_set)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, as little-endian unsigned 32-bit numbers."""
-        split = [self.split(t) for t in texts]
-        firsts = self._fresh([s[0] for s in split]) if self.lead else None
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list(set(chain.from_iterable(s[1:] if self.lead else s for s in split)).difference(known))
-        long = {}
-        for i in range(0, len(new), 4096):
-            words = new[i : i + 4096]
-            for word, ids in zip(words, self._fresh([self.lead + w for w in words]), strict=True):
-                (known if len(word) <= WORD_CHARS else long)[word] = ids
-        if long:
-            get = lambda w: known.get(w) if w in known else long[w]
-        else:
-            get = known.__getitem__
-        if firsts is None:
-            return [b"".join(map(get, s)) for s in split]
-        return [first + b"".join(map(get, s[1:])) for first, s in zip(firsts, split, strict=True)]
-
-    def _fresh(self, words: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-
-class SpaceLedWords(Words):
-    """For byte-level vocabularies whose tokens begin with a space: a word is cut off before a space that no space follows."""
+        return [array("I", self._ids(t)).tobytes() for t in texts]
+
+    def _ids(self, text: str) -> list[int]:
+        # A text that names a special token is rare; the library itself finds it.
+        if any(s in text for s in self.special):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.encoding.encode_ordinary(text)
 
-    def __init__(self, path: str):
-        super().__init__(path, " ")
 
-    def split(self, text: str) -> list[str]:
-        parts = text.split(" ")
-        if any(not p or p[0].isspace() for p in parts[1:]):
-            words = parts[:1]
-            for p in parts[1:]:
-                if p and not p[0].isspace():
-                    words.append(p)
-                else:
-                    words[-1] += " " + p
-            return words
-        return parts
+class _Memory(dict):
+    """Word: its ids. Long words are not kept, and when there are too many all are forgotten."""
 
+    def __init__(self, encode):
+        self.encode = encode
 
-class SpaceFreeWords(Words):
-    """For vocabularies that drop white space: a word is what stands between blanks or line ends."""
+    def __missing__(self, word: str) -> bytes:
+        ids = self.encode(word)
+        if len(word) <= WORD_CHARS:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
+class WordEnds:
+    """Encodes texts under a vocabulary with word ends that drops white space.
+
+    A word is what stands between blanks or line ends; nothing the library does reaches over those. Words of common Latin letters,
+    digits and signs are cut and merged here, where lower case and the pattern are plain; others go to the library.
+    """
+
+    # Letters that are composed already and have one lower case, and the pattern for them.
+    plain = re.compile("[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+    cut = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
 
     def __init__(self, path: str):
-        super().__init__(path, "")
+        self.encoding, self.tokenizer = ranked_bytes(path), tokenizer(path)
+        self.special = list(self.encoding.special_tokens_set)
+        self.known = _Memory(self._word)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids, as little-endian unsigned 32-bit numbers."""
+        get = self.known.__getitem__
+        return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
 
-    def split(self, text: str) -> list[str]:
-        return text.replace("\n", " ").split(" ")
+    def _word(self, word: str) -> bytes:
+        if not word:
+            return b""
+        if len(word) <= WORD_CHARS and self.plain.fullmatch(word) and not any(s in word for s in self.special):
+            merged = self.encoding._encode_single_piece
+            ids = array("I")
+            for piece in self.cut.findall(word.lower()):
+                ids.extend(merged(piece.encode() + _END))
+            return ids.tobytes()
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
 
 @lru_cache(maxsize=4)
-def space_free(path: str) -> SpaceFreeWords:
-    return SpaceFreeWords(path)
+def word_ends(path: str) -> WordEnds:
+    return WordEnds(path)
 
 
 @lru_cache(maxsize=4)
-def space_led(path: str) -> SpaceLedWords:
-    return SpaceLedWords(path)
+def whole_texts(path: str) -> WholeTexts:
+    return WholeTexts(path)
 
 
 class Part:
@@ -228,7 +268,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", par
     comma = ", " if rest else ""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = space_free(path)
+        words = word_ends(path)
         for batch in batches:
             for part in slices(batch, text):
                 ids = _id_array(words.encode(part.column(text).to_pylist()))
@@ -246,7 +286,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", par
                     )
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = space_free(path)
+        words = word_ends(path)
         for batch in batches:
             for part in slices(batch, text):
                 ids = _id_array(words.encode(part.column(text).to_pylist()))

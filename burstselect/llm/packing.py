@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burstselect.llm.bpe import space_led
+from burstselect.llm.bpe import whole_texts
 from burstselect.llm.common import pin, slices, text_or_empty
 
 CAPACITY = 2048
@@ -114,7 +114,7 @@ def pack(
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, packer, task = space_led(path), Packer(capacity, open_windows), TaskContext.get().partitionId()
+        words, packer, task = whole_texts(path), Packer(capacity, open_windows), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         id_kind, rows = pa.null(), []
 

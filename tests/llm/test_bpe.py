@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 import pytest
@@ -26,9 +27,53 @@ def texts(seed, n, longest):
     return out
 
 
-@pytest.mark.parametrize("kind,path", [(bpe.space_free, WORD), (bpe.space_led, BYTE)])
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_every_token_is_what_its_bytes_become(path):
+    """Under this condition merging by id equals merging by the file's list."""
+    file = json.load(open(path, encoding="utf-8"))["model"]
+    rank = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(file["merges"])}
+    suffix = file["end_of_word_suffix"] or ""
+    base = len(file["vocab"]) - len(rank)
+    for token, i in file["vocab"].items():
+        if i >= base and not token.startswith("<|"):
+            ends = suffix and token.endswith(suffix)
+            parts = list(token[: -len(suffix)] if ends else token)
+            if ends:
+                parts[-1] += suffix
+            while len(parts) > 1:
+                best = min(range(len(parts) - 1), key=lambda k: rank.get((parts[k], parts[k + 1]), 1 << 30))
+                assert (parts[best], parts[best + 1]) in rank, token
+                parts[best : best + 2] = [parts[best] + parts[best + 1]]
+            assert rank[max_merge(file, token, rank)] == i - base
+
+
+def max_merge(file, token, rank):
+    """The merge that makes the token: the last one of its own encoding."""
+    suffix = file["end_of_word_suffix"] or ""
+    ends = suffix and token.endswith(suffix)
+    parts = list(token[: -len(suffix)] if ends else token)
+    if ends:
+        parts[-1] += suffix
+    last = None
+    while len(parts) > 1:
+        best = min(range(len(parts) - 1), key=lambda k: rank.get((parts[k], parts[k + 1]), 1 << 30))
+        last = (parts[best], parts[best + 1])
+        parts[best : best + 2] = ["".join(last)]
+    return last
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_every_character(path):
+    kind = bpe.word_ends if path == WORD else bpe.whole_texts
+    rows = ["".join(f"a{chr(c)}{chr(c)} {chr(c)}b\n" for c in range(at, at + 64) if not 0xD800 <= c < 0xE000) for at in range(0, 0x30000, 64)]
+    want = [e.ids for e in bpe.tokenizer(path).encode_batch(rows, add_special_tokens=False)]
+    got = [list(memoryview(x).cast("I")) for x in kind(path).encode(rows)]
+    assert [i for i, (a, b) in enumerate(zip(got, want, strict=True)) if a != b] == []
+
+
+@pytest.mark.parametrize("kind,path", [(bpe.word_ends, WORD), (bpe.whole_texts, BYTE)])
 def test_words_equal_whole_texts(kind, path):
-    rows = texts(1, 400, 60)
+    rows = texts(1, 400, 60) + ["a" * 100_000, " " * 50_000 + "b", "ab" * 30_000, "?" * 30_000]
     want = [e.ids for e in bpe.tokenizer(path).encode_batch(rows, add_special_tokens=False)]
     got = [list(memoryview(x).cast("I")) for x in kind(path).encode(rows)]
     assert got == want
