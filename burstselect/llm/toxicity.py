@@ -22,6 +22,8 @@ SAMPLE_ROWS = 20_000
 WORDS = 600
 STEMS = (3, 4, 5, 6)
 LEAST_DOCS = 5
+#: By how many standard errors a word's share has to differ between the labels.
+LEAST_Z = 4.0
 _WORD = re.compile(r"[^\W\d_]+")
 
 # Identity terms; the terms of a line can stand for each other in a sentence.
@@ -118,7 +120,7 @@ def fit(
     """The classifier learned from the labelled rows where ``learn`` (an expression over doc_id) holds.
 
     At most ``sample_rows`` different texts are taken, those with the smallest hashes, half of them of either label if there are as
-    many; the ``words`` that tell the labels apart best, and the identity terms, are the features. Only word lists over this
+    many; the ``words`` that tell the labels apart best, if they do so clearly, and the identity terms, are the features. Only word lists over this
     vocabulary reach the driver. Rows without text, label or doc_id teach nothing; where labels of an id differ, the larger counts.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg(F.max(label).alias("y"))
@@ -142,7 +144,7 @@ def fit(
     )
     a, b = F.col("with") / one, F.col("without") / zero
     spread = F.sqrt((F.col("with") + F.col("without") + 1.0) / (one + zero)) * (1.0 / one + 1.0 / zero) ** 0.5
-    counts = counts.where(F.col("with") + F.col("without") >= LEAST_DOCS).withColumn("z", F.abs(a - b) / spread)
+    counts = counts.where(F.col("with") + F.col("without") >= LEAST_DOCS).withColumn("z", F.abs(a - b) / spread).where(F.col("z") >= LEAST_Z)
     picked = [r.word for r in counts.orderBy(F.desc("z"), "word").limit(words).collect()]
     terms = [t for g in IDENTITY_TERMS for t in g]
     vocabulary = list(dict.fromkeys([*picked, *terms]))
