@@ -85,6 +85,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
         side(5).alias("h"),
         F.lit(1280).alias("frame_w"),
         F.lit(853).alias("frame_h"),
+        (F.lit(0.5) + (F.col("event_id") * 23 + F.col("face_no") * 7) % 100 / 200.0).alias("confidence"),
         F.when(F.col("k") % 10 != 3, (F.col("event_id") * 19 + F.col("face_no") * 41) % 100 / 100.0).alias("open_prob"),
     )
 

@@ -1,7 +1,8 @@
 """From raw face detections to the per-frame face measurements.
 
 Detections come in as a table (rel, face_no, x, y, w, h, frame_w, frame_h, open_prob), produced by any detector run as a
-Spark job. A frame without rows has no faces; a null ``open_prob`` means the eyes were not read.
+Spark job. A frame without rows has no faces; a null ``open_prob`` means the eyes were not read. A table with the detector's
+``confidence`` is cut at ``min_confidence``; without that column, or where it is null, every row counts.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ def foreground_faces(detections: DataFrame, params: SelectionParams = SelectionP
     Only the ``max_faces`` largest can survive, so that limit is applied first: Spark then drops the rest before the
     shuffle, and a frame with any number of raw detections brings at most ``max_faces`` rows per task.
     """
+    if "confidence" in detections.columns:
+        detections = detections.where(F.coalesce("confidence", F.lit(1.0)) >= params.min_confidence)
     frame_area = F.col("frame_w").cast("double") * F.col("frame_h")
     by_frame = W.partitionBy("rel")
     largest_first = by_frame.orderBy(F.col("_pixels").desc(), F.col("face_no"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burstselect.functions.columns import basename, burst_key, exposure_label, eyes_percent, frame_id, sharpness_display, timecode
-from burstselect.plans.ordered import SPANS, chron, join_burst_table, laid_out, rank_in_burst, ranked
+from burstselect.plans.ordered import CHUNK, SPANS, chron, join_burst_table, laid_out, numbered, rank_in_burst, ranked, with_burst_stats
 from burstselect.session import pin
 
 FRAME_DOC = ["id", "filename", "sharpness", "eyes", "faces", "exposure", "mark", "reason", "size_bytes", "rel_path"]
@@ -98,54 +98,61 @@ def frame_documents(judged: DataFrame) -> DataFrame:
     )
 
 
-def result_document(judged: DataFrame, method: str, page_size: int = 1000) -> DataFrame:
-    """Nested documents: one row per burst, its frames as an array in display order.
+def result_document(judged: DataFrame, method: str) -> DataFrame:
+    """The result document in pieces (burst_id, position, piece), one for each frame.
 
-    A burst of more than ``page_size`` frames continues on further rows (``page`` 0, 1, ...), each with the same header,
-    so no row and no task ever holds an unbounded burst and no frame is left out.
+    Put together in the order of (burst_id, position) the pieces are one JSON object of ``grouping`` and ``bursts``: the first frame of
+    a burst brings its header along, the last one its end, so a burst of any size is spread over as many rows as it has frames.
     """
-    judged = pin(laid_out(judged))
-    frames = frame_documents(judged).withColumn("page", F.floor(F.col("position") / page_size))
-    doc = F.struct("position", F.struct(*FRAME_DOC).alias("doc"))
-    pages = frames.groupBy("burst_id", "page", SPANS).agg(
-        F.transform(F.array_sort(F.collect_list(doc)), lambda x: x["doc"]).alias("frames")
+    judged = laid_out(judged)
+    header = burst_labels(burst_table(judged)).select("burst_id", "label", "time", F.col("faces").alias("_faces"), "keeper_id", "n_frames")
+    last = judged.agg(F.max("burst_id")).scalar()
+    frames = join_burst_table(frame_documents(judged), header)
+    frame = F.to_json(F.struct(*FRAME_DOC), {"ignoreNullFields": "false"})
+    head = F.to_json(F.struct(burst_key(F.lit(method), F.col("burst_id")).alias("id"), "label", "time", F.col("_faces").alias("faces"), "keeper_id"))
+    # The header is an object; its closing brace gives way to the frames.
+    opened = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"frames":['))
+    first, final = F.col("position") == 0, F.col("position") == F.col("n_frames") - 1
+    start = F.when(F.col("burst_id") == 0, F.lit(f'{{"grouping":"{method}","bursts":[')).otherwise(F.lit(","))
+    end = F.when(F.col("burst_id") == last, F.lit("]}]}")).otherwise(F.lit("]}"))
+    piece = F.concat(
+        F.when(first, F.concat(start, opened)).otherwise(F.lit(",")), frame, F.when(final, end).otherwise(F.lit(""))
     )
-    header = burst_labels(burst_table(judged)).select("burst_id", "label", "time", F.col("faces").alias("_faces"), "keeper_id")
-    return join_burst_table(pages, header).select(
-        F.lit(method).alias("grouping"),
-        burst_key(F.lit(method), F.col("burst_id")).alias("id"),
-        "label",
-        "time",
-        F.col("_faces").alias("faces"),
-        "keeper_id",
-        "page",
-        "frames",
-    )
-
+    return frames.select("burst_id", "position", piece.alias("piece"))
 
-def result_lines(documents: DataFrame) -> DataFrame:
-    """Each document row as one JSON line."""
-    return documents.select(F.to_json(F.struct(*documents.columns)).alias("value"))
 
-
-def flatten_documents(documents: DataFrame) -> DataFrame:
-    """Documents back to one row per frame, with the position restored."""
-    rows = documents.select(F.col("id").alias("burst"), "label", "keeper_id", "page", F.posexplode("frames").alias("place", "f"))
-    return rows.select("burst", "label", "keeper_id", "page", "place", "f.*")
+def write_result(pieces: DataFrame, path: str) -> None:
+    """The pieces as text part files in order; one after the other they are the document."""
+    pieces.orderBy("burst_id", "position").select("piece").write.mode("overwrite").text(path)
 
 
 def progress_sequence(judged: DataFrame) -> DataFrame:
-    """One progress row per frame, in burst order and best first: running ``done`` out of ``total``."""
-    narrow = laid_out(judged).select("rel", "when_ts", "burst_id", "bin", "sharpness", "face_count", "_chunk", "_spans")
-    narrow = pin(narrow)
-    total = narrow.count()
-    labels = burst_labels(burst_table(narrow)).select("burst_id", "label")
-    rows = join_burst_table(narrow, labels)
-    order = [F.col("burst_id"), *best_first()]
-    return ranked(rows, [], order, "_at").select(
-        (F.col("_at") + 1).alias("done"),
-        F.lit(total).cast("bigint").alias("total"),
+    """One progress row per frame, in burst order and best first: running ``done`` out of ``total``.
+
+    Bursts follow each other in capture order and hold their frames together, so a frame's number is the place of its burst's
+    first frame, which the layout knows, plus its position in the burst.
+    """
+    laid = laid_out(judged).select("rel", "when_ts", "burst_id", "bin", "sharpness", "face_count", CHUNK, SPANS)
+    placed = with_burst_stats(numbered(laid, [F.col("burst_id"), *chron()], "_place"), _start=F.min("_place"))
+    placed = rank_in_burst(placed, [], best_first(), "_position")
+    labels = burst_labels(burst_table(laid)).select("burst_id", "label")
+    total = laid.agg(F.count("*")).scalar()
+    return join_burst_table(placed, labels).select(
+        (F.col("_start") + F.col("_position") + 1).alias("done"),
+        total.alias("total"),
         basename("rel").alias("current_frame_name"),
         F.col("label").alias("current_burst_label"),
         F.lit("scoring").alias("phase"),
     )
+
+
+def progress_lines(judged: DataFrame) -> DataFrame:
+    """The lines (done, value) that a run writes: one with the real total before the first frame, then one for each frame."""
+    steps = progress_sequence(judged)
+    total = judged.agg(F.count("*").alias("total"))
+    empty = F.lit("")
+    loading = total.select(
+        F.lit(0).cast("bigint").alias("done"), "total", empty.alias("current_frame_name"), empty.alias("current_burst_label"), F.lit("loading").alias("phase")
+    )
+    lines = loading.unionByName(steps)
+    return lines.select("done", F.to_json(F.struct("done", "total", "current_frame_name", "current_burst_label", "phase")).alias("value"))

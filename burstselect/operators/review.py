@@ -19,7 +19,7 @@ from burstselect.functions.columns import (
     sharpness_text,
     slug,
 )
-from burstselect.plans.ordered import SPANS, chron, join_burst_table, laid_out, rank_in_burst, ranked
+from burstselect.plans.ordered import chron, join_burst_table, laid_out, rank_in_burst, ranked
 from burstselect.session import pin
 
 
@@ -110,17 +110,28 @@ def contact_cards(judged: DataFrame) -> DataFrame:
     return placed.withColumn("filename", basename("rel"))
 
 
-def contact_sheet(judged: DataFrame, page_size: int = 1000) -> DataFrame:
-    """Per burst its size, first time in display order and ordered cards; large bursts continue on further pages."""
-    cards = pin(contact_cards(judged)).withColumn("page", F.floor(F.col("place") / page_size))
-    card = F.struct("place", "filename", "bin", "reason", "rank_in_burst", "sharpness", "eye_score", "face_count", "exposure_flag")
-    pages = cards.groupBy("burst_id", "page", SPANS).agg(F.array_sort(F.collect_list(card)).alias("cards"))
+def contact_sheet(judged: DataFrame) -> DataFrame:
+    """Every card with its place, and its burst's size, first time in display order and number of cards of each bin."""
+    cards = contact_cards(judged)
+    n = lambda bin_: F.count_if(F.col("bin") == bin_)
     heads = cards.groupBy("burst_id").agg(
         F.count("*").alias("frames"),
         F.min_by("when_ts", F.when(F.col("when_ts").isNotNull(), F.col("place"))).alias("_first"),
+        n("keeper").alias("keepers"),
+        n("maybe").alias("maybes"),
+        n("rejected").alias("rejects"),
     )
-    return join_burst_table(pages, heads).select(
-        "burst_id", "page", "frames", F.coalesce(iso_time("_first"), F.lit("")).alias("when_iso"), "cards"
+    card = ["place", "filename", "bin", "reason", "rank_in_burst", "sharpness", "eye_score", "face_count", "exposure_flag"]
+    return join_burst_table(cards, heads).select(
+        "burst_id", "frames", "keepers", "maybes", "rejects", F.coalesce(iso_time("_first"), F.lit("")).alias("when_iso"), *card
+    )
+
+
+def contact_totals(judged: DataFrame) -> DataFrame:
+    """The head of the sheet: photos, bursts and the number of each bin."""
+    n = lambda bin_: F.count_if(F.col("bin") == bin_)
+    return judged.agg(
+        F.count("*").alias("photos"), F.countDistinct("burst_id").alias("bursts"), n("keeper").alias("keepers"), n("maybe").alias("maybes"), n("rejected").alias("rejects")
     )
 
 

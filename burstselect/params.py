@@ -29,6 +29,7 @@ class SelectionParams:
     phash_size: int = 8
     keep_per_burst: int = 1
     downscale_long_edge: int = 1280
+    min_confidence: float = 0.6
     max_faces: int = 6
     min_face_frac: float = 0.005
     foreground_ratio: float = 0.6

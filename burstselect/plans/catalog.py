@@ -501,9 +501,8 @@ def frame_documents(spark, sf):
 
 @query
 def result_document(spark, sf):
-    """Nested documents, flattened again for the comparison."""
-    docs = results.result_document(judged_by_similarity(spark, sf, DOCUMENT_COLUMNS), "similarity")
-    return results.flatten_documents(docs).withColumn("eyes", _or_minus_one(F.col("eyes")))
+    """The document of the similarity grouping, piece by piece."""
+    return results.result_document(judged_by_similarity(spark, sf, DOCUMENT_COLUMNS), "similarity")
 
 
 @query
@@ -533,6 +532,13 @@ def progress_sequence(spark, sf):
     return results.progress_sequence(judged_by_time(spark, sf))
 
 
+@query
+def progress_lines(spark, sf):
+    """Our own lines, read back the way an application does."""
+    routed = progress.route_events(results.progress_lines(judged_by_time(spark, sf)))
+    return routed.select("kind", "progress.*")
+
+
 # ---- review ----------------------------------------------------------------------------------------------------
 
 
@@ -585,10 +591,13 @@ def contact_order(spark, sf):
 
 @query
 def contact_sheet(spark, sf):
-    sheet = review.contact_sheet(judged_by_time(spark, sf), page_size=5)
-    return sheet.select("burst_id", "page", "frames", "when_iso", F.explode("cards").alias("card")).select(
-        "burst_id", "page", "frames", "when_iso", "card.place", "card.filename", "card.bin"
-    )
+    sheet = review.contact_sheet(judged_by_time(spark, sf))
+    return sheet.select("burst_id", "frames", "keepers", "maybes", "rejects", "when_iso", "place", "filename", "bin")
+
+
+@query
+def contact_totals(spark, sf):
+    return review.contact_totals(judged_by_time(spark, sf))
 
 
 @query

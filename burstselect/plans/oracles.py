@@ -101,10 +101,11 @@ fav as (select {_ID} as id from fr where event_type = 'purchase')"""
 _FACES = """,
 dt as (select rel, face_no, (event_id * 7 + face_no * 31) % 800 as x, (event_id * 11 + face_no * 13) % 500 as y,
     (event_id * 3 + face_no * 17) % 300 + 20 as w, (event_id * 5 + face_no * 17) % 300 + 20 as h,
+    0.5::double + ((event_id * 23 + face_no * 7) % 100) / 200::double as confidence,
     coalesce(case when k % 10 <> 3 then ((event_id * 19 + face_no * 41) % 100) / 100::double end, 1::double) as open_prob
   from (select *, unnest(range(1, face_count + 1))::int as face_no from fr where face_count > 0)),
 dr as (select *, w * h / (1280 * 853)::double as area, max(w * h / (1280 * 853)::double) over (partition by rel) as big,
-    row_number() over (partition by rel order by w * h desc, face_no) as face_rank from dt),
+    row_number() over (partition by rel order by w * h desc, face_no) as face_rank from dt where confidence >= 0.6::double),
 fg as (select rel, face_no, face_rank::int as face_rank, area, open_prob, x / 1280::double as fx, y / 853::double as fy, w / 1280::double as fw, h / 853::double as fh
   from dr where face_rank <= 6 and area >= greatest(0.005::double, 0.6::double * big)),
 pb as (select * from fg qualify row_number() over (partition by rel order by fw * fh desc, face_rank) = 1)"""
@@ -423,8 +424,15 @@ oracle(
 oracle(
     "result_document",
     _JS + _DOCS + _BURSTS,
-    """select 's' || burst_id as burst, label, keeper_id, position // 1000 as page, (position % 1000)::int as place, d.id, filename, sharpness, eyes,
-  d.faces, exposure, mark, reason, size_bytes, rel_path from d join bl using (burst_id)""",
+    """select burst_id, position,
+  case when position > 0 then ',' else case when burst_id = 0 then '{"grouping":"similarity","bursts":[' else ',' end
+    || '{"id":"s' || burst_id || '","label":"' || label || '","time":"' || time || '","faces":' || (bl.faces)::varchar
+    || ',"keeper_id":"' || keeper_id || '","frames":[' end
+  || '{"id":"' || d.id || '","filename":"' || filename || '","sharpness":' || sharpness || ',"eyes":' || case when eyes < 0 then 'null' else eyes::varchar end
+  || ',"faces":' || d.faces || ',"exposure":"' || exposure || '","mark":"' || mark || '","reason":"' || reason || '","size_bytes":' || size_bytes
+  || ',"rel_path":"' || rel_path || '"}'
+  || case when position < n_frames - 1 then '' when burst_id = (select max(burst_id) from bl) then ']}]}' else ']}' end as piece
+from d join bl using (burst_id)""",
 )
 oracle("burst_document", _JT + _BURSTS, "select burst_id, label, time, faces, keeper_id, n_frames from bl")
 oracle("burst_labels", _JS + _BURSTS, "select burst_id, label from bl")
@@ -437,6 +445,14 @@ oracle(
   label as current_burst_label, 'scoring' as phase from v join bl using (burst_id)""",
 )
 
+oracle(
+    "progress_lines",
+    _JT + _BURSTS,
+    f"""select 'progress' as kind, row_number() over (order by burst_id, {_BEST}) as done, count(*) over () as total, {_FILE} as current_frame_name,
+  label as current_burst_label, 'scoring' as phase from v join bl using (burst_id)
+union all select 'progress', 0, count(*), '', '', 'loading' from v""",
+)
+
 # ---- review ----------------------------------------------------------------------------------------------------
 
 oracle("mark_filter", _JT, "select burst_id, rel from v where bin = 'keeper'")
@@ -469,10 +485,18 @@ oracle("contact_order", _JT + _CARDS, "select burst_id, rel, place from cd")
 oracle(
     "contact_sheet",
     _JT + _CARDS,
-    f"""select burst_id, place // 5 as page, count(*) over (partition by burst_id) as frames, place, filename, bin,
+    f"""select burst_id, count(*) over (partition by burst_id) as frames, place, filename, bin,
+  count(*) filter (bin = 'keeper') over (partition by burst_id) as keepers, count(*) filter (bin = 'maybe') over (partition by burst_id) as maybes,
+  count(*) filter (bin = 'rejected') over (partition by burst_id) as rejects,
   coalesce(first_value({_ISO.format('when_ts')} ignore nulls) over (partition by burst_id order by place rows between unbounded preceding and unbounded following), '') as when_iso
 from cd""",
 )
+oracle(
+    "contact_totals",
+    _JT,
+    """select count(*) as photos, count(distinct burst_id) as bursts, count(*) filter (bin = 'keeper') as keepers,
+  count(*) filter (bin = 'maybe') as maybes, count(*) filter (bin = 'rejected') as rejects from v""",
+)
 _RING = """select {0} {1}, {2}, coalesce(lag({2}) over w, last_value({2}) over (w rows between unbounded preceding and unbounded following)) as prev_{2},
   coalesce(lead({2}) over w, first_value({2}) over (w rows between unbounded preceding and unbounded following)) as next_{2}
 from {3} window w as ({4})"""

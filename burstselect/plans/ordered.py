@@ -139,6 +139,15 @@ def _single(rows: DataFrame) -> bool:
     return not rows.schema[CHUNK].nullable
 
 
+def numbered(laid: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Add the 0-based place of each row of a laid-out table in its whole order."""
+    counts = laid.groupBy(CHUNK).agg(F.count("*").alias("_n"))
+    before = W.orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select(CHUNK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(W.partitionBy(CHUNK).orderBy(*order)) - 1
+    return laid.withColumn(name, place).join(F.broadcast(starts), CHUNK).withColumn(name, F.col(name) + F.col("_start")).drop("_start")
+
+
 def lay_out(df: DataFrame, group: str = "burst_id") -> DataFrame:
     """Chunk a table that already carries ``group``, in (group, capture order)."""
     return number_islands(

@@ -6,7 +6,7 @@ from conftest import frame
 from pyspark.sql import functions as F
 
 from burstselect.operators import grouping, results, review, verdicts
-from burstselect.sources import manifest
+from burstselect.sources import manifest, progress
 
 
 def judged(frames, rows):
@@ -23,16 +23,38 @@ ROWS = [
 ]
 
 
-def test_documents(frames):
-    docs = results.result_document(judged(frames, ROWS), "time").orderBy("id").collect()
-    assert [d.id for d in docs] == ["t0", "t1", "t2", "t3"]
-    first = docs[0]
-    assert [f.filename for f in first.frames] == ["a.jpg", "b.jpg", "c.jpg"]  # keeper first, then by sharpness
-    assert [f.sharpness for f in first.frames] == [25, 99, 22] and first.keeper_id == first.frames[0].id
-    assert first.frames[2].exposure == "blown" and first.frames[2].eyes == 62 and first.frames[2].size_bytes == 13
-    assert first.faces and not docs[1].faces and docs[1].frames[0].eyes is None
-    assert [d.label for d in docs] == ["12:00:00", "12:01:40", "--:--:-- · group 1", "--:--:-- · group 2"]
-    assert set(first.frames[0].asDict()) == set(results.FRAME_DOC) and first.frames[0].id.startswith("p") and len(first.frames[0].id) == 13
+def document(pieces):
+    return "".join(r.piece for r in pieces.orderBy("burst_id", "position").collect())
+
+
+def test_documents(spark, frames):
+    text = document(results.result_document(judged(frames, ROWS), "time"))
+    docs = json.loads(text)["bursts"]
+    assert [d["id"] for d in docs] == ["t0", "t1", "t2", "t3"]
+    first = docs[0]["frames"]
+    assert [f["filename"] for f in first] == ["a.jpg", "b.jpg", "c.jpg"]  # keeper first, then by sharpness
+    assert [f["sharpness"] for f in first] == [25, 99, 22] and docs[0]["keeper_id"] == first[0]["id"]
+    assert first[2]["exposure"] == "blown" and first[2]["eyes"] == 62 and first[2]["size_bytes"] == 13
+    assert docs[0]["faces"] and not docs[1]["faces"] and docs[1]["frames"][0]["eyes"] is None
+    assert [d["label"] for d in docs] == ["12:00:00", "12:01:40", "--:--:-- · group 1", "--:--:-- · group 2"]
+    assert list(first[0]) == results.FRAME_DOC and first[0]["id"].startswith("p") and len(first[0]["id"]) == 13
+    # What we write is what our own reader takes for a result.
+    routed = progress.route_events(spark.createDataFrame([(text,)], "value string")).first()
+    assert routed.kind == "result" and routed.result.grouping == "time" and len(routed.result.bursts) == 4
+
+
+def test_a_large_burst_is_many_pieces(frames):
+    rows = [frame(f"{i:03d}.jpg", i * 0.1, sharp=i) for i in range(300)]
+    pieces = results.result_document(judged(frames, rows), "time")
+    assert pieces.count() == 300
+    burst = json.loads(document(pieces))["bursts"]
+    assert len(burst) == 1 and [f["filename"] for f in burst[0]["frames"]] == [f"{i:03d}.jpg" for i in reversed(range(300))]
+
+
+def test_write_result(frames, tmp_path):
+    results.write_result(results.result_document(judged(frames, ROWS), "time"), str(tmp_path / "doc"))
+    parts = sorted((tmp_path / "doc").glob("part-*"))
+    assert len(json.loads("".join(p.read_text() for p in parts))["bursts"]) == 4
 
 
 def test_labels_share_a_second(frames):
@@ -42,19 +64,6 @@ def test_labels_share_a_second(frames):
     assert [r.label for r in table.orderBy("burst_id").collect()] == ["12:00:00 · group 1", "12:00:00 · group 2"]
 
 
-def test_pages_hold_every_frame(frames):
-    rows = [frame(f"{i:02d}.jpg", i * 0.1, sharp=i) for i in range(25)]
-    docs = results.result_document(judged(frames, rows), "time", page_size=10).orderBy("page").collect()
-    assert [len(d.frames) for d in docs] == [10, 10, 5] and len({d.keeper_id for d in docs}) == 1
-    assert [f.filename for d in docs for f in d.frames] == [f"{i:02d}.jpg" for i in reversed(range(25))]
-
-
-def test_json_lines(frames):
-    line = results.result_lines(results.result_document(judged(frames, ROWS[:1]), "time")).first().value
-    doc = json.loads(line)
-    assert doc["grouping"] == "time" and doc["frames"][0]["mark"] == "keeper" and doc["page"] == 0
-
-
 def test_keeperless_burst_points_at_its_first_frame(frames):
     j = judged(frames, [frame("a", 0, faces=1, eye=0.0, sharp=5), frame("b", 1, faces=1, eye=0.0, sharp=9)])
     assert results.burst_table(j).first().keeper_rel == "b"
@@ -64,6 +73,9 @@ def test_progress_sequence(frames):
     got = results.progress_sequence(judged(frames, ROWS)).orderBy("done").collect()
     assert [(r.done, r.current_frame_name) for r in got] == [(1, "a.jpg"), (2, "b.jpg"), (3, "c.jpg"), (4, "s.jpg"), (5, "u.jpg"), (6, "v.jpg")]
     assert {r.total for r in got} == {6} and got[4].current_burst_label == "--:--:-- · group 1"
+    lines = progress.route_events(results.progress_lines(judged(frames, ROWS))).orderBy("done").collect()
+    assert [r.kind for r in lines] == ["progress"] * 7
+    assert tuple(lines[0].progress) == (0, 6, "", "", "loading") and lines[6].progress.done == 6
 
 
 def test_steps_wrap(frames):
@@ -85,9 +97,13 @@ def test_staging(frames):
 
 
 def test_contact_sheet(frames):
-    sheet = {r.burst_id: r for r in review.contact_sheet(judged(frames, ROWS)).collect()}
-    assert [c.filename for c in sheet[0].cards] == ["a.jpg", "b.jpg", "c.jpg"] and sheet[0].frames == 3
-    assert sheet[0].when_iso == "2031-03-08T12:00:00" and sheet[2].when_iso == ""
+    sheet = {}
+    for r in review.contact_sheet(judged(frames, ROWS)).orderBy("burst_id", "place").collect():
+        sheet.setdefault(r.burst_id, []).append(r)
+    assert [c.filename for c in sheet[0]] == ["a.jpg", "b.jpg", "c.jpg"] and sheet[0][0].frames == 3
+    assert sheet[0][0].when_iso == "2031-03-08T12:00:00" and sheet[2][0].when_iso == ""
+    assert (sheet[0][0].keepers, sheet[0][0].maybes, sheet[0][0].rejects) == (1, 0, 2)
+    assert tuple(review.contact_totals(judged(frames, ROWS)).first()) == (6, 4, 3, 1, 2)
 
 
 def test_compare_groupings(frames):

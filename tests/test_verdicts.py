@@ -111,15 +111,34 @@ def test_filters_and_counts(frames):
     assert not review.nothing_matches(judged, "maybe") and review.nothing_matches(judged.where("bin = 'keeper'"), "rejected")
 
 
-@pytest.mark.skipif("BURST_SNAPSHOTS" not in os.environ, reason="set BURST_SNAPSHOTS to a folder of manifest CSV snapshots")
-def test_snapshots_are_reproduced(spark):
-    """Recompute the verdicts of recorded manifests (burst ids too where they come from capture times)."""
-    paths = glob.glob(os.path.join(os.environ["BURST_SNAPSHOTS"], "manifest_*.csv"))
-    assert paths
+# A manifest written down by hand: a gated peak, two faces in a portrait burst, a soft frame, flagged exposures, singles, undated frames.
+SNAPSHOT = """rel,filename,burst_id,when_iso,face_count,eye_score,sharpness,exposure_flag,blown_frac,crushed_frac,bin,reason,rank_in_burst
+d/a1.jpg,a1.jpg,0,2031-03-08T12:00:00,1,0.1000,400.000,0,0.0000,0.0000,rejected,eyes closed,-1
+d/a2.jpg,a2.jpg,0,2031-03-08T12:00:00.500000,1,0.9000,300.000,1,0.2000,0.0000,keeper,sharpest in burst; exposure flag,0
+d/a3.jpg,a3.jpg,0,2031-03-08T12:00:01,2,0.2000,250.000,0,0.0000,0.0000,rejected,eyes closed,-1
+d/a4.jpg,a4.jpg,0,2031-03-08T12:00:02,1,0.5000,119.000,1,0.0000,0.3000,rejected,much softer than burst peak,2
+d/a5.jpg,a5.jpg,0,2031-03-08T12:00:03,0,,120.000,0,0.0000,0.0000,maybe,burst runner-up,1
+d/b1.jpg,b1.jpg,1,2031-03-08T12:01:00,2,0.5000,90.000,0,0.0000,0.0000,maybe,burst runner-up,1
+d/b2.jpg,b2.jpg,1,2031-03-08T12:01:01,3,1.0000,80.000,0,0.0000,0.0000,keeper,best eyes + sharpness,0
+d/s1.jpg,s1.jpg,2,2031-03-08T12:05:00,1,0.4000,500.000,0,0.0000,0.0000,rejected,"single, eyes closed",0
+d/s2.jpg,s2.jpg,3,2031-03-08T12:06:00,0,,49.000,1,0.5000,0.0000,maybe,"single, sharpness uncertain; exposure flag",0
+d/u1.jpg,u1.jpg,4,,0,,60.000,0,0.0000,0.0000,keeper,"single, passed checks",0
+d/u2.jpg,u2.jpg,5,,0,,70.000,0,0.0000,0.0000,keeper,"single, passed checks",0
+"""
+
+
+def test_snapshots_are_reproduced(spark, tmp_path):
+    """Recompute the verdicts of manifests, burst ids too where they come from capture times.
+
+    The one above runs always; ``BURST_SNAPSHOTS`` names a folder of recorded ones (manifest_*.csv) to replay as well.
+    """
+    own = tmp_path / "manifest_time.csv"
+    own.write_text(SNAPSHOT)
+    paths = [str(own), *glob.glob(os.path.join(os.environ.get("BURST_SNAPSHOTS", str(tmp_path / "none")), "manifest_*.csv"))]
     for path in paths:
         gold = manifest.read_manifest(spark, path)
         src = manifest.judged_from_manifest(gold).drop("bin", "reason", "rank_in_burst")
-        grouped = grouping.time_bursts(src.drop("burst_id")) if "time" in path else src
+        grouped = grouping.time_bursts(src.drop("burst_id")) if "time" in os.path.basename(path) else src
         judged = manifest.manifest_rows(verdicts.verdicts(grouped))
         fields = ("bin", "reason", "rank_in_burst", "burst_id", "face_count")
-        assert manifest_diff(judged, gold, fields).count() == 0
+        assert manifest_diff(judged, gold, fields).collect() == []
