@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -18,6 +19,9 @@ from burstselect.operators.verdicts import verdicts
 from burstselect.params import SelectionParams
 from burstselect.session import pin
 
+# Photos that one task opens: some seconds of work each, so that tasks are neither few nor many.
+PHOTOS_PER_TASK = 16
+
 MEASURED = ["decode_ok", "exposure_flag", "blown", "crushed", "phash", "sharpness"]
 
 
@@ -29,6 +33,11 @@ def dated(photos: DataFrame, tags: DataFrame) -> DataFrame:
     )
 
 
+def spread(photos: DataFrame, per_task: int = PHOTOS_PER_TASK) -> DataFrame:
+    """The photos over tasks of about ``per_task`` of them. Rows are small, so left alone Spark would put all of them into one task."""
+    return photos.repartition(max(1, math.ceil(photos.count() / per_task)))
+
+
 def score(
     photos: DataFrame,
     detections: DataFrame,
@@ -54,7 +63,7 @@ def score(
         unknown = frames.where(F.col("_known").isNull())
     else:
         unknown = frames
-    fresh = pin(measure_files(unknown, load, params))
+    fresh = pin(measure_files(spread(unknown), load, params))
     measured = unknown.join(fresh, "rel")
     if cache is not None:
         kept = frames.where(F.col("_known").isNotNull())

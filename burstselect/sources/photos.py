@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import zlib
 from collections.abc import Iterator, Sequence
 from pathlib import Path
 
@@ -21,10 +22,11 @@ IMAGE_EXTENSIONS = ["jpg", "jpeg", "png", "heic", "heif", "tiff", "tif", "cr2",
 
 
 class PhotoScan(DataSource):
-    """Batch source ``photos``: one row per photo below ``path``; one partition per folder near the top.
+    """Batch source ``photos``: one row per photo below ``path``; ``slices`` partitions for each folder near the top.
 
-    The driver lists only the upper ``depth`` levels; everything below is walked by the tasks. Unlike the built-in file
-    sources this keeps names that start with ``_`` or ``.``, which cameras do write.
+    The driver lists only the folders of the upper ``depth`` levels; everything below is walked by the tasks. Each slice of a folder
+    lists its names, which is cheap, and looks only at the files whose names hash to it, so one large folder is many tasks.
+    Unlike the built-in file sources this keeps names that start with ``_`` or ``.``, which cameras do write.
     """
 
     @classmethod
@@ -35,30 +37,32 @@ class PhotoScan(DataSource):
         return "rel string, path string, mtime double, size_bytes bigint"
 
     def reader(self, schema) -> DataSourceReader:
-        return _PhotoReader(self.options["path"], int(self.options.get("depth", "2")))
+        return _PhotoReader(self.options["path"], int(self.options.get("depth", "2")), int(self.options.get("slices", "8")))
 
 
 class _Folder(InputPartition):
-    def __init__(self, path: str, recurse: bool):
-        super().__init__(path)
-        self.path, self.recurse = path, recurse
+    def __init__(self, path: str, recurse: bool, number: int):
+        super().__init__((path, number))
+        self.path, self.recurse, self.number = path, recurse, number
 
 
 class _PhotoReader(DataSourceReader):
-    def __init__(self, root: str, depth: int):
-        self.root, self.depth = root, depth
+    def __init__(self, root: str, depth: int, slices: int):
+        self.root, self.depth, self.slices = root, depth, slices
 
     def partitions(self) -> Sequence[InputPartition]:
-        parts, level = [], [self.root]
+        folders, level = [], [self.root]
         for _ in range(self.depth):
-            parts += [_Folder(folder, False) for folder in level]
+            folders += [(folder, False) for folder in level]
             level = sorted(e.path for folder in level for e in os.scandir(folder) if e.is_dir(follow_symlinks=False))
-        return parts + [_Folder(folder, True) for folder in level]
+        folders += [(folder, True) for folder in level]
+        return [_Folder(folder, recurse, n) for folder, recurse in folders for n in range(self.slices)]
 
     def read(self, partition: _Folder) -> Iterator[tuple]:
         for folder, _, files in os.walk(partition.path):
             for name in sorted(files):
-                if os.path.splitext(name)[1].lower() in SCAN_SUFFIXES:
+                mine = zlib.crc32(os.fsencode(name)) % self.slices == partition.number
+                if mine and os.path.splitext(name)[1].lower() in SCAN_SUFFIXES:
                     path = os.path.join(folder, name)
                     stat = os.stat(path)
                     yield Path(path).relative_to(self.root).as_posix(), path, stat.st_mtime, stat.st_size
@@ -66,10 +70,10 @@ class _PhotoReader(DataSourceReader):
                 break
 
 
-def photo_scan(spark: SparkSession, root: str, depth: int = 2) -> DataFrame:
+def photo_scan(spark: SparkSession, root: str, depth: int = 2, slices: int = 8) -> DataFrame:
     """Photos below ``root``: rel, path, mtime, size_bytes. Order by ``rel`` where order matters."""
     spark.dataSource.register(PhotoScan)
-    return spark.read.format("photos").option("path", root).option("depth", str(depth)).load()
+    return spark.read.format("photos").options(path=root, depth=str(depth), slices=str(slices)).load()
 
 
 def binary_scan(spark: SparkSession, root: str) -> DataFrame:
@@ -121,8 +125,8 @@ def image_pixels(images: DataFrame, params: SelectionParams = SelectionParams())
     """Pixels from Spark's image source: full-size gray, and RGB with its long edge shrunk for detection.
 
     ``images`` has the ``image`` struct of ``spark.read.format("image")`` and optionally ``orientation`` (the tag as an
-    integer, 1 if absent). An undecodable file keeps its row with null pixels. Keep
-    ``spark.sql.execution.arrow.maxRecordsPerBatch`` small (16 or so): one row is a whole photo.
+    integer, 1 if absent). An undecodable file keeps its row with null pixels. Photos come in by batches of a bounded number
+    of bytes (``spark.sql.execution.arrow.maxBytesPerBatch``) and leave one by one.
     """
     long_edge = params.downscale_long_edge
     turn = F.coalesce("orientation", F.lit(1)) if "orientation" in images.columns else F.lit(1)
@@ -134,11 +138,11 @@ def image_pixels(images: DataFrame, params: SelectionParams = SelectionParams())
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["path", "decode_ok", "height", "width", "gray", "rgb_height", "rgb_width", "rgb"]
         for pdf in batches:
-            rows = []
             for r in pdf.itertuples(index=False):
                 if r.height <= 0 or r.data is None:
-                    rows.append((r.path, False, None, None, None, None, None, None))
+                    yield one(names, (r.path, False, None, None, None, None, None, None))
                     continue
                 stored = np.frombuffer(r.data, dtype=np.uint8).reshape(r.height, r.width, r.nChannels)
                 stored = stored[..., :3][..., ::-1] if r.nChannels >= 3 else np.repeat(stored[..., :1], 3, axis=2)
@@ -146,12 +150,13 @@ def image_pixels(images: DataFrame, params: SelectionParams = SelectionParams())
                 h, w = rgb.shape[:2]
                 scale = long_edge / max(h, w)
                 small = resize(rgb, max(1, int(h * scale)), max(1, int(w * scale))) if scale < 1 else rgb
-                rows.append((r.path, True, h, w, luma(rgb).tobytes(), small.shape[0], small.shape[1], small.tobytes()))
-            names = ["path", "decode_ok", "height", "width", "gray", "rgb_height", "rgb_width", "rgb"]
-            frame = pd.DataFrame(rows, columns=names)
-            for c in ("height", "width", "rgb_height", "rgb_width"):
-                frame[c] = frame[c].astype("Int32")
-            yield frame
+                yield one(names, (r.path, True, h, w, luma(rgb).tobytes(), small.shape[0], small.shape[1], small.tobytes()))
+
+    def one(names: list[str], row: tuple) -> pd.DataFrame:
+        frame = pd.DataFrame([row], columns=names)
+        for c in ("height", "width", "rgb_height", "rgb_width"):
+            frame[c] = frame[c].astype("Int32")
+        return frame
 
     schema = "path string, decode_ok boolean, height int, width int, gray binary, rgb_height int, rgb_width int, rgb binary"
     return flat.mapInPandas(run, schema)

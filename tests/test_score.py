@@ -74,3 +74,30 @@ def test_second_run_opens_nothing(spark, shoot, tmp_path):
     assert sorted(map(tuple, again.select(*pick).collect())) == sorted(map(tuple, first.select(*pick).collect()))
     moved = photos.withColumn("mtime", photos.mtime + 1)
     assert known(moved, stored).isEmpty()
+
+
+def test_photos_are_spread_by_their_number(spark, tmp_path, monkeypatch):
+    """Tasks open a stated number of photos each, though a row is a few bytes."""
+    from burstselect.plans import score as plan
+
+    rows = [(f"{i:03d}.jpg", str(tmp_path / "none"), 1.0, 1) for i in range(400)]
+    photos = spark.createDataFrame(rows, "rel string, path string, mtime double, size_bytes bigint")
+    photos = photos.selectExpr("*", "timestamp_ntz '2031-03-08 12:00:00' as when_ts").repartition(1)
+    cols = "rel string, face_no int, x int, y int, w int, h int, frame_w int, frame_h int, open_prob double"
+    log = str(tmp_path / "opened")
+
+    def load(path):
+        from pyspark import TaskContext
+
+        with open(f"{log}-{TaskContext.get().partitionId()}", "a") as fh:
+            fh.write("x")
+
+    spread = plan.spread
+    monkeypatch.setattr(plan, "spread", lambda df: spread(df, 20))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    try:
+        assert score(photos, spark.createDataFrame([], cols), load).count() == 400
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    opened = [len(p.read_text()) for p in tmp_path.glob("opened-*")]
+    assert len(opened) >= 18 and sum(opened) == 400 and max(opened) <= 45
