@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from burstselect.functions.columns import (
@@ -19,7 +20,7 @@ from burstselect.functions.columns import (
     sharpness_text,
     slug,
 )
-from burstselect.plans.ordered import chron, join_burst_table, laid_out, rank_in_burst, ranked
+from burstselect.plans.ordered import CHUNK, SPANS, chron, join_burst_table, laid_out, parts, rank_in_burst, ranked
 from burstselect.session import pin
 
 
@@ -48,7 +49,7 @@ def best_count(judged: DataFrame) -> DataFrame:
 
 def display_order() -> list[Column]:
     """Keepers first, then by falling displayed sharpness, then the order of the result."""
-    return [(F.col("mark") != "keeper").asc(), F.col("sharpness").desc(), F.col("position").asc()]
+    return [F.col("mark") != "keeper", -F.col("sharpness"), F.col("position")]
 
 
 def visible_frames(documents: DataFrame, mark: str = "all") -> DataFrame:
@@ -157,9 +158,21 @@ def _ring(df: DataFrame, group: Sequence[str], at: str, value: str) -> DataFrame
 
 
 def frame_step(documents: DataFrame, mark: str = "all") -> DataFrame:
-    """Previous and next shown frame in the burst, wrapping."""
-    shown = visible_frames(documents, mark).select("burst_id", "shown_at", "id")
-    return _ring(shown, ["burst_id"], "shown_at", "id")
+    """Previous and next shown frame in the burst, wrapping.
+
+    Inside a chunk they are the window's neighbours; only the bursts over chunk edges are looked up by position.
+    """
+    whole, split = parts(visible_frames(documents, mark).select("burst_id", "shown_at", "id", CHUNK, SPANS))
+    in_burst = W.partitionBy(CHUNK, "burst_id").orderBy("shown_at")
+    all_of_it = in_burst.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    whole = whole.withColumns(
+        dict(
+            prev_id=F.coalesce(F.lag("id").over(in_burst), F.last("id").over(all_of_it)),
+            next_id=F.coalesce(F.lead("id").over(in_burst), F.first("id").over(all_of_it)),
+        )
+    )
+    around = _ring(split.drop(CHUNK, SPANS), ["burst_id"], "shown_at", "id")
+    return whole.drop(CHUNK, SPANS).unionByName(around)
 
 
 def burst_step(documents: DataFrame, mark: str = "all") -> DataFrame:

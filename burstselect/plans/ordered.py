@@ -43,16 +43,28 @@ def _into_chunks(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     if chunks < 2:
         return df.repartition(1).withColumn(CHUNK, F.lit(0))
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
-    keys = df.select(key.alias("key"))
+    keys = df.select(key.alias("key")).select("key.*")
     share = min(1.0, SAMPLED_KEYS * chunks / rows)
-    found = keys.sample(share, seed=7).select(F.to_json("key").alias("j")).collect()
-    sample = F.array_sort(F.from_json(F.lit("[" + ",".join(r.j for r in found) + "]"), f"array<{keys.schema['key'].dataType.simpleString()}>"))
-    # One literal: every so many sampled keys, in order. The keys need not be exact, as boundaries.
-    step = max(1, len(found) // chunks)
-    bounds = F.filter(sample, lambda _, i: (i > 0) & (i % step == 0))
-    most = max(0, -(-len(found) // step) - 1)
-    dealt = df.withColumn(CHUNK, _at_or_below(bounds, most, key))
-    return dealt.repartitionById(most + 1, CHUNK)
+    # Every so many sampled keys, in order, as text: they become one literal.
+    sample = keys.sample(share, seed=7).orderBy(*keys.columns).select(*[F.col(c).cast("string") for c in keys.columns]).collect()
+    step = max(1, len(sample) // chunks)
+    bounds = sample[step::step]
+    kinds = [f.dataType.simpleString() for f in keys.schema.fields]
+    dealt = df.withColumn(CHUNK, _at_or_below(_literal(bounds, kinds), len(bounds), key)) if bounds else df.withColumn(CHUNK, F.lit(0))
+    return dealt.repartitionById(len(bounds) + 1, CHUNK) if bounds else dealt.repartition(1)
+
+
+def _literal(rows: Sequence[Sequence[str | None]], kinds: Sequence[str]) -> Column:
+    """An array of structs, given as text, that Spark folds into one literal."""
+
+    def cell(text: str | None, kind: str) -> str:
+        if text is None:
+            return f"cast(null as {kind})"
+        escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+        return f"cast('{escaped}' as {kind})"
+
+    structs = (", ".join(f"'k{i}', {cell(x, k)}" for i, (x, k) in enumerate(zip(r, kinds, strict=True))) for r in rows)
+    return F.expr("array(" + ", ".join(f"named_struct({x})" for x in structs) + ")")
 
 
 def _at_or_below(bounds: Column, n: int, key: Column) -> Column:
