@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burstselect.llm.common import clear_of, pin, slices, text_or_empty
+from burstselect.llm.common import clear_of, pin, slices, text_or_empty, tidy
 
 PART_CHARS = 1 << 16
 MARGIN = 16
@@ -85,7 +85,7 @@ class WholeTexts:
     """Encodes texts under a byte-level vocabulary without a normaliser."""
 
     def __init__(self, path: str):
-        self.encoding, self.tokenizer = ranked_bytes(path), tokenizer(path)
+        self.encoding, self.path = ranked_bytes(path), path
         self.special = list(self.encoding.special_tokens_set)
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -95,7 +95,7 @@ class WholeTexts:
     def _ids(self, text: str) -> list[int]:
         # A text that names a special token is rare; the library itself finds it.
         if any(s in text for s in self.special):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
+            return tokenizer(self.path).encode(text, add_special_tokens=False).ids
         return self.encoding.encode_ordinary(text)
 
 
@@ -126,7 +126,7 @@ class WordEnds:
     cut = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
 
     def __init__(self, path: str):
-        self.encoding, self.tokenizer = ranked_bytes(path), tokenizer(path)
+        self.encoding, self.path = ranked_bytes(path), path
         self.special = list(self.encoding.special_tokens_set)
         self.known = _Memory(self._word)
 
@@ -144,7 +144,7 @@ class WordEnds:
             for piece in self.cut.findall(word.lower()):
                 ids.extend(merged(piece.encode() + _END))
             return ids.tobytes()
-        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        return array("I", tokenizer(self.path).encode(word, add_special_tokens=False).ids).tobytes()
 
 
 @lru_cache(maxsize=4)
@@ -308,12 +308,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", par
         return pa.Table.from_arrays([*(group.column(c).slice(0, 1) for c in rest), joined], names=[*rest, out])
 
     size = F.length(f"`{text}`")
-    short = base.where(size <= part_chars).mapInArrow(whole, f"{thin}{comma}`{out}` array<int>")
+    short = base.where(size <= part_chars).mapInArrow(tidy(whole), f"{thin}{comma}`{out}` array<int>")
     # The rows of a long text are numbered before they are cut, and written so that the numbers hold.
     long = base.where(size > part_chars).withColumn(rid, F.monotonically_increasing_id())
     long = pin(long.mapInArrow(cut, f"{thin}{comma}`{rid}` bigint, `{no}` int, `{soft}` boolean, `{text}` string"))
     dealt = long.repartition(F.col(rid), F.col(no))
-    coded = dealt.mapInArrow(parts, f"{thin}{comma}`{rid}` bigint, `{no}` int, `{soft}` boolean, `{text}` string, `{out}` array<int>")
+    coded = dealt.mapInArrow(tidy(parts), f"{thin}{comma}`{rid}` bigint, `{no}` int, `{soft}` boolean, `{text}` string, `{out}` array<int>")
     joined = coded.groupBy(rid).applyInArrow(together, f"{thin}{comma}`{out}` array<int>")
     return short.unionByName(joined)
 
@@ -341,4 +341,4 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*names, out])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(over, f"{kinds}, `{out}` string")
+    return rows.mapInArrow(tidy(over), f"{kinds}, `{out}` string")

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from burstselect.session import pin
 
-__all__ = ["arrow_map", "bit_counts", "bytes_of", "chained", "clear_of", "hash_split", "packed_key", "pin", "slices", "text_or_empty", "without"]
+__all__ = ["arrow_map", "bit_counts", "bytes_of", "chained", "clear_of", "hash_split", "packed_key", "pin", "slices", "text_or_empty", "tidy", "without"]
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -51,6 +53,23 @@ def bytes_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.large_binary()).to_pylist()]
 
 
+def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` over the batches of a task, after which the worker gives back the memory it no longer uses.
+
+    Spark keeps Python workers for later tasks, and allocators keep freed memory; over several stages that adds up.
+    """
+
+    def over(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return over
+
+
 def arrow_map(
     df: DataFrame, schema: str, text: str, work: Callable[[pa.RecordBatch], pa.RecordBatch]
 ) -> DataFrame:
@@ -61,7 +80,7 @@ def arrow_map(
             for part in slices(batch, text):
                 yield work(part)
 
-    return df.mapInArrow(over, schema)
+    return df.mapInArrow(tidy(over), schema)
 
 
 def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -109,20 +128,34 @@ def bit_counts(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 ORDER_BITS = 35
 
 
-def chained(placed: DataFrame, packed: str, node: str) -> DataFrame:
-    """Different pairs (a, b) of nodes that stand next to each other under a key.
+def chained(placed: DataFrame, packed: str, node: str, most: int = ORDER_BITS) -> DataFrame:
+    """Different pairs (a, b) of nodes that stand next to each other under a key, and whose orders differ in ``most`` bits or less.
 
-    ``packed`` is a positive long: the key, and in its lowest ORDER_BITS bits the order of nodes under the key, alike for like nodes. A
-    key's nodes are chained in 64 shares, and the shares' first ones are chained in turn, so that a key which very many nodes have
-    is spread over tasks and makes no more pairs than it has nodes.
+    ``packed`` is a positive long: the key, and in its lowest ORDER_BITS bits the order of nodes under the key, alike for like nodes. The
+    rows are sorted by range, so a key which very many nodes have is spread over tasks, and makes no more pairs than it has
+    nodes. Two nodes between which a range ends are not paired there.
     """
-    key = F.shiftright(F.col("at"), ORDER_BITS).alias("key")
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_at, last_node = np.empty(0, np.int64), np.empty(0, np.int64)
+        for batch in batches:
+            at = np.concatenate([last_at, batch.column("at").to_numpy()])
+            nodes = np.concatenate([last_node, batch.column("node").to_numpy()])
+            last_at, last_node = at[-1:], nodes[-1:]
+            differ = at[1:] ^ at[:-1]
+            close = ((differ >> ORDER_BITS) == 0) & (np.bitwise_count(differ) <= most)
+            same = np.flatnonzero(close & (nodes[1:] != nodes[:-1]))
+            a, b = nodes[same], nodes[same + 1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
     rows = placed.select(F.col(packed).alias("at"), F.col(node).alias("node"))
-    rows = rows.select(key, "at", "node", F.pmod(F.xxhash64("node"), F.lit(64)).alias("share"))
-    rows = rows.withColumn("before", F.lag("node").over(W.partitionBy("key", "share").orderBy("at", "node")))
-    heads = rows.where("before is null").withColumn("before", F.lag("node").over(W.partitionBy("key").orderBy("at", "node")))
-    pairs = rows.select("before", "node").unionByName(heads.select("before", "node")).where("before is not null and before <> node")
-    return pairs.select(F.least("before", "node").alias("a"), F.greatest("before", "node").alias("b")).distinct()
+    rows = rows.repartitionByRange("at", "node").sortWithinPartitions("at", "node")
+    return rows.mapInArrow(neighbours, "a bigint, b bigint").distinct()
+
+
+def order_apart(share: float) -> int:
+    """How many order bits may differ where this share of a fingerprint's bits does: the mean and two deviations."""
+    return math.ceil(ORDER_BITS * share + 2 * math.sqrt(ORDER_BITS * share * (1 - share)))
 
 
 def packed_key(slot: str, bits: str, width: int, order: str) -> Column:

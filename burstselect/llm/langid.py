@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from burstselect.llm.common import slices, text_or_empty
+from burstselect.llm.common import slices, text_or_empty, tidy
 
 PASSAGES = 64
 PASSAGE_CHARS = 1500
@@ -173,4 +173,4 @@ def identify(docs: DataFrame, samples: dict[str, str], text: str = "text", label
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text]
     schema = ", ".join([*kinds, f"`{label}` string", f"`{score}` double"])
-    return docs.withColumn(text, F.when(F.col(text).isNotNull(), text_or_empty(text))).mapInArrow(over, schema)
+    return docs.withColumn(text, F.when(F.col(text).isNotNull(), text_or_empty(text))).mapInArrow(tidy(over), schema)

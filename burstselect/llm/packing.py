@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burstselect.llm.bpe import whole_texts
-from burstselect.llm.common import pin, slices, text_or_empty
+from burstselect.llm.common import pin, slices, text_or_empty, tidy
 
 CAPACITY = 2048
 OPEN_WINDOWS = 32
@@ -133,7 +133,7 @@ def pack(
         names = ["doc_id", "task", "window", "open", "start", "length", "doc_tokens", "offset", "ids"]
         for batch in batches:
             id_kind = batch.column("doc_id").type
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 4 << 20):
                 encoded = words.encode(part.column("text").to_pylist())
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoded, strict=True):
                     ids += end
@@ -159,7 +159,7 @@ def pack(
         )
 
     source = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text).alias("text"))
-    pieces = pin(source.mapInArrow(over, f"doc_id {id_type}, {PIECE}"))
+    pieces = pin(source.mapInArrow(tidy(over), f"doc_id {id_type}, {PIECE}"))
     still = pieces.where("open")
     windows = still.groupBy("task", "window").agg(F.sum("length").alias("fill"))
     windows = windows.groupBy(F.expr(f"task div {MERGED_TASKS}").alias("part")).applyInArrow(

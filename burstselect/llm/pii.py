@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from burstselect.llm.common import clear_of, pin, row_mark, slices
+from burstselect.llm.common import clear_of, pin, row_mark, slices, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -170,7 +170,7 @@ def seen(docs: DataFrame, text: str = "text") -> DataFrame:
                 yield work(part)
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text]
-    return docs.withColumn(text, F.col(text).cast("string")).mapInArrow(over, ", ".join([*kinds, f"base {SPAN}", f"seen {SEEN}"]))
+    return docs.withColumn(text, F.col(text).cast("string")).mapInArrow(tidy(over), ", ".join([*kinds, f"base {SPAN}", f"seen {SEEN}"]))
 
 
 def trusted_patterns(found: DataFrame, rounds: int = ROUNDS, least: int = LEAST_INSTANCES, trust: float = TRUST) -> DataFrame:
@@ -259,4 +259,4 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
                 columns = [pa.array(new, pa.string()) if c == text else part.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return met.mapInArrow(over, T.StructType([T.StructField(f.name, T.StringType() if f.name == text else f.dataType) for f in docs.schema.fields]))
+    return met.mapInArrow(tidy(over), T.StructType([T.StructField(f.name, T.StringType() if f.name == text else f.dataType) for f in docs.schema.fields]))

@@ -21,16 +21,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burstselect.llm.common import arrow_map, bit_counts, bytes_of, chained, packed_key, pin, row_mark, without
+from burstselect.llm.common import arrow_map, bit_counts, bytes_of, chained, order_apart, packed_key, pin, row_mark, without
 from burstselect.llm.components import components
 
 SHINGLE = 3
 MAX_BITS = 3
 SEED = 42
-WIDE = 4
-SEGMENT = 20
-SEGMENTS = 3
-_MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
+WIDE = 3
+SEGMENT = 16
+SEGMENTS = 4
+_MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -169,10 +169,15 @@ def remixed(hashes: np.ndarray, w: int) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(27))
 
 
+def bit_share(similarity: float) -> float:
+    """The share of a fingerprint's bits that differs on average."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
 def bits_apart(similarity: float, words: int = WIDE) -> int:
-    """How many bits of a wide fingerprint differ between two sets of shingles of this Jaccard similarity: the mean and one deviation."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(64 * words * share + math.sqrt(64 * words * share * (1 - share)))
+    """How many bits of a wide fingerprint differ between two sets of shingles of this Jaccard similarity: the mean and two deviations."""
+    share = bit_share(similarity)
+    return int(64 * words * share + 2 * math.sqrt(64 * words * share * (1 - share)))
 
 
 def alike(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -181,8 +186,9 @@ def alike(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: flo
     For a similarity of 0.8 and more 64 bits are too few. WIDE words of 64 bits are cut into SEGMENTS segments of SEGMENT bits each;
     segments that differ by at most one bit share a variant with that bit as a wildcard. Within a variant fingerprints are ordered by
     another word of theirs and each is compared with the one before it (`chained`), so that a variant which very many near copies
-    share costs no more than its rows; near copies share many variants. Links are verified over all bits. A pair of similarity 0.86 is
-    found in 98 of 100 cases, one of 0.8 in about 75; copies of a group are linked through each other as well.
+    share costs no more than its rows; near copies share many variants. Links are verified over all bits, which tell the similarity to
+    about 0.05: pairs below 0.65 are hardly ever linked. Not every pair of
+    a similarity just above the limit is found; copies of a group are linked through each other as well.
     """
     rows = docs.select("doc_id", row_mark(text).alias("mark"), F.col(text).alias("text"))
     prints = pin(wide_prints(rows, "text", shingle))
@@ -192,7 +198,7 @@ def alike(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: flo
     word, shift, bit = f"cast(slot div {SEGMENTS * SEGMENT} as int)", f"cast(slot div {SEGMENT} % {SEGMENTS} as int) * {SEGMENT}", f"cast(slot % {SEGMENT} as int)"
     segment = f"shiftrightunsigned(print[{word}], {shift}) & {(1 << SEGMENT) - 1}L & ~shiftleft(1L, {bit})"
     variants = slots.select("node", packed_key("slot", segment, SEGMENT, f"print[({word} + 1) % {WIDE}]").alias("variant"))
-    pairs = chained(variants, "variant", "node")
+    pairs = chained(variants, "variant", "node", order_apart(bit_share(similarity)))
     left = nodes.select(F.col("node").alias("a"), F.col("print").alias("x"))
     right = nodes.select(F.col("node").alias("b"), F.col("print").alias("y"))
     apart = F.expr("aggregate(zip_with(x, y, (p, q) -> bit_count(p ^ q)), 0, (s, n) -> s + n)")

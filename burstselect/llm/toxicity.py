@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burstselect.llm.common import clear_of, pin, slices
+from burstselect.llm.common import clear_of, pin, slices, tidy
 
 SAMPLE_ROWS = 20_000
 WORDS = 600
@@ -165,7 +165,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", keep_text: bool =
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), scores], [*keep, name])
 
     kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in keep), f"`{name}` double"])
-    return docs.mapInArrow(over, kinds)
+    return docs.mapInArrow(tidy(over), kinds)
 
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
