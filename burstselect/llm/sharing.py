@@ -1,0 +1,125 @@
+"""Links between like rows that share a rare element, found by equality and verified, without a square of rows that are all alike.
+
+A row is a set of elements, each a hash of 64 bits. Two sets that have enough in common share an element of their prefixes (the first
+elements in an order that is the same for all sets, as many as may be missing in the other set and one more), so joining prefixes by
+equality misses no pair. Prefixes go to buckets, each a range of hashes, as packed arrays; a bucket keeps elements of two rows or more.
+
+All rows with an element are first compared with the smallest of them, its hub. What is linked by that is one component already, and
+only rows outside of the hub's component are compared with all others; those joins are dealt by element and tile, so that one element
+which very many rows share is spread over tasks.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from burstselect.llm.common import pin
+from burstselect.llm.components import components
+from burstselect.llm.suffix_dedup import bucket_cuts
+
+#: Elements in a bucket, on average, and rows in a tile.
+BUCKET_ROWS = 1 << 19
+TILE = 2048
+REMEMBERED = 100_000
+
+MAIL = "bucket int, n int, element binary, node binary, size binary"
+_MAIL = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), *((c, pa.binary()) for c in ("element", "node", "size"))])
+SHARED = "element bigint, no int, run int, node bigint, size int, hub bigint, hub_size int"
+
+
+def bucket_count(elements: int | None) -> int:
+    return (elements or 0) // BUCKET_ROWS + 1
+
+
+def mailed(elements: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Elements of prefixes as one row for each bucket. A bucket's elements differ in their lowest 32 bits."""
+    order = np.argsort(elements)
+    elements, nodes, sizes = elements[order], nodes[order].astype(np.int64), sizes[order].astype(np.int32)
+    cuts = bucket_cuts(elements, buckets)
+    low = elements.astype(np.uint32)
+    rows = [(int(b), slice(cuts[b], cuts[b + 1])) for b in np.flatnonzero(cuts[1:] > cuts[:-1])]
+    columns = [[b for b, _ in rows], [s.stop - s.start for _, s in rows], *([x[s].tobytes() for _, s in rows] for x in (low, nodes, sizes))]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _MAIL, strict=True)], schema=_MAIL)
+
+
+class Seen(set):
+    """Nodes whose prefixes a task has sent. When there are too many all are forgotten; a repeated prefix changes nothing."""
+
+    def first(self, node: int) -> bool:
+        if node in self:
+            return False
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self.add(node)
+        return True
+
+
+def shared(mail: DataFrame) -> DataFrame:
+    """(element, no, run, node, size, hub, hub_size) for elements that ``run`` >= 2 different nodes have, numbered ``no`` by node."""
+
+    def met(key: tuple, table: pa.Table) -> pa.Table:
+        get = lambda name, t: np.frombuffer(b"".join(table.column(name).to_pylist()), t)
+        element, node, size = get("element", np.uint32), get("node", np.int64), get("size", np.int32)
+        order = np.argsort(element)
+        ordered = element[order]
+        # Elements of one row are most; only the others have to be put in the order of nodes.
+        again = ordered[1:] == ordered[:-1]
+        order = order[np.append(False, again) | np.append(again, False)]
+        order = order[np.lexsort((node[order], element[order]))]
+        element, node, size = element[order], node[order], size[order]
+        new = np.ones(len(element), bool)
+        new[1:] = (element[1:] != element[:-1]) | (node[1:] != node[:-1])
+        element, node, size = element[new], node[new], size[new]
+        begins = np.ones(len(element), bool)
+        begins[1:] = element[1:] != element[:-1]
+        start = np.flatnonzero(begins)
+        run = np.diff(np.append(start, len(element)))
+        no = np.arange(len(element)) - np.repeat(start, run)
+        hub, run = np.repeat(start, run), np.repeat(run, run)
+        keep = run > 1
+        name = (np.int64(key[0].as_py()) << 32) | element.astype(np.int64)
+        columns = [name, no.astype(np.int32), run.astype(np.int32), node, size, node[hub], size[hub]]
+        names = ["element", "no", "run", "node", "size", "hub", "hub_size"]
+        return pa.table([pa.array(c[keep]) for c in columns], names=names)
+
+    return mail.groupBy("bucket").applyInArrow(met, SHARED)
+
+
+def links(rows: DataFrame, ratio: float, verified: Callable[[DataFrame], DataFrame], signs: DataFrame | None = None, near_signs: Callable[..., Column] | None = None) -> DataFrame:
+    """Links (a, b) whose components are those of all pairs that share an element of ``rows`` (`shared`) and that ``verified`` keeps.
+
+    ``verified`` takes different pairs (a, b) and returns those that are alike; sizes of like rows have at least this ratio. ``signs`` is
+    (node, sign); ``near_signs`` tells from the names of two signs and two sizes whether the rows can be alike at all.
+    """
+    rows = pin(rows)
+
+    def fit(x: str, y: str) -> Column:
+        return F.least(x, y) >= F.greatest(x, y) * ratio - 1e-9
+
+    def pairs(of: DataFrame, x: str, y: str) -> DataFrame:
+        return pin(of.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct())
+
+    near = pin(verified(pairs(rows.where((F.col("no") > 0) & fit("size", "hub_size")), "hub", "node")))
+    roots = pin(components(near))
+    # Pairs with a hub are done, and so are those within one component.
+    rest = rows.where("run > 2 and no > 0").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = rest.withColumn("sign", F.lit(None).cast("long")) if signs is None else rest.join(signs, "node")
+    hubs = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+    rest = pin(rest.join(hubs, "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub")).select(
+        "element", "run", "no", "node", "size", "sign", "root", (F.col("root") == F.col("hub_root")).alias("inside")
+    ))
+    outer = rest.where("not inside").withColumn("tile", F.explode(F.expr(f"sequence(0, cast((run - 1) div {TILE} as int))"))).drop("run", "inside")
+    inner = rest.select(
+        "element", F.expr(f"cast(no div {TILE} as int)").alias("tile"),
+        *(F.col(c).alias(f"other_{c}") for c in ("no", "node", "size", "sign", "root")), "inside",
+    )
+    met = outer.join(inner, ["element", "tile"]).where((F.col("root") != F.col("other_root")) & (F.col("inside") | F.expr("no < other_no")) & fit("size", "other_size"))
+    if near_signs:
+        met = met.where(near_signs("sign", "other_sign", "size", "other_size"))
+    more = pairs(met, "node", "other_node")
+    return near if more.isEmpty() else near.unionByName(pin(verified(more)))

@@ -212,3 +212,24 @@ def test_lines(spark):
     assert by[None].removed == ([0] if where[0] else [])
     assert line_dedup.drop_lines("a\nb\nc", [1]) == "a\nc"
     assert line_dedup.duplicate_lines(df.where("false")).count() == 0
+
+
+def test_like_lines_equal_brute_force(spark):
+    rng = random.Random(8)
+    common, rare = [f"c{chr(97 + i)}" for i in range(12)], ["".join(rng.choice("defghijk") for _ in range(6)) for _ in range(400)]
+    lines = set()
+    for length in (4, 5, 10, 11, 13, 14, 20) * 25:
+        base = [rng.choice(common if rng.random() < 0.5 else rare) for _ in range(length)]
+        for _ in range(4):
+            copy = list(base)
+            for _ in range(rng.randint(0, length // 4)):
+                at = rng.randrange(len(copy))
+                copy[at : at + rng.choice([0, 1, 1, 1])] = rng.choice([[rng.choice(rare)], [rng.choice(common)], []])
+            lines.add(" ".join(copy))
+    lines = sorted(lines - {""})
+    pairs = [(i, j) for i in range(len(lines)) for j in range(i) if line_dedup.edit_similarity(lines[i].split(), lines[j].split()) >= 0.8]
+    root = union(pairs, range(len(lines)))
+    assert len(pairs) > 200
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id for r in line_dedup.duplicate_lines(docs).collect() if r.n_removed}
+    assert got == {i for i in range(len(lines)) if root[i] != i}
