@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 
 from burstselect.session import pin
 
-__all__ = ["arrow_map", "bit_counts", "bytes_of", "chained", "clear_of", "hash_split", "packed_key", "pin", "slices", "text_or_empty", "tidy", "without"]
+__all__ = ["arrow_map", "bit_counts", "bytes_of", "clear_of", "hash_split", "pin", "slices", "text_or_empty", "tidy", "without"]
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -122,42 +121,3 @@ def bit_counts(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     if parts:
         return np.add.reduceat(counts, np.cumsum([0, *(len(p) for p in parts[:-1])]), axis=0)
     return counts
-
-
-#: Bits of a packed key that order the nodes under it.
-ORDER_BITS = 35
-
-
-def chained(placed: DataFrame, packed: str, node: str, most: int = ORDER_BITS) -> DataFrame:
-    """Different pairs (a, b) of nodes that stand next to each other under a key, and whose orders differ in ``most`` bits or less.
-
-    ``packed`` is a positive long: the key, and in its lowest ORDER_BITS bits the order of nodes under the key, alike for like nodes. The
-    rows are sorted by range, so a key which very many nodes have is spread over tasks, and makes no more pairs than it has
-    nodes. Two nodes between which a range ends are not paired there.
-    """
-
-    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_at, last_node = np.empty(0, np.int64), np.empty(0, np.int64)
-        for batch in batches:
-            at = np.concatenate([last_at, batch.column("at").to_numpy()])
-            nodes = np.concatenate([last_node, batch.column("node").to_numpy()])
-            last_at, last_node = at[-1:], nodes[-1:]
-            differ = at[1:] ^ at[:-1]
-            close = ((differ >> ORDER_BITS) == 0) & (np.bitwise_count(differ) <= most)
-            same = np.flatnonzero(close & (nodes[1:] != nodes[:-1]))
-            a, b = nodes[same], nodes[same + 1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    rows = placed.select(F.col(packed).alias("at"), F.col(node).alias("node"))
-    rows = rows.repartitionByRange("at", "node").sortWithinPartitions("at", "node")
-    return rows.mapInArrow(neighbours, "a bigint, b bigint").distinct()
-
-
-def order_apart(share: float) -> int:
-    """How many order bits may differ where this share of a fingerprint's bits does: the mean and two deviations."""
-    return math.ceil(ORDER_BITS * share + 2 * math.sqrt(ORDER_BITS * share * (1 - share)))
-
-
-def packed_key(slot: str, bits: str, width: int, order: str) -> Column:
-    """A key for `chained` from a slot and ``width`` bits, ordered by the highest bits of a fingerprint word."""
-    return F.expr(f"shiftleft(shiftleft(cast({slot} as bigint), {width}) | ({bits}), {ORDER_BITS}) | shiftrightunsigned({order}, {64 - ORDER_BITS})")

@@ -21,15 +21,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burstselect.llm.common import arrow_map, bit_counts, bytes_of, chained, order_apart, packed_key, pin, row_mark, without
+from burstselect.llm.common import arrow_map, bit_counts, bytes_of, pin, row_mark, slices, tidy, without
 from burstselect.llm.components import components
+from burstselect.llm.sharing import MAIL, Seen, bucket_count, links, mailed, shared
+from burstselect.llm.suffix_dedup import _mixed
 
 SHINGLE = 3
 MAX_BITS = 3
 SEED = 42
 WIDE = 3
-SEGMENT = 16
-SEGMENTS = 4
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
@@ -125,19 +125,6 @@ def near_groups(docs: DataFrame, text: str = "text", max_bits: int = MAX_BITS, c
     return prints.join(labels, "fp").select("doc_id", F.col("fp").alias("fingerprint"), "component_id", *carry)
 
 
-def wide_prints(docs: DataFrame, text: str, shingle: int, name: str = "print") -> DataFrame:
-    """``docs`` with its text replaced by a fingerprint of WIDE words of 64 bits (array of long)."""
-    rest = [c for c in docs.columns if c != text]
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        prints = np.array([wide_fingerprint(t, shingle) for t in bytes_of(batch, text)], np.uint64).view(np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, WIDE * (batch.num_rows + 1), WIDE), pa.int32()), pa.array(prints.reshape(-1)))
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), lists], [*rest, name])
-
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text]
-    return arrow_map(docs.withColumn(text, F.col(text).cast("string")), ", ".join([*fields, f"`{name}` array<bigint>"]), text, work)
-
-
 def wide_fingerprint(text: bytes, shingle: int) -> np.ndarray:
     """Like `fingerprint`, with WIDE words, each from another mixing of the shingles' hashes."""
     ones, n, tail = np.zeros((WIDE, 64), np.int64), 0, []
@@ -169,45 +156,104 @@ def remixed(hashes: np.ndarray, w: int) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(27))
 
 
-def bit_share(similarity: float) -> float:
-    """The share of a fingerprint's bits that differs on average."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """The different hashes of a text's word shingles, ascending. Fewer words than a shingle: the whole sequence; none: no hash."""
+    found, tail = [np.empty(0, np.uint64)], []
+    for words in word_runs(text):
+        words = tail + words
+        tail = words[max(0, len(words) - shingle + 1) :]
+        if len(words) >= shingle:
+            grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
+            found.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(words) - shingle + 1)))
+    if len(found) == 1 and tail:
+        found.append(np.array([xxhash.xxh64_intdigest(b" ".join(tail), SEED)], np.uint64))
+    return np.unique(np.concatenate(found))
+
+
+def set_name(shingles: np.ndarray) -> int:
+    """A hash of a set, as a signed number."""
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)).view(np.int64))
+
 
+def set_names(docs: DataFrame, text: str, shingle: int) -> DataFrame:
+    """``docs`` with its text replaced by ``node``, the name of its set of shingles, and ``size``, how many there are."""
+    rest = [c for c in docs.columns if c != text]
 
-def bits_apart(similarity: float, words: int = WIDE) -> int:
-    """How many bits of a wide fingerprint differ between two sets of shingles of this Jaccard similarity: the mean and two deviations."""
-    share = bit_share(similarity)
-    return int(64 * words * share + 2 * math.sqrt(64 * words * share * (1 - share)))
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [(set_name(x), len(x)) for x in (shingle_set(t, shingle) for t in bytes_of(batch, text))]
+        columns = [pa.array([n for n, _ in sets], pa.int64()), pa.array([n for _, n in sets], pa.int64())]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *columns], [*rest, "node", "size"])
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text]
+    return arrow_map(docs.withColumn(text, F.col(text).cast("string")), ", ".join([*fields, "node bigint, size bigint"]), text, work)
+
+
+def set_prefixes(docs: DataFrame, shingle: int, similarity: float, buckets: int) -> DataFrame:
+    """The smallest hashes of each different set, for `shared`: sets of the similarity have one of them in common."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                elements, nodes, sizes = [np.empty(0, np.uint64)], [], []
+                for t in bytes_of(part, "text"):
+                    found = shingle_set(t, shingle)
+                    if len(found) and seen.first(name := set_name(found)):
+                        first = found[: len(found) - math.ceil(similarity * len(found) - 1e-9) + 1]
+                        elements.append(_mixed(first))
+                        nodes.append(np.full(len(first), name))
+                        sizes.append(np.full(len(first), len(found)))
+                if nodes:
+                    yield mailed(np.concatenate(elements), np.concatenate(nodes), np.concatenate(sizes), buckets)
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(over), MAIL)
+
+
+def jaccard_pairs(docs: DataFrame, names: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of sets whose Jaccard similarity, counted exactly, is ``similarity`` or more."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    # One document of each set that is compared.
+    asked = names.select("node", "doc_id", "mark").join(ends, "node").groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("at"))
+    asked = asked.select("node", F.col("at.doc_id").alias("_id"), F.col("at.mark").alias("_mark"))
+    rows = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))).select("node", F.col("text").cast("string").alias("text"))
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t, shingle).tobytes() for t in bytes_of(batch, "text")]
+        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+    # Repeated rows give a set more than once.
+    sets = pin(arrow_map(rows, "node bigint, shingles binary", "text", work).dropDuplicates(["node"]))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"
+    )
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                common = len(np.intersect1d(p, q, assume_unique=True))
+                near.append(common >= similarity * (len(p) + len(q) - common) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return both.select("a", "b", "x", "y").mapInArrow(tidy(close), "a bigint, b bigint")
 
 
 def alike(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, mark, component_id) for the rows of ``docs`` that have near copies, and their copies, by wide fingerprints.
-
-    For a similarity of 0.8 and more 64 bits are too few. WIDE words of 64 bits are cut into SEGMENTS segments of SEGMENT bits each;
-    segments that differ by at most one bit share a variant with that bit as a wildcard. Within a variant fingerprints are ordered by
-    another word of theirs and each is compared with the one before it (`chained`), so that a variant which very many near copies
-    share costs no more than its rows; near copies share many variants. Links are verified over all bits, which tell the similarity to
-    about 0.05: pairs below 0.65 are hardly ever linked. Not every pair of
-    a similarity just above the limit is found; copies of a group are linked through each other as well.
+    """(doc_id, mark, component_id) for the rows of ``docs`` and their near copies: sets of word shingles with the Jaccard similarity.
+
+    Sets of the similarity share one of their smallest hashes, so the join by these misses no pair (`sharing`), and each link is
+    verified by the whole sets; copies of a group are linked through each other as well. Equal sets are one node.
     """
     rows = docs.select("doc_id", row_mark(text).alias("mark"), F.col(text).alias("text"))
-    prints = pin(wide_prints(rows, "text", shingle))
-    nodes = prints.groupBy("print").agg(F.min("doc_id").alias("low")).withColumn("node", F.monotonically_increasing_id())
-    nodes = pin(nodes)
-    slots = nodes.select("node", "print", F.explode(F.expr(f"sequence(0, {WIDE * SEGMENTS * SEGMENT - 1})")).alias("slot"))
-    word, shift, bit = f"cast(slot div {SEGMENTS * SEGMENT} as int)", f"cast(slot div {SEGMENT} % {SEGMENTS} as int) * {SEGMENT}", f"cast(slot % {SEGMENT} as int)"
-    segment = f"shiftrightunsigned(print[{word}], {shift}) & {(1 << SEGMENT) - 1}L & ~shiftleft(1L, {bit})"
-    variants = slots.select("node", packed_key("slot", segment, SEGMENT, f"print[({word} + 1) % {WIDE}]").alias("variant"))
-    pairs = chained(variants, "variant", "node", order_apart(bit_share(similarity)))
-    left = nodes.select(F.col("node").alias("a"), F.col("print").alias("x"))
-    right = nodes.select(F.col("node").alias("b"), F.col("print").alias("y"))
-    apart = F.expr("aggregate(zip_with(x, y, (p, q) -> bit_count(p ^ q)), 0, (s, n) -> s + n)")
-    links = pairs.join(left, "a").join(right, "b").where(apart <= bits_apart(similarity)).select("a", "b")
-    roots = components(links)
-    rooted = pin(nodes.join(roots, "node", "left").select("print", F.coalesce("root", "node").alias("root"), "low"))
+    names = pin(set_names(rows, "text", shingle))
+    nodes = names.groupBy("node").agg(F.min("doc_id").alias("low"))
+    met = shared(set_prefixes(rows, shingle, similarity, bucket_count(names.agg(F.sum("size")).first()[0])))
+    roots = pin(components(links(met, similarity, lambda pairs: jaccard_pairs(rows, names, pairs, shingle, similarity))))
+    rooted = pin(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "low"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    labels = pin(rooted.select("print", "root").join(lows, "root").select("print", "component_id"))
-    return prints.join(labels, "print").select("doc_id", "mark", "component_id")
+    labels = pin(rooted.select("node", "root").join(lows, "root").select("node", "component_id"))
+    return names.join(labels, "node").select("doc_id", "mark", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -233,3 +233,25 @@ def test_like_lines_equal_brute_force(spark):
     docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string").repartition(3)
     got = {r.doc_id for r in line_dedup.duplicate_lines(docs).collect() if r.n_removed}
     assert got == {i for i in range(len(lines)) if root[i] != i}
+
+
+def shingles(text):
+    words = text.split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def test_near_copies_are_those_of_the_similarity(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    rows = []
+    for _ in range(100):  # pairs around the limit
+        base = text(rng.choice([12, 60, 120]))
+        copy = base[: int(len(base) * rng.uniform(0.75, 1))] if rng.random() < 0.5 else base + text(rng.randint(0, len(base) // 3))
+        rows += [" ".join(base), " ".join(copy)]
+    sets = [shingles(t) for t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = union(pairs, range(len(rows)))
+    assert 20 < len(pairs) < 90
+    kept = simhash_dedup.drop_near_copies(table(spark, [(i, t, "x") for i, t in enumerate(rows)]))
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(len(rows)) if root[i] == i]
