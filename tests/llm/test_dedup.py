@@ -249,6 +249,8 @@ def test_near_copies_are_those_of_the_similarity(spark):
         base = text(rng.choice([12, 60, 120]))
         copy = base[: int(len(base) * rng.uniform(0.75, 1))] if rng.random() < 0.5 else base + text(rng.randint(0, len(base) // 3))
         rows += [" ".join(base), " ".join(copy)]
+    boiler = " ".join(text(12))  # the same few shingles many times, and different ones
+    rows += [" ".join([boiler] * 60 + text(200)) for _ in range(4)]
     sets = [shingles(t) for t in rows]
     pairs = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     root = union(pairs, range(len(rows)))
