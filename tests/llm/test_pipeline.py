@@ -108,5 +108,5 @@ def test_stages_of_an_empty_table(spark, folder):
 def test_registration():
     names = entry.queries()
     numbered = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbered == list(range(1, 11)) and set(queries.QUERIES) < set(names) and names["pipeline"] is corpus_pipeline.run
+    assert numbered == list(range(1, 14)) and set(queries.QUERIES) < set(names) and names["pipeline"] is corpus_pipeline.run
     assert set(queries.ORACLES) <= set(queries.QUERIES) and corpus_pipeline.ORACLE_SQL is None
