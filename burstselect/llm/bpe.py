@@ -118,17 +118,19 @@ class WordEnds:
     """Encodes texts under a vocabulary with word ends that drops white space.
 
     A word is what stands between blanks or line ends; nothing the library does reaches over those. Words of common Latin letters,
-    digits and signs are cut and merged here, where lower case and the pattern are plain; others go to the library.
+    digits and signs are cut and merged here, where lower case and the pattern are plain; others go to the library. Most words are
+    letters, and perhaps signs behind them, which are one piece each; pieces are remembered as words are.
     """
 
     # Letters that are composed already and have one lower case, and the pattern for them.
     plain = re.compile("[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
     cut = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
+    common = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@[-`{-~]*)")
 
     def __init__(self, path: str):
         self.encoding, self.path = ranked_bytes(path), path
         self.special = list(self.encoding.special_tokens_set)
-        self.known = _Memory(self._word)
+        self.known, self.pieces = _Memory(self._word), _Memory(self._piece)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, as little-endian unsigned 32-bit numbers."""
@@ -138,14 +140,17 @@ class WordEnds:
     def _word(self, word: str) -> bytes:
         if not word:
             return b""
-        if len(word) <= WORD_CHARS and self.plain.fullmatch(word) and not any(s in word for s in self.special):
-            merged = self.encoding._encode_single_piece
-            ids = array("I")
-            for piece in self.cut.findall(word.lower()):
-                ids.extend(merged(piece.encode() + _END))
-            return ids.tobytes()
+        if len(word) <= WORD_CHARS:
+            if found := self.common.fullmatch(word):
+                letters, signs = found.groups()
+                return self.pieces[letters.lower()] + (self.pieces[signs] if signs else b"")
+            if self.plain.fullmatch(word) and not any(s in word for s in self.special):
+                return b"".join([self.pieces[piece] for piece in self.cut.findall(word.lower())])
         return array("I", tokenizer(self.path).encode(word, add_special_tokens=False).ids).tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        return array("I", self.encoding._encode_single_piece(piece.encode() + _END)).tobytes()
+
 
 @lru_cache(maxsize=4)
 def word_ends(path: str) -> WordEnds:

@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burstselect.llm.bpe import tokenizer, word_ends
-from burstselect.llm.common import pin, row_mark, slices, text_or_empty, tidy
+from burstselect.llm.common import row_mark, slices, text_or_empty, tidy
 
 BLOCK_IDS = 1 << 16
-FILE_IDS = 1 << 23
+FILE_CHARS = 1 << 25
 MAGIC = b"ids.bits"
 FOOTER = struct.Struct("<8sIIqqqq")
 
@@ -127,53 +127,37 @@ class _Writer:
         yield index + FOOTER.pack(MAGIC, self.bits, self.block_ids, self.number, self.ids, self.bytes, len(index))
 
 
-def encoded(docs: DataFrame, path: str, end_id: int, bits: int, text: str = "text") -> DataFrame:
-    """(doc_id, mark, n, packed, salt): each document's ids under the vocabulary at ``path``, then ``end_id``, in ``bits`` bits each."""
-
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = word_ends(path), np.array([end_id], "<u4")
-        for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
-                ids = [np.append(np.frombuffer(x, "<u4"), end) for x in words.encode(part.column("text").to_pylist())]
-                packed = pa.array([pack_bits(x, bits) for x in ids], pa.binary())
-                sizes = pa.array([len(x) for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), sizes, packed], ["doc_id", "mark", "n", "packed"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", row_mark(text).alias("mark"), text_or_empty(text).alias("text"))
-    return rows.mapInArrow(tidy(over), f"doc_id {kind}, mark bigint, n bigint, packed binary").withColumn("salt", F.monotonically_increasing_id())
-
-
 def write_tokens(
-    docs: DataFrame, path: str, out: str, end_id: int = 2, text: str = "text", file_ids: int = FILE_IDS, block_ids: int = BLOCK_IDS
+    docs: DataFrame, path: str, out: str, end_id: int = 2, text: str = "text", file_chars: int = FILE_CHARS, block_ids: int = BLOCK_IDS
 ) -> None:
     """Write the token ids of ``docs`` to the folder ``out``: files numbered in ascending order of doc_id, a null one first.
 
     The vocabulary at ``path`` drops white space. Null text counts as empty; every row ends with ``end_id`` and so has one id at least.
-    Rows that share a doc_id are each written, in the order of a hash of their text. Documents are never split, so a file has about
-    ``file_ids`` ids, or one very long document. An empty table writes no file with ids in it. Other columns don't matter.
+    Rows that share a doc_id are each written, in the order of a hash of their text. Documents are never split, so a file has the ids of
+    about ``file_chars`` characters, or of one very long document. An empty table writes no file with ids in it. Other columns don't matter.
     """
     if block_ids % 8:
         raise ValueError("a block has to fill whole bytes")
     bits = bits_needed(max(tokenizer(path).get_vocab_size(with_added_tokens=True), end_id + 1))
-    rows = pin(encoded(docs, path, end_id, bits, text))
-    files = (rows.agg(F.sum("n")).first()[0] or 0) // file_ids + 1
+    # The salt parts rows that share a doc_id and a text; either may come first.
+    rows = docs.select("doc_id", text_or_empty(text).alias("text"), row_mark(text).alias("mark"), F.monotonically_increasing_id().alias("salt"))
+    files = (rows.agg(F.sum(F.length("text") + 1)).first()[0] or 0) // file_chars + 1
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, end = word_ends(path), np.array([end_id], "<u4")
         writer = _Writer(TaskContext.get().partitionId(), bits, block_ids)
+        lines = lambda found: (pa.RecordBatch.from_arrays([pa.array([x], pa.binary())], ["line"]) for x in found)
         for batch in batches:
-            for part in slices(batch, "packed", 4 << 20):
-                sizes = part.column("n").to_numpy()
-                ids = [unpack_bits(x.as_buffer(), bits, 0, n) for x, n in zip(part.column("packed"), sizes.tolist(), strict=True)]
-                for line in writer.add(part.column("doc_id"), sizes, np.concatenate([np.empty(0, "<u4"), *ids])):
-                    yield pa.RecordBatch.from_arrays([pa.array([line], pa.binary())], ["line"])
+            for part in slices(batch, "text", 4 << 20):
+                ids = [y for x in words.encode(part.column("text").to_pylist()) for y in (np.frombuffer(x, "<u4"), end)]
+                sizes = np.array([len(x) + 1 for x in ids[::2]], np.int64)
+                yield from lines(writer.add(part.column("doc_id"), sizes, np.concatenate([np.empty(0, "<u4"), *ids])))
         if writer.docs:
-            for line in writer.end():
-                yield pa.RecordBatch.from_arrays([pa.array([line], pa.binary())], ["line"])
+            yield from lines(writer.end())
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("mark"), F.col("salt")]
     dealt = rows.repartitionByRange(files, *order).sortWithinPartitions(*order)
-    lines = dealt.select("doc_id", "n", "packed").mapInArrow(tidy(over), "line binary")
+    lines = dealt.select("doc_id", "text").mapInArrow(tidy(over), "line binary")
     lines.select(F.col("line").cast("string")).write.option("lineSep", "\n").text(f"{out}/ids")
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -71,7 +71,7 @@ def expected(rows):
 def test_files(spark, tmp_path):
     rows = texts()
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, salt string").repartition(5)
-    tokens.write_tokens(docs, PATH, f"{tmp_path}/t", file_ids=4000, block_ids=512)
+    tokens.write_tokens(docs, PATH, f"{tmp_path}/t", file_chars=20_000, block_ids=512)
     assert spark.read.parquet(f"{tmp_path}/t/files").count() > 3
     read = [(r.doc_id, r.start, r.n_tokens, bytes(r.ids)) for r in tokens.read_tokens(spark, f"{tmp_path}/t").orderBy("doc_id").collect()]
     assert read == expected(rows)
@@ -82,7 +82,7 @@ def test_files(spark, tmp_path):
 def test_odd_rows(spark, tmp_path):
     rows = [(None, "nobody"), (None, "nobody"), (None, "no one"), (5, "same"), (5, "same"), (5, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    tokens.write_tokens(docs, PATH, f"{tmp_path}/t", file_ids=3)
+    tokens.write_tokens(docs, PATH, f"{tmp_path}/t", file_chars=12)
     read = sorted((r.start, r.doc_id, r.n_tokens, bytes(r.ids)) for r in tokens.read_tokens(spark, f"{tmp_path}/t").collect())
     at = 0
     for start, _, n, _ in read:
