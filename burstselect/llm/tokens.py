@@ -28,7 +28,7 @@ from burstselect.llm.bpe import tokenizer, word_ends
 from burstselect.llm.common import row_mark, slices, text_or_empty, tidy
 
 BLOCK_IDS = 1 << 16
-FILE_CHARS = 1 << 25
+FILE_CHARS = 1 << 24
 MAGIC = b"ids.bits"
 FOOTER = struct.Struct("<8sIIqqqq")
 
@@ -148,7 +148,7 @@ def write_tokens(
         writer = _Writer(TaskContext.get().partitionId(), bits, block_ids)
         lines = lambda found: (pa.RecordBatch.from_arrays([pa.array([x], pa.binary())], ["line"]) for x in found)
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 2 << 20):
                 ids = [y for x in words.encode(part.column("text").to_pylist()) for y in (np.frombuffer(x, "<u4"), end)]
                 sizes = np.array([len(x) + 1 for x in ids[::2]], np.int64)
                 yield from lines(writer.add(part.column("doc_id"), sizes, np.concatenate([np.empty(0, "<u4"), *ids])))
