@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burstselect.llm.blocks import block_keys, fingerprints, hashed, hub_pairs, likely, mixed, starts_of
+from burstselect.llm.blocks import block_keys, fingerprints, hashed, hub_pairs, mixed, starts_of
 from burstselect.llm.common import arrow_map, bytes_of, pin, row_mark, slices, tidy, without
 from burstselect.llm.components import components
 
@@ -220,8 +220,8 @@ def alike(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: flo
     """
     rows = docs.select("doc_id", row_mark(text).alias("mark"), F.col(text).alias("text"))
     names = pin(signed(rows, "text", shingle))
-    nodes = pin(names.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("size").alias("size"), F.first("sign").alias("sign")))
-    pairs = likely(hub_pairs(names.select("node", F.explode("keys").alias("key"))), nodes, similarity, MOST_APART)
+    nodes = names.groupBy("node").agg(F.min("doc_id").alias("low"))
+    pairs = hub_pairs(names.select("node", "size", "sign", "keys"), similarity, MOST_APART)
     roots = pin(components(jaccard_pairs(rows, names, pairs, shingle, similarity)))
     rooted = pin(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "low"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from burstselect.llm import exact_dedup, line_dedup, simhash_dedup
+from burstselect.llm import blocks, exact_dedup, line_dedup, simhash_dedup
 from burstselect.llm.common import bit_counts
 from burstselect.llm.components import components
 
@@ -219,7 +219,9 @@ def test_line_words():
     words, sizes, owner, no = line_dedup.line_words(texts)
     want = [(i, k, line_dedup.normal_words(line)) for i, t in enumerate(texts) for k, line in enumerate(t.split("\n")) if line_dedup.normal_words(line)]
     assert list(zip(owner.tolist(), no.tolist(), sizes.tolist(), strict=True)) == [(i, k, len(w)) for i, k, w in want]
-    assert words.tolist() == [xxhash.xxh64_intdigest(x, 42) for _, _, w in want for x in w]
+    assert words.tolist() == blocks.hashed([x for _, _, w in want for x in w]).tolist()
+    some = ["", "a", "b", "ab", "ba", "aa", "aaa", "Ünder"]
+    assert len(set(blocks.hashed(some * 2).tolist())) == len(some) and (blocks.hashed(some) == blocks.hashed([x.encode() for x in some])).all()
     assert len(set(line_dedup.line_names(words, sizes).tolist())) == len({tuple(w) for _, _, w in want})
     assert [len(x) for x in line_dedup.line_words(["", "..."])] == [0, 0, 0, 0]
 
@@ -281,6 +283,24 @@ def test_very_long_text(spark):
     assert got[1].n_lines == (1 << 20) + 6 and [got[i].removed for i in (2, 3, 4)] == [[0], [], [0]]
 
 
+def test_hot_blocks_are_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "SAMPLED", 1)
+    monkeypatch.setattr(blocks, "SALTS", 4)
+    rng = random.Random(5)
+    base = [f"w{'abcdefghij'[i % 10] * (i // 10 + 1)}" for i in range(100)]
+    rows = []
+    for i in range(300):  # like copies of one line, in which all blocks are hot
+        copy = list(base)
+        copy[rng.randrange(100)] = f"other{'xyz'[i % 3] * (i // 3 + 1)}"
+        rows.append((i, " ".join(copy)))
+    seen = []
+    pairs = blocks.hub_pairs
+    monkeypatch.setattr(line_dedup, "hub_pairs", lambda *a: seen.append(pairs(*a)) or seen[-1])
+    out = line_dedup.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sum(r.n_removed for r in out) == 299
+    assert len({x for r in seen[0].collect() for x in (r.a, r.b)}) == 300
+
+
 def test_carried_names(spark):
     df = spark.createDataFrame([(1, "a b c d e f", 5, 7), (2, "A b c d e F", 6, 8)], "doc_id long, text string, mark int, node int")
     got = sorted(map(tuple, line_dedup.duplicate_lines(df, carry=["mark", "node"]).select("doc_id", "n_removed", "mark", "node").collect()))
