@@ -1,17 +1,21 @@
 """Personal data by bootstrapped contextual extraction.
 
-Spans of fixed shape (mail and network addresses, card and phone numbers) are the seeds. The words around them are lexical
-patterns; Spark joins patterns and instances as a graph and scores them in turns: a pattern is trusted if it extracts many
-different known instances of a kind and few others, an instance is known if trusted patterns extract it. What trusted patterns
-extract beyond the seeds, in a shape that the kind has, is found as well.
+Spans of fixed shape (mail and network addresses, card and phone numbers) are the seeds, and long strings of mixed letters and digits those of a
+fifth kind, secrets, which count only as evidence. What stands around a span are lexical patterns: two words before it, the words on both sides, the
+label that it is the value of (`password=...`). A pattern's slot takes any word with a digit or an @, any longer number and any labelled
+value, letters included. Spark joins patterns and instances as a graph and scores them in turns, until nothing changes: a pattern is trusted
+for a kind by how many different known instances it extracts and by their share of all it extracts; an instance becomes known if the
+trusted patterns that extract it make it likely enough together. What trusted patterns extract beyond the seeds is found.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,10 +23,13 @@ from pyspark.sql import types as T
 from burstselect.llm.common import clear_of, pin, row_mark, slices, tidy
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
+SECRET = "secret"
+#: Different known instances that a trusted pattern has at least, their least share of all its instances, and the probability from which an instance is known.
 LEAST_INSTANCES = 5
-TRUST = 0.8
-CONTEXT_CHARS = 64
+TRUST = 0.5
+ACCEPTED = 0.75
+SEED_CHARS = 16
+WORD_CHARS = 64
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -30,9 +37,12 @@ _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER = re.compile(r"[0-9]++(?:[\x20().-]{1,3}+[0-9]++)*+")
-_AT_WORD = re.compile(r"[^\s@]+@[^\s@]+")
+_MARKED = re.compile(r"[^\s0-9@]*[0-9@]\S*")
+_LABELLED = re.compile(r"([A-Za-z_][A-Za-z0-9_.-]{0,40})[\"']?[\x20\t]{0,2}[=:][\x20\t]{0,2}[\"']?([^\s\"'<>,;=]+)")
+_LABEL = re.compile(r"([A-Za-z_][A-Za-z0-9_.-]{0,40})[\"']?[\x20\t]{0,2}[=:][\x20\t]{0,2}[\"']?\Z")
 _ANY = re.compile(r"[0-9@]")
-_EDGE = ".,;!?\"'()[]{}<>|*#"
+_VALUES = re.compile(r"[0-9@=:]")
+_EDGE = ".,;:!?\"'()[]{}<>|*#="
 
 Span = tuple[str, int, int]
 
@@ -87,66 +97,67 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def shape(instance: str) -> str:
-    """What an unseen instance has to share with the seeds of its kind: an @, or the kind of separators and whether it has under 8, under 16 or more digits."""
-    if "@" in instance:
-        return "at"
-    digits = sum(c.isdigit() for c in instance)
-    return f"{'dots' if instance.count('.') >= 3 else 'digits'}{min(digits, 16) // 8}"
+def is_seed_secret(instance: str) -> bool:
+    """Whether a string is long and mixes letters and digits, as keys and tokens do."""
+    plain = instance.replace("_", "").replace("-", "")
+    digits = sum(c.isdigit() for c in plain)
+    return len(plain) >= SEED_CHARS and plain.isalnum() and plain.isascii() and digits >= 3 and len(plain) - digits >= 3
+
+
+def _words(text: str, at: int, count: int, ahead: bool) -> list[str]:
+    """Up to ``count`` lower-cased words before, or behind, a place, whole ones however long; of longer ones than WORD_CHARS a hash."""
+    reach = 64
+    while True:
+        low, high = (at, min(len(text), at + reach)) if ahead else (max(0, at - reach), at)
+        words = text[low:high].lower().split()
+        # The outermost word may be cut, unless the text ends there.
+        if (high == len(text) if ahead else low == 0) or len(words) > count:
+            words = words[:count] if ahead else words[-count:]
+            return [w if len(w) <= WORD_CHARS else "#" + xxhash.xxh64_hexdigest(w) for w in words]
+        reach *= 4
 
 
 def patterns(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns of a span: two words before it; the word before and the one behind it."""
-    low = max(0, start - CONTEXT_CHARS)
-    before = text[low:start].lower().split()
-    if low and before and not text[low - 1].isspace():
-        before = before[1:]
-    after = text[end : end + CONTEXT_CHARS].lower().split(None, 1)
+    """Lexical patterns of a span: two words before it; the word before and the one behind it; the label whose value it is."""
+    before, after = _words(text, start, 2, False), _words(text, end, 1, True)
     out = []
-    if len(before) >= 2:
-        out.append(f"{before[-2]} {before[-1]} _")
+    if len(before) == 2:
+        out.append(f"{before[0]} {before[1]} _")
     if before and after:
         out.append(f"{before[-1]} _ {after[0]}")
+    if label := _LABEL.search(text, max(0, start - 50), start):
+        out.append(f"{label[1].lower()}= _")
     return out
 
 
 def candidates(text: str, taken: list[Span]) -> list[tuple[int, int]]:
-    """Other spans that look like identifiers: words with an @ and numbers of six digits or more, clear of ``taken``."""
-    found = []
-    if "@" in text:
-        for m in _AT_WORD.finditer(text):
-            a, b = m.span()
-            while a < b and text[a] in _EDGE:
-                a += 1
-            while b > a and text[b - 1] in _EDGE:
-                b -= 1
-            found.append((a, b))
+    """Other spans that a pattern may extract: labelled values, numbers of six digits or more, words with a digit or an @; clear of ``taken`` and each other."""
+    found = [m.span(2) for m in _LABELLED.finditer(text)]
     found += [m.span() for m in _NUMBER.finditer(text) if sum(c.isdigit() for c in m.group()) >= 6]
-    busy = sorted((a, b) for _, a, b in taken)
-    out, i, last = [], 0, 0
-    for a, b in sorted(found):
-        while i < len(busy) and busy[i][1] <= a:
-            i += 1
-        inside_word = (a and text[a - 1].isalnum()) or (b < len(text) and text[b].isalnum())
-        if a >= last and b > a and not (i < len(busy) and busy[i][0] < b) and not inside_word:
+    found += [m.span() for m in _MARKED.finditer(text)]
+    busy, out = sorted((a, b) for _, a, b in taken), []
+    for a, b in found:
+        while a < b and text[a] in _EDGE:
+            a += 1
+        while b > a and text[b - 1] in _EDGE:
+            b -= 1
+        i = bisect_left(busy, (a, b))
+        if b - a >= 3 and (i == 0 or busy[i - 1][1] <= a) and (i == len(busy) or busy[i][0] >= b):
+            busy.insert(i, (a, b))
             out.append((a, b))
-            last = b
-    return out
+    return sorted(out)
 
 
 SPAN = "array<struct<kind: string, start: int, end: int>>"
-SEEN = "array<struct<kind: string, start: int, end: int, instance: string, shape: string, patterns: array<string>>>"
+SEEN = "array<struct<kind: string, start: int, end: int, instance: string, patterns: array<string>>>"
 
 
 def seen(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the text replaced by ``base`` (its spans of fixed shape) and ``seen`` (these and other candidates in context)."""
     rest = [c for c in docs.columns if c != text]
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    more = pa.list_(
-        pa.struct(
-            [("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("shape", pa.string()), ("patterns", pa.list_(pa.string()))]
-        )
-    )
+    fields = [("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))]
+    more = pa.list_(pa.struct(fields))
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         bases, others = [], []
@@ -154,10 +165,12 @@ def seen(docs: DataFrame, text: str = "text") -> DataFrame:
             t = t or ""
             base = base_spans(t)
             around = []
-            if base or _ANY.search(t):
-                for kind, a, b in [*base, *((None, a, b) for a, b in candidates(t, base))]:
+            if base or _VALUES.search(t):
+                others_here = ((SECRET if is_seed_secret(t[a:b]) else None, a, b) for a, b in candidates(t, base))
+                for kind, a, b in [*base, *others_here]:
                     x = t[a:b].lower()
-                    around.append({"kind": kind, "start": a, "end": b, "instance": x, "shape": shape(x), "patterns": patterns(t, a, b)})
+                    x = x if len(x) <= 4 * WORD_CHARS else "#" + xxhash.xxh64_hexdigest(x)
+                    around.append({"kind": kind, "start": a, "end": b, "instance": x, "patterns": patterns(t, a, b)})
             bases.append([{"kind": k, "start": a, "end": b} for k, a, b in base])
             others.append(around)
         return pa.RecordBatch.from_arrays(
@@ -173,57 +186,56 @@ def seen(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn(text, F.col(text).cast("string")).mapInArrow(tidy(over), ", ".join([*kinds, f"base {SPAN}", f"seen {SEEN}"]))
 
 
-def trusted_patterns(found: DataFrame, rounds: int = ROUNDS, least: int = LEAST_INSTANCES, trust: float = TRUST) -> DataFrame:
-    """(pattern, kind, shape, confidence) from the spans ``found`` (kind, instance, shape, pattern), known ones with a kind.
+def bootstrap(found: DataFrame, least: int = LEAST_INSTANCES, trust: float = TRUST, accepted: float = ACCEPTED) -> tuple[DataFrame, DataFrame]:
+    """(pattern, kind, confidence) and (instance, kind): what is trusted and known from spans ``found`` (kind, instance, pattern), seeds with a kind.
 
-    Counts are over different instances, so copies of a document don't make a pattern better. A pattern is trusted for a kind if it
-    extracts ``least`` known instances of it, and they are a share ``trust`` of all it extracts; an instance becomes known if the
-    trusted patterns that extract it agree on a kind whose seeds have its shape.
+    Counts are over different instances, so copies of a document don't make a pattern better. The confidence is the share of known instances among
+    all that the pattern extracts and one more; an instance is known if patterns trusted for a kind are not all wrong about it with the
+    probability ``accepted``. Known instances are never given up, so the turns end: when one finds nothing new.
     """
-    links = pin(found.select("pattern", "instance", "shape").distinct())
-    known = pin(found.where("kind is not null").groupBy("instance", "shape").agg(F.min("kind").alias("kind")))
-    shapes = known.select("kind", "shape").distinct()
-    trusted = None
-    for _ in range(rounds):
-        scored = links.join(known.select("instance", "kind"), "instance", "left")
-        counts = scored.groupBy("pattern").agg(
-            F.count("*").alias("n"), *[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in KINDS]
-        )
-        best = F.greatest(*[F.struct(F.col(k).alias("m"), F.lit(k).alias("kind")) for k in KINDS])
+    kinds = (*KINDS, SECRET)
+    links = pin(found.select("pattern", "instance").distinct())
+    known = pin(found.where("kind is not null").groupBy("instance").agg(F.min("kind").alias("kind")))
+    while True:
+        scored = links.join(known, "instance", "left")
+        counts = scored.groupBy("pattern").agg(F.count("*").alias("n"), *[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in kinds])
+        best = F.greatest(*[F.struct(F.col(k).alias("m"), F.lit(k).alias("kind")) for k in kinds])
         trusted = pin(
             counts.withColumn("best", best)
             .where((F.col("best.m") >= least) & (F.col("best.m") >= trust * F.col("n")))
-            .select("pattern", F.col("best.kind").alias("kind"), (F.col("best.m") / F.col("n")).alias("confidence"))
+            .select("pattern", F.col("best.kind").alias("kind"), (F.col("best.m") / (F.col("n") + 1)).alias("confidence"))
         )
-        fresh = links.join(trusted, "pattern").join(shapes, ["kind", "shape"]).join(known.select("instance"), "instance", "left_anti")
-        fresh = pin(fresh.groupBy("instance").agg(F.min("shape").alias("shape"), F.min("kind").alias("kind"), F.max("kind").alias("other")).where("kind = other").select("instance", "shape", "kind"))
+        unknown = links.join(trusted, "pattern").join(known.select("instance"), "instance", "left_anti")
+        likely = unknown.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("p"))
+        fresh = pin(likely.where(F.col("p") >= accepted).groupBy("instance").agg(F.max_by("kind", F.struct("p", "kind")).alias("kind")))
         if fresh.isEmpty():
-            break
+            return trusted, known
         known = pin(known.unionByName(fresh))
-    return trusted.join(shapes, "kind")
 
 
 def find_private(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """One row per document: doc_id, ``base`` (spans of fixed shape) and ``spans`` (these and the ones found by context), and ``carry``.
 
-    Spans are (kind, start, end) in code points, the end exclusive, by kind as listed in KINDS and then by start. Null and empty texts
-    have none; repeated rows have the same ones; an empty table gives no rows. Spans found by context don't overlap base ones.
+    Spans are (kind, start, end) in code points, the end exclusive, by kind as listed in KINDS, secrets last, and then by start. Null and empty texts
+    have none; repeated rows have the same ones; an empty table gives no rows. Spans found by context overlap neither base ones nor each other.
+    Texts may be of any length, and so may words: the neighbours of a span are whole words. A carried column may have any name but base and spans.
     """
-    carry = carry or []
-    rows = pin(seen(docs.select("doc_id", *carry, text).withColumn("rid", F.monotonically_increasing_id()), text))
-    one = F.explode("seen").alias("s")
-    each = rows.where(F.size("seen") > 0).select("rid", one).select("rid", "s.*")
-    found = each.select("rid", "kind", "start", "end", "instance", "shape", F.explode("patterns").alias("pattern"))
-    trusted = trusted_patterns(found)
-    more = found.where("kind is null").drop("kind").join(trusted, ["pattern", "shape"])
-    more = more.groupBy("rid", "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
+    carry = [c for c in carry or [] if c != "doc_id"]
+    names = [f"carried_{i}" for i in range(len(carry))]
+    docs = docs.select("doc_id", *[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)], F.col(f"`{text}`").alias("text"))
+    rows = pin(seen(docs.withColumn("rid", F.monotonically_increasing_id()), "text"))
+    each = rows.where(F.size("seen") > 0).select("rid", F.explode("seen").alias("s")).select("rid", "s.*")
+    found = each.select("rid", "kind", "start", "end", "instance", F.explode("patterns").alias("pattern"))
+    trusted, known = bootstrap(found)
+    beyond = found.where((F.col("kind").isNull()) | (F.col("kind") == SECRET)).drop("kind")
+    more = beyond.join(trusted, "pattern").join(known, ["instance", "kind"]).select("rid", "start", "end", "kind").distinct()
     more = more.groupBy("rid").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))
-    rank = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
+    rank = F.create_map(*[x for i, k in enumerate((*KINDS, SECRET)) for x in (F.lit(k), F.lit(i))])
     ranked = lambda s: F.struct(rank[s["kind"]].alias("k"), s["start"].alias("a"), s["end"].alias("b"), s["kind"].alias("kind"))
     out = rows.join(more, "rid", "left").withColumn("all", F.concat("base", F.coalesce("more", F.array().cast(SPAN))))
     ordered = F.array_sort(F.transform("all", ranked))
     spans = F.transform(ordered, lambda s: F.struct(s["kind"].alias("kind"), s["a"].alias("start"), s["b"].alias("end")))
-    return out.select("doc_id", "base", spans.alias("spans"), *carry)
+    return out.select("doc_id", "base", spans.alias("spans"), *[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)])
 
 
 def mask(text: str, spans: list[Span]) -> str:

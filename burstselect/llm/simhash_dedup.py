@@ -221,7 +221,9 @@ def alike(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: flo
     rows = docs.select("doc_id", row_mark(text).alias("mark"), F.col(text).alias("text"))
     names = pin(signed(rows, "text", shingle))
     nodes = names.groupBy("node").agg(F.min("doc_id").alias("low"))
-    pairs = hub_pairs(names.select("node", "size", "sign", "keys"), similarity, MOST_APART)
+    words = [f"sign_{w}" for w in range(WIDE)]
+    signs = [F.col("sign")[w].alias(name) for w, name in enumerate(words)]
+    pairs = hub_pairs(names.select("node", "size", "keys", *signs), words, similarity, MOST_APART)
     roots = pin(components(jaccard_pairs(rows, names, pairs, shingle, similarity)))
     rooted = pin(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "low"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
