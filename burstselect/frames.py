@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from burstselect.functions.columns import exposure_flagged
 from burstselect.operators.faces import with_faces
 from burstselect.params import SelectionParams
+from burstselect.session import scratch_path
 
 # Parameters of the registered queries: the event table has one event every few minutes.
 QUERY_PARAMS = SelectionParams(gap_seconds=300.0, sim_max_distance=30, sim_time_ceiling=900.0)
@@ -131,3 +132,25 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream source."""
     schema = table(spark, sf_dir, "events").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+ARRIVALS = 5
+
+
+def arriving_events(spark: SparkSession, sf_dir: str, repeated: bool = False) -> tuple[DataFrame, str]:
+    """The events as a stream of several files, one for each micro-batch, and how late a row may be.
+
+    A file holds a stretch of time. A twentieth of its rows come late, with the next file; if ``repeated``, they come with both.
+    """
+    events = table(spark, sf_dir, "events")
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    seconds = int((high - low).total_seconds() // ARRIVALS) + 1
+    stretch = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(low).cast("timestamp"))) / (seconds * 1_000_000)).cast("int")
+    parts = events.withColumn("_stretch", F.coalesce(stretch, F.lit(0))).withColumn("_late", F.pmod("event_id", F.lit(20)) == 0)
+    path = scratch_path(spark, "arrivals")
+    for i in range(ARRIVALS + 1):
+        now = (F.col("_stretch") == i) if repeated else (F.col("_stretch") == i) & ~F.col("_late")
+        before = (F.col("_stretch") == i - 1) & F.col("_late")
+        parts.where(now | before).drop("_stretch", "_late").coalesce(1).write.parquet(f"{path}/{i}")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
+    return stream, f"{seconds} seconds"

@@ -55,7 +55,7 @@ class SelectionParams:
             eye_open_min=0.45,
             open_gate=0.45,
             blown_value=blown_value(highlight_limit),
-            blown_frac=0.04,
+            crushed_frac=0.04,
             reject_sharpness_ratio=0.78,
         )
 

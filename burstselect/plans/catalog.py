@@ -12,6 +12,7 @@ from burstselect.frames import (
     cache_rows,
     detections,
     event_frames,
+    arriving_events,
     event_stream,
     face_frames,
     frames_from,
@@ -710,11 +711,11 @@ LIVE_PARAMS = QUERY_PARAMS.with_(gap_seconds=6 * 3600.0)
 
 @query
 def live_time_bursts(spark, sf):
-    """What the stream emitted and the finished table confirms, with the open tails from the table: every frame."""
-    out = scratch_path(spark, "bursts")
-    frames = frames_from(event_stream(spark, sf))
-    live.run_available(live.live_time_bursts(frames, LIVE_PARAMS, "user_id", "1 hour"), "append", live.append_to(out))
-    return _burst_rows(live.settled(event_frames(spark, sf), live.read_batches(spark, out), LIVE_PARAMS, "user_id"))
+    """What the stream emitted as its files came, one of them after the other and some frames late, and what it holds open at its end."""
+    out, checkpoint = scratch_path(spark, "bursts"), scratch_path(spark, "burst-state")
+    events, delay = arriving_events(spark, sf)
+    live.run_available(live.live_time_bursts(frames_from(events), LIVE_PARAMS, "user_id", delay), "append", live.append_to(out), checkpoint)
+    return _burst_rows(live.read_batches(spark, out).unionByName(live.open_bursts(spark, checkpoint, "user_id")))
 
 
 @query
@@ -733,6 +734,6 @@ def incremental_measure(spark, sf):
     path = scratch_path(spark, "live-cache")
     known = cache_rows(spark, sf).where((F.col("tag") == "300.0") & (F.col("written_at") == 1))
     cache.cache_append(known.drop("tag", "written_at"), path, "300.0")
-    stream = frames_from(event_stream(spark, sf))
+    stream = frames_from(arriving_events(spark, sf, repeated=True)[0])
     live.incremental_measure(stream, path, "300.0", lambda f: f.withColumn("sharpness", F.col("sharpness") * 2).select("rel", "mtime", "size_bytes", "sharpness", "eye_score"))
     return cache.cache_load(spark, path, "300.0")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from burstselect.functions.columns import as_instant, seconds_between
 from burstselect.operators.cache import KEY, cache_append, cache_keys, cache_part, needs_measure
@@ -66,18 +69,79 @@ def progress_state(lines: DataFrame, run: str = "run") -> DataFrame:
 # ---- live bursts -----------------------------------------------------------------------------------------------
 
 
+BURST = "frames bigint, first_when timestamp_ntz, last_when timestamp_ntz, peak double, candidate string"
+
+
 def live_time_bursts(frames: DataFrame, params: SelectionParams, source: str, delay: str = "1 hour") -> DataFrame:
-    """Time bursts per source while frames arrive: a burst is emitted once the watermark has passed its end.
+    """Time bursts per source while frames arrive: a burst is emitted once no frame that is still allowed can reach it.
 
-    Each burst carries its size, its time span and the sharpest frame so far, all as mergeable aggregates; the session
-    state of a source is one row per open burst. An undated frame is a burst of its own and is emitted as it arrives. What
-    is still open, and frames later than the watermark, come from the finished table (see :func:`settled`). Set
-    ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` so that a busy source sends bursts, not frames.
+    The state of a source is the list of its open bursts, each with its size, span and sharpest frame. A frame that arrives late, but within
+    ``delay``, may join two of them, which then are one. Frames of a micro-batch become bursts within each task first, so a busy
+    source sends bursts, not frames, to the task that keeps its state. A timer emits bursts of a source that has gone quiet. An undated frame is
+    a burst of its own and is emitted as it arrives. What is open when the stream stops stays in the state: see :func:`open_bursts`.
     """
-    dated = frames.where(F.col("when_ts").isNotNull()).withColumn("event_time", as_instant("when_ts"))
-    gap = f"{int(round(params.gap_seconds * 1_000_000))} microseconds"
-    windowed = dated.withWatermark("event_time", delay).groupBy(F.col(source), F.session_window("event_time", gap).alias("w"))
-    return windowed.agg(*_burst_columns()).drop("w").unionByName(_undated(frames, source))
+    gap = int(round(params.gap_seconds * 1_000_000))
+    kind = frames.schema[source].dataType.simpleString()
+    dated = frames.where(F.col("when_ts").isNotNull())
+    thin = dated.select(source, F.unix_micros(as_instant("when_ts")).alias("at"), F.coalesce("sharpness", F.lit(float("-inf"))).alias("sharpness"), "rel")
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for key, rows in pdf.groupby(source, dropna=False, sort=False):
+                single = zip(rows["at"], rows["sharpness"], rows["rel"], strict=True)
+                merged = merge_bursts([(1, at, at, peak, rel) for at, peak, rel in single], gap)
+                found += [(None if pd.isna(key) else key, *b) for b in merged]
+            yield pd.DataFrame(found, columns=[source, "frames", "first", "last", "peak", "candidate"])
+
+    columns = f"`{source}` {kind}, frames bigint, first bigint, last bigint, peak double, candidate string"
+    bursts = thin.mapInPandas(partial, columns).withColumn("event_time", F.timestamp_micros("last")).withWatermark("event_time", delay)
+
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = [tuple(b) for b in json.loads(state.get[0])] if state.exists else []
+        for pdf in batches:
+            known += zip(*(pdf[c].tolist() for c in ("frames", "first", "last", "peak", "candidate")), strict=True)
+        known = merge_bursts(known, gap)
+        reached = state.getCurrentWatermarkMs() * 1000
+        over = [b for b in known if b[2] + gap < reached]
+        rest = [b for b in known if b[2] + gap >= reached]
+        if rest:
+            state.update((json.dumps(rest),))
+            state.setTimeoutTimestamp(max(min(b[2] for b in rest) + gap, reached) // 1000 + 1)
+        elif state.exists:
+            state.remove()
+        moments = lambda i: pd.Series([b[i] for b in over], dtype="int64").astype("datetime64[us]")
+        yield pd.DataFrame({
+            source: pd.Series([key[0]] * len(over), dtype="object" if key[0] is None else None), "frames": [b[0] for b in over],
+            "first_when": moments(1), "last_when": moments(2), "peak": [b[3] for b in over], "candidate": [b[4] for b in over],
+        })
+
+    closed = bursts.groupBy(source).applyInPandasWithState(advance, f"`{source}` {kind}, {BURST}", "bursts string", "append", GroupStateTimeout.EventTimeTimeout)
+    return closed.unionByName(_undated(frames, source))
+
+
+def merge_bursts(bursts: list[tuple], gap: int) -> list[tuple]:
+    """Bursts (frames, first, last, peak, candidate) with those joined that lie at most ``gap`` apart; ascending by time."""
+    out: list[tuple] = []
+    for n, first, last, peak, rel in sorted(bursts, key=lambda b: (b[1], b[2])):
+        if out and first - out[-1][2] <= gap:
+            m, begin, end, best, name = out[-1]
+            out[-1] = (m + n, begin, max(end, last), *max((best, name), (peak, rel)))
+        else:
+            out.append((n, first, last, peak, rel))
+    return out
+
+
+def open_bursts(spark: SparkSession, checkpoint: str, source: str) -> DataFrame:
+    """The bursts that a stopped stream of :func:`live_time_bursts` still holds open, from the state in its checkpoint."""
+    state = spark.read.format("statestore").load(checkpoint)
+    kind = "array<array<string>>"
+    each = state.select(F.col(f"key.{source}").alias(source), F.explode(F.from_json("value.groupState.bursts", kind)).alias("b"))
+    moment = lambda i: F.timestamp_micros(F.col("b")[i].cast("bigint")).cast("timestamp_ntz")
+    return each.select(
+        source, F.col("b")[0].cast("bigint").alias("frames"), moment(1).alias("first_when"), moment(2).alias("last_when"),
+        F.col("b")[3].cast("double").alias("peak"), F.col("b")[4].alias("candidate"),
+    )
 
 
 def batch_time_bursts(frames: DataFrame, params: SelectionParams, source: str) -> DataFrame:

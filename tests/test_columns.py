@@ -101,6 +101,12 @@ def test_thresholds_agree_with_the_params(spark):
     assert P.SelectionParams.interactive().sim_max_distance == 18 and P.SelectionParams.interactive().blown_value == 240
 
 
+def test_every_interactive_default():
+    changed = dict(group_method="similarity", sim_max_distance=18, eye_open_min=0.45, open_gate=0.45, blown_value=240, crushed_frac=0.04, reject_sharpness_ratio=0.78)
+    assert P.SelectionParams.interactive() == P.SelectionParams(**changed)
+    assert P.SelectionParams.interactive().blown_frac == P.SelectionParams().blown_frac == 0.10
+
+
 def test_csv_escape(spark):
     rows = [("plain",), ("a,b",), ('say "x"',), ("two\nlines",), ("",)]
     assert [g[0] for g in one(spark, rows, "t string", c.csv_escape("t"))] == ["plain", '"a,b"', '"say ""x"""', '"two\nlines"', ""]

@@ -50,6 +50,42 @@ def test_live_bursts_equal_the_batch_once_closed(spark, tmp_path):
     assert all_of(done) == [("b", 3), ("e", 1), ("n", 1), ("x", 3)]
 
 
+def test_emitted_and_open_bursts_are_the_batch(spark, tmp_path):
+    """Without a look at the whole table: files out of order within the delay, a frame that joins two open bursts, quiet sources."""
+    files = [
+        [frame("a", 0, sharp=5), frame("b", 8, sharp=9), frame("n", None), frame("c", 25, sharp=1)],
+        [frame("d", 300, sharp=2), frame("z", 16, sharp=0)],  # z joins b and c
+        [frame("e", 305, sharp=3), frame("f", 290, sharp=3), frame("g", 4000, sharp=1)],
+        [frame("h", 4010, sharp=7), frame("i", 3990, sharp=2)],
+    ]
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    frames = stream(spark, tmp_path / "in", files)
+    live.run_available(live.live_time_bursts(frames, PARAMS, "source", "5 minutes"), "append", live.append_to(out), state)
+    emitted, still = live.read_batches(spark, out), live.open_bursts(spark, state, "source")
+    table = spark.createDataFrame([r for f in files for r in f], FRAME_SCHEMA).withColumn("source", F.lit("cam"))
+    rows = lambda df: sorted(map(str, df.select("source", "frames", "first_when", "last_when", "peak", "candidate").collect()))
+    assert rows(emitted.unionByName(still)) == rows(live.batch_time_bursts(table, PARAMS, "source"))
+    assert sorted((r.frames, r.candidate) for r in emitted.collect()) == [(1, "n"), (3, "f"), (4, "b")]
+    assert [(r.frames, r.candidate) for r in still.collect()] == [(3, "h")]
+
+
+def test_bursts_of_a_stream_that_drops_a_frame_differ(spark, tmp_path):
+    files = [[frame(f"{i:02d}", i * 4.0, sharp=i % 5) for i in range(20)]]
+    counts = []
+    for name, keep in (("all", "true"), ("dropped", "rel <> '07'")):
+        out, state = str(tmp_path / name), str(tmp_path / f"{name}-state")
+        frames = stream(spark, tmp_path / f"in-{name}", files).where(keep)
+        live.run_available(live.live_time_bursts(frames, PARAMS, "source"), "append", live.append_to(out), state)
+        counts.append(sum(r.frames for r in live.open_bursts(spark, state, "source").collect()))
+    assert counts == [20, 19]
+
+
+def test_merge_bursts():
+    bursts = [(1, 0, 0, 1.0, "a"), (2, 30, 35, 5.0, "b"), (1, 10, 10, 5.0, "c"), (1, 46, 46, 0.0, "d")]
+    assert live.merge_bursts(bursts, 10) == [(2, 0, 10, 5.0, "c"), (2, 30, 35, 5.0, "b"), (1, 46, 46, 0.0, "d")]
+    assert live.merge_bursts([*bursts, (1, 20, 20, 9.0, "e")], 10) == [(5, 0, 35, 9.0, "e"), (1, 46, 46, 0.0, "d")]
+
+
 def test_batch_bursts_of_a_busy_source(spark, frames):
     """One source holds most frames; its bursts are cut by gaps, whatever the chunks, and sources don't mix."""
     rows = [frame(f"{i:04d}", i * 4.0 + (i // 50) * 100, sharp=i % 9) for i in range(400)] + [frame("u", None), frame("v", None)]
