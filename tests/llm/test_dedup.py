@@ -215,7 +215,7 @@ def test_lines(spark):
 
 
 def test_line_words():
-    texts = ["One  two,3x\n\nthree\n", "", "\n...\n_a_b 77 Ünder", "last"]
+    texts = ["One  two,3x\n\nthree\n", "", "\n...\n_a_b 77 Ünder", "last", "Straße ÀÉ×÷ x\xa0y\x85z 1²½ª µ 00 a\x01b\tc 2024-01", "Ünder “one” 12Œ\nστις ΣΑΣ"]
     words, sizes, owner, no = line_dedup.line_words(texts)
     want = [(i, k, line_dedup.normal_words(line)) for i, t in enumerate(texts) for k, line in enumerate(t.split("\n")) if line_dedup.normal_words(line)]
     assert list(zip(owner.tolist(), no.tolist(), sizes.tolist(), strict=True)) == [(i, k, len(w)) for i, k, w in want]
