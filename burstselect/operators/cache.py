@@ -1,8 +1,8 @@
-"""The resumable measurement cache: an append-only Parquet table, partitioned by tag, part of the paths and run.
+"""The resumable measurement cache: an append-only Parquet table, one folder for each run, partitioned by tag and part of the paths.
 
-A frame's key is (rel, mtime, size_bytes). Rows are only ever appended; the last run that wrote a key wins. Runs are numbered by
-the cache itself, so the numbers rise whoever appends; two runs that append at the same time may get the same number, and
-then the larger row wins, which is at least the same one every time.
+A frame's key is (rel, mtime, size_bytes). Rows are only ever appended; the last run that wrote a key wins. A log beside the rows gives each
+run a number of its own and tells which runs are whole (`burstselect.operators.commits`), so several writers, readers and a compaction may work
+at the same moment. ``ran`` is the run that measured a row; compaction keeps it.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from burstselect.functions.columns import box_decode
+from burstselect.operators.commits import Snapshot, claim, finish, snapshot
 
 KEY = ["rel", "mtime", "size_bytes"]
 MEASURES = ["face_count", "primary_box", "eye_score", "sharpness", "exposure_flag", "blown", "crushed", "phash"]
@@ -31,35 +32,49 @@ def cache_part(rel: str) -> Column:
 
 
 def cache_append(measured: DataFrame, path: str, tag: str, resume: bool = True) -> int:
-    """Append the measurements of one run and return its number; ``resume=False`` starts the cache anew."""
-    now = _table(measured.sparkSession, path) if resume else None
-    run = 1 + (now.agg(F.max("written_at")).first()[0] or 0) if now is not None else 1
-    rows = measured.select(*KEY, *_measures(measured), F.lit(tag).alias("tag"), cache_part("rel").alias("part"), F.lit(run).alias("written_at"))
-    # One file for each part, whatever the number of tasks that measured.
-    rows.repartition(PARTS, "part").write.mode("append" if resume else "overwrite").partitionBy("tag", "part", "written_at").parquet(path)
+    """Append the measurements of one run and return its number; with ``resume=False`` all runs before it are void once it is whole.
+
+    A run that fails leaves the cache as it was. Runs that append at the same moment have different numbers, and the larger one counts as the later.
+    """
+    run = claim(measured.sparkSession, path)
+    rows = measured.select(*KEY, *_measures(measured), F.lit(tag).alias("tag"), cache_part("rel").alias("part"), F.lit(run).cast("bigint").alias("ran"))
+    _write(rows, path, run)
+    finish(measured.sparkSession, path, run, "done" if resume else "fresh")
     return run
 
 
-def _table(spark: SparkSession, path: str) -> DataFrame | None:
-    """The cache as a table, or None where nothing was written yet."""
+def _write(rows: DataFrame, path: str, run: int) -> None:
+    """A run into its own folder, so that no other writer shares its temporary files; one file for each tag and part."""
+    rows.repartition(PARTS, "tag", "part").write.mode("overwrite").partitionBy("tag", "part").parquet(f"{path}/written_at={run}")
+
+
+def _table(spark: SparkSession, path: str, seen: Snapshot | None = None) -> DataFrame | None:
+    """The whole runs of the cache as a table, or None where nothing was written yet."""
+    seen = seen or snapshot(spark, path)
+    if not seen.runs:
+        return None
+    reader = lambda: spark.read.option("basePath", path)
+    folders = [f"{path}/written_at={n}" for n in seen.runs]
     try:
-        found = spark.read.parquet(path).schema
+        found = reader().parquet(*folders).schema
     except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if e.getCondition() == "UNABLE_TO_INFER_SCHEMA":  # runs without a row
             return None
         raise
     # Partition values are read as text by name: a gap such as "2.0" must not turn into a number.
     kinds = {"tag": StringType(), "part": IntegerType(), "written_at": LongType()}
-    return spark.read.schema(StructType([StructField(f.name, kinds.get(f.name, f.dataType)) for f in found])).parquet(path)
+    table = reader().schema(StructType([StructField(f.name, kinds.get(f.name, f.dataType)) for f in found])).parquet(*folders)
+    # What counts as the time of writing is the run that measured a row, wherever it is kept now.
+    return table.where(F.col("ran") >= seen.floor).drop("written_at").withColumnRenamed("ran", "written_at")
 
 
-def cache_latest(cache: DataFrame) -> DataFrame:
-    """The last written row per key and tag; one aggregation with partial maxima, so a key may repeat at will.
+def cache_latest(cache: DataFrame, *carry: str) -> DataFrame:
+    """The last written row per key and tag; one aggregation with partial maxima, so a key may repeat at will. ``carry``: further columns to keep.
 
     Rows of one run with the same key are told apart by their values, so the result never depends on their order.
     """
     row = F.struct(*_measures(cache))
-    last = F.max_by(row, F.struct(F.col("written_at"), row))
+    last = F.max_by(F.struct(*_measures(cache), *carry), F.struct(F.col("written_at"), row))
     return cache.groupBy("tag", *KEY).agg(last.alias("_m")).select("tag", *KEY, "_m.*")
 
 
@@ -85,14 +100,29 @@ def cache_keys(spark: SparkSession, path: str, tag: str, parts: Sequence[int] |
     return None if found is None else found.select(*KEY)
 
 
-def cache_compact(spark: SparkSession, path: str, target: str) -> None:
-    """Write the current rows of all tags to a new cache, one file for each tag and part; its run is the last one of the old."""
-    table = _table(spark, path)
-    if table is None:
+def cache_compact(spark: SparkSession, path: str, target: str | None = None) -> int | None:
+    """Write the current rows of all tags as one run, one file for each tag and part; returns its number.
+
+    Without ``target`` the run takes the place of those before it in the same cache. Runs that are being written meanwhile are left out and
+    stay beside it, and readers that began earlier go on with the folders they know: none is deleted. A cache without rows is left as it is.
+    With ``target`` the rows begin a cache of their own, whose numbers go on from the old one's.
+    """
+    seen = snapshot(spark, path)
+    if not seen.claimed:
         raise FileNotFoundError(path)
-    last = table.agg(F.max("written_at")).first()[0]
-    rows = cache_latest(table).withColumns({"part": cache_part("rel"), "written_at": F.lit(last)})
-    rows.repartition(PARTS, "tag", "part").write.mode("errorifexists").partitionBy("tag", "part", "written_at").parquet(target)
+    home = target or path
+    run = claim(spark, home, above=seen.claimed[-1] - 1 if target else 0)
+    if not target:
+        seen = snapshot(spark, path)
+        seen = seen._replace(runs=[n for n in seen.runs if n < run], pending=[n for n in seen.pending if n < run])
+    table = _table(spark, path, seen)
+    if table is None:
+        return None
+    ran = F.lit(run).cast("bigint") if target else F.col("written_at")
+    rows = cache_latest(table, "written_at").withColumns({"part": cache_part("rel"), "ran": ran}).drop("written_at")
+    _write(rows, home, run)
+    finish(spark, home, run, "done" if target else "base", seen.pending)
+    return run
 
 
 def parse_cache_rows(raw: DataFrame, tag: str) -> DataFrame:

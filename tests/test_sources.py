@@ -1,13 +1,14 @@
 from __future__ import annotations
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from conftest import T0, frame
 from pyspark.sql import functions as F
 
 from burstselect.functions.columns import box
-from burstselect.operators import cache, faces, grouping, region, verdicts
+from burstselect.operators import cache, commits, faces, grouping, region, verdicts
 from burstselect.operators.diff import manifest_diff
 from burstselect.params import SelectionParams
 from burstselect.sources import manifest, photos, progress
@@ -113,13 +114,71 @@ def test_cache_tags_and_latest(spark, frames, tmp_path):
     assert [r.sharpness for r in cache.cache_load(spark, small, "2.0").collect()] == [6.0]
     assert spark.read.parquet(small).count() == 2 and cache.cache_append(one(8), small, "2.0") == 4
     assert cache.cache_keys(spark, str(tmp_path / "none"), "2.0") is None
-    assert cache.cache_append(one(1), path, "2.0", resume=False) == 1
+    assert cache.cache_append(one(1), path, "2.0", resume=False) == 4
     assert cache.cache_load(spark, path, "sim").isEmpty()
     twice = one(3).unionByName(one(4))
     cache.cache_append(twice, path, "2.0")
     assert [r.sharpness for r in cache.cache_load(spark, path, "2.0").collect()] == [4.0]
 
 
+def test_runs_at_the_same_moment(spark, frames, tmp_path):
+    """Each has a number of its own, and none loses rows to another's."""
+    path = str(tmp_path / "cache")
+    runs = [frames([frame(f"{w}.jpg", 0, sharp=w, size=1, mtime=1.0), frame("all.jpg", 0, sharp=w, size=1, mtime=1.0)]) for w in range(6)]
+    with ThreadPoolExecutor(6) as pool:
+        numbers = list(pool.map(lambda df: cache.cache_append(df, path, "t"), runs))
+    assert sorted(numbers) == [1, 2, 3, 4, 5, 6]
+    got = {r.rel: r.sharpness for r in cache.cache_load(spark, path, "t").collect()}
+    assert got == {**{f"{w}.jpg": w for w in range(6)}, "all.jpg": numbers.index(6)}
+
+
+def test_claims_of_many_threads_differ(spark, tmp_path):
+    with ThreadPoolExecutor(16) as pool:
+        numbers = list(pool.map(lambda _: commits.claim(spark, str(tmp_path / "c")), range(64)))
+    assert sorted(numbers) == list(range(1, 65))
+
+
+def test_half_a_run_is_not_seen(spark, frames, tmp_path):
+    path = str(tmp_path / "cache")
+    one = lambda s, n="a.jpg": frames([frame(n, 0, sharp=s, size=1, mtime=1.0)])
+    cache.cache_append(one(1), path, "t")
+    broken = one(2).withColumn("sharpness", F.raise_error(F.lit("no")).cast("double"))
+    for resume in (True, False):
+        with pytest.raises(Exception, match="no"):
+            cache.cache_append(broken, path, "t", resume)
+    # Rows that are there, but not finished.
+    run = commits.claim(spark, path)
+    cache._write(one(7).selectExpr("rel", "mtime", "size_bytes", "sharpness", "'t' as tag", "0 as part", f"{run}L as ran"), path, run)
+    values = lambda: [r.sharpness for r in cache.cache_load(spark, path, "t").collect()]
+    assert run == 4 and values() == [1.0]
+    commits.finish(spark, path, run, "done")
+    assert values() == [7.0]
+    assert cache.cache_append(one(9).limit(0), path, "t") == 5 and values() == [7.0]
+    assert cache.cache_append(one(3, "b.jpg"), path, "t", resume=False) == 6
+    assert [(r.rel, r.sharpness) for r in cache.cache_load(spark, path, "t").collect()] == [("b.jpg", 3.0)]
+
+
+def test_compaction_beside_a_run(spark, frames, tmp_path):
+    """A run that began before a compaction and ends after it keeps its place among the others."""
+    path = str(tmp_path / "cache")
+    one = lambda s, n="a.jpg": frames([frame(n, 0, sharp=s, size=1, mtime=1.0)])
+    cache.cache_append(one(1), path, "t")
+    late = commits.claim(spark, path)
+    cache.cache_append(one(3), path, "t")
+    before = cache.cache_load(spark, path, "t")
+    assert cache.cache_compact(spark, path) == 4 and commits.snapshot(spark, path).runs == [4]
+    write_both = one(2).unionByName(one(5, "late.jpg")).selectExpr("rel", "mtime", "size_bytes", "sharpness", "'t' as tag", "0 as part", f"{late}L as ran")
+    cache._write(write_both, path, late)
+    commits.finish(spark, path, late, "done")
+    want = {"a.jpg": 3.0, "late.jpg": 5.0}
+    values = lambda: {r.rel: r.sharpness for r in cache.cache_load(spark, path, "t").collect()}
+    assert values() == want and commits.snapshot(spark, path).runs == [2, 4]
+    assert cache.cache_compact(spark, path) == 5 and values() == want and commits.snapshot(spark, path).runs == [5]
+    assert [r.sharpness for r in before.collect()] == [3.0]  # a reader of before the compaction
+    cache.cache_append(one(6), path, "t")
+    assert values() == {"a.jpg": 6.0, "late.jpg": 5.0}
+
+
 def test_cache_rows_from_text(spark):
     cols = "rel string, mtime string, size string, gap string, face_count string, primary_box string, eye_score string, sharpness string, blown_frac string, crushed_frac string, exposure_flag string, phash string, written_at bigint"
     rows = [

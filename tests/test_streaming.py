@@ -1,10 +1,15 @@
 from __future__ import annotations
 
+import os
+import time
+import uuid
+
 from conftest import FRAME_SCHEMA, frame
 from pyspark.sql import functions as F
 
 from burstselect.operators import cache
 from burstselect.params import SelectionParams
+from burstselect.sources import photos
 from burstselect.streaming import live
 
 PARAMS = SelectionParams(gap_seconds=10.0)
@@ -105,6 +110,47 @@ def test_a_new_checkpoint_does_not_wind_back_the_cache(spark, tmp_path):
     assert got == {("a", 1.0): 7.0, ("a", 2.0): 0.0, ("b", 1.0): 3.0}
 
 
+def test_photos_as_a_stream(spark, tmp_path):
+    """New, renamed, moved and touched photos across restarts: each state of a file is measured once."""
+    root, log, path, state = tmp_path / "shoot", tmp_path / "log", str(tmp_path / "cache"), str(tmp_path / "state")
+    (root / "day").mkdir(parents=True)
+    log.mkdir()
+    for name in ("a.jpg", "_b.JPG", "day/c.jpg", "day/d.jpg", "note.txt"):
+        (root / name).write_text(name)
+
+    def measure(photos):
+        def opened(batches):
+            for pdf in batches:
+                for r in pdf.itertuples():
+                    (log / f"{uuid.uuid4()}").write_text(r.rel)
+                yield pdf.assign(sharpness=1.0)[["rel", "mtime", "size_bytes", "sharpness"]]
+
+        return photos.mapInPandas(opened, "rel string, mtime double, size_bytes bigint, sharpness double")
+
+    def measured():
+        time.sleep(0.3)
+        live.incremental_measure(photos.photo_stream(spark, str(root), settle=0.1), path, "t", measure, state)
+        out = sorted(p.read_text() for p in log.iterdir())
+        for p in log.iterdir():
+            p.rename(tmp_path / f"seen-{p.name}")
+        return out
+
+    assert measured() == ["_b.JPG", "a.jpg", "day/c.jpg", "day/d.jpg"]
+    assert measured() == []
+    (root / "day" / "e.jpg").write_text("new")  # changes the time of its folder, so c and d come again, and are known
+    assert measured() == ["day/e.jpg"]
+    (root / "a.jpg").rename(root / "z.jpg")
+    os.utime(root / "_b.JPG", (5, 5))
+    assert measured() == ["_b.JPG", "z.jpg"]
+    (root / "day").rename(root / "night")
+    (root / "night" / "c.jpg").write_text("longer than before")
+    assert measured() == ["night/c.jpg", "night/d.jpg", "night/e.jpg"]
+    assert measured() == []
+    # A new checkpoint sees all photos, and measures none again.
+    state = str(tmp_path / "another")
+    assert measured() == [] and cache.cache_load(spark, path, "t").count() == 10
+
+
 def test_incremental_measure_skips_what_is_known(spark, tmp_path):
     rows = [[frame("a", 0, sharp=1, mtime=1.0), frame("b", 1, sharp=2, mtime=1.0)], [frame("a", 0, sharp=50, mtime=1.0), frame("a", 0, sharp=7, mtime=2.0)]]
     frames = stream(spark, tmp_path / "in", rows)
