@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -371,3 +372,34 @@ def test_recall_of_near_copies_in_small_and_large_tables(spark, similarity, othe
     found = sum(2 * i + 1 not in kept for i, yes in enumerate(like) if yes)
     assert sum(like) > 100 and found >= 0.95 * sum(like)
     assert len([i for i in kept if i >= 10_000]) == others
+
+
+def test_common_words_are_counted_as_often_as_they_stand():
+    rng = np.random.default_rng(5)
+    lines = [rng.integers(0, 6, rng.integers(0, 12)).astype(np.uint32) for _ in range(400)]
+    a, b = lines[:200], lines[200:]
+    column = pa.array([x.tobytes() for x in lines], pa.binary()).slice(200)
+    words, sizes = line_dedup.packed_words(column)
+    assert words.tolist() == np.concatenate(b).tolist() and sizes.tolist() == [len(x) for x in b]
+    of = lambda rows: (np.concatenate(rows), np.array([len(x) for x in rows]))
+    got = line_dedup.enough_in_common(*of(a), *of(b), 0.8)
+    for x, y, enough in zip(a, b, got, strict=True):
+        more, less = Counter(x.tolist()) - Counter(y.tolist()), Counter(y.tolist()) - Counter(x.tolist())
+        allowed = int(max(len(x), len(y)) * 0.2 + 1e-9)
+        assert enough == (max(more.total(), less.total()) <= allowed)
+        assert enough or line_dedup.edit_distance(x, y) > allowed
+    none = np.empty(0, np.uint32)
+    assert line_dedup.enough_in_common(none, np.zeros(1, int), none, np.zeros(1, int), 0.8).tolist() == [True]
+
+
+def test_hubs_go_on_from_batch_to_batch():
+    """A block over many batches, with repeated rows, gives the pairs that it gives in one."""
+    rows = sorted({(k // 7, k % 40) for k in range(120)}) + [(99, 5), (99, 5), (99, 8)]
+    table = pa.table({"node": [n for _, n in rows], "size": [10] * len(rows), "sign": [0] * len(rows), "block": [b for b, _ in rows]})
+    work = blocks._beside_hubs(["sign"], 0.8, 3)
+    found = lambda size: {tuple(r.values()) for x in work(iter(table.to_batches(size))) for r in x.to_pylist()}
+    want = set()
+    for block in {b for b, _ in rows}:
+        nodes = sorted({n for b, n in rows if b == block})
+        want |= {(h, n) for h in nodes[:2] for n in nodes if h < n}
+    assert found(1000) == want and all(found(size) == want for size in (1, 2, 3, 50))
