@@ -46,6 +46,19 @@ def laplacian_variance(gray: np.ndarray, box=None) -> float:
     return float(lap.var())
 
 
+def laplacian_sums(window: np.ndarray, edges: tuple[bool, bool, bool, bool]) -> tuple[int, int, int]:
+    """Count, sum and sum of squares of the Laplacian over a tile, whole numbers all of them.
+
+    ``window`` is the tile with one more pixel on each side that is no edge of the image; at an edge (top, bottom, left, right) it mirrors.
+    """
+    g = window.astype(np.int64)
+    for axis in (0, 1):
+        grown = [(int(edges[0]), int(edges[1])) if axis == 0 else (0, 0), (int(edges[2]), int(edges[3])) if axis == 1 else (0, 0)]
+        g = np.pad(g, grown, mode="reflect" if g.shape[axis] > 1 else "edge")
+    lap = g[:-2, 1:-1] + g[2:, 1:-1] + g[1:-1, :-2] + g[1:-1, 2:] - 4 * g[1:-1, 1:-1]
+    return lap.size, int(lap.sum()), int((lap * lap).sum())
+
+
 def _cubic(t: np.ndarray) -> np.ndarray:
     """Keys' cubic convolution kernel with a = -0.5."""
     t = np.abs(t)
@@ -164,6 +177,56 @@ def measure_sharpness(images: DataFrame, key: str = "rel") -> DataFrame:
     return images.select(*cols, *part).mapInPandas(run, f"{key} {key_type}, sharpness double")
 
 
+def sharpness_by_tiles(
+    images: DataFrame, key: str = "rel", load: Callable[[str, int, int, int, int], np.ndarray | None] | None = None, tile: int = 2048, per_task: int = 16
+) -> DataFrame:
+    """Sharpness of images (key, height, width[, region]) that may be larger than a task: it is the same for tiles of any size.
+
+    Every tile is a row, read with a rim of one pixel; counts and sums of tiles are whole numbers and are added up by Spark, so nothing is rounded
+    before the end. ``load(path, top, bottom, left, right)`` reads that part of the image at ``path``, and tiles are dealt to tasks, ``per_task`` of them
+    to each. Without it the pixels come from ``gray``. An image without a size, or with a part that cannot be read, measures as zero.
+    """
+    key_type = images.schema[key].dataType.simpleString()
+    source = "path" if load is not None else "gray"
+    part = lambda a, b, size: F.least(F.greatest(((F.col(f"region.{a}") + (F.col(f"region.{b}") if b else 0)) * F.col(size)).cast("int"), F.lit(0)), F.col(size))
+    cut = images.withColumns({"_t": F.lit(0), "_b": F.col("height"), "_l": F.lit(0), "_r": F.col("width")})
+    if "region" in images.columns:
+        own = {"_t": part("y", None, "height"), "_b": part("y", "h", "height"), "_l": part("x", None, "width"), "_r": part("x", "w", "width")}
+        fits = F.col("region").isNotNull() & (own["_t"] < own["_b"]) & (own["_l"] < own["_r"])
+        cut = cut.withColumns({n: F.when(fits, c).otherwise(F.col(n)) for n, c in own.items()})
+    steps = lambda a, b: F.explode_outer(F.when(F.col(a) < F.col(b), F.sequence(F.col(a), F.col(b) - 1, F.lit(tile))))
+    tiles = cut.select(key, source, "height", "width", "_t", "_b", "_l", "_r", steps("_t", "_b").alias("_y"))
+    tiles = tiles.select("*", steps("_l", "_r").alias("_x"))
+    if load is not None:
+        across = lambda a, b: F.ceil((F.col(b) - F.col(a)) / tile)
+        count = cut.agg(F.sum(across("_t", "_b") * across("_l", "_r"))).first()[0] or 0
+        tiles = tiles.repartition(max(1, -(-count // per_task)), key, "_y", "_x")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False, name=None):
+                name, where, height, width, top, bottom, left, right, y, x = r
+                if where is None or pd.isna(y) or pd.isna(x):
+                    rows.append((name, 0, 0, 0, False))
+                    continue
+                height, width, top, bottom, left, right, y, x = (int(v) for v in (height, width, top, bottom, left, right, y, x))
+                low, far = min(y + tile, bottom), min(x + tile, right)
+                edges = (y == top, low == bottom, x == left, far == right)
+                span = (y - (not edges[0]), low + (not edges[1]), x - (not edges[2]), far + (not edges[3]))
+                if load is not None:
+                    window = load(where, *span)
+                else:
+                    window = np.frombuffer(where, np.uint8).reshape(height, width)[span[0] : span[1], span[2] : span[3]]
+                rows.append((name, 0, 0, 0, False) if window is None else (name, *laplacian_sums(window, edges), True))
+            yield pd.DataFrame(rows, columns=[key, "n", "s", "q", "read"])
+
+    sums = tiles.mapInPandas(run, f"`{key}` {key_type}, n bigint, s bigint, q bigint, read boolean").groupBy(key)
+    sums = sums.agg(*[F.sum(c).cast("decimal(19,0)").alias(c) for c in ("n", "s", "q")], F.bool_and("read").alias("read"))
+    spread = (F.col("n") * F.col("q") - F.col("s") * F.col("s")).cast("double") / (F.col("n").cast("double") * F.col("n").cast("double"))
+    return sums.select(key, F.when(F.col("read"), spread).otherwise(F.lit(0.0)).alias("sharpness"))
+
+
 def measure_files(
     frames: DataFrame, load: Callable[[str], np.ndarray | None], params: SelectionParams = SelectionParams()
 ) -> DataFrame:

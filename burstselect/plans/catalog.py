@@ -357,6 +357,13 @@ def laplacian_variance_center(spark, sf):
     return pixels.measure_sharpness(grid, "vec_id").withColumn("sharpness", F.round("sharpness", 6))
 
 
+@query
+def laplacian_tiles(spark, sf):
+    """The same from tiles of three by three pixels, the last ones smaller."""
+    grid = gray_grid(spark, sf).withColumn("region", c.center_box())
+    return pixels.sharpness_by_tiles(grid, "vec_id", tile=3).withColumn("sharpness", F.round("sharpness", 6))
+
+
 @query
 def dhash(spark, sf):
     """Hash of the whole image: its eight rows are shrunk to seven, its eight columns give seven comparisons."""

@@ -316,6 +316,11 @@ oracle(
     _GRID + ",\ngc as (select * from gg where x between 2 and 5 and y between 2 and 5)",
     _LAPLACE.format("gc"),
 )
+oracle(
+    "laplacian_tiles",
+    _GRID + ",\ngc as (select * from gg where x between 2 and 5 and y between 2 and 5)",
+    _LAPLACE.format("gc"),
+)
 # The eight rows shrunk to seven (gs): cubic weights, antialiased, in 22-bit fixed point.
 _SHRUNK = """,
 wk as (select o, k, abs((k - (o + 0.5::double) * 8 / 7 + 0.5::double) / (8 / 7::double)) as t

@@ -34,8 +34,9 @@ def dated(photos: DataFrame, tags: DataFrame) -> DataFrame:
 
 
 def spread(photos: DataFrame, per_task: int = PHOTOS_PER_TASK) -> DataFrame:
-    """The photos over tasks of about ``per_task`` of them. Rows are small, so left alone Spark would put all of them into one task."""
-    return photos.repartition(max(1, math.ceil(photos.count() / per_task)))
+    """The photos over tasks of about ``per_task`` of them, or fewer where cores would idle. Rows are small, so left alone Spark would use one task."""
+    count, cores = photos.count(), photos.sparkSession.sparkContext.defaultParallelism
+    return photos.repartition(max(1, math.ceil(count / per_task), min(count, cores)))
 
 
 def score(

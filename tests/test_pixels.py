@@ -116,3 +116,29 @@ def test_orientations():
     assert (up[3] == np.rot90(img, 2)).all() and (up[6] == np.rot90(img, -1)).all() and (up[8] == np.rot90(img)).all()
     assert (up[2] == img[:, ::-1]).all() and (up[4] == img[::-1]).all() and (up[5] == img.T).all()
     assert (up[7] == np.rot90(img, 2).T).all() and (photos.upright(img, 0) == img).all()
+
+
+def test_tiles_of_any_size_give_the_sharpness_of_the_whole_image(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    shapes = [(1, 1), (1, 9), (7, 1), (2, 2), (13, 17), (40, 23)]
+    images = [rng.integers(0, 256, s).astype(np.uint8) for s in shapes]
+    region = [None, (0.0, 0.0, 1.0, 1.0), (0.2, 0.25, 0.5, 0.6), (0.9, 0.9, 0.9, 0.9), (0.3, 0.3, 0.0, 0.0)]
+    rows, want = [], {}
+    for i, img in enumerate(images):
+        np.save(tmp_path / f"{i}.npy", img)
+        for j, r in enumerate(region):
+            rows.append((f"{i}-{j}", str(tmp_path / f"{i}.npy"), *img.shape, img.tobytes(), r))
+            want[f"{i}-{j}"] = pixels.laplacian_variance(img, r)
+    rows += [("none", None, None, None, None, None), ("gone", str(tmp_path / "gone.npy"), 5, 5, None, None)]
+    want |= {"none": 0.0, "gone": 0.0}
+    table = spark.createDataFrame(rows, "rel string, path string, height int, width int, gray binary, region struct<x:double,y:double,w:double,h:double>")
+
+    def load(path, top, bottom, left, right):
+        try:
+            return np.load(path, mmap_mode="r")[top:bottom, left:right]
+        except FileNotFoundError:
+            return None
+
+    for tile, reader in ((1, None), (3, load), (16, None), (1000, load)):
+        got = {r.rel: r.sharpness for r in pixels.sharpness_by_tiles(table, load=reader, tile=tile).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - v) <= 1e-9 * max(1, v) for k, v in want.items()), tile

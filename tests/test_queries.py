@@ -12,7 +12,7 @@ import check
 SF = "/root/testdata/sf0.001"
 CHEAP = [
     "time_bursts", "similarity_bursts", "verdicts_time", "verdicts_similarity", "top_keepers", "frame_id", "slug", "csv_cells",
-    "size_and_clock_text", "capture_time", "foreground_faces", "eye_open_fraction", "locked_region", "laplacian_variance",
+    "size_and_clock_text", "capture_time", "foreground_faces", "eye_open_fraction", "locked_region", "laplacian_variance", "laplacian_tiles",
     "exposure_fractions", "dhash", "tone_histogram", "manifest_parse", "cache_fill", "cache_latest", "route_events",
     "source_stats", "unique_names", "live_time_bursts", "incremental_measure",
 ]
