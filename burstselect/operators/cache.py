@@ -44,8 +44,8 @@ def cache_append(measured: DataFrame, path: str, tag: str, resume: bool = True)
 
 
 def _write(rows: DataFrame, path: str, run: int) -> None:
-    """A run into its own folder, so that no other writer shares its temporary files; one file for each tag and part."""
-    rows.repartition(PARTS, "tag", "part").write.mode("overwrite").partitionBy("tag", "part").parquet(f"{path}/written_at={run}")
+    """A run into its own folder, so that no other writer shares its temporary files; one file for each tag and part, tasks by the size of the run."""
+    rows.repartition("tag", "part").write.mode("overwrite").partitionBy("tag", "part").parquet(f"{path}/written_at={run}")
 
 
 def _table(spark: SparkSession, path: str, seen: Snapshot | None = None) -> DataFrame | None:
