@@ -1,0 +1,114 @@
+from __future__ import annotations
+
+import os
+
+import numpy as np
+import pytest
+
+from burstselect.operators.detect import detect, model_profile
+from burstselect.operators.faces import with_faces
+from burstselect.params import SelectionParams
+from burstselect.plans.score import score
+
+
+def opener():
+    """Nested, so that it travels to the workers by value."""
+
+    def load(path):
+        try:
+            with open(path, "rb") as fh:
+                return np.load(fh)
+        except (OSError, ValueError):
+            return None
+
+    return load
+
+
+open_array = opener()
+
+
+@pytest.fixture(scope="module")
+def photos(spark, tmp_path_factory):
+    """Forty photos whose first pixel tells how many faces the fake locator finds in them, and one that can't be read."""
+    root = tmp_path_factory.mktemp("faces")
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(40):
+        image = rng.integers(0, 256, (20, 40), dtype=np.uint8)
+        image[0, 0] = i % 3
+        with open(root / f"{i:02d}.jpg", "wb") as fh:
+            np.save(fh, image)
+        rows.append((f"{i:02d}.jpg", str(root / f"{i:02d}.jpg")))
+    (root / "bad.jpg").write_bytes(b"nothing")
+    rows.append(("bad.jpg", str(root / "bad.jpg")))
+    return spark.createDataFrame(rows, "rel string, path string").repartition(12)
+
+
+def locator_writing_to(folder):
+    """A factory that leaves a file behind each time a worker calls it."""
+
+    def factory():
+        with open(f"{folder}/{os.getpid()}", "a") as fh:
+            fh.write("loaded\n")
+        return lambda image: [(0, 0, 20, 10, 0.9), (22, 0, 16, 10, None)][: image[0, 0]]
+
+    return factory
+
+
+def test_each_worker_loads_once(photos, tmp_path):
+    found = detect(photos, open_array, locator_writing_to(str(tmp_path)))
+    assert found.count() == found.count() == 13 + 2 * 13
+    for worker in tmp_path.iterdir():  # two jobs of twelve tasks
+        assert worker.read_text() == "loaded\n"
+
+
+def test_boxes_and_eyes_are_paired(photos):
+    def reader():
+        def read(image, box):
+            if box[0] == 22:
+                raise ValueError("no landmarks")
+            return 0.25
+
+        return read
+
+    found = detect(photos, open_array, lambda: lambda image: [(0, 0, 20, 10, 0.9), (22, 0, 16, 10, None)], reader)
+    got = {(r.face_no, r.x, r.w, r.frame_w, r.frame_h, r.confidence, r.open_prob) for r in found.collect()}
+    assert got == {(1, 0.0, 20.0, 40, 20, 0.9, 0.25), (2, 22.0, 16.0, 40, 20, None, None)}
+
+
+def test_only_faces_that_may_count_have_their_eyes_read(photos):
+    boxes = [(0, 0, 20, 10, 0.9), (0, 0, 2, 2, 0.9), (0, 0, 40, 20, 0.1)]  # large, far behind, unsure
+    found = detect(photos, open_array, lambda: lambda image: boxes, lambda: lambda image, box: 1.0)
+    assert {(r.face_no, r.open_prob) for r in found.collect()} == {(1, 1.0), (2, None), (3, None)}
+    counted = with_faces(photos.where("rel <> 'bad.jpg'"), found)
+    assert {(r.face_count, r.eye_score) for r in counted.collect()} == {(1, 1.0)}
+
+
+@pytest.mark.parametrize("locator", [None, lambda: None])
+def test_without_locator_no_photo_has_faces(photos, locator):
+    found = detect(photos, open_array, locator)
+    assert found.isEmpty()
+    assert {r.face_count for r in with_faces(photos, found).collect()} == {0}
+
+
+@pytest.mark.parametrize("eyes, wanted", [(None, "single, passed checks"), (lambda: None, "single, passed checks"), (lambda: lambda i, b: 0.0, "single, eyes closed")])
+def test_missing_reader_leaves_the_gate_out(spark, photos, eyes, wanted):
+    from pyspark.sql import functions as F
+
+    few = photos.where("rel in ('01.jpg', '04.jpg')")
+    when = F.timestamp_seconds(F.substring("rel", 1, 2).cast("int") * 1000).cast("timestamp_ntz")
+    few = few.withColumns(dict(when_ts=when, mtime=F.lit(0.0), size_bytes=F.lit(1).cast("bigint")))
+    faces = detect(few, open_array, lambda: lambda image: [(0, 0, 20, 10, 0.9)], eyes)
+    judged = score(few, faces, open_array, SelectionParams(single_sharpness_floor=0.0)).collect()
+    assert {(r.face_count, r.reason.split(";")[0]) for r in judged} == {(1, wanted)}
+
+
+def test_profile_asks_for_python_memory():
+    profile = model_profile(2048, 2)
+    assert profile.executorResources["pyspark.memory"].amount == 2048
+    assert profile.taskResources["cpus"].amount == 2
+
+
+def test_no_photos(spark):
+    none = spark.createDataFrame([], "rel string, path string")
+    assert detect(none, open_array, lambda: lambda image: []).isEmpty()
