@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from burstselect.plans.ordered import ranked
 from burstselect.session import pin
+from burstselect.sources.onefile import write_csv_file
 
 # ---- what is exported ------------------------------------------------------------------------------------------
 
@@ -174,6 +175,12 @@ def write_export_manifest(outcomes: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="")
 
 
+def write_export_manifest_file(outcomes: DataFrame, path: str) -> int:
+    """The delivered manifest as one CSV file in export order, one line for each item; returns its size."""
+    cells = export_manifest(outcomes)
+    return write_csv_file(cells, [c for c in cells.columns if c != "pos"], [F.col("pos")], path)
+
+
 def export_report(outcomes: DataFrame) -> DataFrame:
     """Counts per outcome and the one-line summary."""
     n = lambda o: F.count_if(F.col("outcome") == o).alias(o)

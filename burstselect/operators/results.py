@@ -12,6 +12,9 @@ from burstselect.functions.columns import basename, burst_key, exposure_label, e
 from burstselect.plans.ordered import CHUNK, SPANS, chron, join_burst_table, laid_out, numbered, rank_in_burst, ranked, with_burst_stats
 from burstselect.session import pin
 
+JUDGED = [
+    "rel", "when_ts", "burst_id", "bin", "reason", "sharpness", "eye_score", "face_count", "exposure_flag", "blown", "crushed", "size_bytes"
+]
 FRAME_DOC = ["id", "filename", "sharpness", "eyes", "faces", "exposure", "mark", "reason", "size_bytes", "rel_path"]
 
 
@@ -104,7 +107,8 @@ def result_document(judged: DataFrame, method: str) -> DataFrame:
     Put together in the order of (burst_id, position) the pieces are one JSON object of ``grouping`` and ``bursts``: the first frame of
     a burst brings its header along, the last one its end, so a burst of any size is spread over as many rows as it has frames.
     """
-    judged = laid_out(judged)
+    # Read four times below: written once, with its layout and the columns that the document needs.
+    judged = pin(laid_out(judged).select(*JUDGED, CHUNK, SPANS))
     header = burst_labels(burst_table(judged)).select("burst_id", "label", "time", F.col("faces").alias("_faces"), "keeper_id", "n_frames")
     last = judged.agg(F.max("burst_id")).scalar()
     frames = join_burst_table(frame_documents(judged), header)
@@ -132,7 +136,7 @@ def progress_sequence(judged: DataFrame) -> DataFrame:
     Bursts follow each other in capture order and hold their frames together, so a frame's number is the place of its burst's
     first frame, which the layout knows, plus its position in the burst.
     """
-    laid = laid_out(judged).select("rel", "when_ts", "burst_id", "bin", "sharpness", "face_count", CHUNK, SPANS)
+    laid = pin(laid_out(judged).select("rel", "when_ts", "burst_id", "bin", "sharpness", "face_count", CHUNK, SPANS))
     placed = with_burst_stats(numbered(laid, [F.col("burst_id"), *chron()], "_place"), _start=F.min("_place"))
     placed = rank_in_burst(placed, [], best_first(), "_position")
     labels = burst_labels(burst_table(laid)).select("burst_id", "label")

@@ -36,7 +36,7 @@ def chron() -> list[Column]:
     return [F.col("when_ts").isNull(), F.col("when_ts"), F.col("rel")]
 
 
-def _into_chunks(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+def into_chunks(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     """Deal the rows into chunks by ``order``, expressions that sort ascending, and add the chunk number."""
     rows = df.count()
     chunks = min(MAX_CHUNKS, math.ceil(rows / CHUNK_ROWS))
@@ -109,7 +109,7 @@ def number_islands(
     in_order = W.partitionBy(CHUNK).orderBy(*order)
     so_far = in_order.rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = (
-        _into_chunks(df, order)
+        into_chunks(df, order)
         .withColumns(dict(_place(in_order), _prev=F.lag(F.struct(*keys)).over(in_order)))
         .withColumn("_brk", F.when(F.col("_prev").isNull(), 0).otherwise(is_break(F.col("_prev"), F.struct(*keys)).cast("int")))
         .withColumn("_isle", F.sum("_brk").over(so_far))
@@ -147,7 +147,7 @@ def number_islands(
 
 
 def _single(rows: DataFrame) -> bool:
-    """Whether `_into_chunks` made one chunk: its number is then a constant, which the schema shows as never null."""
+    """Whether `into_chunks` made one chunk: its number is then a constant, which the schema shows as never null."""
     return not rows.schema[CHUNK].nullable
 
 
@@ -180,7 +180,7 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: s
     keys = list(group) or ["_all"]
     src = df.drop(CHUNK, SPANS) if group else df.drop(CHUNK, SPANS).withColumn("_all", F.lit(0))
     full = [*[F.col(k) for k in keys], *order]
-    rows = _into_chunks(src, full).withColumn("_nth", F.row_number().over(W.partitionBy(CHUNK, *keys).orderBy(*order)))
+    rows = into_chunks(src, full).withColumn("_nth", F.row_number().over(W.partitionBy(CHUNK, *keys).orderBy(*order)))
     if _single(rows):
         return rows.withColumn(name, (F.col("_nth") - 1).cast("bigint")).drop(CHUNK, "_nth", "_all")
     rows = rows.withColumns(_place(W.partitionBy(CHUNK).orderBy(*full)))

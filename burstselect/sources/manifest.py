@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from burstselect.functions.columns import basename, fixed, iso_time
 from burstselect.plans.ordered import chron
+from burstselect.sources.onefile import write_csv_file
 
 # The manifest's columns in order.
 MANIFEST_FIELDS = [
@@ -18,8 +19,8 @@ MANIFEST_FIELDS = [
 TEXT_SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in MANIFEST_FIELDS])
 
 
-def manifest_cells(judged: DataFrame) -> DataFrame:
-    """The manifest as text cells."""
+def manifest_cells(judged: DataFrame, *more: Column | str) -> DataFrame:
+    """The manifest as text cells, and ``more`` columns as they are."""
     cells = dict(
         filename=basename("rel"),
         when_iso=F.coalesce(iso_time("when_ts"), F.lit("")),
@@ -29,7 +30,7 @@ def manifest_cells(judged: DataFrame) -> DataFrame:
         blown_frac=fixed("blown", 4),
         crushed_frac=fixed("crushed", 4),
     )
-    return judged.select(*[cells.get(f, F.col(f)).cast("string").alias(f) for f in MANIFEST_FIELDS])
+    return judged.select(*[cells.get(f, F.col(f)).cast("string").alias(f) for f in MANIFEST_FIELDS], *more)
 
 
 def manifest_rows(judged: DataFrame) -> DataFrame:
@@ -57,6 +58,15 @@ def write_manifest(judged: DataFrame, path: str) -> None:
     manifest_cells(ordered).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="")
 
 
+def write_manifest_file(judged: DataFrame, path: str) -> int:
+    """The manifest as one CSV file in the same order, with the line ends and quotes of a spreadsheet program; returns its size."""
+    keyed = judged.select("*", F.col("burst_id").alias("_burst"))
+    quoted = lambda c: F.when(c.rlike('[,"\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    cells = manifest_cells(keyed, "_burst", "when_ts", F.col("rel").alias("_rel"))
+    order = [F.col("_burst"), F.col("when_ts").isNull(), F.col("when_ts"), F.col("_rel")]
+    return write_csv_file(cells, MANIFEST_FIELDS, order, path, "\r\n", quoted)
+
+
 def parse_manifest(cells: DataFrame) -> DataFrame:
     """Typed rows from text cells, forgiving per cell: a bad integer is 0, a bad number 0.0, no eye score null."""
     given = [f for f in MANIFEST_FIELDS if f in cells.columns]
