@@ -10,6 +10,7 @@ The result is exact.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ from burstselect.llm.common import pin
 
 BLOCK_ROWS = 4096
 NEAREST = 20
+#: About as many bytes of candidates as one cell of the grid holds in memory.
+CELL_BYTES = 256 << 20
 #: Sums of int8 products are exact in float32 up to this dimension.
 FLOAT32_DIM = 1000
 
@@ -127,17 +130,23 @@ def tile(q: Block, places: np.ndarray, c: Block, best: list[list], k: int) -> No
 
 
 def nearest(
-    vectors: DataFrame, every: int, id_col: str = "vec_id", vector: str = "embedding", k: int = NEAREST, block_rows: int = BLOCK_ROWS
+    vectors: DataFrame, every: int, id_col: str = "vec_id", vector: str = "embedding", k: int = NEAREST, block_rows: int = BLOCK_ROWS,
+    cell_bytes: int = CELL_BYTES,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows of each row whose id is divisible by ``every``, by inner product.
 
     All other rows are candidates, rows with the query's own id and vector included if they are other rows; ties go to the smaller id,
     a null id last. Vectors that are null, empty, zero or hold null or non-finite components take no part; vectors of different lengths
     don't meet. An empty table gives no rows.
+
+    A cell keeps its candidates in memory while the queries pass, so there are as many cells as keep them at about ``cell_bytes``; every cell
+    receives all queries.
     """
     spark = vectors.sparkSession
     blocks = pin(to_blocks(vectors, id_col, vector, block_rows=block_rows))
-    cells = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Eight bytes of a vector and one of its codes for each component, and some for each row.
+    held_bytes = blocks.agg(F.sum(F.col("n").cast("long") * (F.col("dim") * 9 + 33))).first()[0] or 0
+    cells = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(held_bytes / cell_bytes))
 
     # Queries travel with the parts of their block that tiles need; there is one of them for `every` rows.
     def queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -142,12 +142,12 @@ def parser(samples: tuple[str, ...]) -> Parser:
 
 
 def identify(docs: DataFrame, samples: dict[str, str], text: str = "text", label: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``docs`` with its text replaced by the predicted label and a score.
+    """``docs`` with its text replaced by the predicted label and a score; columns of their names give way to them.
 
     The score is the share that the winner has when labels are weighted by 2 to the power of minus their normalised phrases. Null
     text, text without a letter and an empty model give ``und`` and 0. Of equal labels the one first in alphabetical order wins.
     """
-    rest = [c for c in docs.columns if c != text]
+    rest = [c for c in docs.columns if c != text and c.lower() not in (label.lower(), score.lower())]
     labels, texts_of = list(samples), tuple(samples.values())
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -171,6 +171,7 @@ def identify(docs: DataFrame, samples: dict[str, str], text: str = "text", label
             for part in slices(batch, text, 4 << 20):
                 yield work(part)
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text]
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in rest]
     schema = ", ".join([*kinds, f"`{label}` string", f"`{score}` double"])
-    return docs.withColumn(text, F.when(F.col(text).isNotNull(), text_or_empty(text))).mapInArrow(tidy(over), schema)
+    whole = F.when(F.col(f"`{text}`").isNotNull(), text_or_empty(text)).alias(text)
+    return docs.select(*[f"`{c}`" for c in rest], whole).mapInArrow(tidy(over), schema)

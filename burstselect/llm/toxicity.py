@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,20 +84,19 @@ def fit_weights(
     index = {w: i for i, w in enumerate(vocabulary)}
     x = np.zeros((len(rows), len(vocabulary)), np.float32)
     y = np.array([label for _, label in rows], np.float32)
-    changes = []
+    # Rows share their swaps, of which there are as many as pairs of terms; the penalty needs only the sum of their outer products.
+    times: Counter[tuple[str, str | None]] = Counter()
     for i, (words, _) in enumerate(rows):
         for w in words:
             if w in index:
                 x[i, index[w]] = 1
-        for term, other in swaps(set(words) & index.keys(), groups):
-            change = np.zeros(len(vocabulary), np.float32)
-            for sign, word in ((-1, term), (1, other)):
-                for part in with_stems({word} - {None}) & index.keys():
-                    change[index[part]] += sign
-            changes.append(change)
-    # Swaps repeat; the penalty needs only the sum of their outer products.
-    c = np.array(changes, np.float32).reshape(-1, len(vocabulary))
-    outer = c.T @ c / max(1, len(c))
+        times.update(swaps(set(words) & index.keys(), groups))
+    changes = np.zeros((len(times), len(vocabulary)))
+    for change, (term, other) in zip(changes, times, strict=True):
+        for sign, word in ((-1, term), (1, other)):
+            for part in with_stems({word} - {None}) & index.keys():
+                change[index[part]] += sign
+    outer = (changes.T * np.array(list(times.values()))) @ changes / max(1, times.total())
     # Both labels weigh the same, however many rows each has.
     each = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, len(y) - y.sum())).astype(np.float32)
     w, b = np.zeros(len(vocabulary)), 0.0
@@ -155,8 +155,8 @@ def fit(
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = False, name: str = "score") -> DataFrame:
-    """``docs`` with a column ``score`` from 0 to 1 for the whole text; null and empty texts have the score of no words."""
-    keep = list(docs.columns) if keep_text else [c for c in docs.columns if c != text]
+    """``docs`` with a column ``score`` from 0 to 1 for the whole text, in place of one of that name; null and empty texts have the score of no words."""
+    keep = [c for c in docs.columns if c.lower() != name.lower() and (keep_text or c != text)]
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,7 +165,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", keep_text: bool =
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), scores], [*keep, name])
 
     kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in keep), f"`{name}` double"])
-    return docs.mapInArrow(tidy(over), kinds)
+    return docs.select(*[f"`{c}`" for c in dict.fromkeys([*keep, text])]).mapInArrow(tidy(over), kinds)
 
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:

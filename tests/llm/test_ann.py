@@ -36,6 +36,16 @@ def test_equals_brute_force(spark, block_rows):
     assert sorted(got) == sorted(brute(rows, 10, 7))
 
 
+@pytest.mark.parametrize("cell_bytes", [1, 5_000])
+def test_cells_hold_few_bytes(spark, cell_bytes):
+    """One block a cell, and a few."""
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = [tuple(r) for r in ann.nearest(df, 20, k=5, block_rows=20, cell_bytes=cell_bytes).collect()]
+    assert sorted(got) == sorted(brute(rows, 20, 5))
+
+
 def test_few_and_none(spark):
     one = spark.createDataFrame([(0, [1.0, 2.0])], "vec_id long, embedding array<double>")
     assert ann.nearest(one, 20).count() == 0

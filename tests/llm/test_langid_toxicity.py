@@ -85,3 +85,28 @@ def test_toxic(spark):
 
 def test_swaps():
     assert set(toxicity.swaps({"women", "x"})) == {("women", "men"), ("women", None)} and toxicity.swaps({"x"}) == []
+
+
+def test_repeated_swaps_weigh_as_often_as_they_occur():
+    """The penalty from counted swaps equals the one from a row for each swap."""
+    groups = (("red", "blue", "green"),)
+    rows = [(["bad", "red"], 1), (["bad"], 1), (["fine", "red", "blue"], 0), (["fine", "green"], 0)] * 5
+    vocabulary = ["bad", "fine", "red", "blue", "green"]
+    once = toxicity.fit_weights(rows, vocabulary, groups)
+    shuffled = toxicity.fit_weights(list(reversed(rows)), vocabulary, groups)
+    assert once.weights["bad"] > 0.5 > abs(once.weights["red"]) and once.weights["fine"] < -0.5
+    assert all(abs(once.weights[w] - shuffled.weights[w]) < 1e-3 for w in vocabulary)
+    free = toxicity.fit_weights(rows, vocabulary, groups, swap_weight=0.0)
+    assert abs(free.weights["red"] - free.weights["blue"]) > abs(once.weights["red"] - once.weights["blue"])
+
+
+def test_columns_named_as_results_give_way(spark):
+    docs = spark.createDataFrame([(1, "kalo", "x", 7, "mine")], "doc_id long, text string, Score string, n int, lang_pred string")
+    model = toxicity.Model({}, 0.0)
+    for keep_text in (False, True):
+        row = toxicity.scored(docs, model, keep_text=keep_text).first().asDict()
+        assert row.pop("score") == 0.5
+        assert row == {"doc_id": 1, "n": 7, "lang_pred": "mine"} | ({"text": "kalo"} if keep_text else {})
+    assert toxicity.drop_toxic(docs, toxicity.Model({}, -1.0)).collect() == docs.collect()
+    got = langid.identify(docs, {"aa": "kalokalomitu", "bb": "scheinung"}).first().asDict()
+    assert got["lang_pred"] == "aa" and got["n"] == 7 and set(got) == {"doc_id", "n", "lang_pred", "score"}
