@@ -35,7 +35,8 @@ def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def frames_from(e: DataFrame) -> DataFrame:
     """Frames from a table or a stream of events."""
-    k = F.get_json_object("props", "$.k").cast("int")
+    # A column of its own: the text is parsed once for each row, not for each use.
+    e, k = e.withColumn("k", F.get_json_object("props", "$.k").cast("int")), F.col("k")
     faces = k % 4
     out = e.select(
         F.concat(F.lit("DCIM/u"), F.col("user_id"), F.lit("/DSC_"), F.lpad(F.col("event_id").cast("string"), 8, "0"), F.lit(".JPG")).alias("rel"),
@@ -50,7 +51,7 @@ def frames_from(e: DataFrame) -> DataFrame:
         F.col("event_id"),
         F.col("user_id"),
         F.col("event_type"),
-        k.alias("k"),
+        k,
     )
     return out.withColumn("exposure_flag", exposure_flagged("blown", "crushed", QUERY_PARAMS))
 

@@ -87,7 +87,7 @@ def unique_names(items: DataFrame, existing: DataFrame) -> DataFrame:
         taken = taken.join(rows.select("stem", "ext").distinct(), ["stem", "ext"], "left_semi")
         # A marker row ahead of the items of a taken name makes all of them duplicates.
         lined_up = rows.unionByName(taken.withColumn("pos", F.lit(-1).cast("bigint")))
-        lined_up = ranked(lined_up, ["stem", "ext"], [F.col("pos")], "m").where(F.col("pos") >= 0)
+        lined_up = pin(ranked(lined_up, ["stem", "ext"], [F.col("pos")], "m").where(F.col("pos") >= 0))
         own = lined_up.where(F.col("m") == 0).select("pos", _assemble(F.col("stem")).alias("exported_as"))
         again = lined_up.where(F.col("m") > 0)
 
@@ -95,7 +95,7 @@ def unique_names(items: DataFrame, existing: DataFrame) -> DataFrame:
             F.regexp_extract("stem", _NUMBERED, 1).alias("stem"), "ext", F.regexp_extract("stem", _NUMBERED, 2).cast("bigint").alias("n"), "p"
         )
         children = children.join(again.select("stem", "ext").distinct(), ["stem", "ext"], "left_semi")
-        numbered = _number_duplicates(again, children)
+        numbered = pin(_number_duplicates(again, pin(children)))
         fresh = F.concat(F.col("stem"), F.lit("-"), F.col("n").cast("string"))
         named_again = numbered.select("pos", _assemble(fresh).alias("exported_as"))
         level = own.unionByName(named_again)
@@ -144,14 +144,16 @@ def export_outcomes(items: DataFrame, sources: DataFrame | None, existing: DataF
     """
     if sources is None:
         return items.withColumn("outcome", F.lit("skipped")).withColumn("exported_as", F.lit("")).withColumn("message", F.lit(""))
+    # Read by the names and again by the outcomes: written once.
+    items = pin(items)
     there = items.join(sources.select("rel_path").distinct(), "rel_path", "left_semi")
     if failures is None:
         failures = there.where(F.lit(False)).select("rel_path", F.lit(None).cast("string").alias("message"))
     # One row for each path that has a source, however often it failed and with or without a message.
     failed = failures.groupBy("rel_path").agg(F.max("message").alias("message")).withColumn("_failed", F.lit(True))
     failed = failed.join(sources.select("rel_path").distinct(), "rel_path", "left_semi")
-    copied = there.join(failed, "rel_path", "left_anti")
-    names = unique_names(copied.select("pos", "filename"), existing).select("pos", "exported_as")
+    copied = pin(there.join(failed, "rel_path", "left_anti").select("pos", "filename"))
+    names = unique_names(copied, existing).select("pos", "exported_as")
     return (
         items.join(names, "pos", "left")
         .join(failed, "rel_path", "left")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from burstselect.functions.columns import box, center_box
 from burstselect.params import SelectionParams
 from burstselect.plans.ordered import CHUNK, laid_out, parts, ranked
+from burstselect.session import pin
 
 _AXES = ["x", "y", "w", "h"]
 
@@ -43,7 +44,7 @@ def _split_medians(split: DataFrame) -> DataFrame:
 
 def with_locked_region(grouped: DataFrame) -> DataFrame:
     """Add ``region``: the consensus box of the burst, the centre where no frame of it has a box."""
-    whole, split = parts(laid_out(grouped))
+    whole, split = parts(pin(laid_out(grouped)))
     whole = whole.withColumn("region", _median_box(W.partitionBy(CHUNK, "burst_id")))
     split = split.join(F.broadcast(_split_medians(split)), "burst_id", "left")
     return whole.unionByName(split).withColumn("region", F.coalesce("region", center_box()))
@@ -51,7 +52,7 @@ def with_locked_region(grouped: DataFrame) -> DataFrame:
 
 def locked_region(grouped: DataFrame) -> DataFrame:
     """One row per burst: its locked region."""
-    whole, split = parts(laid_out(grouped))
+    whole, split = parts(pin(laid_out(grouped)))
     inside = whole.groupBy("burst_id").agg(_median_box().alias("region"))
     over = split.select("burst_id").distinct().join(F.broadcast(_split_medians(split)), "burst_id", "left")
     return inside.unionByName(over).withColumn("region", F.coalesce("region", center_box()))

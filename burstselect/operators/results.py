@@ -81,8 +81,9 @@ def result_peak(judged: DataFrame) -> DataFrame:
 
 def frame_documents(judged: DataFrame) -> DataFrame:
     """Frames in the wire vocabulary, with their display ``position`` in the burst."""
+    judged = pin(laid_out(judged))
     peak = result_peak(judged).scalar()
-    placed = rank_in_burst(laid_out(judged), [], best_first(), "position")
+    placed = rank_in_burst(judged, [], best_first(), "position")
     return placed.select(
         "burst_id",
         "position",

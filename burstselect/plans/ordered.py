@@ -6,10 +6,10 @@ do the window inside each chunk, and correct each chunk by what the chunks befor
 one row per chunk, at most ``MAX_CHUNKS`` rows whatever the size of the data, so it is safe to order it in one task and
 to broadcast it.
 
-A chunk is a plain column: the number of boundaries at or below the row's key. The boundaries come from a count and a
-small sample of the keys, taken once while the plan is built. So the rows are shuffled once, chunk ``i`` to
-partition ``i``; windows by chunk, and by chunk and burst, work on that layout without another exchange, and reading it
-twice in a plan reuses the exchange.
+A chunk is a plain column: the number of boundaries at or below the row's key. The rows are written once before they are
+dealt, so that what they come from runs once: their number comes from that write and the boundaries from a small sample of the
+written keys. Then the rows are shuffled once, chunk ``i`` to partition ``i``; windows by chunk, and by chunk and burst, work
+on that layout without another exchange, and reading it twice in a plan reuses the exchange.
 """
 
 from __future__ import annotations
@@ -17,11 +17,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, GroupedData
+from pyspark.sql import Column, DataFrame, GroupedData, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
+from burstselect.session import pin
+
 CHUNK = "_chunk"
 SPANS = "_spans"
 
@@ -29,6 +31,8 @@ SPANS = "_spans"
 CHUNK_ROWS = 200_000
 MAX_CHUNKS = 16_384
 SAMPLED_KEYS = 20
+# Halvings by compiled conditions when a row looks for its chunk: one condition for each of 2 ** TREE_DEPTH - 1 boundaries.
+TREE_DEPTH = 8
 
 
 def chron() -> list[Column]:
@@ -36,9 +40,15 @@ def chron() -> list[Column]:
     return [F.col("when_ts").isNull(), F.col("when_ts"), F.col("rel")]
 
 
-def into_chunks(df: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """Deal the rows into chunks by ``order``, expressions that sort ascending, and add the chunk number."""
-    rows = df.count()
+def into_chunks(df: DataFrame, order: Sequence[Column], rows: int | None = None) -> DataFrame:
+    """Deal the rows into chunks by ``order``, expressions that sort ascending, and add the chunk number.
+
+    ``rows`` is the number of rows of a table that is written already, so that it is not written again.
+    """
+    if rows is None:
+        seen = Observation()
+        df = pin(df.observe(seen, F.count("*").alias("rows")))
+        rows = seen.get["rows"]
     chunks = min(MAX_CHUNKS, math.ceil(rows / CHUNK_ROWS))
     if chunks < 2:
         return df.repartition(1).withColumn(CHUNK, F.lit(0))
@@ -46,16 +56,19 @@ def into_chunks(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     keys = df.select(key.alias("key")).select("key.*")
     share = min(1.0, SAMPLED_KEYS * chunks / rows)
     # Every so many sampled keys, in order, as text: they become one literal.
-    sample = keys.sample(share, seed=7).orderBy(*keys.columns).select(*[F.col(c).cast("string") for c in keys.columns]).collect()
+    sample = keys.sample(share, seed=7).repartition(1).sortWithinPartitions(*keys.columns).select(*[F.col(c).cast("string") for c in keys.columns]).collect()
     step = max(1, len(sample) // chunks)
     bounds = sample[step::step]
     kinds = [f.dataType.simpleString() for f in keys.schema.fields]
-    dealt = df.withColumn(CHUNK, _at_or_below(_literal(bounds, kinds), len(bounds), key)) if bounds else df.withColumn(CHUNK, F.lit(0))
-    return dealt.repartitionById(len(bounds) + 1, CHUNK) if bounds else dealt.repartition(1)
+    if not bounds:
+        return df.repartition(1).withColumn(CHUNK, F.lit(0))
+    # The key is a column of its own, so that its expressions run once for each row, not at each condition.
+    dealt = df.withColumn("_key", key).withColumn(CHUNK, _at_or_below(bounds, kinds, F.col("_key"))).drop("_key")
+    return dealt.repartitionById(len(bounds) + 1, CHUNK)
 
 
-def _literal(rows: Sequence[Sequence[str | None]], kinds: Sequence[str]) -> Column:
-    """An array of structs, given as text, that Spark folds into one literal."""
+def _literal(row: Sequence[str | None], kinds: Sequence[str]) -> str:
+    """A struct, given as text, that Spark folds into a literal."""
 
     def cell(text: str | None, kind: str) -> str:
         if text is None:
@@ -63,13 +76,28 @@ def _literal(rows: Sequence[Sequence[str | None]], kinds: Sequence[str]) -> Colu
         escaped = text.replace("\\", "\\\\").replace("'", "\\'")
         return f"cast('{escaped}' as {kind})"
 
-    structs = (", ".join(f"'k{i}', {cell(x, k)}" for i, (x, k) in enumerate(zip(r, kinds, strict=True))) for r in rows)
-    return F.expr("array(" + ", ".join(f"named_struct({x})" for x in structs) + ")")
+    return "named_struct(" + ", ".join(f"'k{i}', {cell(x, k)}" for i, (x, k) in enumerate(zip(row, kinds, strict=True))) + ")"
 
 
-def _at_or_below(bounds: Column, n: int, key: Column) -> Column:
-    """How many of ``n`` ascending bounds are at or below the key, by halving."""
-    start = F.struct(F.lit(0).alias("low"), F.lit(n).alias("high"))
+def _at_or_below(rows: Sequence[Sequence[str | None]], kinds: Sequence[str], key: Column) -> Column:
+    """How many ascending bounds are at or below the key.
+
+    The first TREE_DEPTH halvings are a tree of conditions, which Spark compiles; an array is halved for the others, a row at a time.
+    """
+    n = len(rows)
+
+    def tree(low: int, high: int, depth: int, leaf: Callable[[int, int], Column]) -> Column:
+        if low == high or depth == 0:
+            return leaf(low, high)
+        middle = (low + high) // 2
+        below = F.expr(_literal(rows[middle], kinds)) <= key
+        return F.when(below, tree(middle + 1, high, depth - 1, leaf)).otherwise(tree(low, middle, depth - 1, leaf))
+
+    if n < 2**TREE_DEPTH:
+        # Always so; the schema then shows a column that may be null, unlike the constant of one chunk (see `_single`).
+        return F.when(key.isNotNull(), tree(0, n, TREE_DEPTH, lambda low, high: F.lit(low)))
+    bounds = F.expr("array(" + ", ".join(_literal(r, kinds) for r in rows) + ")")
+    start = tree(0, n, TREE_DEPTH, lambda low, high: F.struct(F.lit(low).alias("low"), F.lit(high).alias("high")))
 
     def halve(s: Column, _: Column) -> Column:
         middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
@@ -79,7 +107,7 @@ def _at_or_below(bounds: Column, n: int, key: Column) -> Column:
         )
         return F.when(s["low"] < s["high"], moved).otherwise(s)
 
-    steps = F.sequence(F.lit(1), F.lit(max(1, n.bit_length())))
+    steps = F.sequence(F.lit(1), F.lit(n.bit_length() - TREE_DEPTH + 1))
     return F.aggregate(steps, start, halve, lambda s: s["low"])
 
 
@@ -171,16 +199,17 @@ def laid_out(df: DataFrame) -> DataFrame:
     return df if {CHUNK, SPANS} <= set(df.columns) else lay_out(df)
 
 
-def ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+def ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str, rows: int | None = None) -> DataFrame:
     """0-based position of each row inside its group, for groups of any size.
 
     Same result as ``row_number() over (partition by group order by order) - 1``; with no group, the position in the
     whole table. ``order`` are expressions that sort ascending; they must make the order within a group total.
+    ``rows``: see `into_chunks`.
     """
     keys = list(group) or ["_all"]
     src = df.drop(CHUNK, SPANS) if group else df.drop(CHUNK, SPANS).withColumn("_all", F.lit(0))
     full = [*[F.col(k) for k in keys], *order]
-    rows = into_chunks(src, full).withColumn("_nth", F.row_number().over(W.partitionBy(CHUNK, *keys).orderBy(*order)))
+    rows = into_chunks(src, full, rows).withColumn("_nth", F.row_number().over(W.partitionBy(CHUNK, *keys).orderBy(*order)))
     if _single(rows):
         return rows.withColumn(name, (F.col("_nth") - 1).cast("bigint")).drop(CHUNK, "_nth", "_all")
     rows = rows.withColumns(_place(W.partitionBy(CHUNK).orderBy(*full)))
@@ -210,14 +239,17 @@ def rank_in_burst(df: DataFrame, extra: Sequence[str], order: Sequence[Column],
     """0-based position within (burst, *extra) of a laid-out table.
 
     A burst inside one chunk is ranked there; the rows of the others, at most one burst per chunk edge, are laid out
-    once more in the order asked for.
+    once more in the order asked for. All are written in between, so nothing behind them runs for each part again.
     """
     position = (F.row_number().over(W.partitionBy(CHUNK, "burst_id", *extra).orderBy(*order)) - 1).cast("bigint")
-    whole, split = parts(df)
+    seen = Observation()
+    whole, split = parts(pin(df.withColumn(name, position).observe(seen, F.count_if(SPANS).alias("split"))))
+    if not (rows := seen.get["split"]):
+        return whole
     # The chunk of these rows stays that of the original layout.
-    far = ranked(split.withColumnRenamed(CHUNK, "_home").drop(SPANS), ["burst_id", *extra], order, name)
+    far = ranked(split.drop(name, SPANS).withColumnRenamed(CHUNK, "_home"), ["burst_id", *extra], order, name, rows)
     far = far.withColumnRenamed("_home", CHUNK).withColumn(SPANS, F.lit(True))
-    return whole.withColumn(name, position).unionByName(far)
+    return whole.unionByName(far)
 
 
 def with_burst_stats(df: DataFrame, **aggregates: Column) -> DataFrame:
