@@ -136,22 +136,34 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ARRIVALS = 5
+# Rows of one file of an arrival.
+ARRIVAL_ROWS = 250_000
 
 
 def arriving_events(spark: SparkSession, sf_dir: str, repeated: bool = False) -> tuple[DataFrame, str]:
-    """The events as a stream of several files, one for each micro-batch, and how late a row may be.
+    """The events as a stream of several arrivals, one for each micro-batch, and how late a row may be.
 
-    A file holds a stretch of time. A twentieth of its rows come late, with the next file; if ``repeated``, they come with both.
+    An arrival holds a stretch of time. A twentieth of its rows come late, with the next one; if ``repeated``, they come with both.
+    All arrivals are written as the same number of files, which is what a micro-batch takes.
     """
     events = table(spark, sf_dir, "events")
     low, high = events.agg(F.min("ts"), F.max("ts")).first()
     seconds = int((high - low).total_seconds() // ARRIVALS) + 1
     stretch = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(low).cast("timestamp"))) / (seconds * 1_000_000)).cast("int")
     parts = events.withColumn("_stretch", F.coalesce(stretch, F.lit(0))).withColumn("_late", F.pmod("event_id", F.lit(20)) == 0)
+    counts = [0] * (ARRIVALS + 1)
+    for r in parts.groupBy("_stretch", "_late").agg(F.count("*").alias("n")).collect():
+        if repeated or not r["_late"]:
+            counts[r["_stretch"]] += r["n"]
+        if r["_late"]:
+            counts[r["_stretch"] + 1] += r["n"]
+    # Rows are dealt in turn by each task, so no file is empty (and left out) if one of the tasks has a row for each.
+    files = max(1, min(-(-max(counts) // ARRIVAL_ROWS), min(counts) // max(1, events.rdd.getNumPartitions())))
     path = scratch_path(spark, "arrivals")
     for i in range(ARRIVALS + 1):
         now = (F.col("_stretch") == i) if repeated else (F.col("_stretch") == i) & ~F.col("_late")
         before = (F.col("_stretch") == i - 1) & F.col("_late")
-        parts.where(now | before).drop("_stretch", "_late").coalesce(1).write.parquet(f"{path}/{i}")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
+        rows = parts.where(now | before).drop("_stretch", "_late")
+        (rows.coalesce(1) if files == 1 else rows.repartition(files)).write.parquet(f"{path}/{i}")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(path)
     return stream, f"{seconds} seconds"

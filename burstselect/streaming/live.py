@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +70,8 @@ def progress_state(lines: DataFrame, run: str = "run") -> DataFrame:
 # ---- live bursts -----------------------------------------------------------------------------------------------
 
 
+# Frames that a task turns into bursts at once.
+HELD_FRAMES = 200_000
 BURST = "frames bigint, first_when timestamp_ntz, last_when timestamp_ntz, peak double, candidate string"
 
 
@@ -86,13 +89,15 @@ def live_time_bursts(frames: DataFrame, params: SelectionParams, source: str, de
     thin = dated.select(source, F.unix_micros(as_instant("when_ts")).alias("at"), F.coalesce("sharpness", F.lit(float("-inf"))).alias("sharpness"), "rel")
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
         for pdf in batches:
-            found = []
-            for key, rows in pdf.groupby(source, dropna=False, sort=False):
-                single = zip(rows["at"], rows["sharpness"], rows["rel"], strict=True)
-                merged = merge_bursts([(1, at, at, peak, rel) for at, peak, rel in single], gap)
-                found += [(None if pd.isna(key) else key, *b) for b in merged]
-            yield pd.DataFrame(found, columns=[source, "frames", "first", "last", "peak", "candidate"])
+            if len(pdf):
+                held, n = [*held, pdf], n + len(pdf)
+            if n >= HELD_FRAMES:
+                yield _frames_to_bursts(pd.concat(held, ignore_index=True), source, gap)
+                held, n = [], 0
+        if held:
+            yield _frames_to_bursts(pd.concat(held, ignore_index=True), source, gap)
 
     columns = f"`{source}` {kind}, frames bigint, first bigint, last bigint, peak double, candidate string"
     bursts = thin.mapInPandas(partial, columns).withColumn("event_time", F.timestamp_micros("last")).withWatermark("event_time", delay)
@@ -110,6 +115,8 @@ def live_time_bursts(frames: DataFrame, params: SelectionParams, source: str, de
             state.setTimeoutTimestamp(max(min(b[2] for b in rest) + gap, reached) // 1000 + 1)
         elif state.exists:
             state.remove()
+        if not over:
+            return
         moments = lambda i: pd.Series([b[i] for b in over], dtype="int64").astype("datetime64[us]")
         yield pd.DataFrame({
             source: pd.Series([key[0]] * len(over), dtype="object" if key[0] is None else None), "frames": [b[0] for b in over],
@@ -120,6 +127,23 @@ def live_time_bursts(frames: DataFrame, params: SelectionParams, source: str, de
     return closed.unionByName(_undated(frames, source))
 
 
+def _frames_to_bursts(rows: pd.DataFrame, source: str, gap: int) -> pd.DataFrame:
+    """The bursts of single frames (source, at, sharpness, rel) of any number of sources: what `merge_bursts` makes of each source's."""
+    codes = pd.factorize(rows[source])[0]
+    order = np.lexsort((rows["at"].to_numpy(), codes))
+    code, at, sharp = codes[order], rows["at"].to_numpy()[order], rows["sharpness"].to_numpy()[order]
+    begin = np.append(True, (code[1:] != code[:-1]) | (at[1:] - at[:-1] > gap))
+    begins = np.flatnonzero(begin)
+    ends, isle = np.append(begins[1:], len(at)), np.cumsum(begin) - 1
+    peak = np.maximum.reduceat(sharp, begins)
+    best = (sharp == peak[isle]) | np.isnan(sharp)
+    names = rows["rel"].to_numpy()[order][best]
+    if len(names) > len(begins):  # of equally sharp frames the last name
+        names = pd.Series(names).groupby(isle[best]).max().to_numpy()
+    columns = {"frames": ends - begins, "first": at[begins], "last": at[ends - 1], "peak": peak, "candidate": names}
+    return pd.DataFrame({source: rows[source].to_numpy()[order[begins]], **columns})
+
+
 def merge_bursts(bursts: list[tuple], gap: int) -> list[tuple]:
     """Bursts (frames, first, last, peak, candidate) with those joined that lie at most ``gap`` apart; ascending by time."""
     out: list[tuple] = []

@@ -4,6 +4,8 @@ import os
 import time
 import uuid
 
+import numpy as np
+import pandas as pd
 from conftest import FRAME_SCHEMA, frame
 from pyspark.sql import functions as F
 
@@ -158,3 +160,36 @@ def test_incremental_measure_skips_what_is_known(spark, tmp_path):
     live.incremental_measure(frames, path, "t", lambda f: f)
     got = {(r.rel, r.mtime): r.sharpness for r in cache.cache_load(spark, path, "t").collect()}
     assert set(got) == {("a", 1.0), ("b", 1.0), ("a", 2.0)} and got[("a", 2.0)] == 7.0 and got[("b", 1.0)] == 2.0
+
+
+def test_frames_of_many_sources_become_bursts_at_once():
+    """The same bursts as one source after the other, equally sharp frames and frames without a source among them."""
+    rng = np.random.default_rng(5)
+    n = 3000
+    rows = pd.DataFrame(
+        {"source": rng.choice([*"abcdefgh", None], n), "at": rng.integers(0, 9000, n), "sharpness": rng.integers(0, 4, n) * 1.0, "rel": [f"f{i:04d}" for i in range(n)]}
+    )
+    want = []
+    for key, part in rows.groupby("source", dropna=False):
+        single = [(1, at, at, peak, rel) for at, peak, rel in zip(part["at"], part["sharpness"], part["rel"])]
+        want += [(None if pd.isna(key) else key, *b) for b in live.merge_bursts(single, 10)]
+    got = live._frames_to_bursts(rows, "source", 10)
+    assert sorted(got.itertuples(index=False, name=None), key=str) == sorted(want, key=str) and len(want) > 100
+
+
+def test_arrivals_of_several_files(spark, tmp_path, monkeypatch):
+    """An arrival is written by several tasks, the same number for each; bursts are those of the finished table all the same."""
+    from burstselect import frames as f
+    from burstselect.plans import catalog
+
+    monkeypatch.setattr(f, "ARRIVAL_ROWS", 100)
+    at = "timestamp_ntz'2031-03-08 12:00:00' + make_dt_interval(0, 0, 0, id * 7 % 20000)"
+    events = spark.range(2000).selectExpr("id as event_id", f"{at} as ts", "id % 5 as user_id", "'view' as event_type", "id % 17 * 1.0 as value", "concat('{\"k\": ', id % 90, '}') as props")
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    opened = []
+    scratch = f.scratch_path
+    monkeypatch.setattr(f, "scratch_path", lambda s, name: opened.append(scratch(s, name)) or opened[-1])
+    got = sorted(map(str, catalog.live_time_bursts(spark, str(tmp_path)).collect()))
+    assert got == sorted(map(str, catalog.batch_time_bursts(spark, str(tmp_path)).collect()))
+    counts = [len([n for n in os.listdir(f"{opened[0]}/{i}") if n.startswith("part-")]) for i in range(f.ARRIVALS + 1)]
+    assert len(set(counts)) == 1 and counts[0] > 1
