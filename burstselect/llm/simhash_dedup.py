@@ -20,9 +20,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burstselect.llm.blocks import block_keys, fingerprints, hashed, hub_pairs, mixed, starts_of
+from burstselect.llm.blocks import block_keys, fingerprints, hashed, hub_pairs, mixed, rest_pairs, starts_of
 from burstselect.llm.common import arrow_map, bytes_of, pin, row_mark, slices, tidy, without
 from burstselect.llm.components import components
+from burstselect.session import scratch_path
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -223,8 +224,14 @@ def alike(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: flo
     nodes = names.groupBy("node").agg(F.min("doc_id").alias("low"))
     words = [f"sign_{w}" for w in range(WIDE)]
     signs = [F.col("sign")[w].alias(name) for w, name in enumerate(words)]
-    pairs = hub_pairs(names.select("node", "size", "keys", *signs), words, similarity, MOST_APART)
+    sets, crowd = names.select("node", "size", "keys", *signs), scratch_path(docs.sparkSession, "crowded")
+    pairs = hub_pairs(sets, words, similarity, MOST_APART, [], 2, crowd)
     roots = pin(components(jaccard_pairs(rows, names, pairs, shingle, similarity)))
+    # Sets of one block that are not in one group yet have met no more than its hubs.
+    more = rest_pairs(crowd, sets, roots, words, similarity, MOST_APART)
+    more = more if more.isEmpty() else pin(jaccard_pairs(rows, names, more, shingle, similarity))
+    if not more.isEmpty():
+        roots = pin(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
     rooted = pin(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "low"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     labels = pin(rooted.select("node", "root").join(lows, "root").select("node", "component_id"))

@@ -9,10 +9,12 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from burstselect.llm import blocks, exact_dedup, line_dedup, simhash_dedup
 from burstselect.llm.common import bit_counts
 from burstselect.llm.components import components
+from burstselect.session import pin, scratch_path
 
 
 def table(spark, rows, parts=3):
@@ -403,3 +405,67 @@ def test_hubs_go_on_from_batch_to_batch():
         nodes = sorted({n for b, n in rows if b == block})
         want |= {(h, n) for h in nodes[:2] for n in nodes if h < n}
     assert found(1000) == want and all(found(size) == want for size in (1, 2, 3, 50))
+
+
+@pytest.mark.parametrize("cell_rows", [16, 8192])
+@pytest.mark.parametrize("sampled", [1, 32])
+def test_rows_of_a_crowded_block_all_meet(spark, monkeypatch, cell_rows, sampled):
+    """Pairs of a block that are like none of its hubs, in hot blocks and others, and no pair of one group."""
+    monkeypatch.setattr(blocks, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(blocks, "SAMPLED", sampled)
+    rng = random.Random(4)
+    signs = [rng.getrandbits(63) for _ in range(40)]
+    # Every node has one of forty far signs, a bit or two changed; blocks of 3, 11 and 186 nodes.
+    rows = [(n, 10 + n % 4, signs[n % 40] ^ (1 << rng.randrange(60)), [7 if n > 13 else 8 if n > 2 else 9]) for n in range(200)]
+    rows += rows[:50]
+    sets = pin(spark.createDataFrame(rows, "node long, size int, sign long, keys array<long>").repartition(3))
+    crowd = scratch_path(spark, "crowded")
+    found = {(r.a, r.b) for r in blocks.hub_pairs(sets, ["sign"], 0.8, 4, [], 2, crowd).collect()}
+    roots = spark.createDataFrame([(n, n % 40) for n in (45, 85, 125)], "node long, root long")
+    more = [(r.a, r.b) for r in blocks.rest_pairs(crowd, sets, roots, ["sign"], 0.8, 4).collect()]
+    one = {n: r for n, *r in rows}
+    like = {
+        (a, b) for a in range(200) for b in range(a + 1, 200)
+        if one[a][2] == one[b][2] and min(one[a][0], one[b][0]) >= 0.8 * max(one[a][0], one[b][0]) and bin(one[a][1] ^ one[b][1]).count("1") <= 4
+    }
+    assert len(like - found) > 200 and len(more) == len(set(more))
+    assert set(more) | found == like - ({(45, 85), (45, 125), (85, 125)} - found)
+
+
+def test_lines_that_are_like_no_hub_of_their_block(spark, monkeypatch):
+    plain = line_dedup.signed_lines
+    monkeypatch.setattr(line_dedup, "signed_lines", lambda *a: plain(*a).withColumn("keys", F.array(F.lit(1).cast("long"))))
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(500)]
+    rows = []
+    for i in range(60):
+        base = [rng.choice(words) for _ in range(10)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join([*base[:9], "other"]))]
+    out = line_dedup.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: r.n_removed for r in out} == {i: i % 2 for i in range(120)}
+
+
+def test_documents_that_are_like_no_hub_of_their_block(spark, monkeypatch):
+    plain = simhash_dedup.signed
+    monkeypatch.setattr(simhash_dedup, "signed", lambda *a: plain(*a).withColumn("keys", F.array(F.lit(1).cast("long"))))
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(500)]
+    rows = [(2 * i + k, t, "x") for i in range(30) for k, t in enumerate(copies_at(rng, words, 0.9))]
+    kept = {r.doc_id for r in simhash_dedup.drop_near_copies(table(spark, rows)).collect()}
+    assert kept == {2 * i for i in range(30)}
+
+
+def test_masks_drop_no_pair_of_the_similarity():
+    rng = np.random.default_rng(9)
+    lines = []
+    for _ in range(300):
+        base = rng.integers(0, 90, rng.integers(5, 60)).tolist()
+        copy = changed_line(random.Random(len(lines)), base, range(90), len(base) // 5)
+        lines += [base, copy]
+    mask = lambda x: np.bitwise_or.reduce(np.uint64(1) << (blocks.mixed(np.array(x, np.uint64)) >> np.uint64(58)))
+    side = lambda rows: {"size": np.array([len(x) for x in rows]), "bits": np.array([mask(x) for x in rows]).view(np.int64), "sign": np.zeros(len(rows), np.int64)}
+    fit = blocks._may_be_alike(side(lines[::2]), side(lines[1::2]), ["sign"], 0.8, 0, ["bits"])
+    like = [line_dedup.edit_similarity(a, b) >= 0.8 - 1e-9 for a, b in zip(lines[::2], lines[1::2], strict=True)]
+    assert sum(like) > 200 and all(f for f, yes in zip(fit, like, strict=True) if yes)
+    far = blocks._may_be_alike(side(lines[::2][:-1]), side(lines[2::2]), ["sign"], 0.8, 0, ["bits"])
+    assert far.mean() < 0.1
