@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burstselect.llm.common import bit_counts, pin, tidy
@@ -149,6 +149,12 @@ def hub_pairs(
     return rows.sparkSession.read.schema("a bigint, b bigint, crowded boolean").parquet(crowd).where("not crowded").select("a", "b")
 
 
+def crowd_nodes(spark: SparkSession, crowd: str) -> DataFrame:
+    """The nodes of the crowded blocks that `hub_pairs` left in ``crowd``."""
+    rows = spark.read.schema("a bigint, b bigint, crowded boolean").parquet(crowd).where("crowded")
+    return rows.select(F.col("b").alias("node")).distinct()
+
+
 def rest_pairs(
     crowd: str,
     rows: DataFrame,

@@ -12,7 +12,7 @@ met twice for one segment.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burstselect.llm.blocks import block_keys, fingerprints, hashed, hub_pairs, mixed, rest_pairs, starts_of
+from burstselect.llm.blocks import Judge, block_keys, crowd_nodes, fingerprints, hashed, hub_pairs, mixed, rest_pairs, starts_of
 from burstselect.llm.common import arrow_map, bytes_of, pin, row_mark, slices, tidy, without
 from burstselect.llm.components import components
 from burstselect.session import scratch_path
@@ -181,14 +181,50 @@ def signed(docs: DataFrame, text: str, shingle: int) -> DataFrame:
     return docs.withColumn(text, F.col(text).cast("string")).mapInArrow(tidy(over), ", ".join([*fields, SIGNED]))
 
 
+def texts_of(docs: DataFrame, names: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the sets (node), by the text of one document of each; a text is shorter than its shingles."""
+    asked = names.select("node", "doc_id", "mark").join(nodes, "node").groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("at"))
+    asked = asked.select("node", F.col("at.doc_id").alias("_id"), F.col("at.mark").alias("_mark"))
+    rows = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
+    return rows.groupBy("node").agg(F.first(F.col("text").cast("string")).alias("text"))
+
+
+def in_common(p: np.ndarray, q: np.ndarray, similarity: float) -> bool:
+    """Whether two sets, as sorted hashes, have the Jaccard similarity."""
+    place = np.searchsorted(p, q)
+    common = int((p[np.minimum(place, len(p) - 1)] == q).sum()) if len(p) else 0
+    return common >= similarity * (len(p) + len(q) - common) - 1e-9
+
+
+class JaccardJudge(Judge):
+    """Judges sets, given as the bytes of their sorted hashes, by their Jaccard similarity."""
+
+    def __init__(self, similarity: float):
+        self.similarity = similarity
+
+    def alike(self, one: Sequence[bytes], two: Sequence[bytes]) -> np.ndarray:
+        of = lambda x: np.frombuffer(x, np.uint64)
+        return np.array([in_common(of(p), of(q), self.similarity) for p, q in zip(one, two, strict=True)], bool)
+
+
+def set_contents(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, content) of sets (node, text): the bytes of their sorted hashes."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 2 << 20):
+                hashes, sizes = shingle_hashes(bytes_of(part, "text"), shingle)
+                cuts = np.cumsum([0, *sizes])
+                packed = [hashes[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(packed, pa.binary())], ["node", "content"])
+
+    return texts.select("node", "text").mapInArrow(tidy(over), "node bigint, content binary")
+
+
 def jaccard_pairs(docs: DataFrame, names: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) of sets whose Jaccard similarity, counted over all their shingles, is ``similarity`` or more."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    # One document of each set that is compared; its text is shorter than its shingles.
-    asked = names.select("node", "doc_id", "mark").join(ends, "node").groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("at"))
-    asked = asked.select("node", F.col("at.doc_id").alias("_id"), F.col("at.mark").alias("_mark"))
-    rows = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
-    texts = pin(rows.groupBy("node").agg(F.first(F.col("text").cast("string")).alias("text")))
+    texts = pin(texts_of(docs, names, ends))
     side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,9 +239,7 @@ def jaccard_pairs(docs: DataFrame, names: DataFrame, pairs: DataFrame, shingle:
                 cuts_x, cuts_y, near = np.cumsum([0, *sizes_x]), np.cumsum([0, *sizes_y]), []
                 for k, i in enumerate(at):
                     p, q = x[cuts_x[i] : cuts_x[i + 1]], y[cuts_y[k] : cuts_y[k + 1]]
-                    place = np.searchsorted(p, q)
-                    common = int((p[np.minimum(place, len(p) - 1)] == q).sum()) if len(p) else 0
-                    near.append(common >= similarity * (len(p) + len(q) - common) - 1e-9)
+                    near.append(in_common(p, q, similarity))
                 yield some.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     both = pairs.join(side("b"), "b").join(side("a"), "a")
@@ -228,8 +262,8 @@ def alike(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: flo
     pairs = hub_pairs(sets, words, similarity, MOST_APART, [], 2, crowd)
     roots = pin(components(jaccard_pairs(rows, names, pairs, shingle, similarity)))
     # Sets of one block that are not in one group yet have met no more than its hubs.
-    more = rest_pairs(crowd, sets, roots, words, similarity, MOST_APART)
-    more = more if more.isEmpty() else pin(jaccard_pairs(rows, names, more, shingle, similarity))
+    contents = set_contents(texts_of(rows, names, crowd_nodes(docs.sparkSession, crowd)), shingle)
+    more = rest_pairs(crowd, sets, roots, words, similarity, MOST_APART, contents, JaccardJudge(similarity))
     if not more.isEmpty():
         roots = pin(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
     rooted = pin(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "low"))
