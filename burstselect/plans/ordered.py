@@ -8,7 +8,7 @@ to broadcast it.
 
 A chunk is a plain column: the number of boundaries at or below the row's key. The rows are written once before they are
 dealt, so that what they come from runs once: their number comes from that write and the boundaries from a small sample of the
-written keys. Then the rows are shuffled once, chunk ``i`` to partition ``i``; windows by chunk, and by chunk and burst, work
+written keys. With few chunks a condition finds a row's own, with many Spark partitions by range, and that is written too. Then the rows are shuffled once, chunk ``i`` to partition ``i``; windows by chunk, and by chunk and burst, work
 on that layout without another exchange, and reading it twice in a plan reuses the exchange.
 """
 
@@ -31,8 +31,9 @@ SPANS = "_spans"
 CHUNK_ROWS = 200_000
 MAX_CHUNKS = 16_384
 SAMPLED_KEYS = 20
-# Halvings by compiled conditions when a row looks for its chunk: one condition for each of 2 ** TREE_DEPTH - 1 boundaries.
-TREE_DEPTH = 8
+# Up to 2 ** TREE_DEPTH chunks a row looks for its own by compiled conditions. They are slow until the machine has compiled them as
+# well, which for 30 takes longer than to deal six million rows, and for 180 it never does.
+TREE_DEPTH = 3
 
 
 def chron() -> list[Column]:
@@ -52,6 +53,9 @@ def into_chunks(df: DataFrame, order: Sequence[Column], rows: int | None = None)
     chunks = min(MAX_CHUNKS, math.ceil(rows / CHUNK_ROWS))
     if chunks < 2:
         return df.repartition(1).withColumn(CHUNK, F.lit(0))
+    if chunks > 2**TREE_DEPTH:
+        # Many bounds are Spark's to look up; its bounds differ from plan to plan, so the number of a row's range is written.
+        return pin(df.repartitionByRange(chunks, *order).withColumn(CHUNK, F.spark_partition_id())).repartitionById(chunks, CHUNK)
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
     keys = df.select(key.alias("key")).select("key.*")
     share = min(1.0, SAMPLED_KEYS * chunks / rows)
@@ -80,35 +84,17 @@ def _literal(row: Sequence[str | None], kinds: Sequence[str]) -> str:
 
 
 def _at_or_below(rows: Sequence[Sequence[str | None]], kinds: Sequence[str], key: Column) -> Column:
-    """How many ascending bounds are at or below the key.
+    """How many ascending bounds are at or below the key, by a tree of conditions, which Spark compiles."""
 
-    The first TREE_DEPTH halvings are a tree of conditions, which Spark compiles; an array is halved for the others, a row at a time.
-    """
-    n = len(rows)
-
-    def tree(low: int, high: int, depth: int, leaf: Callable[[int, int], Column]) -> Column:
-        if low == high or depth == 0:
-            return leaf(low, high)
+    def tree(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
         middle = (low + high) // 2
         below = F.expr(_literal(rows[middle], kinds)) <= key
-        return F.when(below, tree(middle + 1, high, depth - 1, leaf)).otherwise(tree(low, middle, depth - 1, leaf))
-
-    if n < 2**TREE_DEPTH:
-        # Always so; the schema then shows a column that may be null, unlike the constant of one chunk (see `_single`).
-        return F.when(key.isNotNull(), tree(0, n, TREE_DEPTH, lambda low, high: F.lit(low)))
-    bounds = F.expr("array(" + ", ".join(_literal(r, kinds) for r in rows) + ")")
-    start = tree(0, n, TREE_DEPTH, lambda low, high: F.struct(F.lit(low).alias("low"), F.lit(high).alias("high")))
-
-    def halve(s: Column, _: Column) -> Column:
-        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
-        below = F.get(bounds, middle) <= key
-        moved = F.when(below, F.struct((middle + 1).alias("low"), s["high"].alias("high"))).otherwise(
-            F.struct(s["low"].alias("low"), middle.alias("high"))
-        )
-        return F.when(s["low"] < s["high"], moved).otherwise(s)
+        return F.when(below, tree(middle + 1, high)).otherwise(tree(low, middle))
 
-    steps = F.sequence(F.lit(1), F.lit(n.bit_length() - TREE_DEPTH + 1))
-    return F.aggregate(steps, start, halve, lambda s: s["low"])
+    # Always so; the schema then shows a column that may be null, unlike the constant of one chunk (see `_single`).
+    return F.when(key.isNotNull(), tree(0, len(rows)))
 
 
 def _place(in_order: WindowSpec) -> dict[str, Column]:
@@ -209,19 +195,16 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: s
     keys = list(group) or ["_all"]
     src = df.drop(CHUNK, SPANS) if group else df.drop(CHUNK, SPANS).withColumn("_all", F.lit(0))
     full = [*[F.col(k) for k in keys], *order]
-    rows = into_chunks(src, full, rows).withColumn("_nth", F.row_number().over(W.partitionBy(CHUNK, *keys).orderBy(*order)))
+    dealt = into_chunks(src, full, rows)
+    rows = dealt.withColumn("_nth", F.row_number().over(W.partitionBy(CHUNK, *keys).orderBy(*order)))
     if _single(rows):
         return rows.withColumn(name, (F.col("_nth") - 1).cast("bigint")).drop(CHUNK, "_nth", "_all")
-    rows = rows.withColumns(_place(W.partitionBy(CHUNK).orderBy(*full)))
 
     by_chunk = W.orderBy(CHUNK)
     edges = (
-        _edge_rows(rows, keys)
-        .agg(
-            F.min_by("_key", "_row").alias("_first"),
-            F.max_by("_key", "_row").alias("_last"),
-            F.max_by("_nth", "_row").alias("_tail"),
-        )
+        # Groups are counted, not sorted: a chunk's first and last are known by their keys.
+        dealt.groupBy(CHUNK, *keys).agg(F.count("*").alias("_n")).withColumn("_key", F.struct(*keys)).groupBy(CHUNK)
+        .agg(F.min("_key").alias("_first"), F.max("_key").alias("_last"), F.max_by("_n", "_key").alias("_tail"))
         # Chunks ending in the same group follow each other, so their tails add up to what the next chunk continues.
         .withColumn("_run", F.sum("_tail").over(W.partitionBy("_last").orderBy(CHUNK)))
         .withColumn("_carry", F.when(F.col("_first").eqNullSafe(F.lag("_last").over(by_chunk)), F.lag("_run").over(by_chunk)))
@@ -231,7 +214,7 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: s
     return (
         rows.join(F.broadcast(edges), CHUNK)
         .withColumn(name, (F.col("_nth") - 1 + carried).cast("bigint"))
-        .drop(CHUNK, "_row", "_end", "_nth", "_first", "_carry", "_all")
+        .drop(CHUNK, "_nth", "_first", "_carry", "_all")
     )
 
 
