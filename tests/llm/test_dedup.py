@@ -469,3 +469,15 @@ def test_masks_drop_no_pair_of_the_similarity():
     assert sum(like) > 200 and all(f for f, yes in zip(fit, like, strict=True) if yes)
     far = blocks._may_be_alike(side(lines[::2][:-1]), side(lines[2::2]), ["sign"], 0.8, 0, ["bits"])
     assert far.mean() < 0.1
+
+
+def test_line_dedup_gives_shuffle_files_back_with_each_write(spark, monkeypatch):
+    from burstselect.llm import line_dedup
+    from burstselect.session import SHUFFLE_CLEANUP
+
+    seen, write = [], line_dedup.pin
+    monkeypatch.setattr(line_dedup, "pin", lambda df: (seen.append(spark.conf.get(SHUFFLE_CLEANUP)), write(df))[1])
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    docs = spark.createDataFrame([(1, "one two three\nfour five"), (2, "one two three"), (3, None)], "doc_id bigint, text string")
+    assert {r.doc_id: list(r.removed) for r in line_dedup.duplicate_lines(docs).collect()} == {1: [], 2: [0], 3: []}
+    assert len(seen) >= 4 and set(seen) == {"true"} and spark.conf.get(SHUFFLE_CLEANUP) == before
