@@ -81,9 +81,9 @@ def result_peak(judged: DataFrame) -> DataFrame:
 
 def frame_documents(judged: DataFrame) -> DataFrame:
     """Frames in the wire vocabulary, with their display ``position`` in the burst."""
-    judged = pin(laid_out(judged))
-    peak = result_peak(judged).scalar()
-    placed = rank_in_burst(judged, [], best_first(), "position")
+    # The ranks are written, so the peak is read from there and what comes before runs once.
+    placed = rank_in_burst(laid_out(judged), [], best_first(), "position")
+    peak = result_peak(placed).scalar()
     return placed.select(
         "burst_id",
         "position",
@@ -137,8 +137,9 @@ def progress_sequence(judged: DataFrame) -> DataFrame:
     Bursts follow each other in capture order and hold their frames together, so a frame's number is the place of its burst's
     first frame, which the layout knows, plus its position in the burst.
     """
-    laid = pin(laid_out(judged).select("rel", "when_ts", "burst_id", "bin", "sharpness", "face_count", CHUNK, SPANS))
-    placed = with_burst_stats(numbered(laid, [F.col("burst_id"), *chron()], "_place"), _start=F.min("_place"))
+    laid = laid_out(judged).select("rel", "when_ts", "burst_id", "bin", "sharpness", "face_count", CHUNK, SPANS)
+    laid = pin(numbered(laid, [F.col("burst_id"), *chron()], "_place"))
+    placed = with_burst_stats(laid, _start=F.min("_place"))
     placed = rank_in_burst(placed, [], best_first(), "_position")
     labels = burst_labels(burst_table(laid)).select("burst_id", "label")
     total = laid.agg(F.count("*")).scalar()

@@ -34,6 +34,8 @@ SAMPLED_KEYS = 20
 # Up to 2 ** TREE_DEPTH chunks a row looks for its own by compiled conditions. They are slow until the machine has compiled them as
 # well, which for 30 takes longer than to deal six million rows, and for 180 it never does.
 TREE_DEPTH = 3
+# Marks the chunk column of a layout of more chunks.
+MANY = {"many": True}
 
 
 def chron() -> list[Column]:
@@ -41,10 +43,11 @@ def chron() -> list[Column]:
     return [F.col("when_ts").isNull(), F.col("when_ts"), F.col("rel")]
 
 
-def into_chunks(df: DataFrame, order: Sequence[Column], rows: int | None = None) -> DataFrame:
+def into_chunks(df: DataFrame, order: Sequence[Column], rows: int | None = None, once: bool = False) -> DataFrame:
     """Deal the rows into chunks by ``order``, expressions that sort ascending, and add the chunk number.
 
-    ``rows`` is the number of rows of a table that is written already, so that it is not written again.
+    ``rows`` is the number of rows of a table that is written already, so that it is not written again. ``once`` promises that one plan alone
+    reads the chunks, which then need not be written here.
     """
     if rows is None:
         seen = Observation()
@@ -55,7 +58,10 @@ def into_chunks(df: DataFrame, order: Sequence[Column], rows: int | None = None)
         return df.repartition(1).withColumn(CHUNK, F.lit(0))
     if chunks > 2**TREE_DEPTH:
         # Many bounds are Spark's to look up; its bounds differ from plan to plan, so the number of a row's range is written.
-        return pin(df.repartitionByRange(chunks, *order).withColumn(CHUNK, F.spark_partition_id())).repartitionById(chunks, CHUNK)
+        number = F.spark_partition_id()
+        # Always so; see `_at_or_below`.
+        ranges = df.repartitionByRange(chunks, *order).withColumn(CHUNK, F.when(number >= 0, number))
+        return (ranges if once else pin(ranges)).repartitionById(chunks, CHUNK).withMetadata(CHUNK, MANY)
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
     keys = df.select(key.alias("key")).select("key.*")
     share = min(1.0, SAMPLED_KEYS * chunks / rows)
@@ -123,7 +129,7 @@ def number_islands(
     in_order = W.partitionBy(CHUNK).orderBy(*order)
     so_far = in_order.rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = (
-        into_chunks(df, order)
+        into_chunks(df, order, once=True)
         .withColumns(dict(_place(in_order), _prev=F.lag(F.struct(*keys)).over(in_order)))
         .withColumn("_brk", F.when(F.col("_prev").isNull(), 0).otherwise(is_break(F.col("_prev"), F.struct(*keys)).cast("int")))
         .withColumn("_isle", F.sum("_brk").over(so_far))
@@ -132,6 +138,10 @@ def number_islands(
     if _single(rows):
         return rows.withColumns({name: F.col("_isle").cast("bigint"), SPANS: F.lit(False)}).drop("_row", "_end", "_isle")
 
+    many = _many(rows)
+    if many:
+        # Written, so that the edges and all that follows read numbers instead of sorting the chunks again.
+        rows = pin(rows)
     by_chunk = W.orderBy(CHUNK)
     before = by_chunk.rowsBetween(W.unboundedPreceding, -1)
     upto = by_chunk.rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -153,7 +163,7 @@ def number_islands(
     )
     spans = ((F.col("_isle") == 0) & F.col("_joins")) | ((F.col("_isle") == F.col("_isles")) & F.col("_runs_on"))
     return (
-        rows.join(F.broadcast(edges), CHUNK)
+        rows.join(F.broadcast(pin(edges) if many else edges), CHUNK)
         .withColumn(name, (F.col("_isle") + F.col("_offset")).cast("bigint"))
         .withColumn(SPANS, spans)
         .drop("_row", "_end", "_isle", "_isles", "_offset", "_joins", "_runs_on")
@@ -165,6 +175,16 @@ def _single(rows: DataFrame) -> bool:
     return not rows.schema[CHUNK].nullable
 
 
+def _many(rows: DataFrame) -> bool:
+    """Whether `into_chunks` made more chunks than conditions tell apart. Islands of such a layout are written, so reading them again is cheap."""
+    return bool(rows.schema[CHUNK].metadata.get("many"))
+
+
+def settled(laid: DataFrame) -> DataFrame:
+    """A laid-out table that several plans may read, and what lies behind it runs once."""
+    return laid if _many(laid) else pin(laid)
+
+
 def numbered(laid: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     """Add the 0-based place of each row of a laid-out table in its whole order."""
     counts = laid.groupBy(CHUNK).agg(F.count("*").alias("_n"))
@@ -218,13 +238,36 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: s
     )
 
 
+def ranked_in_few(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str, rows: int) -> DataFrame:
+    """`ranked` for a table of ``rows`` rows with few groups: a table of one row per group and range is broadcast.
+
+    The rows are dealt by range, sorted and numbered by the tasks that write them, so a rank is the row's number in its range, less that of
+    the first row of its group there, plus the group's rows in the ranges before. Nothing is sorted or dealt again.
+    """
+    full = [*[F.col(k) for k in group], *order]
+    ranges = df.repartitionByRange(max(1, min(MAX_CHUNKS, math.ceil(rows / CHUNK_ROWS))), *full).sortWithinPartitions(*full)
+    # This number holds the range in its upper bits and the row's number in the range in the 33 lower ones.
+    placed = pin(ranges.withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumns(dict(_range=F.shiftright("_at", 33), _at=F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))))
+    before = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = placed.groupBy("_range", *group).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    starts = starts.select("*", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_carry"))
+    keys = {k: f"_of_{k}" for k in ("_range", *group)}
+    starts = starts.select("_carry", *[F.col(k).alias(v) for k, v in keys.items()])
+    same = [F.col(k).eqNullSafe(F.col(v)) for k, v in keys.items()]
+    met = placed.join(F.broadcast(starts), same)
+    return met.withColumn(name, (F.col("_at") + F.col("_carry")).cast("bigint")).drop("_at", "_range", "_carry", *keys.values())
+
+
 def rank_in_burst(df: DataFrame, extra: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
     """0-based position within (burst, *extra) of a laid-out table.
 
     A burst inside one chunk is ranked there; the rows of the others, at most one burst per chunk edge, are laid out
-    once more in the order asked for. All are written in between, so nothing behind them runs for each part again.
+    once more in the order asked for. All are written in between, so nothing behind them runs for each part again. ``extra`` has few values.
     """
     position = (F.row_number().over(W.partitionBy(CHUNK, "burst_id", *extra).orderBy(*order)) - 1).cast("bigint")
+    if _many(df):
+        return _rank_parts(df, extra, order, name, position)
     seen = Observation()
     whole, split = parts(pin(df.withColumn(name, position).observe(seen, F.count_if(SPANS).alias("split"))))
     if not (rows := seen.get["split"]):
@@ -235,6 +278,16 @@ def rank_in_burst(df: DataFrame, extra: Sequence[str], order: Sequence[Column],
     return whole.unionByName(far)
 
 
+def _rank_parts(df: DataFrame, extra: Sequence[str], order: Sequence[Column], name: str, position: Column) -> DataFrame:
+    """`rank_in_burst` for many chunks: the rows of split bursts, which may be all there are, are sorted and written once only."""
+    whole, split = parts(df)
+    whole = pin(whole.withColumn(name, position)).withColumn(SPANS, F.lit(False))
+    if not (rows := split.count()):
+        return whole
+    far = ranked_in_few(split.drop(SPANS), ["burst_id", *extra], order, name, rows)
+    return whole.unionByName(far.withColumn(SPANS, F.lit(True)))
+
+
 def with_burst_stats(df: DataFrame, **aggregates: Column) -> DataFrame:
     """Add per-burst aggregates to every row of a laid-out table.
 
@@ -242,6 +295,8 @@ def with_burst_stats(df: DataFrame, **aggregates: Column) -> DataFrame:
     partial sums and come back through a broadcast of at most one row per chunk. Use aggregates with small buffers
     only (sum, count, max, min).
     """
+    if _many(df):
+        return _stats_of_parts(df, aggregates)
     inside = W.partitionBy(CHUNK, "burst_id")
     far = [f"_far_{k}" for k in aggregates]
     split = df.where(F.col(SPANS)).groupBy(F.col("burst_id").alias("_far_burst"))
@@ -252,6 +307,16 @@ def with_burst_stats(df: DataFrame, **aggregates: Column) -> DataFrame:
     return rows.withColumns({k: F.when(is_far, F.col(f)).otherwise(F.col(k)) for k, f in zip(aggregates, far, strict=True)}).drop("_far_burst", *far)
 
 
+def _stats_of_parts(df: DataFrame, aggregates: dict[str, Column]) -> DataFrame:
+    """`with_burst_stats` for many chunks: the rows of split bursts, which may be all there are, pass no window and no exchange."""
+    whole, split = parts(df)
+    inside = W.partitionBy(CHUNK, "burst_id")
+    whole = whole.withColumns({k: c.over(inside) for k, c in aggregates.items()})
+    stats = split.groupBy(F.col("burst_id").alias("_far_burst")).agg(*[c.alias(k) for k, c in aggregates.items()])
+    split = split.join(F.broadcast(stats), F.col("burst_id").eqNullSafe(F.col("_far_burst"))).drop("_far_burst")
+    return whole.unionByName(split)
+
+
 def parts(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A laid-out table as (bursts inside one chunk, bursts reaching over a chunk edge).
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from burstselect.operators.grouping import similarity_bursts, time_bursts
-from burstselect.operators.verdicts import verdicts
+from burstselect.operators.verdicts import gates, verdicts
 from burstselect.params import SelectionParams
 from burstselect.plans import ordered
 from burstselect.plans.ordered import SPANS, chron, lay_out, ranked
@@ -179,3 +179,40 @@ def test_many_chunks_are_spark_ranges(spark, frames, monkeypatch):
     assert plan_of(laid).count("CASE WHEN") == 0
     assert sorted(map(tuple, verdicts(time_bursts(frames(rows))).select(*pick).collect())) == want
     assert place() == placed
+
+
+def test_split_bursts_of_many_chunks_pass_no_window(frames, monkeypatch):
+    """A burst over all of many chunks gets its aggregates without a window over its rows, and the same ranks."""
+    rows = [frame(f"{i:04d}.jpg", i * 0.01, faces=i % 4, eye=i % 3 / 2, sharp=i * 7 % 41 + 1) for i in range(300)]
+    rows += [frame(f"u{i}.jpg", None, sharp=i) for i in range(20)]
+    pick = ("rel", "burst_id", "bin", "reason", "rank_in_burst")
+    want = sorted(map(tuple, verdicts(time_bursts(frames(rows))).select(*pick).collect()))
+    monkeypatch.setattr(ordered, "CHUNK_ROWS", 12)
+    bursts = time_bursts(frames(rows))
+    split = ordered.parts(gates(bursts))[1]
+    assert split.count() >= 300 and "Window [" not in plan_of(split)
+    assert sorted(map(tuple, verdicts(bursts).select(*pick).collect())) == want
+
+
+def test_ranked_in_few_equals_row_number(spark):
+    rows = [(None if i % 5 == 0 else i % 2, i * 7919 % 13, i) for i in range(500)]
+    df = spark.createDataFrame(rows, "g int, v int, i int")
+    want = df.withColumn("r", F.row_number().over(W.partitionBy("g").orderBy("v", "i")) - 1)
+    got = ordered.ranked_in_few(df, ["g"], [F.col("v"), F.col("i")], "r", 500)
+    key = lambda d: sorted((x.i, x.r) for x in d.collect())
+    assert key(got) == key(want) and got.columns == ["g", "v", "i", "r"]
+
+
+def test_median_boxes_of_split_bursts_deal_each_value_once(frames, monkeypatch):
+    """Boxes that come again are counted, not dealt one by one, and the medians are those of all boxes."""
+    from burstselect.operators import region
+
+    rows = [frame(f"{i:04d}.jpg", i * 0.01) for i in range(400)]
+    box = F.when(F.col("rel") != "0007.jpg", F.struct(*[(F.substring("rel", 4, 1).cast("int") % 4 / (k + 1)).alias(a) for k, a in enumerate("xywh")]))
+    dealt, into = [], ordered.into_chunks
+    monkeypatch.setattr(region, "into_chunks", lambda df, *more: dealt.append(df.count()) or into(df, *more))
+    got = region.locked_region(time_bursts(frames(rows)).withColumn("primary_box", box)).collect()
+    # Last digits 0 to 9 make 0, 1, 2, 3, 0, 1, 2, 3, 0, 1; the frame left out has a 3.
+    values = sorted(i % 10 % 4 for i in range(400) if i != 7)
+    assert [tuple(r.region) for r in got] == [tuple(values[199] / (k + 1) for k in range(4))]
+    assert dealt == [16]
