@@ -104,7 +104,8 @@ def linked(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     )
     zeros = slots.where("whole or not one").select("variant", "whole", F.col("fp").alias("a"))
     ones = slots.where("whole or one").select("variant", F.col("fp").alias("b"))
-    met = zeros.join(ones, "variant")
+    # Spark sizes what an explode returns like what goes in, and would broadcast tens of rows for each fingerprint.
+    met = zeros.hint("merge").join(ones.hint("merge"), "variant")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
     return met.where(near & (~F.col("whole") | (F.col("a") < F.col("b")))).select("a", "b")
 

@@ -155,6 +155,17 @@ def test_near_groups(spark):
     assert simhash_dedup.near_groups(table(spark, rows).where("false")).count() == 0
 
 
+def test_variants_are_never_broadcast(spark):
+    """The table of fingerprints looks small enough to be, its variants are 66 times as many rows."""
+    rng = random.Random(3)
+    prints = sorted({rng.getrandbits(63) for _ in range(300)})
+    prints += [p ^ 0b111 << 20 for p in prints[:20]]
+    met = simhash_dedup.linked(pin(spark.createDataFrame([(p,) for p in prints], "fp long")))
+    assert {tuple(sorted((r.a, r.b))) for r in met.collect()} == {tuple(sorted((p, p ^ 0b111 << 20))) for p in prints[:20]}
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_drop_near_copies(spark):
     rows, base = near_rows()
     df = table(spark, rows)
