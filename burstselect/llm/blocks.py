@@ -257,7 +257,9 @@ def _beside_hubs(
 
 
 class Judge:
-    """Decides by their contents which rows of a cell are alike."""
+    """Decides by their contents which rows of a cell are alike; or which may be, and others decide."""
+
+    decides = True
 
     def masks(self, contents: Sequence[bytes]) -> dict[str, np.ndarray]:
         """Masks of rows (see `_may_be_alike`), by name."""
@@ -329,7 +331,8 @@ def _in_cells(
                     a, b = a[apart], b[apart]
                     near = judge.alike(one["content"][a], two["content"][b]) if len(a) else np.zeros(0, bool)
                     a, b = a[near], b[near]
-                    groups.link(one["root"][a], two["root"][b])
+                    if judge.decides:
+                        groups.link(one["root"][a], two["root"][b])
                 ends = one["node"][a], two["node"][b]
                 yield np.minimum(*ends), np.maximum(*ends)
 

@@ -12,7 +12,7 @@ met twice for one segment.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from burstselect.llm.blocks import Judge, block_keys, crowd_nodes, fingerprints, hashed, hub_pairs, mixed, rest_pairs, starts_of
 from burstselect.llm.common import arrow_map, bytes_of, pin, row_mark, slices, tidy, without
 from burstselect.llm.components import components
-from burstselect.session import scratch_path
+from burstselect.session import scratch_path, short_lived_shuffles
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -34,6 +34,12 @@ WIDE = 3
 BLOCKS = 8
 VOTES = 4
 MOST_APART = 55
+#: Shingles that come last in the order of prefixes, at most; the sample (one text of so many) that shows them; nodes of a shared shingle that are
+#: paired at once, and rows from which it is left to cells without looking further.
+COMMON = 100_000
+SAMPLED = 16
+MEET = 64
+HELD = 1 << 16
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -151,11 +157,83 @@ def shingle_hashes(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.nda
     return runs[new], np.bincount(owner[new], minlength=len(sizes))
 
 
-SIGNED = "node bigint, size bigint, sign array<bigint>, keys array<bigint>"
+def common_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of the shingles that several texts of a sample of rows (mark, text) have, by hash; COMMON at most, the most common ones."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 2 << 20):
+                hashes, _ = shingle_hashes(bytes_of(part, "text"), shingle)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], ["hash"])
+
+    sample = rows.where(F.pmod("mark", F.lit(SAMPLED)) == 0).select(F.col("text").cast("string").alias("text"))
+    counted = pin(sample.mapInArrow(tidy(over), "hash bigint").groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"))
+    least, total = 0, 0
+    for r in sorted(counted.groupBy("n").agg(F.count("*").alias("hashes")).collect(), key=lambda r: -r.n):
+        total += r.hashes
+        if total > COMMON:
+            least = r.n + 1
+            break
+    found = counted.where(F.col("n") >= least).collect()
+    hashes, counts = np.array([r.hash for r in found], np.int64).view(np.uint64), np.array([r.n for r in found], np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def first_shingles(hashes: np.ndarray, sizes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, sizes): so many of each set's shingles that two sets of the similarity have one of these in common, whatever the sets.
+
+    All sets put their shingles in the same order, common ones last, and take the first ones. The hashes of a set are ascending.
+    """
+    listed, counts = common
+    last = np.zeros(len(hashes), np.int64)
+    if len(listed):
+        place = np.minimum(np.searchsorted(listed, hashes), len(listed) - 1)
+        last = np.where(listed[place] == hashes, counts[place], 0)
+    order = np.lexsort((hashes, last, np.repeat(np.arange(len(sizes)), sizes)))
+    some = np.minimum(sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1, sizes)
+    at = np.arange(len(hashes)) - np.repeat(starts_of(sizes), sizes)
+    return hashes[order][at < np.repeat(some, sizes)], some
+
+
+def sketches(hashes: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Of each set its size and a bit string: a power of two of places, no fewer than members, each the parity of the members that fall there."""
+    places = 1 << np.ceil(np.log2(np.maximum(sizes, 64))).astype(np.int64)
+    begins, owner = starts_of(places), np.repeat(np.arange(len(sizes)), sizes)
+    odd = np.bincount(begins[owner] + (hashes & (places[owner] - 1).astype(np.uint64)).astype(np.int64), minlength=places.sum()) & 1
+    bits = np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    return [n.to_bytes(8, "little") + bits[a // 8 : (a + w) // 8] for n, a, w in zip(sizes.tolist(), begins.tolist(), places.tolist(), strict=True)]
+
+
+class SketchJudge(Judge):
+    """Tells by `sketches` which sets may have the Jaccard similarity. Each member that one of two sets lacks changes one place, so none that has it is lost."""
+
+    decides = False
+
+    def __init__(self, similarity: float):
+        self.most = (1 - similarity) / (1 + similarity)
+
+    def near(self, p: bytes, q: bytes) -> bool:
+        if len(p) > len(q):
+            p, q = q, p
+        most = (int.from_bytes(p[:8], "little") + int.from_bytes(q[:8], "little")) * self.most + 1e-9
+        width = len(q) - 8
+        x, y = int.from_bytes(p[8:], "little"), int.from_bytes(q[8:], "little")
+        while width > len(p) - 8:
+            width //= 2
+            y = (y >> (8 * width)) ^ (y & ((1 << (8 * width)) - 1))
+        return (x ^ y).bit_count() <= most
+
+    def alike(self, one: Sequence[bytes], two: Sequence[bytes]) -> np.ndarray:
+        return np.array([self.near(p, q) for p, q in zip(one, two, strict=True)], bool)
+
+
+SIGNED = "node bigint, size bigint, sign array<bigint>, keys array<bigint>, first array<bigint>, sketch binary"
 
 
-def signed(docs: DataFrame, text: str, shingle: int) -> DataFrame:
-    """``docs`` with its text replaced by ``node``, the name of its set of shingles, ``size``, ``sign`` (the set's SimHash) and ``keys`` (its blocks)."""
+def signed(docs: DataFrame, text: str, shingle: int, common: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
+    """``docs`` with its text replaced by ``node``, the name of its set of shingles, ``size``, ``sign`` (the set's SimHash), ``keys`` (its blocks),
+    ``first`` (its `first_shingles`) and ``sketch``."""
     rest = [c for c in docs.columns if c != text]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -167,11 +245,13 @@ def signed(docs: DataFrame, text: str, shingle: int) -> DataFrame:
         if some.any():
             signs[some], keys[some] = fingerprints(shingles, sizes[some], WIDE), block_keys(shingles, sizes[some], BLOCKS, VOTES)
         listed = lambda rows, width, n: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]) * width, pa.int32()), pa.array(rows.ravel()))
+        first, taken = first_shingles(shingles, sizes, common, similarity)
         columns = [
             pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sizes.astype(np.int64)),
             listed(signs, WIDE, np.ones(len(sizes), np.int64)), listed(keys[some], BLOCKS, some),
+            listed(first.view(np.int64), 1, taken), pa.array(sketches(shingles, sizes), pa.binary()),
         ]
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *columns], [*rest, "node", "size", "sign", "keys"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *columns], [*rest, "node", "size", "sign", "keys", "first", "sketch"])
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,15 +327,113 @@ def jaccard_pairs(docs: DataFrame, names: DataFrame, pairs: DataFrame, shingle:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(tidy(close), "a bigint, b bigint")
 
 
+def _in_shared_shingles(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs (a, b) of nodes of different groups that share a first shingle and may have the similarity by their sizes and the places of the shingle in them.
+
+    Rows come in the order of (block, root, node), a block for each shingle. Of blocks of more than MEET nodes (block, node) come, ``crowded``.
+    """
+    names = ("block", "root", "node", "size", "pos")
+
+    def whole(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        new = np.append(True, rows["block"][1:] != rows["block"][:-1])
+        once = new | np.append(True, rows["node"][1:] != rows["node"][:-1])
+        rows = {c: x[once] for c, x in rows.items()}
+        begins = np.flatnonzero(new[once])
+        lengths = np.diff(np.append(begins, len(rows["node"])))
+        # Rows of a block are in the order of their groups.
+        ends = begins + lengths - 1
+        mixed_groups = rows["root"][begins] != rows["root"][ends]
+        crowd = np.repeat(mixed_groups & (lengths > MEET), lengths)
+        yield _ends(rows["block"][crowd], rows["node"][crowd], True)
+        few = np.repeat(mixed_groups & (lengths <= MEET), lengths)
+        rows = {c: x[few] for c, x in rows.items()}
+        at = np.arange(len(few[few]))
+        for k in range(1, MEET):
+            at = at[at + k < len(rows["block"])]
+            at = at[rows["block"][at] == rows["block"][at + k]]
+            if not len(at):
+                break
+            one, two = ({c: x[i] for c, x in rows.items()} for i in (at, at + k))
+            small, large = np.minimum(one["size"], two["size"]), np.maximum(one["size"], two["size"])
+            # If this is the first that they share, no more than what follows can be shared.
+            most = np.minimum(one["size"] - one["pos"], two["size"] - two["pos"])
+            fit = (one["root"] != two["root"]) & (small >= large * similarity - 1e-9) & (most >= (small + large) * similarity / (1 + similarity) - 1e-9)
+            yield _ends(np.minimum(one["node"], two["node"])[fit], np.maximum(one["node"], two["node"])[fit], False)
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, long = {c: np.empty(0, np.int64) for c in names}, None  # a block that is not known to be whole; one that goes on and is crowded
+        for batch in batches:
+            rows = {c: np.concatenate([kept[c], batch.column(c).to_numpy().astype(np.int64)]) for c in names}
+            if long is not None:
+                more = rows["block"] == long
+                yield _ends(rows["block"][more], rows["node"][more], True)
+                rows = {c: x[~more] for c, x in rows.items()}
+            if not len(rows["block"]):
+                kept = rows
+                continue
+            last = len(rows["block"]) - int((rows["block"] == rows["block"][-1]).sum())
+            if last:
+                yield from whole({c: x[:last] for c, x in rows.items()})
+            kept, long = {c: x[last:] for c, x in rows.items()}, None
+            if len(kept["block"]) > HELD:
+                long = kept["block"][0]
+                yield _ends(kept["block"], kept["node"], True)
+                kept = {c: x[:0] for c, x in kept.items()}
+        if len(kept["block"]):
+            yield from whole(kept)
+
+    return over
+
+
+def _ends(a: np.ndarray, b: np.ndarray, crowded: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), crowded))], ["a", "b", "crowded"])
+
+
+def unmet_pairs(names: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b), a < b, of sets that may have the similarity and are not in one group (node, root) yet; no pair that has it is missing.
+
+    Two sets of the similarity share one of their `first_shingles`, so sets meet in an equality join on these. Their `sketches` drop most pairs
+    that don't have it. A shingle of more than MEET sets of different groups is dealt to cells (`rest_pairs`).
+    """
+    spark, folder = names.sparkSession, scratch_path(names.sparkSession, "shared")
+    sets = pin(names.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("content")))
+    rooted = names.select("node", "size", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = rooted.select("root", "node", F.col("size").cast("int").alias("size"), F.posexplode("first").alias("pos", "block"))
+    dealt = rows.repartition("block").sortWithinPartitions("block", "root", "node")
+    found = dealt.mapInArrow(tidy(_in_shared_shingles(similarity)), "a bigint, b bigint, crowded boolean")
+    found.write.partitionBy("crowded").parquet(folder)
+    pairs = spark.read.schema("a bigint, b bigint, crowded boolean").parquet(folder).where("not crowded").select("a", "b").distinct()
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("content").alias(f"content_{x}"))
+    judge = SketchJudge(similarity)
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = judge.alike(batch.column("content_a").to_pylist(), batch.column("content_b").to_pylist())
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "content_a", "content_b")
+    met = met.mapInArrow(tidy(likely), "a bigint, b bigint")
+    rest = rest_pairs(folder, sets, roots, [], similarity, 0, sets.select("node", "content"), judge)
+    return pin(met.unionByName(rest).distinct())
+
+
 def alike(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, mark, component_id) for the rows of ``docs`` and their near copies: sets of word shingles with the Jaccard similarity.
 
     Equal sets are one node. Others are candidates if they share a block of their SimHash (`blocks`); the whole fingerprints drop those that
-    can't be alike, and the sets decide. At a similarity of exactly 0.8 a pair shares one of eight blocks in 98.5 % of cases, above that
-    more often, in a table of any size; copies of a group are linked through each other as well.
+    can't be alike, and the sets decide. That finds nearly all links and the large groups. At a similarity of exactly 0.8 a pair shares one of eight
+    blocks in 98.5 % of cases; so sets that are not in one group by then meet once more by their first shingles (`unmet_pairs`), which no
+    pair of the similarity escapes.
     """
+    with short_lived_shuffles(docs.sparkSession):
+        names, labels = _labels(docs, text, shingle, similarity)
+    return names.select("doc_id", "mark", "node").join(labels, "node").select("doc_id", "mark", "component_id")
+
+
+def _labels(docs: DataFrame, text: str, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` as `signed` has them, and (node, component_id) of their sets; written."""
     rows = docs.select("doc_id", row_mark(text).alias("mark"), F.col(text).alias("text"))
-    names = pin(signed(rows, "text", shingle))
+    names = pin(signed(rows, "text", shingle, common_shingles(rows, shingle), similarity))
     nodes = names.groupBy("node").agg(F.min("doc_id").alias("low"))
     words = [f"sign_{w}" for w in range(WIDE)]
     signs = [F.col("sign")[w].alias(name) for w, name in enumerate(words)]
@@ -265,12 +443,18 @@ def alike(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: flo
     # Sets of one block that are not in one group yet have met no more than its hubs.
     contents = set_contents(texts_of(rows, names, crowd_nodes(docs.sparkSession, crowd)), shingle)
     more = rest_pairs(crowd, sets, roots, words, similarity, MOST_APART, contents, JaccardJudge(similarity))
-    if not more.isEmpty():
-        roots = pin(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
+    roots = _joined(roots, more)
+    roots = _joined(roots, pin(jaccard_pairs(rows, names, unmet_pairs(names, roots, similarity), shingle, similarity)))
     rooted = pin(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "low"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    labels = pin(rooted.select("node", "root").join(lows, "root").select("node", "component_id"))
-    return names.select("doc_id", "mark", "node").join(labels, "node").select("doc_id", "mark", "component_id")
+    return names, pin(rooted.select("node", "root").join(lows, "root").select("node", "component_id"))
+
+
+def _joined(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """The groups (node, root) with further links (a, b)."""
+    if more.isEmpty():
+        return roots
+    return pin(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

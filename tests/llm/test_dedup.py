@@ -466,6 +466,64 @@ def test_documents_that_are_like_no_hub_of_their_block(spark, monkeypatch):
     assert kept == {2 * i for i in range(30)}
 
 
+@pytest.mark.parametrize("meet", [2, 64])
+def test_documents_that_share_no_block_are_found(spark, monkeypatch, meet):
+    """All pairs of the similarity are linked, though no two sets have a block in common; boilerplate makes shingles common."""
+    plain = simhash_dedup.signed
+    monkeypatch.setattr(simhash_dedup, "signed", lambda *a: plain(*a).withColumn("keys", F.array("node")))
+    monkeypatch.setattr(simhash_dedup, "SAMPLED", 2)
+    monkeypatch.setattr(simhash_dedup, "MEET", meet)
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(500)]
+    boiler = [rng.choice(words) for _ in range(40)]
+    texts = [t for s in (0.72, 0.78, 0.8, 0.8, 0.82, 0.85, 0.9) for _ in range(8) for t in copies_at(rng, words, s)]
+    texts += [" ".join(boiler + [rng.choice(words) for _ in range(n)]) for n in (0, 3, 7, 8, 9, 10, 20, 40) for _ in range(5)]
+    texts += ["one two", "one two", "", "one two three"]
+    sets = [shingles(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = union(pairs, range(len(texts)))
+    kept = {r.doc_id for r in simhash_dedup.drop_near_copies(table(spark, [(i, t, "x") for i, t in enumerate(texts)])).collect()}
+    assert kept == {i for i in range(len(texts)) if root[i] == i} and 40 < len(pairs)
+
+
+def test_sketches_drop_no_pair_of_the_similarity():
+    rng, judge = np.random.default_rng(2), simhash_dedup.SketchJudge(0.8)
+    far = 0
+    for n in rng.integers(1, 700, 400).tolist():
+        base = rng.integers(0, 1 << 63, n * 2).astype(np.uint64)
+        for low in (int(n * 0.8 + 0.99), n // 2):
+            one, two = np.unique(base[:n]), np.unique(np.concatenate([base[:low], base[n : n + int(low / 0.8) - n if low / 0.8 > n else n]]))
+            p, q = simhash_dedup.sketches(np.concatenate([one, two]), np.array([len(one), len(two)]))
+            common = len(np.intersect1d(one, two))
+            if common >= 0.8 * (len(one) + len(two) - common):
+                assert judge.alike([p, q], [q, p]).tolist() == [True, True]
+            far += not judge.near(p, q)
+    assert far > 200
+
+
+def test_shared_shingles_go_on_from_batch_to_batch(monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "MEET", 4)
+    rng = random.Random(5)
+    rows = sorted({(rng.randrange(30), n % 9, n) for n in range(60) for _ in range(3)} | {(50, n % 2, n) for n in range(40)} | {(60, 1, n) for n in range(40)})
+    table = pa.table({"block": [r[0] for r in rows], "root": [r[1] for r in rows], "node": [r[2] for r in rows], "size": [10] * len(rows), "pos": [0] * len(rows)})
+
+    def found(size, held):
+        monkeypatch.setattr(simhash_dedup, "HELD", held)
+        return {tuple(r.values()) for x in simhash_dedup._in_shared_shingles(0.8)(iter(table.to_batches(size))) for r in x.to_pylist()}
+
+    want, crowd, of = set(), set(), defaultdict(list)
+    for b, r, n in rows:
+        of[b].append((r, n))
+    for b, members in of.items():
+        if len({r for r, _ in members}) > 1 and len(members) > 4:
+            crowd |= {(b, n, True) for _, n in members}
+        elif len(members) <= 4:
+            want |= {(min(m, n), max(m, n), False) for r, m in members for s, n in members if r != s}
+    assert crowd and want and all(found(size, 1000) == want | crowd for size in (1, 7, 1000))
+    # A long block goes on to the cells, whether or not it has several groups.
+    assert found(7, 12) - {(60, n, True) for n in range(40)} == want | crowd
+
+
 def test_masks_drop_no_pair_of_the_similarity():
     rng = np.random.default_rng(9)
     lines = []
