@@ -15,6 +15,7 @@ cells of bounded memory that are dealt to all tasks.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +23,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burstselect.llm.common import bit_counts, pin, tidy
+from burstselect.session import unpin
 
 #: The share of a sample from which a block is hot, the sample (one node of so many), and the tasks for a hot block.
 HOT = 0.002
 SAMPLED = 32
 SALTS = 64
 #: Rows of one side of a cell and bytes of their contents, comparisons made at once, and pairs judged at once.
-CELL_ROWS = 8192
+CELL_ROWS = 32768
+#: Rows of cells that are dealt at once, unless there are more nodes than that.
+TURN_ROWS = 100_000
 CELL_BYTES = 16 << 20
 AT_ONCE = 1 << 18
 JUDGED = 4096
@@ -164,32 +168,47 @@ def rest_pairs(
     most_apart: int,
     contents: DataFrame | None = None,
     judge: Judge | None = None,
+    bytes_each: int = 0,
 ) -> DataFrame:
     """Different pairs (a, b), a < b, of the crowded blocks that `hub_pairs` left in ``crowd``, may be alike and are not in one group yet; written.
 
     ``rows`` are those of `hub_pairs`, ``roots`` (node, root) the groups that its pairs made. All pairs of a block with different roots are compared.
     A block is cut into sides of CELL_ROWS nodes or CELL_BYTES of contents by hash; each two sides meet in a cell, so no task holds more than two
-    of them. With ``contents`` (node, content: binary) and a ``judge`` the pairs are judged there, and what comes are links; pairs that
-    links of the same cell have put in one group are left out.
+    of them. With ``contents`` (node, content: binary, of about ``bytes_each`` for each member of a row) and a ``judge`` the pairs are judged there, and what comes are links; pairs that
+    links of the same cell have put in one group are left out. The rows of all cells may be many times the nodes, as a side meets all others; so cells are dealt
+    in turns of about as many rows as there are nodes, and each turn gives its shuffle files back if the session does so (`short_lived_shuffles`).
     """
     members = rows.sparkSession.read.schema("a bigint, b bigint, crowded boolean").parquet(crowd).where("crowded")
     members = members.select(F.col("a").alias("block"), F.col("b").alias("node"))
     few = members.select("node").distinct()
     info = rows.select("node", F.col("size").cast("bigint").alias("size"), *signs).join(few, "node", "left_semi").dropDuplicates(["node"])
     info = info.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    long = F.lit(0)
-    if contents is not None:
-        info, long = info.join(contents.join(few, "node", "left_semi").dropDuplicates(["node"]), "node"), F.octet_length("content")
     info = pin(info)
-    found = members.join(info.select("node", "root", long.alias("long")), "node")
+    found = members.join(info.select("node", "root", (F.col("size") * bytes_each).alias("long")), "node")
     groups = found.groupBy("block").agg(F.count("*").alias("n"), F.sum("long").alias("bytes"), F.min("root").alias("low"), F.max("root").alias("high"))
     sides = F.ceil(F.greatest(F.col("n") / CELL_ROWS, F.col("bytes") / CELL_BYTES)).cast("int").alias("sides")
-    open_blocks = pin(groups.where("low < high").select("block", sides))
+    open_blocks = pin(groups.where("low < high").select("block", "n", sides))
+    again = pin(members.join(open_blocks, "block").select("node").distinct())
+    if contents is not None:
+        # Each turn takes them from where they are: a table of their own would be the largest of all.
+        contents = contents.join(again, "node", "left_semi").dropDuplicates(["node"])
+    total = open_blocks.agg(F.sum(F.col("n") * F.col("sides"))).first()[0] or 0
+    turns = max(1, min(-(-total // max(1, again.count())), -(-total // TURN_ROWS)))
     met = members.join(open_blocks, "block").withColumn("side", F.pmod(F.xxhash64("node"), "sides").cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-    cells = met.select("block", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "node").join(info, "node")
-    dealt = cells.repartition("block", "x", "y").sortWithinPartitions("block", "x", "y")
-    return pin(dealt.mapInArrow(tidy(_in_cells(signs, ratio, most_apart, judge)), "a bigint, b bigint").distinct())
+    cells = met.select("block", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "node")
+    found = []
+    for turn in range(turns):
+        some = cells if turns == 1 else cells.where(F.pmod(F.xxhash64("block", "x", "y"), F.lit(turns)) == turn)
+        # An explode is sized like its input; what it returns must not be broadcast.
+        some = some.hint("merge").join(info, "node")
+        if contents is not None:
+            some = some.join(contents, "node")
+        dealt = some.repartition("block", "x", "y").sortWithinPartitions("block", "x", "y")
+        found.append(pin(dealt.mapInArrow(tidy(_in_cells(signs, ratio, most_apart, judge)), "a bigint, b bigint").distinct()))
+    for table in (info, open_blocks, again):
+        unpin(table)
+    return found[0] if turns == 1 else pin(reduce(DataFrame.unionByName, found).distinct())
 
 
 def _may_be_alike(one: dict, two: dict, signs: Sequence[str], ratio: float, most_apart: int, masks: Sequence[str]) -> np.ndarray:
@@ -271,24 +290,29 @@ class Judge:
 
 
 class _Groups:
-    """Groups of the rows of a cell, which links put together."""
+    """Groups of the rows of a cell, which links put together; they are named by places among ``names``."""
 
     def __init__(self, roots: np.ndarray):
         self.names = np.unique(roots)
-        self.parent = np.arange(len(self.names))
+        self.parent, self.flat = np.arange(len(self.names)), True
+
+    def places(self, roots: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.names, roots)
 
-    def of(self, roots: np.ndarray) -> np.ndarray:
-        while (up := self.parent[self.parent]).tolist() != self.parent.tolist():
-            self.parent = up
-        return self.parent[np.searchsorted(self.names, roots)]
+    def of(self, places: np.ndarray) -> np.ndarray:
+        while not self.flat:
+            up = self.parent[self.parent]
+            self.flat, self.parent = np.array_equal(up, self.parent), up
+        return self.parent[places]
 
     def link(self, one: np.ndarray, two: np.ndarray) -> None:
-        for a, b in zip(np.searchsorted(self.names, one).tolist(), np.searchsorted(self.names, two).tolist(), strict=True):
+        for a, b in zip(one.tolist(), two.tolist(), strict=True):
             while self.parent[a] != a:
                 a = self.parent[a]
             while self.parent[b] != b:
                 b = self.parent[b]
             self.parent[max(a, b)] = min(a, b)
+            self.flat = False
 
 
 def _in_cells(
@@ -304,7 +328,8 @@ def _in_cells(
         masks = judge.masks(cell["content"]) if judge else {}
         # The least size that is like a row's, so that two comparisons of whole numbers tell whether two sizes have the ratio.
         least = np.ceil(cell["size"] * ratio - 1e-9).astype(np.int32)
-        cell, groups = {**cell, **masks, "length": cell["size"].astype(np.int32), "least": least}, _Groups(cell["root"])
+        groups = _Groups(cell["root"])
+        cell = {**cell, **masks, "length": cell["size"].astype(np.int32), "least": least, "root": groups.places(cell["root"])}
         alone = cell["x"][0] == cell["y"][0]
         one = cell if alone else {c: x[cell["side"] == cell["x"]] for c, x in cell.items()}
         two = cell if alone else {c: x[cell["side"] == cell["y"]] for c, x in cell.items()}

@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burstselect.llm.blocks import Judge, block_keys, fingerprints, hashed, hub_pairs, mixed, rest_pairs, starts_of, told_apart
+from burstselect.llm.blocks import Judge, block_keys, crowd_nodes, fingerprints, hashed, hub_pairs, mixed, rest_pairs, starts_of, told_apart
 from burstselect.llm.common import pin, row_mark, slices, text_or_empty, tidy
 from burstselect.llm.components import components
-from burstselect.session import scratch_path, short_lived_shuffles
+from burstselect.session import scratch_path, short_lived_shuffles, unpin
 
 SIMILARITY = 0.8
 #: Blocks, votes in a block, and bits of 64 in which like lines may differ: at 0.8 they differ in 13 on average, with a deviation of 3.2.
@@ -137,15 +137,15 @@ def within(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return edit_distance(a.tolist(), b.tolist()) <= allowed
 
 
-LINES = "mark bigint, no int, node bigint, size int, words binary"
+LINES = "mark bigint, no int, node bigint, size int, words array<int>"
 SIGNED = "node bigint, size int, sign bigint, bits bigint, keys array<bigint>"
 
 
 def hashed_lines(docs: DataFrame, similarity: float) -> DataFrame:
     """(doc_id, mark, no, node, size, words) of the lines that have a word.
 
-    ``node`` is a hash of a line's words in order, ``words`` 32 bits of each, one after the other; these are with a line's first occurrence in each task alone, and
-    null where no other line can be alike.
+    ``node`` is a hash of a line's words in order, ``words`` 32 bits of each (numbers, of which files keep each different one once); these are with a
+    line's first occurrence in each task alone, and null where no other line can be alike.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     fewest = min(n for n in range(1, 1000) if int(int(n / similarity + 1e-9) * (1 - similarity) + 1e-9) > 0) if similarity < 1 else 1 << 30
@@ -165,10 +165,10 @@ def hashed_lines(docs: DataFrame, similarity: float) -> DataFrame:
                 new &= sizes >= fewest
                 new[new] = [n not in seen for n in nodes[new].tolist()]
                 seen.update(nodes[new].tolist())
-                few = (words[np.repeat(new, sizes)] >> np.uint64(32)).astype(np.uint32)
-                cuts = np.concatenate([[0], np.cumsum(new * sizes)]).astype(np.int32) * np.int32(4)
+                few = (words[np.repeat(new, sizes)] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                cuts = np.concatenate([[0], np.cumsum(new * sizes)]).astype(np.int32)
                 there = np.packbits(new, bitorder="little")
-                packed = pa.Array.from_buffers(pa.binary(), len(new), [pa.py_buffer(x.tobytes()) for x in (there, cuts, few)])
+                packed = pa.Array.from_buffers(pa.list_(pa.int32()), len(new), [pa.py_buffer(x.tobytes()) for x in (there, cuts)], children=[pa.array(few)])
                 columns = [
                     part.column("doc_id").take(pa.array(owner)), part.column("mark").take(pa.array(owner)), pa.array(no, pa.int32()),
                     pa.array(nodes), pa.array(sizes, pa.int32()), packed,
@@ -179,7 +179,10 @@ def hashed_lines(docs: DataFrame, similarity: float) -> DataFrame:
 
 
 def packed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The word hashes of a column of `hashed_lines` without nulls, one row after the other, and how many each row has."""
+    """The word hashes of a column of `hashed_lines` without nulls, or of their bytes, one row after the other, and how many each row has."""
+    if not (pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)):
+        cuts = column.offsets.to_numpy().astype(np.int64)
+        return column.values.to_numpy()[cuts[0] : cuts[-1]].view(np.uint32), np.diff(cuts)
     _, offsets, content = column.buffers()
     kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
     cuts = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 4
@@ -236,7 +239,7 @@ def signed_lines(known: DataFrame, similarity: float) -> DataFrame:
 
 
 class EditJudge(Judge):
-    """Judges lines, given as `hashed_lines` packs their words, by their edit similarity."""
+    """Judges lines, given as the bytes of their words, by their edit similarity."""
 
     def __init__(self, similarity: float):
         self.similarity = similarity
@@ -275,15 +278,30 @@ def like_groups(lines: DataFrame, similarity: float) -> DataFrame:
     """
     known = lines.where("words is not null")
     signed, crowd = pin(signed_lines(known, similarity)), scratch_path(lines.sparkSession, "crowded")
-    links = pin(edit_pairs(known, hub_pairs(signed, ["sign"], similarity, MOST_APART, ["bits"], HUBS, crowd), similarity))
-    roots = pin(components(links))
-    contents = known.select("node", F.col("words").alias("content"))
-    more = rest_pairs(crowd, signed, roots, ["sign"], similarity, MOST_APART, contents, EditJudge(similarity))
+    pairs = hub_pairs(signed, ["sign"], similarity, MOST_APART, ["bits"], HUBS, crowd)
+    # Only nodes of crowded blocks meet again, without their keys.
+    few = pin(signed.select("node", "size", "sign").join(crowd_nodes(lines.sparkSession, crowd), "node", "left_semi"))
+    unpin(signed)
+    roots = pin(components(edit_pairs(known, pairs, similarity)))
+    more = rest_pairs(crowd, few, roots, ["sign"], similarity, MOST_APART, line_contents(known), EditJudge(similarity), 4)
     return roots if more.isEmpty() else pin(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
 
 
+def line_contents(known: DataFrame) -> DataFrame:
+    """(node, content) of lines (node, words): the bytes of their words."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, sizes = packed_words(batch.column("words"))
+            cuts = np.concatenate([[0], np.cumsum(sizes * 4)]).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(words.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), packed], ["node", "content"])
+
+    return known.select("node", "words").mapInArrow(tidy(over), "node bigint, content binary")
+
+
 def edit_pairs(known: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) of lines (node, words) that have the edit similarity."""
+    """Those of the pairs (a, b) of lines (node, words) that have the edit similarity; written."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     words = pin(known.select("node", "words").join(ends, "node").dropDuplicates(["node"]))
     side = lambda x: words.select(F.col("node").alias(x), F.col("words").alias(f"words_{x}"))
@@ -297,7 +315,9 @@ def edit_pairs(known: DataFrame, pairs: DataFrame, similarity: float) -> DataFra
                 yield part.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     met = pairs.join(side("a"), "a").join(side("b"), "b")
-    return met.select("a", "b", "words_a", "words_b").mapInArrow(tidy(close), "a bigint, b bigint")
+    links = pin(met.select("a", "b", "words_a", "words_b").mapInArrow(tidy(close), "a bigint, b bigint"))
+    unpin(words)
+    return links
 
 
 def duplicate_lines(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, carry: Sequence[str] = ()) -> DataFrame:

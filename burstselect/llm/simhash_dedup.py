@@ -413,7 +413,7 @@ def unmet_pairs(names: DataFrame, roots: DataFrame, similarity: float) -> DataFr
 
     met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "content_a", "content_b")
     met = met.mapInArrow(tidy(likely), "a bigint, b bigint")
-    rest = rest_pairs(folder, sets, roots, [], similarity, 0, sets.select("node", "content"), judge)
+    rest = rest_pairs(folder, sets, roots, [], similarity, 0, sets.select("node", "content"), judge, 1)
     return pin(met.unionByName(rest).distinct())
 
 
@@ -441,8 +441,8 @@ def _labels(docs: DataFrame, text: str, shingle: int, similarity: float) -> tupl
     pairs = hub_pairs(sets, words, similarity, MOST_APART, [], 2, crowd)
     roots = pin(components(jaccard_pairs(rows, names, pairs, shingle, similarity)))
     # Sets of one block that are not in one group yet have met no more than its hubs.
-    contents = set_contents(texts_of(rows, names, crowd_nodes(docs.sparkSession, crowd)), shingle)
-    more = rest_pairs(crowd, sets, roots, words, similarity, MOST_APART, contents, JaccardJudge(similarity))
+    contents = pin(set_contents(texts_of(rows, names, crowd_nodes(docs.sparkSession, crowd)), shingle))
+    more = rest_pairs(crowd, sets, roots, words, similarity, MOST_APART, contents, JaccardJudge(similarity), 8)
     roots = _joined(roots, more)
     roots = _joined(roots, pin(jaccard_pairs(rows, names, unmet_pairs(names, roots, similarity), shingle, similarity)))
     rooted = pin(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "low"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -418,6 +419,20 @@ def test_hubs_go_on_from_batch_to_batch():
     assert found(1000) == want and all(found(size) == want for size in (1, 2, 3, 50))
 
 
+def test_cells_come_in_turns(spark, monkeypatch):
+    """What is dealt at once is bounded by the nodes, however many sides meet; each pair comes once."""
+    monkeypatch.setattr(blocks, "CELL_ROWS", 16)
+    monkeypatch.setattr(blocks, "TURN_ROWS", 100)
+    folder, dealt = scratch_path(spark, "crowded"), []
+    monkeypatch.setattr(blocks, "_in_cells", lambda *a, work=blocks._in_cells: (dealt.append(1), work(*a))[1])
+    spark.createDataFrame([(k, n, True) for k in (1, 2) for n in range(90)], "a long, b long, crowded boolean").write.partitionBy("crowded").parquet(folder)
+    sets = pin(spark.createDataFrame([(n, 10, n % 5 << 20) for n in range(90)], "node long, size int, sign long"))
+    roots = spark.createDataFrame([], "node long, root long")
+    more = [(r.a, r.b) for r in blocks.rest_pairs(folder, sets, roots, ["sign"], 0.8, 0).collect()]
+    assert sorted(more) == [(a, b) for a in range(90) for b in range(a + 1, 90) if a % 5 == b % 5]
+    assert len(dealt) == 11  # six sides meet each other in either block: 1,080 rows
+
+
 @pytest.mark.parametrize("cell_rows", [16, 8192])
 @pytest.mark.parametrize("sampled", [1, 32])
 def test_rows_of_a_crowded_block_all_meet(spark, monkeypatch, cell_rows, sampled):
@@ -550,3 +565,44 @@ def test_line_dedup_gives_shuffle_files_back_with_each_write(spark, monkeypatch)
     docs = spark.createDataFrame([(1, "one two three\nfour five"), (2, "one two three"), (3, None)], "doc_id bigint, text string")
     assert {r.doc_id: list(r.removed) for r in line_dedup.duplicate_lines(docs).collect()} == {1: [], 2: [0], 3: []}
     assert len(seen) >= 4 and set(seen) == {"true"} and spark.conf.get(SHUFFLE_CLEANUP) == before
+
+
+def test_tables_that_are_done_with_are_deleted(spark):
+    from burstselect.session import unpin
+
+    rows = spark.createDataFrame([(1, 2), (3, 4)], "a long, b long")
+    one, two = pin(rows), pin(rows)
+    folder = one.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    unpin(one)
+    assert not os.path.exists(folder) and two.count() == 2
+    other = scratch_path(spark, "mine")
+    rows.write.parquet(other)
+    with pytest.raises(ValueError):
+        unpin(spark.read.parquet(other))
+    assert spark.read.parquet(other).count() == 2
+
+
+def test_crowded_lines_leave_no_contents_behind(spark, monkeypatch):
+    """Tables with the words of lines that meet again, and with their blocks, are gone when the groups are known."""
+    plain = line_dedup.signed_lines
+    monkeypatch.setattr(line_dedup, "signed_lines", lambda *a: plain(*a).withColumn("keys", F.array(F.lit(1).cast("long"))))
+    made = []
+    for module in (blocks, line_dedup):
+        monkeypatch.setattr(module, "pin", lambda df: (made.append(pin(df)), made[-1])[1])
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(500)]
+    lines = [[rng.choice(words) for _ in range(10)] for _ in range(30)]
+    rows = [(2 * i + k, " ".join([*x[:9], "other"] if k else x)) for i, x in enumerate(lines) for k in (0, 1)]
+    out = line_dedup.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: r.n_removed for r in out} == {i: i % 2 for i in range(60)}
+    there = [t.columns for t in made if all(os.path.exists(f.removeprefix("file://")) for f in t._jdf.inputFiles())]
+    assert len([c for c in there if "words" in c]) == 1 and not any("content" in c or "keys" in c for c in there)
+
+
+def test_words_of_lines_as_numbers_and_as_bytes(spark):
+    docs = spark.createDataFrame([(1, "one two three four five\nsix\n\nseven eight nine ten eleven twelve", 0)], "doc_id long, text string, mark long")
+    known = line_dedup.hashed_lines(docs, 0.8).where("words is not null")
+    rows = {r.node: r.words for r in known.collect()}
+    assert sorted(map(len, rows.values())) == [5, 6]
+    contents = {r.node: np.frombuffer(bytes(r.content), np.int32).tolist() for r in line_dedup.line_contents(known).collect()}
+    assert contents == rows
