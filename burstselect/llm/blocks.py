@@ -189,9 +189,11 @@ def rest_pairs(
     sides = F.ceil(F.greatest(F.col("n") / CELL_ROWS, F.col("bytes") / CELL_BYTES)).cast("int").alias("sides")
     open_blocks = pin(groups.where("low < high").select("block", "n", sides))
     again = pin(members.join(open_blocks, "block").select("node").distinct())
+    done = [info, open_blocks, again]
     if contents is not None:
-        # Each turn takes them from where they are: a table of their own would be the largest of all.
-        contents = contents.join(again, "node", "left_semi").dropDuplicates(["node"])
+        # Contents of the nodes that meet again, each once.
+        held = pin(contents.join(again, "node", "left_semi").dropDuplicates(["node"]))
+        done.append(held)
     total = open_blocks.agg(F.sum(F.col("n") * F.col("sides"))).first()[0] or 0
     turns = max(1, min(-(-total // max(1, again.count())), -(-total // TURN_ROWS)))
     met = members.join(open_blocks, "block").withColumn("side", F.pmod(F.xxhash64("node"), "sides").cast("int"))
@@ -203,10 +205,10 @@ def rest_pairs(
         # An explode is sized like its input; what it returns must not be broadcast.
         some = some.hint("merge").join(info, "node")
         if contents is not None:
-            some = some.join(contents, "node")
+            some = some.join(held, "node")
         dealt = some.repartition("block", "x", "y").sortWithinPartitions("block", "x", "y")
         found.append(pin(dealt.mapInArrow(tidy(_in_cells(signs, ratio, most_apart, judge)), "a bigint, b bigint").distinct()))
-    for table in (info, open_blocks, again):
+    for table in done:
         unpin(table)
     return found[0] if turns == 1 else pin(reduce(DataFrame.unionByName, found).distinct())
 
